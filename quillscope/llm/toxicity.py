@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ._store import stash
 from ._text import LOWER, batch, text_slices
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 SIZES = (4, 5, 6)
 MAX_ROWS, FEATURES = 16_000, 4096
 
