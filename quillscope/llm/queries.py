@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contained
+from .line_dedup import removed_by_document
 from .source_mix import mix_sources
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -30,6 +31,14 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    out = lines.join(removed_by_document(docs), "doc_id", "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op8_source_mix": op8_source_mix,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -74,5 +84,18 @@ n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, any_value(n.n_item)::BIGINT AS n_item
 FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING 4 * count(*) >= 3 * any_value(n.n_item)
+""",
+    "op9_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT * FROM l WHERE length(line) >= 30),
+u AS (SELECT line, min(doc_id * 2147483648::HUGEINT + pos) AS rank, length(line) AS n FROM e GROUP BY line),
+d AS (SELECT DISTINCT b.line FROM u a JOIN u b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.rank < b.rank WHERE levenshtein(a.line, b.line) <= 2),
+r AS (SELECT e.doc_id, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.line = e.line
+      WHERE d.line IS NOT NULL OR e.doc_id * 2147483648::HUGEINT + e.pos > u.rank)
+SELECT c.doc_id, coalesce(len(string_split(c.text, chr(10))), 0)::BIGINT AS n_lines, count(r.pos)::BIGINT AS n_removed,
+       coalesce(string_agg(r.pos::VARCHAR, ',' ORDER BY r.pos), '') AS removed_lines
+FROM documents c LEFT JOIN r ON c.doc_id = r.doc_id GROUP BY c.doc_id, c.text
 """,
 }
