@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contained
 from .line_dedup import removed_by_document
+from .ngram_join import ngram_components
 from .source_mix import mix_sources
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -21,6 +22,10 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), "score")
@@ -44,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
