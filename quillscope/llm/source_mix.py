@@ -51,9 +51,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return out.select("skey", "source_size", "weight", F.when(F.col("share").isNull() | (F.col("share") > cap * F.col("source_size")), cap * F.col("source_size")).otherwise(F.col("share")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies."""
-    sized = stash(docs.select("doc_id", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash60(F.col("doc_id")).alias("h")))
+def _source_key() -> Column:
+    return F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, skey, size, h) of each document, written out: all that follows reads no texts."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return stash(docs.select("doc_id", _source_key().alias("skey"), size.alias("size"), hash60(F.col("doc_id")).alias("h")))
+
+
+def thresholds(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """One row per source: skey, source_size, target, whole (copies of every
+    document) and below (hashes under it get one copy more)."""
     part = lambda level: F.shiftright("h", BITS * (LEVELS - 1 - level)).bitwiseAND((1 << BITS) - 1)
     histogram = stash(sized.groupBy("skey", part(0).alias("bucket")).agg(F.sum("size").alias("tokens")), 1)
     targets = source_targets(histogram.groupBy("skey").agg(F.sum("tokens").alias("source_size")), weights, cap)
@@ -73,7 +83,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
         taken = summed.withColumn("done", done).groupBy("skey").agg(F.coalesce(F.min(F.when(~F.col("done"), F.col("bucket"))), F.lit(1 << BITS)).alias("bucket"), F.max(F.when(F.col("done"), F.col("upto"))).alias("upto"))
         step = (F.coalesce(F.col("bucket"), F.lit(0)) * (1 << width)).cast("long")
         edge = stash(edge.join(taken, "skey", "left").select(*goals.columns, (F.col("below") + step).alias("below"), (F.col("base") + F.coalesce(F.col("upto"), F.lit(0))).alias("base")), 1)
-    # a source of which every hash fits has below at the end of the range
-    out = sized.join(edge.select("skey", "source_size", "target", "whole", "below"), "skey")
-    copies = F.col("whole") + (F.col("h") < F.col("below")).cast("long")
+    return edge.select("skey", "source_size", "target", "whole", "below")
+
+
+def _copies(h: Column) -> Column:
+    return F.col("whole") + (h < F.col("below")).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies."""
+    sized = sizes(docs)
+    out = sized.join(thresholds(sized, weights, cap), "skey")
+    copies = _copies(F.col("h"))
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, copies: str = "copies") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with how often it takes them.
+    The thresholds, a row per source, meet the texts where they are read."""
+    edge = thresholds(sizes(docs), weights, cap).select(F.col("skey").alias("_mix_source"), "whole", "below")
+    edge = edge.select("_mix_source", F.struct("whole", "below").alias("_mix_edge"))
+    out = docs.withColumn("_mix_source", _source_key()).join(edge, "_mix_source")
+    n = F.col("_mix_edge.whole") + (hash60(F.col("doc_id")) < F.col("_mix_edge.below")).cast("long")
+    return out.select(*docs.columns, n.alias(copies)).where(F.col(copies) > 0)
