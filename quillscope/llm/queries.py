@@ -12,6 +12,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .line_dedup import removed_by_document
 from .ngram_join import ngram_components
 from .source_mix import mix_sources
+from .substring_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -23,6 +24,10 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_embedding_dedup": op4_embedding_dedup,
