@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import shared_dir, stash
+
 from .decontaminate import find_contained
 from .embedding_dedup import near_duplicate_vectors
+from .license_scan import scan_licenses
 from .line_dedup import removed_by_document
 from .ngram_join import ngram_components
+from .quality_rules import fit_quality, score_quality
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
+from .token_counts import TokenRollup, count_tokens, signed
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -42,6 +48,27 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    counts = stash(count_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, "byte_bpe_50k"))
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", signed(counts, 1))
+    rollup.commit("load", signed(counts, 1))  # a retry counts nothing twice
+    return rollup.totals()
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -63,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
