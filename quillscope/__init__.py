@@ -1,0 +1 @@
+"""Accessibility analytics over large document collections, as Spark jobs."""
