@@ -5,7 +5,7 @@ A short item inside a long document has a tiny Jaccard similarity with the
 whole document, so a MinHash search over whole documents finds nothing. Items
 are therefore partitioned by their number of shingles (classes that grow by
 half), and each class looks through documents in overlapping windows sized for
-it: an item that is contained in the document in one place lies within one
+it (items of fewer shingles than a block, at every shingle): an item that is contained in the document in one place lies within one
 window, where at least three tenths of the union agree. Minima of 32 hash
 functions are taken once over blocks of eight shingles and combined into the
 windows of every class. A document and an item that share a minimum at one
@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 from ._text import batch, constants, distinct, mix, shingles, text_slices, words
 
-SHINGLE, FUNCTIONS, BLOCK = 5, 32, 8
+SHINGLE, FUNCTIONS, BLOCK, FEW = 5, 32, 8, 8
 BLOCK_ITEMS = 50_000
 
 
 def _classes(sizes: np.ndarray) -> np.ndarray:
-    """Number of each item's size class: class c holds up to 8 * 1.5**c shingles."""
-    return np.ceil(np.log(np.maximum(sizes, 8) / 8) / np.log(1.5) - 1e-9).astype(int)
+    """Number of each item's size class: class c holds up to 8 * 1.5**c shingles,
+    class -1 those of fewer than a block."""
+    return np.where(sizes < BLOCK, -1, np.ceil(np.log(np.maximum(sizes, 8) / 8) / np.log(1.5) - 1e-9).astype(int))
 
 
 def _window(c: int) -> tuple[int, int]:
@@ -53,16 +54,31 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return constants(FUNCTIONS, 101), constants(FUNCTIONS, 211)
 
 
+def _values(h: np.ndarray, f: int) -> np.ndarray:
+    a, b = _functions()
+    return ((h >> np.uint64(32)).astype(np.uint32) ^ np.uint32(b[f] >> np.uint64(32))) * np.uint32(a[f] & np.uint64(0xFFFFFFFF))
+
+
 def _minima(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Minima, under each function, of runs of hashes that start at ``at``."""
-    a, b = _functions()
     out = np.empty((FUNCTIONS, len(at)), np.uint32)
-    high = (h >> np.uint64(32)).astype(np.uint32)
     for f in range(FUNCTIONS):
-        out[f] = np.minimum.reduceat((high ^ np.uint32(b[f] >> np.uint64(32))) * np.uint32(a[f] & np.uint64(0xFFFFFFFF)), at)
+        out[f] = np.minimum.reduceat(_values(h, f), at)
     return out
 
 
+def _widened(best: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+    """Minima over ``width`` blocks, or as many as the text has left."""
+    span = 1
+    while span < width:
+        more = min(span, width - span)
+        reach = np.flatnonzero(left > more)
+        wider = best.copy()
+        wider[reach] = np.minimum(best[reach], best[reach + more])
+        best, span = wider, span + more
+    return best
+
+
 class ItemIndex:
     """Items of a block: their shingles, and their minima by size class."""
 
@@ -107,16 +123,14 @@ class ItemIndex:
         left = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(len(at)) + 1
         out = []
         for c, (keys, who, bits) in self.by_class.items():
-            width, step = _window(c)
-            starts = np.flatnonzero(block_no % step == 0)
-            for f in range(FUNCTIONS):
-                best, span = minima[f], 1
-                while span < width:  # minima over ``span`` blocks, then twice as many
-                    more = min(span, width - span)
-                    reach = np.flatnonzero(left > more)
-                    wider = best.copy()
-                    wider[reach] = np.minimum(best[reach], best[reach + more])
-                    best, span = wider, span + more
+            if c < 0:  # items this short are looked for at every shingle, with few functions
+                starts, owner = np.arange(len(h)), doc
+                tried = ((f, _values(h, f)) for f in range(FEW))
+            else:
+                width, step = _window(c)
+                starts, owner = np.flatnonzero(block_no % step == 0), block_doc
+                tried = ((f, _widened(minima[f], left, width)) for f in range(FUNCTIONS))
+            for f, best in tried:
                 value = best[starts]
                 hit = np.flatnonzero(bits[value & np.uint32((1 << 20) - 1)])
                 key = value[hit].astype(np.uint64) + np.uint64(f << 32)
@@ -124,7 +138,7 @@ class ItemIndex:
                 n = hi - lo
                 if n.sum():
                     pick = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    out.append(np.stack([np.repeat(block_doc[starts[hit]], n), who[pick]], 1))
+                    out.append(np.stack([np.repeat(owner[starts[hit]], n), who[pick]], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def contained(self, texts: pa.Array, share: tuple[int, int]) -> Iterator[tuple[int, int, int]]:
