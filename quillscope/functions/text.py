@@ -82,3 +82,33 @@ def percent_encode(text: Column) -> Column:
     for coded, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(coded), F.lit(plain))
     return out
+
+
+def stored_filename(name: Column) -> Column:
+    """A file's name as one safe line of at most 255 characters."""
+    line = F.regexp_replace(name, SPACE, " ")
+    base = F.substring(F.regexp_extract(F.regexp_replace(line, "/+$", ""), "([^/]*)$", 1), 1, 255)
+    clean = strip(F.regexp_replace(base, r"[^a-zA-Z0-9._ \-]", "_"))
+    return F.when(clean == "", "unnamed_file").otherwise(clean)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text: a mark, closing quotes and blanks end one where a
+    capital, digit or opening quote follows."""
+    # the split point follows blanks, so a sentence keeps its own marks
+    cut = F.regexp_replace(strip(text), "([.!?][\"'”’)\\]]*)\\s+(?=[A-Z0-9“\"‘(])", "$1\u0001")
+    return F.filter(F.transform(F.split(cut, "\u0001"), strip), lambda s: s != "")
+
+
+def uptime(seconds: Column) -> Column:
+    part = lambda x: F.floor(x).cast("string")
+    d, h, m, s = part(seconds / 86400), part(seconds % 86400 / 3600), part(seconds % 3600 / 60), (seconds % 60).cast("string")
+    short = F.concat(m, F.lit("m "), s, F.lit("s"))
+    return F.when(seconds >= 86400, F.concat(d, F.lit("d "), h, F.lit("h "), short)).when(seconds % 86400 >= 3600, F.concat(h, F.lit("h "), short)).otherwise(short)
+
+
+def file_size(n: Column) -> Column:
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for unit, size in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30), ("TB", 1 << 40)):
+        out = F.when(n >= size, F.concat(F.format_string("%.1f", n / size), F.lit(f" {unit}"))).otherwise(out)
+    return out

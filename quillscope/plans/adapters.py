@@ -93,3 +93,37 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     status = F.when(F.col("quality") == 1, "success").when(F.col("doc_id") % 2 == 0, "permanent_error").otherwise("error")
     return publications(spark, sf_dir).join(labels, "doc_id").select("url", status.alias("status"))
+
+
+def pdf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis records of made-up documents, one per part, with every defect."""
+    k, i = "CAST(p_partkey AS INT)", "CAST(i AS INT)"
+    many = lambda n: f"slice(sequence(1, 8), 1, {n})"
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS doc_id", f"CASE WHEN {k} % 97 = 0 THEN 'unreadable' END AS error", f"{k} % 3 <> 0 AS hasStructTree", f"{k} % 7 <> 0 AS hasLang", "CAST(NULL AS STRING) AS lang", f"{k} % 3 AS outlineCount", f"{k} % 2 = 0 AS hasAcroForm",
+        f"transform({many(f'{k} % 3')}, i -> named_struct('name', 'f', 'hasTU', ({k} + {i}) % 2 = 0)) AS formFields",
+        f"transform({many(f'{k} % 4')}, i -> named_struct('ref', 'r', 'hasAlt', ({k} + {i}) % 3 <> 0, 'altText', 'x')) AS images", f"{k} % 2 AS imageObjectCount",
+        f"transform({many(f'{k} % 5')}, i -> concat('H', 1 + {i} * {k} % 3)) AS headings",
+        f"transform({many(f'{k} % 3')}, i -> named_struct('hasHeaders', ({k} + {i}) % 4 <> 0, 'headerCount', 2, 'hasScope', ({k} + {i}) % 5 = 0, 'hasRowStructure', ({k} + {i}) % 6 <> 0, 'rowCount', 3, 'hasNestedTable', ({k} + {i}) % 9 = 0, 'hasCaption', true, 'hasConsistentColumns', ({k} + {i}) % 8 <> 0, 'columnCounts', array({i}, 2), 'hasHeaderAssociation', ({k} + {i}) % 7 = 0)) AS tables",
+        f"transform({many(f'{k} % 2')}, i -> named_struct('isWellFormed', {k} % 5 <> 0)) AS lists", f"{k} % 25 AS paragraphCount", f"{k} % 30 + 1 AS totalPageCount",
+        "CAST(array() AS array<struct<name:string,embedded:boolean>>) AS fonts", "CAST(NULL AS array<string>) AS visibleFonts", f"CASE {k} % 11 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS accessibilityAllowed", f"{k} % 2 = 0 AS displayDocTitle",
+        f"{k} % 50 = 0 AS hasXfa", f"{k} % 100 = 0 AS needsRendering", f"{k} % 4 AS structTreeDepth", "true AS hasContentOrder", f"{k} % 30 + 1 AS pageCount", f"{k} % 5 <> 0 AS hasText", f"CASE WHEN {k} % 5 <> 0 THEN 1000 ELSE 0 END AS textLength",
+        f"CASE {k} % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('report_', {k}, '.pdf') WHEN 2 THEN p_name ELSE ' ' END AS title",
+        f"transform({many(f'{k} % 4')}, i -> named_struct('url', 'u', 'text', element_at(array('click here', 'Annual report', 'https://a.b'), 1 + ({k} + {i}) % 3), 'tagged', ({k} + {i}) % 4 <> 0)) AS links", f"{k} % 2 AS imageCount", f"CASE WHEN {k} % 6 <> 0 THEN {k} % 5 END AS nonArtifactImageCount",
+    )
+
+
+PDF_RECORDS = """
+p0 AS (SELECT p_partkey AS doc_id, CAST(p_partkey AS INT) AS k, p_name FROM part),
+p AS (SELECT doc_id, k, p_name, k % 97 = 0 AS bad, k % 3 <> 0 AS tree, k % 7 <> 0 AS lang, k % 5 <> 0 AS txt, k % 30 + 1 AS pages, k % 25 AS paras, k % 3 AS outlines,
+  CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'report_' || k || '.pdf' WHEN 2 THEN p_name ELSE ' ' END AS title,
+  list_transform(range(1, k % 5 + 1), lambda i: 1 + i * k % 3) AS hs,
+  len(list_filter(range(1, k % 4 + 1), lambda i: (k + i) % 3 <> 0)) AS alts, k % 4 AS figs, CASE WHEN k % 97 <> 0 AND k % 6 <> 0 THEN greatest(0, k % 5 - k % 4) END AS loose,
+  list_filter(range(1, k % 3 + 1), lambda i: i >= 2) AS ts, k % 4 AS n_links,
+  len(list_filter(range(1, k % 4 + 1), lambda i: (k % 3 = 0 OR (k + i) % 4 <> 0) AND (k + i) % 3 = 0)) AS needs,
+  CASE WHEN k % 3 <> 0 THEN len(list_filter(range(1, k % 4 + 1), lambda i: (k + i) % 4 = 0)) ELSE 0 END AS untagged,
+  k % 3 AS n_fields, len(list_filter(range(1, k % 3 + 1), lambda i: (k + i) % 2 = 0)) AS labelled FROM p0),
+q AS (SELECT *, len(ts) AS n, len(hs) > 1 AND len(list_filter(range(1, len(hs)), lambda i: hs[i + 1] - hs[i] > 1)) > 0 AS jump,
+  len(list_filter(ts, lambda i: (k + i) % 4 <> 0)) AS heads, len(list_filter(ts, lambda i: (k + i) % 6 <> 0)) AS trs,
+  len(list_filter(ts, lambda i: (k + i) % 4 <> 0 AND ((k + i) % 5 = 0 OR (k + i) % 7 = 0))) AS bound, len(list_filter(ts, lambda i: (k + i) % 5 = 0 OR (k + i) % 7 = 0)) AS anybound,
+  len(list_filter(ts, lambda i: (k + i) % 9 = 0)) AS nested, len(list_filter(ts, lambda i: (k + i) % 8 <> 0)) AS even FROM p)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, numbers, text, urls
-from ..operators import fleet, lifecycle, scoring, web_scoring
+from ..operators import checklist, fleet, format_scoring, lifecycle, scoring, web_scoring
 from ..sources import web
 from . import adapters as A
 from .adapters import table
@@ -300,3 +300,55 @@ def reading_order_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, "mcid"))), lambda x: x["mcid"])
     pages = li.groupBy("doc_id", "page").agg(orders("l_partkey").alias("struct_order"), orders("l_shipdate").alias("stream_order"))
     return scoring.reading_order(pages.withColumn("figures", F.array().cast("array<int>")))
+
+
+_PDF_SCORES = """SELECT doc_id, 'text_extractability' AS id, CASE WHEN k % 11 = 0 THEN 0 WHEN txt AND tree THEN 100 WHEN txt THEN 50 WHEN tree THEN 25 ELSE 0 END AS score, FALSE AS not_assessed FROM q
+ UNION ALL SELECT doc_id, 'title_language', CASE WHEN k % 4 IN (0, 3) THEN 0 WHEN k % 4 = 1 THEN 25 WHEN k % 2 = 0 THEN 50 ELSE 35 END + CASE WHEN lang THEN 50 ELSE 0 END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'heading_structure', CASE WHEN len(hs) = 0 THEN CASE WHEN pages >= 4 OR paras >= 20 OR outlines > 0 THEN 0 END WHEN jump THEN 60 ELSE 100 END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'alt_text', CASE WHEN figs > 0 THEN CASE WHEN alts = 0 THEN 0 ELSE floor(alts / (figs + coalesce(loose, 0))::DOUBLE * 100)::INT END WHEN loose > 0 THEN 0 END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'color_contrast', NULL, TRUE FROM q
+ UNION ALL SELECT doc_id, 'bookmarks', CASE WHEN pages >= 10 THEN CASE WHEN outlines > 0 THEN 100 ELSE 45 END END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'table_markup', CASE WHEN n > 0 THEN CASE WHEN heads = n THEN 40 WHEN heads > 0 THEN 20 ELSE 0 END + CASE WHEN trs = n THEN 20 WHEN trs > 0 THEN 10 ELSE 0 END + CASE WHEN heads > 0 AND bound = heads THEN 10 WHEN bound > 0 THEN 5 ELSE 0 END
+   + CASE WHEN nested = 0 THEN 10 ELSE 0 END + 5 + CASE WHEN even = n THEN 10 ELSE 0 END + CASE WHEN anybound > 0 THEN 5 ELSE 0 END END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'link_quality', CASE WHEN n_links > 0 THEN floor((n_links - needs - untagged) / n_links::DOUBLE * 100)::INT END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'form_accessibility', CASE WHEN k % 2 = 0 AND n_fields > 0 THEN floor(labelled / n_fields::DOUBLE * 100)::INT END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'reading_order', CASE WHEN NOT tree THEN 0 WHEN k % 4 <= 1 THEN 30 END, tree AND k % 4 > 1 FROM q"""
+
+
+@query(f"WITH {A.PDF_RECORDS} {_PDF_SCORES}")
+def pdf_category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_scoring.pdf_categories(A.pdf_records(spark, sf_dir)).select("doc_id", "id", "score", "not_assessed")
+
+
+@query(f"""WITH {A.PDF_RECORDS}, f AS (SELECT doc_id, bad OR k % 100 = 0 AS stop, (CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) + (CASE WHEN NOT tree THEN 1 ELSE 0 END)
+  + (CASE WHEN NOT txt AND k % 2 > 0 THEN 1 ELSE 0 END) + (CASE WHEN alts < figs THEN 1 ELSE 0 END) + (CASE WHEN loose > 0 THEN 1 ELSE 0 END) + (CASE WHEN NOT lang THEN 1 ELSE 0 END) + (CASE WHEN k % 4 IN (0, 3) THEN 1 ELSE 0 END)
+  + (CASE WHEN k % 2 > 0 AND k % 5 = 0 THEN 1 ELSE 0 END) + (CASE WHEN heads < n THEN 1 ELSE 0 END) + (CASE WHEN tree AND untagged > 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 2 = 0 AND labelled < n_fields THEN 1 ELSE 0 END) AS c FROM q)
+ SELECT doc_id, CASE WHEN stop THEN 'incomplete' WHEN c > 0 THEN 'fail' ELSE 'no-automated-failures' END AS status, CASE WHEN stop THEN 0 ELSE c END AS n_failures FROM f""")
+def pdf_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_scoring.pdf_conformance(A.pdf_records(spark, sf_dir))
+    return out.select("doc_id", "status", F.size("failures").alias("n_failures"))
+
+
+@query()
+def pdf_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checklist.checklist_summary(A.pdf_records(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN trim(x) = '' THEN 'unnamed_file' ELSE trim(x) END AS stored FROM (
+ SELECT conv_id, turn, regexp_replace(substr(regexp_extract(rtrim(regexp_replace(text, '\\s', ' ', 'g'), '/'), '([^/]*)$', 1), 1, 255), '[^a-zA-Z0-9._ -]', '_', 'g') AS x FROM conversations WHERE text IS NOT NULL)""")
+def stored_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").where("text is not null")
+    return t.select("conv_id", "turn", text.stored_filename(F.col("text")).alias("stored"))
+
+
+@query()
+def opening_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").where("text is not null")
+    s = text.sentences(F.col("text"))
+    return t.select("doc_id", F.array_join(F.slice(s, 1, 2), " ").alias("summary"), (F.size(s) > 2).alias("truncated"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id * 997 // 86400 > 0 THEN (user_id * 997 // 86400) || 'd ' || (user_id * 997 % 86400 // 3600) || 'h ' || (user_id * 997 % 3600 // 60) || 'm ' || (user_id * 997 % 60) || 's'
+ WHEN user_id * 997 % 86400 // 3600 > 0 THEN (user_id * 997 % 86400 // 3600) || 'h ' || (user_id * 997 % 3600 // 60) || 'm ' || (user_id * 997 % 60) || 's' ELSE (user_id * 997 % 3600 // 60) || 'm ' || (user_id * 997 % 60) || 's' END AS uptime FROM events""")
+def uptimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", text.uptime(F.col("user_id") * 997).alias("uptime"))
