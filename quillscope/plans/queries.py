@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, numbers, text, urls
-from ..operators import checklist, fleet, format_scoring, lifecycle, scoring, web_scoring
+from ..operators import checklist, extraction, fleet, format_scoring, lifecycle, reports, scoring, web_scoring
 from ..sources import web
 from . import adapters as A
 from .adapters import table
@@ -352,3 +352,52 @@ def opening_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHEN user_id * 997 % 86400 // 3600 > 0 THEN (user_id * 997 % 86400 // 3600) || 'h ' || (user_id * 997 % 3600 // 60) || 'm ' || (user_id * 997 % 60) || 's' ELSE (user_id * 997 % 3600 // 60) || 'm ' || (user_id * 997 % 60) || 's' END AS uptime FROM events""")
 def uptimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.uptime(F.col("user_id") * 997).alias("uptime"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS t, l_linenumber AS o, list({'cols': CAST(l_suppkey % 3 + 1 AS INT), 'span': CAST(l_partkey % 3 + 1 AS INT)} ORDER BY l_partkey, l_suppkey, l_quantity) AS cells FROM lineitem GROUP BY ALL),
+ x AS (SELECT t, o, list_sum(list_transform(cells, lambda z: z.cols)) AS own, cells, dense_rank() OVER (PARTITION BY t ORDER BY o) AS r FROM c),
+ s AS (SELECT t, r, unnest(cells) AS z FROM x),
+ e AS (SELECT x.t, x.r, x.own + coalesce(sum(s.z.cols) FILTER (s.r < x.r AND s.r + s.z.span > x.r), 0) AS n FROM x LEFT JOIN s ON s.t = x.t GROUP BY x.t, x.r, x.own)
+ SELECT t AS table_id, string_agg(n::INT::VARCHAR, ',' ORDER BY r) AS counts, min(n) = max(n) AS consistent FROM e GROUP BY t""")
+def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.struct("l_partkey", "l_suppkey", "l_quantity", (F.col("l_suppkey") % 3 + 1).cast("int").alias("cols"), (F.col("l_partkey") % 3 + 1).cast("int").alias("span"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    made = rows.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "cells"))).alias("rows"))
+    counts = extraction.column_counts(F.transform("rows", lambda r: r["cells"]))
+    return made.withColumn("c", counts).select("table_id", F.concat_ws(",", F.col("c").cast("array<string>")).alias("counts"), extraction.consistent(F.col("c")).alias("consistent"))
+
+
+@query("""WITH r AS (SELECT p_partkey, chr(CAST(65 + p_partkey % 26 AS INT)) AS a, chr(CAST(65 + p_partkey * 7 % 26 AS INT)) || chr(CAST(65 + p_size % 26 AS INT)) AS b, p_partkey % 50 + 1 AS y0, p_size AS y1 FROM part)
+ SELECT p_partkey, a || y0 || ':' || b || y1 AS ref, (abs((ascii(substr(b, 1, 1)) - 64) * 26 + ascii(substr(b, 2, 1)) - 64 - (ascii(a) - 64)) + 1)::INT AS span,
+ ((abs((ascii(substr(b, 1, 1)) - 64) * 26 + ascii(substr(b, 2, 1)) - 64 - (ascii(a) - 64)) + 1) * (abs(y1 - y0) + 1))::INT AS cells FROM r""")
+def cell_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = lambda x: F.char((65 + x % 26).cast("int"))
+    k = F.col("p_partkey")
+    ref = F.concat(letter(k), (k % 50 + 1).cast("string"), F.lit(":"), letter(k * 7), letter(F.col("p_size")), F.col("p_size").cast("string"))
+    t = table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"))
+    return t.select("p_partkey", "ref", extraction.column_span(F.col("ref")).alias("span"), extraction.cell_count(F.col("ref")).alias("cells"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1""")
+def dominant_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.dominant(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query(f"""WITH {A.categories_sql()} SELECT doc_id, id, CASE WHEN score = 100 THEN 'check' ELSE 'caution' END AS manual FROM cat WHERE score = 100 OR (score IS NULL AND not_assessed)""")
+def manual_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.manual_checks(A.category_results(spark, sf_dir)).select("doc_id", "id", "manual")
+
+
+@query(f"""{_REPORT}, n AS (SELECT doc_id, count(*) FILTER (severity = 'Critical') AS bad, count(*) FILTER (severity = 'Moderate') AS mid FROM cat GROUP BY doc_id)
+ SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'scanned' WHEN doc_id % 10 = 1 THEN 'confirmed_failures' WHEN doc_id % 10 = 2 THEN 'incomplete' WHEN grade = 'A' AND bad = 0 AND mid = 0 THEN 'clear' WHEN grade = 'B' AND bad = 0 THEN 'minor_issues'
+  WHEN bad > 0 AND mid > 0 THEN 'critical_and_moderate' WHEN bad > 0 THEN 'critical' WHEN mid > 0 THEN 'moderate' ELSE 'improvable' END AS situation FROM report JOIN n USING (doc_id)""")
+def report_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = scoring.report(scoring.nest(A.category_results(spark, sf_dir)))
+    k = F.col("doc_id") % 10
+    status = F.when(k == 1, "fail").when(k == 2, "incomplete").otherwise("no-automated-failures")
+    return r.select("doc_id", reports.situation(k == 0, status, F.col("grade"), F.col("categories")).alias("situation"))
+
+
+@query()
+def json_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.export_json(scoring.report(scoring.nest(A.category_results(spark, sf_dir))))
