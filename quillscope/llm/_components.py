@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stash
+from ._store import release, stash
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def connected(links: DataFrame) -> DataFrame:
         # small-star: u > v holds, so every neighbour here is the smaller one
         small = _least(large)
         down = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(down.unionAll(small.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, stash(down.unionAll(small.select("u", F.col("m").alias("v"))).distinct())
+        release(old)
         seen = edges.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("decimal(38,0)")).alias("h")).first()
         if seen == state or not seen["n"]:
             break

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -29,17 +30,37 @@ def stash(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillscope-{uuid.uuid4().hex}"
     out = df if partitions is None else df.coalesce(partitions)
-    out.write.option("compression", "zstd").parquet(path)
+    # what is written needs its shuffle files no longer; else they fill the
+    # executors' disks until the whole query ends
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        out.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stashed_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._stashed_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if (spark, path) in _WRITTEN:
+        _WRITTEN.remove((spark, path))
 
 
 @atexit.register
 def _remove() -> None:
-    for spark, path in _WRITTEN:
+    for spark, path in list(_WRITTEN):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before
             return

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._store import stash
+from ._store import release, stash
 from ._text import LOWER, batch, text_slices
 
 BUCKETS = 1 << 20
@@ -144,6 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, f
             yield batch(schema, b.column("doc_id").cast(pa.int64()), b.column("label").cast(pa.int32()), pa.array(found, schema.field(2).type))
 
     table = rows.mapInArrow(indices, "doc_id long, label int, found array<int>").toPandas().sort_values("doc_id", kind="stable")
+    release(rows)
     w, b = _fit_logistic(list(table["found"]), scale, table["label"].to_numpy().astype(float), l2)
     return ToxicityModel(kept, w * scale, b)
 
