@@ -6,7 +6,7 @@ most t edits keeps at least one of t + 1 segments unharmed, shifted by at most
 t; so every distinct line files its t + 1 segments under (length, segment
 number, content), and looks up, for its own length and up to t less, the
 substrings that can be such a segment (the length-aware windows of the
-published segment-join method). Lines that meet are compared by eight letter
+published segment-join method). Lines that meet are compared by sixteen letter
 counts, which t edits can change by no more than 2 t in all, then by banded
 edit distance; Spark's ``levenshtein`` with a threshold stops outside the band.
 
@@ -22,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stash
+from ._store import release, stash
 
 MAX_EDITS, MIN_CHARS = 2, 30
-_LETTERS = "eantirso"
+_LETTERS = "eantirsohdlucmpg"
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -48,56 +48,79 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + (F.lit(i) >= parts - rest).cast("int")).cast("int")
 
 
+def _part(start: Column, size: Column) -> Column:
+    """Characters of a line kept as four bytes each, so that a cut is an offset."""
+    return F.substr("wide", start * 4 - 3, size * 4)
+
+
 def _filed(t: int) -> Column:
-    n, keys = F.length("line"), []
+    n, keys = F.col("n"), []
     for i in range(t + 1):
-        start, size = _segment(n, i, t + 1)
-        keys.append(F.xxhash64(n, F.lit(i), F.substr("line", start, size)))
+        keys.append(F.xxhash64(n, F.lit(i), _part(*_segment(n, i, t + 1))))
     return F.array(*keys)
 
 
 def _sought(t: int) -> Column:
-    own, keys = F.length("line"), []
+    own, keys = F.col("n"), []
     for less in range(t + 1):
         n = own - less
         for i in range(t + 1):
             start, size = _segment(n, i, t + 1)
             for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
                 inside = (start + shift >= 1) & (start + shift + size <= own + 1)
-                keys.append(F.when(inside, F.xxhash64(n, F.lit(i), F.substr("line", start + shift, size))))
+                keys.append(F.when(inside, F.xxhash64(n, F.lit(i), _part(start + shift, size))))
     return F.array_compact(F.array(*keys))
 
 
 def _letters() -> Column:
-    """Counts of eight letters, a byte each, in one long."""
-    text, out = F.lower("line"), F.lit(0).cast("long")
+    """Counts of sixteen letters modulo 16, four bits each, in one number."""
+    text, out = F.col("line"), F.lit(0).cast("long")
     for k, c in enumerate(_LETTERS):
-        n = F.least(F.length("line") - F.length(F.translate(text, c, "")), F.lit(127)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n, 8 * k))
+        n = (F.octet_length("line") - F.octet_length(F.replace(text, F.lit(c), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(15), 4 * k))
     return out
 
 
 def _apart(a: Column, b: Column) -> Column:
-    byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(255)
-    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(1, len(_LETTERS))), F.abs(byte(a, 0) - byte(b, 0)))
+    """Sum over the letters of the distance of counts on the circle of 16:
+    no more than the counts really differ."""
+
+    def circle(k: int) -> Column:
+        d = (F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15)).bitwiseAND(15)
+        return F.least(d, 16 - d)
+
+    return sum((circle(k) for k in range(1, len(_LETTERS))), circle(0))
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` of which the id may be among ``ids``: a bitmap of 2**24 hashed
+    ids, two megabytes whatever their number, is broadcast, so that only texts
+    that are asked for are shuffled. What it lets through too much, joins drop."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) + 1
+    bits = ids.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substr("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "bucket")
+    return marked.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
 
 
 def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, pos) of each line that an earlier line makes redundant."""
     lines = _lines(docs, min_chars)
     folded = lines.groupBy("k1", "k2").agg(F.min(_rank()).alias("rank"), F.first("line").alias("line"))
-    distinct = stash(folded)
-    keyed = distinct.select("k1", "line", _letters().alias("letters"))
-    filed = keyed.select("k1", "letters", F.explode(_filed(max_edits)).alias("key"))
-    sought = keyed.select(F.col("k1").alias("other"), F.col("letters").alias("letters2"), F.explode(_sought(max_edits)).alias("key"))
-    near = (F.col("k1") != F.col("other")) & (_apart(F.col("letters"), F.col("letters2")) <= 2 * max_edits)
-    pairs = filed.join(sought.hint("merge"), "key").where(near).select(F.least("k1", "other").alias("a"), F.greatest("k1", "other").alias("b")).distinct()
-    left = distinct.select(F.col("k1").alias("a"), F.col("rank").alias("rank_a"), F.col("line").alias("line_a"))
-    right = distinct.select(F.col("k1").alias("b"), F.col("k2"), F.col("rank").alias("rank_b"), F.col("line").alias("line_b"))
+    distinct = stash(folded.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "rank", F.length("line").alias("n"), _letters().alias("letters"), "line"))
+    wide = distinct.select("id", "n", "letters", F.encode("line", "UTF-32").alias("wide"))
+    filed = wide.select("id", "letters", F.explode(_filed(max_edits)).alias("key"))
+    sought = wide.select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.explode(_sought(max_edits)).alias("key"))
+    near = (F.col("id") != F.col("id2")) & (_apart(F.col("letters"), F.col("letters2")) <= 2 * max_edits)
+    pairs = stash(filed.join(sought.hint("merge"), "key").where(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    asked = _among(distinct.select("id", "rank", "line"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = asked.select(F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("line").alias("line_a"))
+    right = asked.select(F.col("id").alias("b"), F.col("rank").alias("rank_b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", max_edits) >= 0)
-    later = stash(both.select(F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a")).alias("k1")).distinct())
-    # where k1 alone collides, equality of the rank tells the lines apart
-    fate = distinct.select("k1", "k2", "rank").join(later.withColumn("near", F.lit(True)), "k1", "left")
+    later = both.select(F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    fate = stash(distinct.select("id", "k1", "k2", "rank").join(later.withColumn("near", F.lit(True)), "id", "left").drop("id"))
+    release(distinct, pairs)
     found = lines.select("doc_id", "pos", "k1", "k2").join(fate, ["k1", "k2"])
     return found.where(F.col("near").isNotNull() | (_rank() > F.col("rank"))).select("doc_id", "pos")
 
