@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stash
+from ._store import release, stash
 from ._text import Words, batch, constants, mix, text_slices, words
 
-LENGTH, GRAM, GROUP_ROWS = 50, 8, 1000
+LENGTH, GRAM = 50, 8
+# a suffix takes some 400 bytes, and as much again for each of three sorted copies
+GROUP_ROWS = 20_000
 TREE_BYTES = 24 << 20
 
 
@@ -241,17 +243,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     folded = scan.where(F.col("n_words") >= length).groupBy("n_words", "d1", "d2").agg(F.min("doc_id").alias("original"))
     named = scan.join(folded, ["n_words", "d1", "d2"])
     copies = named.where("doc_id > original").select("doc_id", "d1", F.lit(0).alias("first"), (F.col("n_words") - length).cast("int").alias("last"))
+    copies = stash(copies)
     anchors = stash(named.where("doc_id = original").select("doc_id", "d1", F.explode("anchors").alias("x")).select("doc_id", "d1", "x.*"))
     grams = anchors.groupBy("gram").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram", (F.col("rows") > group_rows).alias("hot"))
     suspects = anchors.join(grams, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("d1", "gram", "at", "first", "last", "hot")).alias("suspects"))
     suffixes = stash(docs.join(suspects, "doc_id").mapInArrow(_suffixes(length), _SUFFIX_SQL))
+    release(scan, anchors)
     cut = suffixes.where("gram is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trees = cut.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_trees(length), _SPAN_SQL)
     windows = suffixes.where("gram is null").select("h1", "h2", "doc_id", "d1", "first")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     deep = windows.join(least, ["h1", "h2"]).where("doc_id > low").select("doc_id", "d1", "first", F.col("first").alias("last"))
-    return copies.unionAll(stash(trees)).unionAll(deep)
+    trees, deep = stash(trees), stash(deep)
+    release(suffixes)
+    return copies.unionAll(trees).unionAll(deep)
 
 
 def _apply(length: int, columns: list[str]):
