@@ -13,11 +13,17 @@ N then has six standard deviations to spare, a miss below one in 1e8 even for a
 pair exactly at the threshold.
 
 Equal sets are folded first. Sets that share a signature form runs. A run isn't
-expanded into pairs: each member is compared with one pivot, links give
-components, and only runs that still hold several components go on, first with
-the member of most links as pivot, then, of what remains, member by member
-across components. What is within one component needs no further link. Every
-link counts only after its exact intersection.
+expanded into pairs: pairs of a member and the run's pivot that occur several
+times are verified, links give components, and only runs that still hold
+several components go on, again with the member of most links as pivot. What
+remains is settled exactly. Members of different components meet in runs of at
+most ``SHORT`` sets. Longer runs come from passages that many documents share;
+there only those sets meet that could have all their common parts in such runs:
+a set that occupies p parts agrees with a similar one on p minus their greatest
+difference at least, so fewer parts than that in long runs rule a miss out. The
+same count drops pairs that agree on too few parts, and counts of members in
+256 hash ranges drop those that differ too much, before whole sets are moved.
+Every link counts only after its exact intersection.
 
 Defined results: a null or empty text has no shingles, size 0 and its own
 doc_id as component; fewer than five words are one shingle; a null doc_id gives
@@ -34,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected
-from ._store import stash
+from ._store import release, stash
 from ._text import batch, constants, distinct, mix, shingles, text_slices, words
 
-SHINGLE, THIN = 5, 512
+SHINGLE, THIN, SHORT, OFTEN, HOT = 5, 512, 64, 3, 256
 _EDGES = np.array([1.0])
 while _EDGES[-1] < 1e9:
     _EDGES = np.append(_EDGES, _EDGES[-1] * 4 / 3)
@@ -91,24 +97,61 @@ def _digest(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def _slots(size: np.ndarray, doc: np.ndarray, h: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(band of each set, thinning of each set, features in use, part of each)
+    for the instance of a set's own band (shift 0) or the next (1)."""
+    band = _band(np.maximum(size, 1)) + shift
+    one_in, parts = _PLANS[band, 0][doc], _PLANS[band, 1][doc]
+    spread = mix(h + np.uint64(0x51ED27))
+    use = np.flatnonzero((spread & (one_in - np.uint64(1))) == 0)
+    part = (((spread[use] >> np.uint64(32)) * parts[use]) >> np.uint64(32)).astype(np.int64)
+    return band, _PLANS[band, 0], use, part
+
+
+def _needs(first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """On how many parts, at least, a set agrees with any similar set, in the
+    instances of its own and the next band."""
+    size, out = np.diff(first), []
+    for shift in (0, 1):
+        band, one_in, use, part = _slots(size, doc, h, shift)
+        base = np.concatenate([np.zeros(1, np.int64), np.cumsum(_PLANS[band, 1].astype(np.int64))])
+        flag = np.zeros(base[-1] + 1, np.int32)
+        flag[base[doc[use]] + part] = 1
+        occupied = np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(flag)])[base])
+        other = np.minimum(size * 4 / 3, _EDGES[band + 1])
+        differ = (size + other) / 7 / one_in
+        spare = np.where(one_in > 1, 6 * np.sqrt(differ), 0)
+        out.append((occupied - np.floor(differ + spare + 1e-9)).astype(np.int32))
+    return out
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("odd", pa.int32()), ("need0", pa.int32()), ("need1", pa.int32())])
     for b in batches:
-        for base, rows, first, _, h in _sets(b.column("text")):
-            yield batch(schema, b.column("doc_id").slice(base, rows).cast(pa.int64()), np.diff(first).astype(np.int64), *_digest(first, h))
+        for base, rows, first, doc, h in _sets(b.column("text")):
+            size = np.diff(first).astype(np.int64)
+            odd = (_band(np.maximum(size, 1)) & 1).astype(np.int32)
+            yield batch(schema, b.column("doc_id").slice(base, rows).cast(pa.int64()), size, *_digest(first, h), odd, *_needs(first, doc, h))
+
+
+def _digest(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set."""
+    out = []
+    with np.errstate(over="ignore"):
+        for seed in (11, 13):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h * constants(1, seed)[0]), dtype=np.uint64)])
+            out.append(mix(sums[first[1:]] - sums[first[:-1]] + np.uint64(seed)))
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def _signatures(first: np.ndarray, doc: np.ndarray, h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, node) of every set in its own band and the next."""
+    """(signature, node) of every set in its own band and the next; bit 16 of a
+    signature tells whether the number of its band is odd."""
     size = np.diff(first)
     out_sig, out_node = [], []
     with np.errstate(over="ignore"):
         for shift in (0, 1):
-            band = _band(np.maximum(size, 1)) + shift
-            one_in, parts = _PLANS[band, 0][doc], _PLANS[band, 1][doc]
-            spread = mix(h + np.uint64(0x51ED27))
-            use = np.flatnonzero((spread & (one_in - np.uint64(1))) == 0)
-            part = (((spread[use] >> np.uint64(32)) * parts[use]) >> np.uint64(32)).astype(np.int64)
+            band, _, use, part = _slots(size, doc, h, shift)
             slot = doc[use] * (1 << 20) + part
             order = np.argsort(slot, kind="stable")
             slot = slot[order]
@@ -118,31 +161,47 @@ def _signatures(first: np.ndarray, doc: np.ndarray, h: np.ndarray, node: np.ndar
             total = np.add.reduceat(mix(h[use[order]] ^ np.uint64(0xA5A5)), at)
             who = slot[at] >> 20
             place = (slot[at] & ((1 << 20) - 1)).astype(np.uint64) + (band[who].astype(np.uint64) << np.uint64(32))
-            out_sig.append(mix(total + mix(place)))
+            bit = np.uint64(1 << 16)
+            out_sig.append((mix(total + mix(place)) & ~bit) | ((band[who].astype(np.uint64) & np.uint64(1)) * bit))
             out_node.append(node[who])
     return (np.concatenate(out_sig), np.concatenate(out_node)) if out_sig else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("sigs", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary())])
 
 
 def _pack(sigs: list[np.ndarray], nodes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Signatures of a stretch of input, one row per bucket: six bytes of the
-    signature and a reference into the row's list of nodes for each."""
+    """Signatures of a stretch of input, a row per bucket. A signature of more
+    than ``HOT`` sets here is spread over all buckets by set; one of its sets
+    stands for it in its own bucket, so that few sets elsewhere meet company."""
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
-    bucket = ((sig >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-    order = np.lexsort((node, sig, bucket))
-    sig, node, bucket = sig[order], node[order], bucket[order]
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
     keep = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-    sig, node, bucket = sig[keep], node[keep], bucket[keep]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-    rows = []
+    sig, node = sig[keep], node[keep]
+    head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    times = np.diff(np.r_[head, len(sig)])
+    hot = np.repeat(times > HOT, times)
+    own = ~hot
+    own[head] = True
+    with np.errstate(over="ignore"):
+        spread = mix(sig[hot] ^ mix(node[hot].view(np.uint64)))
+    rows = [*_rows(sig[own], node[own], sig[own], buckets, False), *_rows(sig[hot], node[hot], spread, buckets, True)]
+    return batch(_PACKED, *([r[i] for r in rows] for i in range(5)))
+
+
+def _rows(sig: np.ndarray, node: np.ndarray, by: np.ndarray, buckets: int, hot: bool) -> Iterator[tuple]:
+    """(bucket, hot, sigs, refs, nodes): six bytes of each signature and a
+    reference into the row's list of nodes."""
+    bucket = ((by >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
+    order = np.argsort(bucket, kind="stable")
+    sig, node, bucket = sig[order], node[order], bucket[order]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(sig) else np.zeros(0, np.int64)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         own, refs = np.unique(node[a:b], return_inverse=True)
         # bytes of equal rank together, so that sorted signatures compress
         six = sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 7:1:-1].T.tobytes()
-        rows.append((int(bucket[a]), six, refs.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), own.tobytes()))
-    return batch(_PACKED, *([r[i] for r in rows] for i in range(4)))
+        yield int(bucket[a]), hot, six, refs.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), own.tobytes()
 
 
 def _sign(buckets: int):
@@ -165,7 +224,8 @@ def _sign(buckets: int):
 
 
 def _meet(rows: list) -> pa.RecordBatch:
-    """(sig, node) of signatures that several nodes of a bucket have."""
+    """(sig, node) of signatures that several nodes of a bucket have, or of all
+    where the bucket holds parts of hot ones."""
     sigs, nodes = [], []
     for r in rows:
         six = np.frombuffer(r["sigs"], np.uint8).reshape(6, -1).T
@@ -181,6 +241,7 @@ def _meet(rows: list) -> pa.RecordBatch:
     sig, node = sig[keep], node[keep]
     more = np.r_[sig[1:] == sig[:-1], False]
     more[1:] |= more[:-1].copy()
+    more |= rows[0]["hot"]
     return batch(pa.schema([("sig", pa.int64()), ("node", pa.int64())]), sig[more].view(np.int64), node[more])
 
 
@@ -189,7 +250,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list = []
     for b in batches:
         for r in b.to_pylist():
-            if held and held[0]["bucket"] != r["bucket"]:
+            if held and (held[0]["bucket"], held[0]["hot"]) != (r["bucket"], r["hot"]):
                 yield _meet(held)
                 held = []
             held.append(r)
@@ -198,10 +259,30 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+    """The sets themselves, and counts of their members in 256 hash ranges."""
+    schema = pa.schema([("node", pa.int64()), ("members", pa.binary()), ("ranges", pa.binary())])
     for b in batches:
         for base, rows, first, _, h in _sets(b.column("text")):
-            yield batch(schema, b.column("node").slice(base, rows), pa.array([h[first[i] : first[i + 1]].tobytes() for i in range(rows)], pa.binary()))
+            own = [h[first[i] : first[i + 1]] for i in range(rows)]
+            ranges = [np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for x in own]
+            yield batch(schema, b.column("node").slice(base, rows), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(ranges, pa.binary()))
+
+
+def _plausible(share: tuple[int, int]):
+    """Pairs of which the counts by range don't differ by more than similar sets
+    can: what two sets don't share is no less than that difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("left", "right"))
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            keep = pa.array(np.abs(left - right).sum(1) * (share[0] + share[1]) <= total * (share[1] - share[0]))
+            yield batch(schema, b.column("a").filter(keep), b.column("b").filter(keep))
+
+    return run
 
 
 def _similar(share: tuple[int, int]):
@@ -228,50 +309,68 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
-    described = stash(docs.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long"))
-    classes = stash(described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    packed = docs.mapInArrow(_sign(buckets), "bucket int, sigs binary, refs binary, nodes binary")
-    runs = stash(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "sig long, node long"))
-    size = classes.select(F.col("s1").alias("node"), F.col("n_shingles").alias("size"), "rep")
+    described = stash(docs.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, odd int, need0 int, need1 int"))
+    classes = stash(described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("odd").alias("odd"), F.first("need0").alias("need0"), F.first("need1").alias("need1")))
+    packed = docs.mapInArrow(_sign(buckets), "bucket int, hot boolean, sigs binary, refs binary, nodes binary")
+    runs = stash(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "hot").mapInArrow(_gather, "sig long, node long"))
+    size = classes.select(F.col("s1").alias("node"), F.col("n_shingles").alias("size"), "rep", "odd", "need0", "need1")
 
     wanted = runs.select("node").distinct().join(size, "node").select("node", F.col("rep").alias("doc_id"))
     # rows that repeat a doc_id may hold other texts: the digest picks the right one
     texts = docs.where("doc_id is not null").join(wanted, "doc_id").select("node", "text")
-    sets = stash(texts.mapInArrow(_members, "node long, members binary").dropDuplicates(["node"]))
+    sets = stash(texts.mapInArrow(_members, "node long, members binary, ranges binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of which the exact similarity reaches the threshold."""
         sized = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b")
-        sized = sized.where((F.least("na", "nb") * share[1] >= F.greatest("na", "nb") * share[0])).select("a", "b")
-        rows = sized.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
-        return stash(rows.mapInArrow(_similar(share), "a long, b long"))
+        sized = sized.where(F.least("na", "nb") * share[1] >= F.greatest("na", "nb") * share[0])
+        side = lambda end, name, what: sets.select(F.col("node").alias(end), F.col(what).alias(name))
+        counted = sized.join(side("a", "left", "ranges"), "a").join(side("b", "right", "ranges"), "b")
+        close = stash(counted.select("a", "b", "na", "nb", "left", "right").mapInArrow(_plausible(share), "a long, b long"))
+        rows = close.join(side("a", "left", "members"), "a").join(side("b", "right", "members"), "b")
+        found = stash(rows.select("a", "b", "left", "right").mapInArrow(_similar(share), "a long, b long"))
+        release(close)
+        return found
 
     def by_pivot(runs: DataFrame, pivot: DataFrame) -> DataFrame:
         rows = runs.join(pivot, "sig").where("node <> pivot")
-        return rows.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = rows.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("times"))
+        return pairs.where(F.col("times") >= OFTEN).select("a", "b")
 
-    def unsettled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def unsettled(links: DataFrame) -> DataFrame:
         """Runs, with components, that still hold several components."""
-        found = stash(connected(links))
-        named = runs.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        named = runs.join(connected(links), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         open_ = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-        return stash(named.join(open_, "sig")), found
+        return stash(named.join(open_, "sig"))
 
-    tried = stash(by_pivot(runs, runs.groupBy("sig").agg(F.min("node").alias("pivot"))))
-    links = verified(tried)
-    rest, _ = unsettled(links)
+    first = stash(by_pivot(runs, runs.groupBy("sig").agg(F.min("node").alias("pivot"))))
+    links = verified(first)
+    rest = unsettled(links)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
     ranked = rest.join(degree, "node", "left").select("sig", "node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
     hub = ranked.groupBy("sig").agg(F.max("degree").alias("degree")).join(ranked, ["sig", "degree"]).groupBy("sig").agg(F.max("node").alias("pivot"))
-    second = stash(by_pivot(rest, hub).join(tried, ["a", "b"], "left_anti"))
-    tried, links = tried.unionAll(second), stash(links.unionAll(verified(second)))
-    rest, _ = unsettled(links)
-    # what is left: members of different components of a run, each pair once
-    sized = rest.join(size.select("node", "size"), "node")
-    other = sized.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"))
+    second = stash(by_pivot(rest, hub).join(first, ["a", "b"], "left_anti"))
+    tried, links = first.unionAll(second), stash(links.unionAll(verified(second)))
+    release(rest)
+    rest = unsettled(links)
+    release(runs)
+    # what is left, exactly: members of different components of a run
+    lengths = rest.groupBy("sig").agg(F.count("*").alias("length"))
+    own = F.shiftright("sig", 16).bitwiseAND(1) == F.col("odd")
+    held = rest.join(lengths, "sig").join(size, "node").select("sig", "node", "component", "size", own.alias("own"), F.when(own, F.col("need0")).otherwise(F.col("need1")).alias("need"), (F.col("length") > SHORT).alias("long"))
+    kept = held = stash(held)
+    crowded = held.groupBy("node", "own").agg(F.sum(F.col("long").cast("int")).alias("crowd"))
+    held = held.join(crowded, ["node", "own"]).where(~F.col("long") | (F.col("crowd") >= F.col("need")))
+    # parts on which it must agree, beyond those that long runs may hide
+    held = held.select("sig", "node", "component", "size", "need", "crowd", (F.col("crowd") >= F.col("need")).alias("risk"))
+    other = held.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("need").alias("need2"), F.col("crowd").alias("crowd2"), F.col("risk").alias("risk2"))
+    due = F.when(F.col("risk") & F.col("risk2"), F.greatest("need", "need2")).otherwise(F.greatest(F.col("need") - F.col("crowd"), F.col("need2") - F.col("crowd2")))
     fits = (F.col("component") < F.col("component2")) & (F.least("size", "size2") * share[1] >= F.greatest("size", "size2") * share[0])
-    third = sized.join(other, "sig").where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    met = held.join(other, "sig").where(fits)
+    met = met.groupBy("node", "node2", F.shiftright("sig", 16).bitwiseAND(1)).agg(F.count("*").alias("times"), F.max(due).alias("due")).where("times >= due")
+    third = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     links = links.unionAll(verified(third.join(tried, ["a", "b"], "left_anti")))
+    release(sets, rest, kept, first, second)
     names = size.select("node", "rep")
     by_rep = links.join(names.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
     found = connected(by_rep.select(F.col("ra").alias("a"), F.col("rb").alias("b")))

@@ -100,6 +100,18 @@ def test_ngram_join_settles_long_runs(spark, monkeypatch):
     from quillscope.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "SHORT", 2)
+    sign = ngram_join._sign
+
+    def signed(buckets):  # workers load the module anew, so the bound travels along
+        run = sign(buckets)
+
+        def with_bound(batches):
+            ngram_join.HOT = 2
+            return run(batches)
+
+        return with_bound
+
+    monkeypatch.setattr(ngram_join, "_sign", signed)
     draw = random.Random(4)
     passage = " ".join(f"p{draw.randrange(10**6)}" for _ in range(60))
     rows = []
