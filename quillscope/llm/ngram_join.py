@@ -21,8 +21,10 @@ most ``SHORT`` sets. Longer runs come from passages that many documents share;
 there only those sets meet that could have all their common parts in such runs:
 a set that occupies p parts agrees with a similar one on p minus their greatest
 difference at least, so fewer parts than that in long runs rule a miss out. The
-same count drops pairs that agree on too few parts, and counts of members in
-256 hash ranges drop those that differ too much, before whole sets are moved.
+same count drops pairs that agree on too few parts. Which of 512 hash ranges
+hold an odd number of members bounds the difference of two sets from below; the
+joins that make pairs have that bound in their condition. Counts of members in
+256 hash ranges drop more, before whole sets are moved.
 Every link counts only after its exact intersection.
 
 Defined results: a null or empty text has no shingles, size 0 and its own
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected
@@ -44,6 +46,8 @@ from ._store import release, stash
 from ._text import batch, constants, distinct, mix, shingles, text_slices, words
 
 SHINGLE, THIN, SHORT, OFTEN, HOT = 5, 512, 64, 3, 256
+WORDS = 8
+BITS = [f"bits{i}" for i in range(WORDS)]
 _EDGES = np.array([1.0])
 while _EDGES[-1] < 1e9:
     _EDGES = np.append(_EDGES, _EDGES[-1] * 4 / 3)
@@ -97,6 +101,18 @@ def _digest(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def _odd_counts(rows: int, doc: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """64 x ``WORDS`` bits for each set: is the number of its members in a hash
+    range odd? Two sets differ in at least as many members as in bits."""
+    word = doc * WORDS + (h >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64)  # ascending, as members are
+    at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    out = np.zeros(rows * WORDS, np.uint64)
+    if len(at):
+        bit = np.uint64(1) << ((h >> np.uint64(64 - WORDS.bit_length() + 1 - 6)) & np.uint64(63))
+        out[word[at]] = np.bitwise_xor.reduceat(bit, at)
+    return list(out.view(np.int64).reshape(rows, WORDS).T)
+
+
 def _slots(size: np.ndarray, doc: np.ndarray, h: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(band of each set, thinning of each set, features in use, part of each)
     for the instance of a set's own band (shift 0) or the next (1)."""
@@ -126,22 +142,13 @@ def _needs(first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> list[np.ndarray
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("odd", pa.int32()), ("need0", pa.int32()), ("need1", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("odd", pa.int32()), ("need0", pa.int32()), ("need1", pa.int32()), *((c, pa.int64()) for c in BITS)])
     for b in batches:
         for base, rows, first, doc, h in _sets(b.column("text")):
             size = np.diff(first).astype(np.int64)
             odd = (_band(np.maximum(size, 1)) & 1).astype(np.int32)
-            yield batch(schema, b.column("doc_id").slice(base, rows).cast(pa.int64()), size, *_digest(first, h), odd, *_needs(first, doc, h))
-
-
-def _digest(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set."""
-    out = []
-    with np.errstate(over="ignore"):
-        for seed in (11, 13):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h * constants(1, seed)[0]), dtype=np.uint64)])
-            out.append(mix(sums[first[1:]] - sums[first[:-1]] + np.uint64(seed)))
-    return out[0].view(np.int64), out[1].view(np.int64)
+            doc_id, mark = (b.column(c).slice(base, rows).cast(pa.int64()) for c in ("doc_id", "mark"))
+            yield batch(schema, doc_id, mark, size, *_digest(first, h), odd, *_needs(first, doc, h), *_odd_counts(rows, doc, h))
 
 
 def _signatures(first: np.ndarray, doc: np.ndarray, h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,22 +315,33 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
         raise ValueError("signatures are laid out for similarities of 3/4 or more")
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
-    described = stash(docs.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, odd int, need0 int, need1 int"))
-    classes = stash(described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("odd").alias("odd"), F.first("need0").alias("need0"), F.first("need1").alias("need1")))
+    # rows that repeat a doc_id may hold other texts: the mark tells which one
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    traits = {"odd": "int", "need0": "int", "need1": "int"} | dict.fromkeys(BITS, "long")
+    described = stash(docs.mapInArrow(_describe, "doc_id long, mark long, n_shingles long, s1 long, s2 long, " + ", ".join(f"{c} {t}" for c, t in traits.items())))
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    folded = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(least.alias("least"), *(F.first(c).alias(c) for c in traits))
+    classes = stash(folded.select("n_shingles", "s1", "s2", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("mark"), *traits))
     packed = docs.mapInArrow(_sign(buckets), "bucket int, hot boolean, sigs binary, refs binary, nodes binary")
     runs = stash(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "hot").mapInArrow(_gather, "sig long, node long"))
-    size = classes.select(F.col("s1").alias("node"), F.col("n_shingles").alias("size"), "rep", "odd", "need0", "need1")
+    size = classes.select(F.col("s1").alias("node"), F.col("n_shingles").alias("size"), "rep", "mark", *traits)
+
+    def may_link(left: str, right: str, suffix: str) -> Column:
+        """Sizes, and bits of odd counts, that similar sets can have; as part of
+        a join's condition it drops pairs before they are made."""
+        near = F.least(left, right) * share[1] >= F.greatest(left, right) * share[0]
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + suffix))) for c in BITS), F.lit(0))
+        return near & (bits * (share[0] + share[1]) <= (F.col(left) + F.col(right)) * (share[1] - share[0]))
 
-    wanted = runs.select("node").distinct().join(size, "node").select("node", F.col("rep").alias("doc_id"))
-    # rows that repeat a doc_id may hold other texts: the digest picks the right one
-    texts = docs.where("doc_id is not null").join(wanted, "doc_id").select("node", "text")
-    sets = stash(texts.mapInArrow(_members, "node long, members binary, ranges binary").dropDuplicates(["node"]))
+    wanted = runs.select("node").distinct().join(size, "node").select("node", F.col("rep").alias("doc_id"), "mark")
+    # texts are made unique where the join has them, and only then become sets
+    texts = docs.where("doc_id is not null").join(wanted, ["doc_id", "mark"]).groupBy("doc_id", "mark", "node").agg(F.first("text").alias("text"))
+    sets = stash(texts.select("node", "text").mapInArrow(_members, "node long, members binary, ranges binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of which the exact similarity reaches the threshold."""
-        sized = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b")
-        sized = sized.where(F.least("na", "nb") * share[1] >= F.greatest("na", "nb") * share[0])
+        end = lambda name, n, suffix: size.select(F.col("node").alias(name), F.col("size").alias(n), *(F.col(c).alias(c + suffix) for c in BITS))
+        sized = pairs.join(end("a", "na", ""), "a").join(end("b", "nb", "2"), "b").where(may_link("na", "nb", "2")).select("a", "b", "na", "nb")
         side = lambda end, name, what: sets.select(F.col("node").alias(end), F.col(what).alias(name))
         counted = sized.join(side("a", "left", "ranges"), "a").join(side("b", "right", "ranges"), "b")
         close = stash(counted.select("a", "b", "na", "nb", "left", "right").mapInArrow(_plausible(share), "a long, b long"))
@@ -357,16 +375,15 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     # what is left, exactly: members of different components of a run
     lengths = rest.groupBy("sig").agg(F.count("*").alias("length"))
     own = F.shiftright("sig", 16).bitwiseAND(1) == F.col("odd")
-    held = rest.join(lengths, "sig").join(size, "node").select("sig", "node", "component", "size", own.alias("own"), F.when(own, F.col("need0")).otherwise(F.col("need1")).alias("need"), (F.col("length") > SHORT).alias("long"))
+    held = rest.join(lengths, "sig").join(size, "node").select("sig", "node", "component", "size", own.alias("own"), F.when(own, F.col("need0")).otherwise(F.col("need1")).alias("need"), (F.col("length") > SHORT).alias("long"), *BITS)
     kept = held = stash(held)
     crowded = held.groupBy("node", "own").agg(F.sum(F.col("long").cast("int")).alias("crowd"))
     held = held.join(crowded, ["node", "own"]).where(~F.col("long") | (F.col("crowd") >= F.col("need")))
     # parts on which it must agree, beyond those that long runs may hide
-    held = held.select("sig", "node", "component", "size", "need", "crowd", (F.col("crowd") >= F.col("need")).alias("risk"))
-    other = held.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("need").alias("need2"), F.col("crowd").alias("crowd2"), F.col("risk").alias("risk2"))
+    held = held.select("sig", "node", "component", "size", "need", "crowd", (F.col("crowd") >= F.col("need")).alias("risk"), *BITS)
+    other = held.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("need").alias("need2"), F.col("crowd").alias("crowd2"), F.col("risk").alias("risk2"), *(F.col(c).alias(c + "2") for c in BITS))
     due = F.when(F.col("risk") & F.col("risk2"), F.greatest("need", "need2")).otherwise(F.greatest(F.col("need") - F.col("crowd"), F.col("need2") - F.col("crowd2")))
-    fits = (F.col("component") < F.col("component2")) & (F.least("size", "size2") * share[1] >= F.greatest("size", "size2") * share[0])
-    met = held.join(other, "sig").where(fits)
+    met = held.join(other, "sig").where((F.col("component") < F.col("component2")) & may_link("size", "size2", "2"))
     met = met.groupBy("node", "node2", F.shiftright("sig", 16).bitwiseAND(1)).agg(F.count("*").alias("times"), F.max(due).alias("due")).where("times >= due")
     third = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     links = links.unionAll(verified(third.join(tried, ["a", "b"], "left_anti")))
