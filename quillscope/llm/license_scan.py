@@ -1,27 +1,32 @@
 """Operator 7, license scans: conditional compression.
 
-A block of text that quotes a license shrinks when it is compressed with that
-license's wording as dictionary. Blocks that name a license or its usual words
-are cut from the lines of a text; each is compressed with zstandard once plain
-and once with every template as raw dictionary, templates are ranked by bytes
-saved, and the best are confirmed by their exact differences in wording: words
-of the template that the block lacks. A confirmed notice tells whether its
-wording is exact and how many words it lacks.
-
-Defined results: a null or empty text has no block; lines of a block stay in
-order; repeated blocks each count; a tie of templates goes to the one of fewer
-missing words, then to the first name.
+A passage that quotes a license shrinks when it is compressed with that
+license's wording as dictionary. Every text is read whole, as a row of words,
+so neither line ends, blank lines nor comment marks matter. A template that has
+too many words which a text lacks can't be quoted there; each other template is
+sought at every word: standing in one piece, or with words changed, left out or
+put in. Passages of several templates that share their words compete: the one
+that explains most words wins, then the one in one piece, then the one that
+saves most bytes when zstandard compresses the passage once plain and once with
+the template as raw dictionary. All winners are returned.
+
+A template of up to 20 words must be there whole, with at most ``SLACK`` words
+put in; a longer one may lack a tenth of its words, in their order.
+
+Defined results: a null or empty text has no notice; ``line`` is the line on
+which a notice starts and ``block`` the lines it stands on; repeated notices
+each count; a tie goes to the first name.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._text import batch
 
@@ -41,7 +46,7 @@ TEMPLATES = {
     "mit-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUES = r"(?i)\blicen[sc]e|copyright|permission is hereby|redistribution and use|free software|public domain|all rights reserved"
+SHORT, SLACK, LACKING = 20, 20, 0.1
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _RESULT = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("license", pa.string()), ("exact", pa.bool_()), ("missing", pa.int32()), ("saved", pa.int32()), ("block", pa.string())])
 _RESULT_SQL = "doc_id long, line int, license string, exact boolean, missing int, saved int, block string"
@@ -51,17 +56,122 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def candidate_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, block): each line with a cue, with the lines behind it
-    that belong to it: up to the next line with a cue, a blank line or twelve lines in all."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("block")))
-    # only a document with a cue is split at all
-    found = docs.where(F.col("text").rlike(CUES)).select("doc_id", lines.alias("lines"))
-    start = F.explode(F.filter("lines", lambda x: x["block"].rlike(CUES)))
-    found = found.select("doc_id", "lines", start.alias("x"))
-    behind = F.slice("lines", F.col("x.line") + 1, F.lit(12))
-    joined = F.aggregate(behind, F.struct(F.lit("").alias("text"), F.lit(False).alias("over")), lambda acc, x: F.struct(F.when(acc["over"] | (F.trim(x["block"]) == "") | ((acc["text"] != "") & x["block"].rlike(CUES)), acc["text"]).otherwise(F.concat_ws("\n", F.nullif(acc["text"], F.lit("")), x["block"])).alias("text"), (acc["over"] | (F.trim(x["block"]) == "") | ((acc["text"] != "") & x["block"].rlike(CUES))).alias("over")))
-    return found.select("doc_id", F.col("x.line").alias("line"), F.col("x.block").alias("first"), joined["text"].alias("block"))
+def _common(masks: dict[str, int], n: int, words: list[str]) -> list[int]:
+    """Length of the longest common subsequence of a template of ``n`` words
+    with each prefix of ``words``, bit-parallel."""
+    all_ones = (1 << n) - 1
+    v, out = all_ones, [0]
+    for w in words:
+        u = v & masks.get(w, 0)
+        if u:
+            v = ((v + u) | (v - u)) & all_ones
+            out.append(n - v.bit_count())
+        else:
+            out.append(out[-1])
+    return out
+
+
+class Template:
+    """One wording, and where it stands in a row of words."""
+
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, _words(text)
+        self.n = len(self.words)
+        self.needs = Counter(self.words)
+        self.allowed = 0 if self.n <= SHORT else int(LACKING * self.n)
+        self.length = self.n + max(SLACK, self.n // 5)
+        self.masks, self.back = {}, {}
+        for i, w in enumerate(self.words):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+            self.back[w] = self.back.get(w, 0) | 1 << (self.n - 1 - i)
+
+    def possible(self, has: set[str]) -> bool:
+        lacks, allowed = 0, self.allowed
+        for w, n in self.needs.items():
+            if w not in has:
+                lacks += n
+                if lacks > allowed:
+                    return False
+        return True
+
+    def passages(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(start, end, missing words) of each quotation."""
+        out, free, at = [], 0, 0
+        while self.n and at + self.n <= len(words):
+            try:
+                at = words.index(self.words[0], at)
+            except ValueError:
+                break
+            if words[at : at + self.n] == self.words:
+                out.append((at, at + self.n, 0))
+                at += self.n
+            else:
+                at += 1
+        rest = []
+        for start, end, _ in [*out, (len(words), len(words), 0)]:
+            rest.append((free, start))
+            free = end
+        while rest:
+            a, b = rest.pop()
+            for s, e in self._runs(words, a, b):
+                hit = self._whole(words, s, e) if self.n <= SHORT else self._aligned(words, s, e)
+                if hit:
+                    out.append(hit)
+                    rest += [(s, hit[0]), (hit[1], b)]
+                    break
+        return sorted(out)
+
+    def _runs(self, words: list[str], a: int, b: int) -> Iterator[tuple[int, int]]:
+        """Spans of overlapping windows that have enough words of the template."""
+        here, lacks, first, last = Counter(), self.n, None, None
+        if b - a < self.n - self.allowed:
+            return
+        for i in range(a, b):
+            w = words[i]
+            if w in self.needs:
+                here[w] += 1
+                lacks -= here[w] <= self.needs[w]
+            if i - a >= self.length and (old := words[i - self.length]) in self.needs:
+                lacks += here[old] <= self.needs[old]
+                here[old] -= 1
+            if lacks <= self.allowed:
+                first, last = (i if first is None else first), i
+                if i - first >= self.length:
+                    yield max(a, first + 1 - self.length), last + 1
+                    first = None
+            elif first is not None:
+                yield max(a, first + 1 - self.length), last + 1
+                first = None
+        if first is not None:
+            yield max(a, first + 1 - self.length), last + 1
+
+    def _whole(self, words: list[str], a: int, b: int) -> tuple[int, int, int]:
+        """The first stretch with all words, as short as it can be."""
+        need, lacks, e = Counter(self.needs), self.n, a
+        while lacks and e < b:
+            lacks -= need[words[e]] > 0
+            need[words[e]] -= 1
+            e += 1
+        s = a
+        while need[words[s]] < 0:
+            need[words[s]] += 1
+            s += 1
+        return s, e, 0
+
+    def _aligned(self, words: list[str], a: int, b: int) -> tuple[int, int, int] | None:
+        """The stretch with the template's words in order; a word at its edge
+        counts if it lies within five words of others."""
+        least = self.n - self.allowed
+
+        def edge(found: list[int]) -> int:
+            return max((i for i in range(len(found)) if found[i] >= least), key=lambda i: (found[i] - 0.2 * i, -i), default=0)
+
+        e = edge(_common(self.masks, self.n, words[a:b]))
+        if not e:
+            return None
+        found = _common(self.back, self.n, words[a : a + e][::-1])
+        k = edge(found)
+        return a + e - k, a + e, self.n - found[k]
 
 
 class Templates:
@@ -71,56 +181,61 @@ class Templates:
         import zstandard
 
         self.plain = zstandard.ZstdCompressor(level=level)
-        self.wording = {name: _words(text) for name, text in texts.items()}
+        self.all = [Template(name, text) for name, text in sorted(texts.items())]
         self.own = {name: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in texts.items()}
 
-    def best(self, block: str, keep: int = 4, lacking: float = 0.1) -> tuple[str, int, int] | None:
-        """(template, missing words, bytes saved) of the best confirmed template."""
-        raw = block.lower().encode()
-        plain = len(self.plain.compress(raw))
-        ranked = sorted(((plain - len(c.compress(raw)), name) for name, c in self.own.items()), key=lambda x: (-x[0], x[1]))[:keep]
-        has = Counter(_words(block))
-        confirmed = []
-        for saved, name in ranked:
-            needs = Counter(self.wording[name])
-            missing = sum((needs - has).values())
-            # a version or variant is told by one word, so short notices must be whole
-            if saved > 0 and missing <= lacking * len(self.wording[name]) and (missing == 0 or len(self.wording[name]) > 20):
-                confirmed.append((missing, -len(self.wording[name]), -saved, name))
-        if not confirmed:
-            return None
-        missing, _, saved, name = min(confirmed)
-        return name, missing, -saved
-
-
-def _in_order(needle: list[str], words: list[str]) -> bool:
-    n = len(needle)
-    return any(words[i : i + n] == needle for i in range(len(words) - n + 1))
+    def notices(self, text: str) -> list[tuple[int, str, bool, int, int, str]]:
+        """(line, template, exact, missing words, bytes saved, block) of each notice of a text."""
+        low = text.lower()
+        words = _WORD.findall(low)
+        has = set(words)
+        likely = [t for t in self.all if t.possible(has)]
+        if not likely:
+            return []
+        found = [(t, *p) for t in likely for p in t.passages(words)]
+        if not found:
+            return []
+        spans = [m.span() for m in _WORD.finditer(low)]
+        rivals = []
+        for t, s, e, missing in found:
+            raw = low[spans[s][0] : spans[e - 1][1]].encode("utf-8", "replace")
+            saved = len(self.plain.compress(raw)) - len(self.own[t.name].compress(raw))
+            exact = missing == 0 and words[s:e] == t.words
+            rivals.append((-(t.n - 3 * missing), not exact, -saved, t.name, s, e, missing, t))
+        rivals.sort(key=lambda r: r[:6])
+        claimed, out = bytearray(len(words)), []
+        for _, inexact, saved, name, s, e, missing, t in rivals:
+            # words that no better notice has taken must make up more than half of this one
+            free = Counter(words[i] for i in range(s, e) if not claimed[i])
+            if 2 * (free & t.needs).total() <= t.n:
+                continue
+            need = Counter(t.needs)
+            for i in sorted(range(s, e), key=lambda i: (claimed[i], i)):
+                if need[words[i]] > 0:
+                    need[words[i]] -= 1
+                    claimed[i] = 1
+            out.append((s, e, name, not inexact, missing, -saved))
+        lines, rows = text.split("\n"), []
+        ends = [i for i, c in enumerate(low) if c == "\n"]
+        for s, e, name, exact, missing, saved in sorted(out):
+            first, last = bisect_left(ends, spans[s][0]), bisect_left(ends, spans[e - 1][0])
+            rows.append((first, name, exact, missing, saved, "\n".join(lines[first : last + 1])))
+        return rows
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, line, license, exact, missing, saved, block) of each confirmed
-    notice; ``exact`` when the template's words stand there in one piece. A
-    line alone is judged before the line with those behind it."""
+    notice; ``exact`` when the template's words stand there in one piece."""
     if len(templates) > 10_000:
         raise ValueError("every task holds all templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = None, {}
+        own = None
         for b in batches:
             own = own or Templates(templates)
             rows = []
-            for doc_id, line, first, block in zip(*(b.column(c).to_pylist() for c in ("doc_id", "line", "first", "block")), strict=True):
-                for text in dict.fromkeys((first, block)):
-                    if text not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        hit = own.best(text)
-                        known[text] = hit and (*hit, _in_order(own.wording[hit[0]], _words(text)))
-                    hit = known[text]
-                    if hit:
-                        rows.append((doc_id, line, hit[0], hit[3], hit[1], hit[2], text))
-                        break
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                rows += [(doc_id, *hit) for hit in own.notices(text.as_py() or "")]
             yield batch(_RESULT, *([r[i] for r in rows] for i in range(7)))
 
-    return candidate_blocks(docs.select("doc_id", "text")).mapInArrow(run, _RESULT_SQL)
+    return docs.select("doc_id", "text").mapInArrow(run, _RESULT_SQL)
