@@ -205,15 +205,21 @@ class Templates:
         rivals.sort(key=lambda r: r[:6])
         claimed, out = bytearray(len(words)), []
         for _, inexact, saved, name, s, e, missing, t in rivals:
-            # words that no better notice has taken must make up more than half of this one
+            # words that no better notice has taken must make up more than half
+            # of this one; "CC BY 4.0 and CC BY-SA 4.0" shares its first words
+            if any(claimed[s:e]) and t.n <= SHORT:
+                e = min(s + t.length, len(words))
+                if _common(t.masks, t.n, words[s:e])[-1] < t.n:
+                    continue
             free = Counter(words[i] for i in range(s, e) if not claimed[i])
             if 2 * (free & t.needs).total() <= t.n:
                 continue
-            need = Counter(t.needs)
+            need, last = Counter(t.needs), s
             for i in sorted(range(s, e), key=lambda i: (claimed[i], i)):
                 if need[words[i]] > 0:
                     need[words[i]] -= 1
-                    claimed[i] = 1
+                    claimed[i], last = 1, max(last, i)
+            e = last + 1
             out.append((s, e, name, not inexact, missing, -saved))
         lines, rows = text.split("\n"), []
         ends = [i for i, c in enumerate(low) if c == "\n"]

@@ -18,3 +18,15 @@ def test_wrapped_notices(spark, mark):
         rows.append([k, "\n".join(["plain words", "", *lines, "", "under more plain words"]), "s"])
         due.append((k, 2, name, True, 0, "\n".join(lines)))
     assert sorted((r.doc_id, r.line, r.license, r.exact, r.missing, r.block) for r in scan_licenses(make(spark, rows)).collect()) == due
+
+
+def test_every_notice_of_a_line(spark):
+    legal = "The parties agree that the software and the documentation are provided to the licensee under the terms of this license, without warranties of any kind, and that copies of the work may be made in compliance with the conditions stated above, unless otherwise agreed in writing by the author. "
+    rows, due = [], []
+    for k, (name, wording) in enumerate(sorted(TEMPLATES.items())):
+        rows.append([k, legal * 2 + wording + " " + legal * 2, "s"])
+        due.append((k, 0, name))
+    mit, apache, sa = TEMPLATES["mit"], TEMPLATES["apache-2.0"], "Licensed under CC BY 4.0 and CC BY-SA 4.0."
+    rows += [[100, f"{apache} {legal}{mit} {mit}", "s"], [101, sa, "s"]]
+    due += [(100, 0, "apache-2.0"), (100, 0, "mit"), (100, 0, "mit"), (101, 0, "cc-by-4.0"), (101, 0, "cc-by-sa-4.0")]
+    assert sorted((r.doc_id, r.line, r.license) for r in scan_licenses(make(spark, rows)).collect()) == due
