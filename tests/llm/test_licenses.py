@@ -30,3 +30,20 @@ def test_every_notice_of_a_line(spark):
     rows += [[100, f"{apache} {legal}{mit} {mit}", "s"], [101, sa, "s"]]
     due += [(100, 0, "apache-2.0"), (100, 0, "mit"), (100, 0, "mit"), (101, 0, "cc-by-4.0"), (101, 0, "cc-by-sa-4.0")]
     assert sorted((r.doc_id, r.line, r.license) for r in scan_licenses(make(spark, rows)).collect()) == due
+
+
+GROUPS = [("bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "bsd-opening"), ("mit-full", "mit-text", "mit-0", "x11"), ("isc", "0bsd"), ("gpl-2.0-header", "gpl-3.0-header", "lgpl-2.1-header", "lgpl-3.0-header", "agpl-3.0-header"), ("cc-by-4.0", "cc-by-nd-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc-by-nc-sa-4.0", "cc-by-nc-nd-4.0")]
+
+
+def test_neighbours_are_told_apart(spark):
+    rows, due = [], []
+    for name in (name for group in GROUPS for name in group):
+        wording = TEMPLATES[name].split()
+        lacking = wording[:9] + wording[10:]  # a changed wording is still nearest to its own
+        rows += [[2 * len(due), " ".join(wording), "s"], [2 * len(due) + 1, " ".join(lacking) if len(wording) > 60 else "", "s"]]
+        due.append((name, True, 0))
+    got = {}
+    for r in scan_licenses(make(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.exact, r.missing))
+    assert [got[2 * k] for k in range(len(due))] == [[x] for x in due]
+    assert all(x[0][:2] == (due[k // 2][0], False) and len(x) == 1 for k, x in got.items() if k % 2)
