@@ -11,8 +11,10 @@ counts, which t edits can change by no more than 2 t in all, then by banded
 edit distance; Spark's ``levenshtein`` with a threshold stops outside the band.
 
 A line is removed if an equal line, or one within ``max_edits`` edits, stands
-earlier, by (doc_id, line number). Lines shorter than ``min_chars`` characters
-without outer blanks are never removed nor compared. Defined results: a null or
+earlier, by (doc_id, line number). Lengths are counted without outer blanks:
+equal lines are folded from ``exact_chars`` characters, lines that differ are
+compared from ``min_chars``, since two edits make other words of a short line.
+Lines under both, and blank lines, are never removed. Defined results: a null or
 empty text has no such line; documents with a null doc_id are left alone; rows
 of one doc_id count as one document, so equal rows of it lose the same lines.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._store import release, stash
 
-MAX_EDITS, MIN_CHARS = 2, 30
+MAX_EDITS, MIN_CHARS, EXACT_CHARS = 2, 30, 1
 _LETTERS = "eantirsohdlucmpg"
 
 
@@ -104,12 +106,12 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """(doc_id, pos) of each line that an earlier line makes redundant."""
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, max(1, min(min_chars, exact_chars)))
     folded = lines.groupBy("k1", "k2").agg(F.min(_rank()).alias("rank"), F.first("line").alias("line"))
     distinct = stash(folded.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "rank", F.length("line").alias("n"), _letters().alias("letters"), "line"))
-    wide = distinct.select("id", "n", "letters", F.encode("line", "UTF-32").alias("wide"))
+    wide = distinct.where(F.col("n") >= min_chars).select("id", "n", "letters", F.encode("line", "UTF-32").alias("wide"))
     filed = wide.select("id", "letters", F.explode(_filed(max_edits)).alias("key"))
     sought = wide.select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.explode(_sought(max_edits)).alias("key"))
     near = (F.col("id") != F.col("id2")) & (_apart(F.col("letters"), F.col("letters2")) <= 2 * max_edits)
@@ -125,16 +127,16 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
     return found.where(F.col("near").isNotNull() | (_rank() > F.col("rank"))).select("doc_id", "pos")
 
 
-def removed_by_document(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_by_document(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """(doc_id, removed): the sorted line numbers that each document loses."""
-    found = duplicate_lines(docs, max_edits, min_chars)
+    found = duplicate_lines(docs, max_edits, min_chars, exact_chars)
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``docs`` with redundant lines gone from the text. A document that had
     text and loses all but blanks is dropped; all others stay."""
-    removed = removed_by_document(docs, max_edits, min_chars).withColumnRenamed("removed", "_removed_lines")
+    removed = removed_by_document(docs, max_edits, min_chars, exact_chars).withColumnRenamed("removed", "_removed_lines")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_removed_lines", i)), "\n")
     out = docs.join(removed, "doc_id", "left")
     text = F.when(F.col("_removed_lines").isNull(), F.col("text")).otherwise(kept)

@@ -13,7 +13,7 @@ from ._store import shared_dir, stash
 from .decontaminate import find_contained
 from .embedding_dedup import near_duplicate_vectors
 from .license_scan import scan_licenses
-from .line_dedup import removed_by_document
+from .line_dedup import EXACT_CHARS, MIN_CHARS, removed_by_document
 from .ngram_join import ngram_components
 from .quality_rules import fit_quality, score_quality
 from .source_mix import mix_sources
@@ -73,14 +73,23 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def _lines_removed(docs: DataFrame, exact_chars: int) -> DataFrame:
     lines = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    out = lines.join(removed_by_document(docs), "doc_id", "left")
+    out = lines.join(removed_by_document(docs, exact_chars=exact_chars), "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 30 characters or more, as its SQL has it."""
+    return _lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS)
+
+
+def op9_line_dedup_every_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal lines of every length besides."""
+    return _lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), EXACT_CHARS)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_every_length": op9_line_dedup_every_length,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -145,5 +155,18 @@ r AS (SELECT e.doc_id, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.l
 SELECT c.doc_id, coalesce(len(string_split(c.text, chr(10))), 0)::BIGINT AS n_lines, count(r.pos)::BIGINT AS n_removed,
        coalesce(string_agg(r.pos::VARCHAR, ',' ORDER BY r.pos), '') AS removed_lines
 FROM documents c LEFT JOIN r ON c.doc_id = r.doc_id GROUP BY c.doc_id, c.text
+""",
+    "op9_line_dedup_every_length": r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT * FROM l WHERE length(line) >= 1),
+u AS (SELECT line, min(doc_id * 2147483648::HUGEINT + pos) AS rank, length(line) AS n FROM e GROUP BY line),
+d AS (SELECT DISTINCT b.line FROM u a JOIN u b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.rank < b.rank WHERE a.n >= 30 AND b.n >= 30 AND levenshtein(a.line, b.line) <= 2),
+r AS (SELECT e.doc_id, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.line = e.line
+      WHERE d.line IS NOT NULL OR e.doc_id * 2147483648::HUGEINT + e.pos > u.rank)
+SELECT c.doc_id, coalesce(len(string_split(c.text, chr(10))), 0)::BIGINT AS n_lines, count(r.pos)::BIGINT AS n_removed,
+       coalesce(string_agg(r.pos::VARCHAR, ',' ORDER BY r.pos), '') AS removed_lines
+FROM documents c LEFT JOIN r ON c.doc_id = r.doc_id GROUP BY c.doc_id, c.text
 """,
 }
