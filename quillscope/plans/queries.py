@@ -169,6 +169,11 @@ def newest_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.posexplode("x").alias("p", "r")).select("r.doc_id", "r.publication_date", (F.col("p") + 1).cast("long").alias("place"))
 
 
+@query(f"""WITH {A.PUBLICATIONS} SELECT doc_id, publication_date, title FROM pub ORDER BY publication_date DESC NULLS LAST, title ASC NULLS FIRST, doc_id""")
+def all_publications_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.newest_first(A.publications(spark, sf_dir)).select("doc_id", "publication_date", "title")
+
+
 _STRIP = "regexp_replace({0}, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')"
 _VAGUE = ", ".join(f"'{v}'" for v in text.VAGUE_LINKS)
 _LINKS = f"""link AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a[\\s>][^>]*>?(.*?)</a>', 1)) AS raw FROM pages),
