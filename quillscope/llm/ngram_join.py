@@ -1,16 +1,24 @@
 """Operator 2, n-gram Jaccard join: PartEnum signatures.
 
 A document's set holds its distinct 5-word shingles. Two sets of Jaccard
-similarity >= 3/4 differ in at most a seventh of the sum of their sizes, and
-their sizes are in the same or in adjacent bands that grow by 4/3. For each
-band the feature domain is dealt into N parts, N so chosen that a set occupies
-more parts than two similar sets of that band can differ in; the two then agree
-on all of at least one occupied part. The part's content is the signature (the
-subsets enumerated are the single parts, the smallest choice that keeps the
-guarantee). A set signs in its own band and the next, so neighbours meet. Bands
-of more than ``THIN`` shingles use a fixed share of the domain, thinned by hash;
-N then has six standard deviations to spare, a miss below one in 1e8 even for a
-pair exactly at the threshold.
+similarity >= 3/4 differ in at most k = a seventh of the sum of their sizes, and
+their sizes are in the same or in adjacent bands that grow by 4/3; a set signs
+in its own band and the next, so neighbours meet. For each band the feature
+domain is dealt by hash into n1 first-level partitions of three second-level
+partitions each. Of n1 partitions, at most k/2 can hold two differences; any
+other has two of its three second-level partitions in common with the similar
+set. The subsets enumerated are therefore the pairs of second-level partitions
+of each first-level partition, and a pair's content is a signature: 0.44 to 0.57
+signatures a shingle and band, each on four shingles or more. Bands of up to
+``SMALL`` shingles have too few for that: there k + 1 partitions are more than
+the differences can reach, and each partition by itself is the subset.
+
+Subsets that are empty sign nothing. How many signatures a set shares, at least,
+with any similar one follows from its own non-empty subsets; the plans leave
+four standard deviations of room, so that number is positive for all but some
+three sets in 100,000. Those few are joined among each other by the least
+quarter of their shingles, which similar sets can't avoid sharing, so no link
+rests on chance. (A pair with one set of positive number meets by signatures.)
 
 Equal sets are folded first. Sets that share a signature form runs. A run isn't
 expanded into pairs: pairs of a member and the run's pivot that occur several
@@ -18,10 +26,9 @@ times are verified, links give components, and only runs that still hold
 several components go on, again with the member of most links as pivot. What
 remains is settled exactly. Members of different components meet in runs of at
 most ``SHORT`` sets. Longer runs come from passages that many documents share;
-there only those sets meet that could have all their common parts in such runs:
-a set that occupies p parts agrees with a similar one on p minus their greatest
-difference at least, so fewer parts than that in long runs rule a miss out. The
-same count drops pairs that agree on too few parts. Which of 512 hash ranges
+there only those sets meet that could have all their common signatures in such
+runs: fewer signatures in long runs than a set must share rule a miss out. The
+same count drops pairs that share too few signatures. Which of 512 hash ranges
 hold an odd number of members bounds the difference of two sets from below; the
 joins that make pairs have that bound in their condition. Counts of members in
 256 hash ranges drop more, before whole sets are moved.
@@ -29,7 +36,9 @@ Every link counts only after its exact intersection.
 
 Defined results: a null or empty text has no shingles, size 0 and its own
 doc_id as component; fewer than five words are one shingle; a null doc_id gives
-a null component unless it is linked; repeated rows each give a row.
+a null component unless it is linked; repeated rows each give a row; an empty
+table gives an empty one; only doc_id and text are read, so further columns
+don't matter. A text is held whole in memory, some 100 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -45,13 +54,14 @@ from ._components import connected
 from ._store import release, stash
 from ._text import batch, constants, distinct, mix, shingles, text_slices, words
 
-SHINGLE, THIN, SHORT, OFTEN, HOT = 5, 512, 64, 3, 256
+SHINGLE, SMALL, SHORT, OFTEN, HOT = 5, 120, 64, 3, 32
 WORDS = 8
 BITS = [f"bits{i}" for i in range(WORDS)]
 _EDGES = np.array([1.0])
 while _EDGES[-1] < 1e9:
     _EDGES = np.append(_EDGES, _EDGES[-1] * 4 / 3)
-FLUSH = 2_000_000
+FLUSH = 250_000
+SLICE = 512 << 10
 
 
 def _band(sizes: np.ndarray) -> np.ndarray:
@@ -59,34 +69,39 @@ def _band(sizes: np.ndarray) -> np.ndarray:
 
 
 def _plan(band: int) -> tuple[int, int]:
-    """(one in how many features is used, number of parts) of a band."""
+    """(first-level partitions, second-level partitions of each) of a band."""
     top = _EDGES[band + 1]
-    one_in = 1
-    while top / one_in > THIN:
-        one_in *= 2
-    top = top / one_in
-    if top < 40:  # a part for nearly every shingle
-        return 1, 1 << 14
-    parts = 8
+    if top < 40:  # a partition for nearly every shingle
+        return 1 << 14, 1
+    n2 = 1 if top < SMALL else 3
+    n1 = int(top / 7) if n2 == 3 else int(top * 2 / 7)
     while True:
         safe = True
         for size, differ in ((top, 2 * top / 7), (top * 9 / 16, top * 3 / 16)):
-            x = size / parts
-            empty = np.exp(-x)
-            spread = np.sqrt(max(0.0, parts * empty * (1 - (1 + x) * empty)))
-            spare = 6 * np.sqrt(differ) if one_in > 1 else 1
-            safe &= parts * (1 - empty) - 6 * spread > differ + spare
+            differ = int(differ)
+            x = np.exp(-size / (n1 * n2))  # a second-level partition is empty
+            if n2 == 1:
+                empty, spread = n1 * x, np.sqrt(n1 * x * (1 - (1 + size / n1) * x))
+            else:  # of three pairs
+                empty, spread = n1 * 3 * x * x, np.sqrt(n1 * (3 * x * x + 6 * x**3 - 9 * x**4))
+            safe &= n1 * (3 if n2 == 3 else 1) - _lost(differ, n1, n2) - empty - 4 * spread >= 1
         if safe:
-            return one_in, parts
-        parts = parts + max(1, parts // 64)
+            return n1, n2
+        n1 += max(1, n1 // 128)
 
 
-_PLANS = np.array([_plan(b) for b in range(len(_EDGES) - 2)], np.uint64)
+def _lost(differ, n1, n2):
+    """Subsets that so many differences can reach: of three pairs the first
+    difference in a first-level partition reaches two, the second the last."""
+    return np.where(n2 == 3, differ + np.minimum(differ, n1), differ)
+
+
+_PLANS = np.array([_plan(b) for b in range(len(_EDGES) - 2)], np.int64)
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, rows, start of each set, text index, hash) of distinct shingles."""
-    for base, data, offsets in text_slices(texts):
+    for base, data, offsets in text_slices(texts, SLICE):
         doc, h = distinct(*shingles(words(data, offsets, lower=True), SHINGLE))
         yield base, len(offsets) - 1, np.searchsorted(doc, np.arange(len(offsets))), doc, h
 
@@ -113,31 +128,48 @@ def _odd_counts(rows: int, doc: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
     return list(out.view(np.int64).reshape(rows, WORDS).T)
 
 
-def _slots(size: np.ndarray, doc: np.ndarray, h: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(band of each set, thinning of each set, features in use, part of each)
+def _subsets(size: np.ndarray, doc: np.ndarray, h: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(band of each set, and of each non-empty subset: its set, place and content)
     for the instance of a set's own band (shift 0) or the next (1)."""
     band = _band(np.maximum(size, 1)) + shift
-    one_in, parts = _PLANS[band, 0][doc], _PLANS[band, 1][doc]
-    spread = mix(h + np.uint64(0x51ED27))
-    use = np.flatnonzero((spread & (one_in - np.uint64(1))) == 0)
-    part = (((spread[use] >> np.uint64(32)) * parts[use]) >> np.uint64(32)).astype(np.int64)
-    return band, _PLANS[band, 0], use, part
+    n1, n2 = _PLANS[band, 0], _PLANS[band, 1]
+    with np.errstate(over="ignore"):
+        spread = mix(h + np.uint64(0x51ED27))
+        part = ((spread >> np.uint64(32)) * (n1 * n2)[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        slot = doc << 32 | part
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        at = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+        total = np.add.reduceat(mix(h[order] ^ np.uint64(0xA5A5)), at) if len(at) else np.zeros(0, np.uint64)
+    who, part = slot[at] >> 32, slot[at] & 0xFFFFFFFF
+    single = n2[who] == 1
+    sets, places, sums = [who[single]], [part[single]], [total[single]]
+    who, part, total = who[~single], part[~single], total[~single]
+    if len(who):
+        first, second = part // 3, part % 3
+        head = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (first[1:] != first[:-1])])
+        group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(who)]))
+        content, some = np.zeros((3, len(head)), np.uint64), np.zeros((3, len(head)), bool)
+        content[second, group], some[second, group] = total, True
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            held = np.flatnonzero(some[i] | some[j])
+            sets.append(who[head[held]])
+            places.append(first[head[held]] * 4 + i + j)
+            with np.errstate(over="ignore"):
+                sums.append(content[i, held] + content[j, held])
+    return band, np.concatenate(sets), np.concatenate(places), np.concatenate(sums)
 
 
 def _needs(first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-    """On how many parts, at least, a set agrees with any similar set, in the
+    """How many signatures, at least, a set shares with any similar set, in the
     instances of its own and the next band."""
     size, out = np.diff(first), []
     for shift in (0, 1):
-        band, one_in, use, part = _slots(size, doc, h, shift)
-        base = np.concatenate([np.zeros(1, np.int64), np.cumsum(_PLANS[band, 1].astype(np.int64))])
-        flag = np.zeros(base[-1] + 1, np.int32)
-        flag[base[doc[use]] + part] = 1
-        occupied = np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(flag)])[base])
+        band, who, _, _ = _subsets(size, doc, h, shift)
         other = np.minimum(size * 4 / 3, _EDGES[band + 1])
-        differ = (size + other) / 7 / one_in
-        spare = np.where(one_in > 1, 6 * np.sqrt(differ), 0)
-        out.append((occupied - np.floor(differ + spare + 1e-9)).astype(np.int32))
+        differ = np.floor((size + other) / 7 + 1e-9).astype(np.int64)
+        own = np.bincount(who, minlength=len(size))
+        out.append((own - _lost(differ, _PLANS[band, 0], _PLANS[band, 1])).astype(np.int32))
     return out
 
 
@@ -155,23 +187,28 @@ def _signatures(first: np.ndarray, doc: np.ndarray, h: np.ndarray, node: np.ndar
     """(signature, node) of every set in its own band and the next; bit 16 of a
     signature tells whether the number of its band is odd."""
     size = np.diff(first)
-    out_sig, out_node = [], []
+    out_sig, out_node, bit = [], [], np.uint64(1 << 16)
     with np.errstate(over="ignore"):
         for shift in (0, 1):
-            band, _, use, part = _slots(size, doc, h, shift)
-            slot = doc[use] * (1 << 20) + part
-            order = np.argsort(slot, kind="stable")
-            slot = slot[order]
-            if not len(slot):
-                continue
-            at = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            total = np.add.reduceat(mix(h[use[order]] ^ np.uint64(0xA5A5)), at)
-            who = slot[at] >> 20
-            place = (slot[at] & ((1 << 20) - 1)).astype(np.uint64) + (band[who].astype(np.uint64) << np.uint64(32))
-            bit = np.uint64(1 << 16)
-            out_sig.append((mix(total + mix(place)) & ~bit) | ((band[who].astype(np.uint64) & np.uint64(1)) * bit))
+            band, who, place, content = _subsets(size, doc, h, shift)
+            level = band[who].astype(np.uint64)
+            out_sig.append((mix(content + mix(place.astype(np.uint64) + (level << np.uint64(40)))) & ~bit) | ((level & np.uint64(1)) * bit))
             out_node.append(node[who])
-    return (np.concatenate(out_sig), np.concatenate(out_node)) if out_sig else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return np.concatenate(out_sig), np.concatenate(out_node)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least quarter of each set's shingles, and one more, as signatures in
+    the instances of both parities: similar sets have one of them in common."""
+    for b in batches:
+        for base, rows, first, _, h in _sets(b.column("text")):
+            node = b.column("node").slice(base, rows).to_numpy()
+            size = np.diff(first)
+            at = np.arange(len(h)) - np.repeat(first[:-1], size) <= np.repeat(size, size) // 4
+            with np.errstate(over="ignore"):
+                sig, bit = mix(h[at] + np.uint64(0x9E37)), np.uint64(1 << 16)
+            who = np.repeat(node, size)[at]
+            yield batch(pa.schema([("sig", pa.int64()), ("node", pa.int64())]), np.r_[sig & ~bit, sig | bit].view(np.int64), np.r_[who, who])
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("sigs", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary())])
@@ -333,6 +370,12 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
         bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + suffix))) for c in BITS), F.lit(0))
         return near & (bits * (share[0] + share[1]) <= (F.col(left) + F.col(right)) * (share[1] - share[0]))
 
+    unsure = size.where("least(need0, need1) < 1").select("node", F.col("rep").alias("doc_id"), "mark")
+    if not unsure.isEmpty():
+        again = docs.join(unsure, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
+        found, runs = runs, stash(runs.unionAll(again.mapInArrow(_prefixes, "sig long, node long")))
+        release(found)
+
     wanted = runs.select("node").distinct().join(size, "node").select("node", F.col("rep").alias("doc_id"), "mark")
     # texts are made unique where the join has them, and only then become sets
     texts = docs.where("doc_id is not null").join(wanted, ["doc_id", "mark"]).groupBy("doc_id", "mark", "node").agg(F.first("text").alias("text"))
