@@ -35,3 +35,47 @@ VAGUE_LINKS = ("click here", "click", "here", "read more", "more", "learn more",
 ERA_START = "2019-01-01"
 IMPACT_WEIGHTS = {"critical": 10, "serious": 5, "moderate": 2, "minor": 1}
 EXTENSIONS = ("pdf", "docx", "pptx", "xlsx")
+
+# Patterns that decide whether a title is a file's or a tool's name.
+TITLE_FILE_END = r"(?i)\.(pdf|docx?|xlsx?|pptx?|rtf|odt|indd|txt|html?)$"
+TITLE_TOOL = r"(?i)^(microsoft (word|excel|powerpoint) - |untitled\b|document\d+$|scan[ _-]?\d|img[ _-]?\d|dsc[ _-]?\d)"
+TITLE_DATED = r"(?i)\d{6}t\d{6,}"
+TITLE_NUMBERED = r"\d{12,}"
+# Patterns of alternative texts that say nothing.
+ALT_DECORATIVE = r"(?i)^decorat(ive|ion|ed)?\b"
+ALT_ORNAMENT = "(?i)^(border|spacer|divider|separator|flourish|ornament)s?$"
+ALT_FILE = r"(?i)^(IMG_?\d|DSC_?\d|image\d|photo\d|picture\d|screenshot|untitled)"
+ALT_FILE_END = r"(?i)\.(jpe?g|png|gif|bmp|tiff?|webp|svg|pdf)$"
+ALT_PLACEHOLDER = "(?i)^(image|photo|picture|graphic|icon|figure|img|pic|logo)$"
+# Criteria that no check here evaluates, with their levels.
+NEVER_ASSESSED = (("3.1.2", "AA"), ("1.4.1", "A"), ("1.4.5", "AA"), ("1.4.11", "AA"), ("1.3.3", "A"))
+#: criteria of the latest version that concern forms
+FORM_CRITERIA = (("2.5.8", "AA"), ("3.3.7", "A"), ("3.3.8", "AA"))
+LEVEL_AA = ("1.4.3", "2.4.5", "2.4.6", "3.1.2", "1.4.5", "1.4.11", "2.5.8", "3.3.8")
+# Names of the pages that explain the criteria.
+UNDERSTANDING = {
+    "1.1.1": "non-text-content",
+    "1.2.2": "captions-prerecorded",
+    "1.3.1": "info-and-relationships",
+    "1.3.2": "meaningful-sequence",
+    "1.4.3": "contrast-minimum",
+    "2.4.2": "page-titled",
+    "2.4.4": "link-purpose-in-context",
+    "2.4.5": "multiple-ways",
+    "2.4.6": "headings-and-labels",
+    "3.1.1": "language-of-page",
+    "3.1.2": "language-of-parts",
+    "1.3.3": "sensory-characteristics",
+    "1.4.1": "use-of-color",
+    "1.4.5": "images-of-text",
+    "1.4.11": "non-text-contrast",
+    "3.3.2": "labels-or-instructions",
+    "4.1.2": "name-role-value",
+    "2.5.8": "target-size-minimum",
+    "3.3.7": "redundant-entry",
+    "3.3.8": "accessible-authentication-minimum",
+}
+UNDERSTANDING_BASE, QUICKREF = "https://www.w3.org/WAI/WCAG22/Understanding/", "https://www.w3.org/WAI/WCAG22/quickref/"
+# Colors of grades and severities on dark and on light grounds.
+SEVERITY_COLORS = {"Pass": ("#22c55e", "#15803d"), "No issues found": ("#22c55e", "#15803d"), "Minor": ("#3b82f6", "#1d4ed8"), "Moderate": ("#eab308", "#946005"), "Critical": ("#ef4444", "#b91c1c")}
+GRADE_COLORS = {"A": ("#22c55e", "#15803d"), "B": ("#14b8a6", "#0f766e"), "C": ("#eab308", "#946005"), "D": ("#f97316", "#c2410c"), "F": ("#ef4444", "#b91c1c")}

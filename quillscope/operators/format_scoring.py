@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dims import FORM_CRITERIA, LEVEL_AA, NEVER_ASSESSED, QUICKREF, UNDERSTANDING, UNDERSTANDING_BASE
 from ..functions.numbers import half_up
 from ..functions.text import classify_link, filename_like, strip, strip_subset
 from .web_scoring import heading_jumps
@@ -125,7 +126,7 @@ def pdf_categories(records: DataFrame, order_score: Column | None = None) -> Dat
     reading order, where that could be compared."""
     order = order_score if order_score is not None else _null()
     order = F.when(~yes(c("hasStructTree")), 0).when(yes(c("structTreeDepth") <= 1), 30).otherwise(order)
-    marks = F.when(c("pageCount") >= 10, F.when(yes(c("outlineCount") > 0), 100).otherwise(45))
+    marks = F.when(c("pageCount") >= 10, F.when(yes(c("outlineCount") > 0), 100).when(yes(c("hasOutlines")), 40).otherwise(45))
     fields = F.when(yes(c("hasAcroForm")) & (count("formFields") > 0), F.floor(count("formFields", lambda f: f["hasTU"]) / count("formFields") * 100))
     return explode(records, [
         category(1, "text_extractability", 0.2, pdf_text()), category(2, "title_language", 0.15, pdf_title_language()), category(3, "heading_structure", 0.15, pdf_headings()),
@@ -285,3 +286,44 @@ def pptx_conformance(records: DataFrame) -> DataFrame:
 def xlsx_conformance(records: DataFrame) -> DataFrame:
     headless = count("tables", lambda t: ~yes(t["hasHeaderRow"]) & (F.coalesce(t["columnCount"], F.lit(2)) >= 2))
     return _verdict(records, _office_rules(headless, None))
+
+
+def levels_of(failures: Column) -> tuple[Column, Column]:
+    """How many failures are of level A and of level AA."""
+    aa = F.size(F.filter(failures, lambda f: f["criterion"].isin(*LEVEL_AA)))
+    return F.size(failures) - aa, aa
+
+
+def breakdown(failures: Column) -> Column:
+    """The failures in words, by level."""
+    a, aa = levels_of(failures)
+    some = lambda n, level: F.concat(n.cast("string"), F.lit(f" Level {level} failure"), F.when(n == 1, "").otherwise("s"))
+    both = F.concat(a.cast("string"), F.lit(" Level A and "), aa.cast("string"), F.lit(" Level AA failures"))
+    return F.when(aa == 0, some(a, "A")).when(a == 0, some(aa, "AA")).otherwise(both)
+
+
+def not_assessed(kind: str, *, forms: Column | None = None, media: Column | None = None, contrast: Column | None = None, order: Column | None = None) -> Column:
+    """Criteria that no check of this document decides, as (criterion, level):
+    those that hold for the format, those its content adds (reading order where it
+    couldn't be compared, contrast where no text was measured, forms, media),
+    and the five that are never assessed."""
+    rows = [F.when(yes(contrast) if contrast is not None else F.lit(kind == "pdf"), _criterion("1.4.3"))]
+    if order is not None:
+        rows.append(F.when(yes(order), _criterion("1.3.2")))
+    if forms is not None:
+        rows += [F.when(yes(forms), _criterion(sc)) for sc, _ in FORM_CRITERIA]
+    if media is not None:
+        rows.append(F.when(yes(media), _criterion("1.2.2")))
+    rows += [_criterion(sc) for sc, _ in NEVER_ASSESSED]
+    return F.array_compact(F.array(*rows))
+
+
+def _criterion(sc: str) -> Column:
+    return F.struct(F.lit(sc).alias("criterion"), F.lit("AA" if sc in LEVEL_AA else "A").alias("level"))
+
+
+def explanation(criterion: Column) -> Column:
+    """Address of the page that explains a criterion; of the overview for others."""
+    names = F.create_map(*(F.lit(x) for pair in UNDERSTANDING.items() for x in pair))
+    name = F.try_element_at(names, criterion)
+    return F.when(name.isNotNull(), F.concat(F.lit(UNDERSTANDING_BASE), name, F.lit(".html"))).otherwise(QUICKREF)

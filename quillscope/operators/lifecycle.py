@@ -25,10 +25,18 @@ def pending(publications: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def audited_within(rows: DataFrame, log: DataFrame, hours: int = 1) -> DataFrame:
-    """Rows whose content was audited in the hours before they came in."""
-    seen = log.select(F.col("content_hash").alias("h"), F.col("created_at").alias("seen_at"))
-    near = (F.col("content_hash") == F.col("h")) & (F.col("seen_at") < F.col("asked_at")) & (F.col("seen_at") > F.col("asked_at") - F.expr(f"interval {hours} hours"))
-    return rows.join(seen, near, "left_semi")
+    """Rows whose content was audited in the hours before they came in. Audits
+    are reduced to the first and last of each content and span of that length,
+    so a frequent content makes no pairs: a row looks at its own span and the one
+    before."""
+    span = lambda at: F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (hours * 3_600_000_000))
+    seen = log.groupBy(F.col("content_hash").alias("h"), span("created_at").alias("span")).agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    asked = rows.withColumn("_span", span("asked_at"))
+    own = seen.select(F.col("h").alias("_h1"), F.col("span").alias("_s1"), F.col("first").alias("_first"))
+    past = seen.select(F.col("h").alias("_h2"), (F.col("span") + 1).alias("_s2"), F.col("last").alias("_last"))
+    out = asked.join(own, (F.col("content_hash") == F.col("_h1")) & (F.col("_span") == F.col("_s1")), "left").join(past, (F.col("content_hash") == F.col("_h2")) & (F.col("_span") == F.col("_s2")), "left")
+    near = (F.col("_first") < F.col("asked_at")) | (F.col("_last") > F.col("asked_at") - F.expr(f"interval {hours} hours"))
+    return out.where(near).select(rows.columns)
 
 
 def retained(log: DataFrame, now: Column, days: int = 365) -> DataFrame:

@@ -4,8 +4,13 @@ doubles come out the same wherever the job runs."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from ..functions.numbers import capped, grade_of, half_up, severity_of, severity_rank
 
@@ -80,16 +85,23 @@ def fidelity_band(similarity: Column) -> Column:
     return F.when(similarity >= 0.97, 100).when(similarity >= 0.9, 90).when(similarity >= 0.8, 85).when(similarity >= 0.5, 65).otherwise(30)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short arrays."""
-    zero = F.transform(F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0))), lambda x: x.cast("int"))
+def _lcs(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence; a row of its table is the bits
+    of one number."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = row = (1 << len(a)) - 1
+    for y in b:
+        met = row & places.get(y, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
 
-    def row(before: Column, x: Column) -> Column:
-        cell = lambda acc, y, i: F.when(x == y, F.element_at(before, i + 1) + 1).otherwise(F.greatest(F.element_at(before, i + 2), F.element_at(acc, -1)))
-        pairs = F.transform(b, lambda y, i: F.struct(y.alias("y"), i.alias("i")))
-        return F.aggregate(pairs, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(cell(acc, p["y"], p["i"]))))
 
-    return F.element_at(F.aggregate(a, zero, row), -1)
+@pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays, duplicates kept."""
+    return pd.Series([_lcs(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def reading_order(pages: DataFrame) -> DataFrame:
@@ -106,4 +118,4 @@ def reading_order(pages: DataFrame) -> DataFrame:
     total = F.aggregate("pages", F.lit(0), lambda acc, x: acc + x["n"])
     weighted = F.aggregate("pages", F.lit(0.0), lambda acc, x: acc + x["similarity"] * x["n"])
     d = d.withColumn("similarity", weighted / total)
-    return d.select("doc_id", fidelity_band(F.col("similarity")).alias("score"), half_up(F.col("similarity") * 100).alias("similarity_pct"), F.size("pages").alias("pages_analyzed"), F.size(F.filter("pages", lambda x: x["similarity"] < 0.8)).alias("pages_with_drift"))
+    return d.select("doc_id", fidelity_band(F.col("similarity")).alias("score"), half_up(F.col("similarity") * 100).alias("similarity_pct"), F.size("pages").alias("pages_analyzed"), F.size(F.filter("pages", lambda x: x["similarity"] < 0.8)).alias("pages_with_drift"), F.transform(F.filter("pages", lambda x: x["similarity"] < 0.8), lambda x: x["page"]).alias("drift_pages"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dims import IMPACT_WEIGHTS
 from ..functions.numbers import clamp100, half_up
 from ..functions.text import classify_link, filename_like
 
@@ -31,7 +32,25 @@ def web_categories(features: DataFrame) -> DataFrame:
     return features.select(F.col("page_id").alias("doc_id"), F.inline(made))
 
 
+def _impact(v: Column) -> Column:
+    name = F.lower(F.coalesce(v["impact"], F.lit("")))
+    return F.when(name.isin(*IMPACT_WEIGHTS), name).otherwise("minor")
+
+
+def page_tally(violations: Column) -> Column:
+    """Nodes hit, by impact."""
+    hit = lambda name: F.aggregate(F.filter(violations, lambda v: _impact(v) == name), F.lit(0), lambda n, v: n + F.greatest(v["nodes"], F.lit(1)))
+    return F.struct(*(hit(name).alias(name) for name in IMPACT_WEIGHTS))
+
+
 def page_score(violations: Column) -> Column:
-    """100 less the weight of each violation's impact for each node it hits."""
-    weight = lambda v: F.when(v["impact"] == "critical", 10).when(v["impact"] == "serious", 5).when(v["impact"] == "moderate", 2).otherwise(1)
+    """100 less the weight of each violation's impact for each node it hits; an
+    unknown impact is minor."""
+
+    def weight(v: Column) -> Column:
+        out = F.lit(IMPACT_WEIGHTS["minor"])
+        for name, points in IMPACT_WEIGHTS.items():
+            out = F.when(_impact(v) == name, points).otherwise(out)
+        return out
+
     return clamp100(F.aggregate(violations, F.lit(100), lambda acc, v: acc - weight(v) * F.greatest(v["nodes"], F.lit(1))))

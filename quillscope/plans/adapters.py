@@ -3,7 +3,7 @@ expressions, and the same derivations as SQL for the oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import CATEGORY_WEIGHTS
@@ -48,8 +48,9 @@ def category_results(spark: SparkSession, sf_dir: str, status: str | None = None
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= len(CATEGORY_IDS))
     if status:
         li = li.where(F.col("l_linestatus") == status)
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    li = li.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    # dealt by order once: neither this nor nesting by order shuffles again
+    held = F.min_by(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    li = li.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(held.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("l_linenumber"))
     score = F.when((F.col("l_returnflag") == "N") & (F.col("l_partkey") % 3 == 0), None).otherwise(F.least(F.lit(100), F.col("l_quantity").cast("int") * 2 + (F.col("l_suppkey") % 3).cast("int") * 20))
     return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), pick(CATEGORY_IDS).alias("id"), pick([CATEGORY_WEIGHTS[i] for i in CATEGORY_IDS]).alias("weight"), score.cast("int").alias("score"), ((F.col("l_returnflag") == "N") & (F.col("l_partkey") % 6 == 0)).alias("not_assessed"))
@@ -100,7 +101,7 @@ def pdf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, i = "CAST(p_partkey AS INT)", "CAST(i AS INT)"
     many = lambda n: f"slice(sequence(1, 8), 1, {n})"
     return table(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS doc_id", f"CASE WHEN {k} % 97 = 0 THEN 'unreadable' END AS error", f"{k} % 3 <> 0 AS hasStructTree", f"{k} % 7 <> 0 AS hasLang", "CAST(NULL AS STRING) AS lang", f"{k} % 3 AS outlineCount", f"{k} % 2 = 0 AS hasAcroForm",
+        "p_partkey AS doc_id", f"CASE WHEN {k} % 97 = 0 THEN 'unreadable' END AS error", f"{k} % 3 <> 0 AS hasStructTree", f"{k} % 7 <> 0 AS hasLang", "CAST(NULL AS STRING) AS lang", f"{k} % 6 = 0 AS hasOutlines", f"{k} % 3 AS outlineCount", f"{k} % 2 = 0 AS hasAcroForm",
         f"transform({many(f'{k} % 3')}, i -> named_struct('name', 'f', 'hasTU', ({k} + {i}) % 2 = 0)) AS formFields",
         f"transform({many(f'{k} % 4')}, i -> named_struct('ref', 'r', 'hasAlt', ({k} + {i}) % 3 <> 0, 'altText', 'x')) AS images", f"{k} % 2 AS imageObjectCount",
         f"transform({many(f'{k} % 5')}, i -> concat('H', 1 + {i} * {k} % 3)) AS headings",
@@ -115,7 +116,7 @@ def pdf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PDF_RECORDS = """
 p0 AS (SELECT p_partkey AS doc_id, CAST(p_partkey AS INT) AS k, p_name FROM part),
-p AS (SELECT doc_id, k, p_name, k % 97 = 0 AS bad, k % 3 <> 0 AS tree, k % 7 <> 0 AS lang, k % 5 <> 0 AS txt, k % 30 + 1 AS pages, k % 25 AS paras, k % 3 AS outlines,
+p AS (SELECT doc_id, k, p_name, k % 97 = 0 AS bad, k % 3 <> 0 AS tree, k % 7 <> 0 AS lang, k % 5 <> 0 AS txt, k % 30 + 1 AS pages, k % 25 AS paras, k % 3 AS outlines, k % 6 = 0 AS outline_tree,
   CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'report_' || k || '.pdf' WHEN 2 THEN p_name ELSE ' ' END AS title,
   list_transform(range(1, k % 5 + 1), lambda i: 1 + i * k % 3) AS hs,
   len(list_filter(range(1, k % 4 + 1), lambda i: (k + i) % 3 <> 0)) AS alts, k % 4 AS figs, CASE WHEN k % 97 <> 0 AND k % 6 <> 0 THEN greatest(0, k % 5 - k % 4) END AS loose,
@@ -127,3 +128,32 @@ q AS (SELECT *, len(ts) AS n, len(hs) > 1 AND len(list_filter(range(1, len(hs)),
   len(list_filter(ts, lambda i: (k + i) % 4 <> 0)) AS heads, len(list_filter(ts, lambda i: (k + i) % 6 <> 0)) AS trs,
   len(list_filter(ts, lambda i: (k + i) % 4 <> 0 AND ((k + i) % 5 = 0 OR (k + i) % 7 = 0))) AS bound, len(list_filter(ts, lambda i: (k + i) % 5 = 0 OR (k + i) % 7 = 0)) AS anybound,
   len(list_filter(ts, lambda i: (k + i) % 9 = 0)) AS nested, len(list_filter(ts, lambda i: (k + i) % 8 <> 0)) AS even FROM p)"""
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remediation jobs made of orders."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'failed' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'running' ELSE 'pending' END END AS status", "o_orderdate AS created_at",
+        "CASE WHEN o_orderstatus IN ('F', 'P') AND o_orderkey % 5 <> 0 THEN o_orderdate + make_interval(0, 0, 0, 0, CAST(o_orderkey % 100 AS INT)) END AS completed_at",
+        "CASE WHEN o_orderstatus = 'F' THEN o_orderdate + make_interval(0, 0, 0, CAST(o_orderkey % 400 AS INT)) END AS expires_at",
+        "CAST(o_orderkey * 37 % 101 AS INT) AS input_score", "CAST(o_orderkey * 53 % 101 AS INT) AS output_score", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey * 29 % 101 AS INT) END AS input_strict", "CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey * 31 % 101 AS INT) END AS output_strict",
+    )
+
+
+JOBS = """
+jobs AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'failed' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'running' ELSE 'pending' END END AS status, o_orderdate AS created_at,
+  CASE WHEN o_orderstatus IN ('F', 'P') AND o_orderkey % 5 <> 0 THEN o_orderdate + to_hours(CAST(o_orderkey % 100 AS INT)) END AS completed_at,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_days(CAST(o_orderkey % 400 AS INT)) END AS expires_at,
+  CAST(o_orderkey * 37 % 101 AS INT) AS input_score, CAST(o_orderkey * 53 % 101 AS INT) AS output_score, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey * 29 % 101 AS INT) END AS input_strict, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey * 31 % 101 AS INT) END AS output_strict FROM orders),
+jobs_clock AS (SELECT max(o_orderdate) AS now FROM orders)"""
+
+EVENT_KINDS = ("received", "processing_started", "normalize_complete", "input_deleted", "tagging_complete", "intermediate_deleted", "validation_passed", "validation_failed", "verapdf_passed", "verapdf_failed", "verapdf_unavailable", "output_ready", "downloaded", "output_deleted", "verified_absent", "verify_failed", "error", "expired")
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of jobs made of the event stream."""
+    kinds = ", ".join(f"'{k}'" for k in EVENT_KINDS)
+    return table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id", "ts AS occurred_at", f"element_at(array({kinds}), CAST(event_id % 18 AS INT) + 1) AS event")
+
+
+JOB_EVENTS = f"job_events AS (SELECT user_id AS job_id, event_id, ts AS occurred_at, [{', '.join(f"'{k}'" for k in EVENT_KINDS)}][event_id % 18 + 1] AS event FROM events)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, numbers, text, urls
@@ -52,11 +52,13 @@ def severity_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns(counts).withColumn("verdict", scoring.verdict(F.col("critical"), F.col("moderate"))).drop("categories")
 
 
-@query(f"""WITH {A.categories_sql()} SELECT doc_id, string_agg(id, '; ' ORDER BY ord) FILTER (severity = 'Critical') AS critical_findings FROM cat GROUP BY doc_id""")
+@query(f"""WITH {A.categories_sql()} SELECT doc_id, string_agg(id || ' is wrong; seen ' || score || ' times', '; ' ORDER BY ord) FILTER (severity = 'Critical') AS critical_findings FROM cat GROUP BY doc_id""")
 def critical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.filter("categories", lambda c: c["severity"] == "Critical")
-    joined = F.nullif(F.array_join(F.transform(bad, lambda c: c["id"]), "; "), F.lit(""))
-    return scoring.nest(A.category_results(spark, sf_dir)).select("doc_id", joined.alias("critical_findings"))
+    """All findings of critical categories as one text."""
+    found = lambda c: F.array(F.concat(c["id"], F.lit(" is wrong")), F.concat(F.lit("seen "), c["score"].cast("string"), F.lit(" times")))
+    nested = scoring.nest(A.category_results(spark, sf_dir))
+    cats = F.transform("categories", lambda c: c.withField("findings", found(c)))
+    return nested.select("doc_id", reports.critical_findings(cats).alias("critical_findings"))
 
 
 @query("WITH " + A.categories_sql() + " SELECT doc_id, " + ", ".join(f"max({c}) FILTER (id = '{i}') AS {i}_{c}" for i in A.CATEGORY_IDS for c in ("score", "grade", "severity")) + " FROM cat GROUP BY doc_id")
@@ -80,10 +82,16 @@ def prioritized_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "c.id", "c.score", (F.col("p") + 1).cast("int").alias("step"))
 
 
-@query(f"""{_REPORT} SELECT doc_id, overall_score, grade, FALSE AS changed FROM report""")
+@query(f"""{_REPORT} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 55 ELSE overall_score END AS overall_score, CASE WHEN doc_id % 7 = 0 THEN 'F' ELSE grade END AS grade,
+ doc_id % 7 <> 0 AND doc_id % 3 = 0 AND overall_score <> raw_score AS changed FROM report""")
 def stored_reports_regraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the stored reports a third keeps the score it had before the cap, and a
+    seventh has weights that can't be used."""
     r = scoring.report(scoring.nest(A.category_results(spark, sf_dir)))
-    stored = r.select("doc_id", F.to_json(F.struct(F.col("overall_score").alias("overallScore"), "grade", F.lit(False).alias("isScanned"), "categories")).alias("report_json"))
+    broken, old = F.col("doc_id") % 7 == 0, F.col("doc_id") % 3 == 0
+    score = F.when(broken, 55).when(old, F.col("raw_score")).otherwise(F.col("overall_score"))
+    cats = F.transform("categories", lambda c: c.withField("weight", F.when(broken, -1.0).otherwise(c["weight"])))
+    stored = r.select("doc_id", F.to_json(F.struct(score.alias("overallScore"), "grade", F.lit(False).alias("isScanned"), cats.alias("categories"))).alias("report_json"))
     return scoring.regrade(stored)
 
 
@@ -165,8 +173,9 @@ def era_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {A.PUBLICATIONS} SELECT doc_id, publication_date, row_number() OVER (ORDER BY publication_date DESC NULLS LAST, title ASC NULLS FIRST, doc_id) AS place FROM pub QUALIFY place <= 100""")
 def newest_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = fleet.newest_first(A.publications(spark, sf_dir)).limit(100).agg(F.collect_list(F.struct("doc_id", "publication_date")).alias("x"))
-    return top.select(F.posexplode("x").alias("p", "r")).select("r.doc_id", "r.publication_date", (F.col("p") + 1).cast("long").alias("place"))
+    top = fleet.newest_first(A.publications(spark, sf_dir)).limit(100)  # a hundred rows, numbered in one task
+    order = Window.orderBy(F.desc_nulls_last("publication_date"), F.asc_nulls_first("title"), "doc_id")
+    return top.select("doc_id", "publication_date", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query(f"""WITH {A.PUBLICATIONS} SELECT doc_id, publication_date, title FROM pub ORDER BY publication_date DESC NULLS LAST, title ASC NULLS FIRST, doc_id""")
@@ -312,7 +321,7 @@ _PDF_SCORES = """SELECT doc_id, 'text_extractability' AS id, CASE WHEN k % 11 =
  UNION ALL SELECT doc_id, 'heading_structure', CASE WHEN len(hs) = 0 THEN CASE WHEN pages >= 4 OR paras >= 20 OR outlines > 0 THEN 0 END WHEN jump THEN 60 ELSE 100 END, FALSE FROM q
  UNION ALL SELECT doc_id, 'alt_text', CASE WHEN figs > 0 THEN CASE WHEN alts = 0 THEN 0 ELSE floor(alts / (figs + coalesce(loose, 0))::DOUBLE * 100)::INT END WHEN loose > 0 THEN 0 END, FALSE FROM q
  UNION ALL SELECT doc_id, 'color_contrast', NULL, TRUE FROM q
- UNION ALL SELECT doc_id, 'bookmarks', CASE WHEN pages >= 10 THEN CASE WHEN outlines > 0 THEN 100 ELSE 45 END END, FALSE FROM q
+ UNION ALL SELECT doc_id, 'bookmarks', CASE WHEN pages >= 10 THEN CASE WHEN outlines > 0 THEN 100 WHEN outline_tree THEN 40 ELSE 45 END END, FALSE FROM q
  UNION ALL SELECT doc_id, 'table_markup', CASE WHEN n > 0 THEN CASE WHEN heads = n THEN 40 WHEN heads > 0 THEN 20 ELSE 0 END + CASE WHEN trs = n THEN 20 WHEN trs > 0 THEN 10 ELSE 0 END + CASE WHEN heads > 0 AND bound = heads THEN 10 WHEN bound > 0 THEN 5 ELSE 0 END
    + CASE WHEN nested = 0 THEN 10 ELSE 0 END + 5 + CASE WHEN even = n THEN 10 ELSE 0 END + CASE WHEN anybound > 0 THEN 5 ELSE 0 END END, FALSE FROM q
  UNION ALL SELECT doc_id, 'link_quality', CASE WHEN n_links > 0 THEN floor((n_links - needs - untagged) / n_links::DOUBLE * 100)::INT END, FALSE FROM q

@@ -2,7 +2,7 @@
 
 TABLE = "struct<hasHeaders:boolean,headerCount:int,hasScope:boolean,hasRowStructure:boolean,rowCount:int,hasNestedTable:boolean,hasCaption:boolean,hasConsistentColumns:boolean,columnCounts:array<int>,hasHeaderAssociation:boolean>"
 PDF = (
-    "doc_id long, error string, hasStructTree boolean, hasLang boolean, lang string, outlineCount int, hasAcroForm boolean, "
+    "doc_id long, error string, hasStructTree boolean, hasLang boolean, lang string, hasOutlines boolean, outlineCount int, hasAcroForm boolean, "
     "formFields array<struct<name:string,hasTU:boolean>>, images array<struct<ref:string,hasAlt:boolean,altText:string>>, imageObjectCount int, "
     f"headings array<string>, tables array<{TABLE}>, lists array<struct<isWellFormed:boolean>>, paragraphCount int, totalPageCount int, "
     "fonts array<struct<name:string,embedded:boolean>>, visibleFonts array<string>, accessibilityAllowed boolean, displayDocTitle boolean, "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillscope import schemas
 from quillscope.operators import format_scoring as S
 
-BASE = dict(error=None, hasStructTree=True, hasLang=True, lang="en-US", outlineCount=0, hasAcroForm=False, formFields=[], images=[], imageObjectCount=0, headings=["H1", "H2"], tables=[], lists=[], paragraphCount=12, totalPageCount=2, fonts=[], visibleFonts=None, accessibilityAllowed=None, displayDocTitle=True, hasXfa=False, needsRendering=False, structTreeDepth=4, hasContentOrder=True, pageCount=2, hasText=True, textLength=4000, title="Quarterly Report", links=[], imageCount=0, nonArtifactImageCount=0)
+BASE = dict(error=None, hasStructTree=True, hasLang=True, lang="en-US", hasOutlines=False, outlineCount=0, hasAcroForm=False, formFields=[], images=[], imageObjectCount=0, headings=["H1", "H2"], tables=[], lists=[], paragraphCount=12, totalPageCount=2, fonts=[], visibleFonts=None, accessibilityAllowed=None, displayDocTitle=True, hasXfa=False, needsRendering=False, structTreeDepth=4, hasContentOrder=True, pageCount=2, hasText=True, textLength=4000, title="Quarterly Report", links=[], imageCount=0, nonArtifactImageCount=0)
 TABLE = dict(hasHeaders=True, headerCount=2, hasScope=True, hasRowStructure=True, rowCount=3, hasNestedTable=False, hasCaption=True, hasConsistentColumns=True, columnCounts=[2, 2, 2], hasHeaderAssociation=False)
 DOCX = dict(documentOk=True, stylesOk=True, coreOk=True, title="T", language="en", headings=[1, 2], fakeHeadings=0, images=[], tables=[], links=[], contrast=dict(checked=0, unresolved=0, failing=[]), realItems=0, manualItems=0)
 PPTX = dict(title="T", language="en", slides=[dict(title="A", hidden=False, titleFirst=True), dict(title="B", hidden=False, titleFirst=True)], images=[], tables=[], links=[], contrast=DOCX["contrast"], realItems=0, manualItems=0, hasMedia=False)
@@ -43,7 +43,7 @@ PDF_CASES = [
     ({"title": " ", "hasLang": False, "lang": None}, "title_language", 0), ({}, "heading_structure", 100), ({"headings": []}, "heading_structure", None), ({"headings": [], "totalPageCount": 4}, "heading_structure", 0),
     ({"headings": ["H"]}, "heading_structure", 40), ({"headings": ["H1", "H3"]}, "heading_structure", 60), ({}, "alt_text", None), ({"images": [IMG("1", True), IMG("2", False), IMG("3", True)]}, "alt_text", 66),
     ({"images": [IMG("1", False)]}, "alt_text", 0), ({"nonArtifactImageCount": 2}, "alt_text", 0), ({"images": [IMG("1", True)], "nonArtifactImageCount": 2}, "alt_text", 50), ({}, "color_contrast", "?"), ({"pageCount": 10}, "bookmarks", 45),
-    ({"pageCount": 10, "outlineCount": 3}, "bookmarks", 100), ({"tables": [TABLE]}, "table_markup", 100), ({"tables": [TABLE | {"columnCounts": [1, 1]}]}, "table_markup", None), ({"tables": [TABLE, TABLE | {"hasHeaders": False, "hasScope": False}]}, "table_markup", 80),
+    ({"pageCount": 10, "outlineCount": 3}, "bookmarks", 100), ({"pageCount": 10, "hasOutlines": True}, "bookmarks", 40), ({"pageCount": 10}, "bookmarks", 45), ({"tables": [TABLE]}, "table_markup", 100), ({"tables": [TABLE | {"columnCounts": [1, 1]}]}, "table_markup", None), ({"tables": [TABLE, TABLE | {"hasHeaders": False, "hasScope": False}]}, "table_markup", 80),
     ({"links": [dict(url="u", text="click here", tagged=True), dict(url="u", text="Annual budget", tagged=True), dict(url="u", text="Other budget", tagged=False)]}, "link_quality", 33),
     ({"hasAcroForm": True, "formFields": [dict(name="a", hasTU=True), dict(name="b", hasTU=False)]}, "form_accessibility", 50), ({"structTreeDepth": 1}, "reading_order", 30), ({}, "reading_order", "?"),
 ]
