@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from ._store import release, stash
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with the least neighbour of u. A mean aggregation and a
-    join rather than a window, so a hub's links are spread over tasks."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(low, "u")
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each (u, v) with the least neighbour of u. An aggregate that is combined
+    before the shuffle and a join with the written result, which Spark can split
+    at a hub, rather than a window, which would take its links to one task."""
+    low = stash(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.join(low, "u"), low
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -23,12 +24,15 @@ def connected(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        joined, low = _least(both)
+        large = joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small-star: u > v holds, so every neighbour here is the smaller one
-        small = _least(large)
+        large = stash(large)
+        release(low)
+        small, low = _least(large)
         down = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, stash(down.unionAll(small.select("u", F.col("m").alias("v"))).distinct())
-        release(old)
+        release(old, large, low)
         seen = edges.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("decimal(38,0)")).alias("h")).first()
         if seen == state or not seen["n"]:
             break

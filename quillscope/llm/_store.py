@@ -44,6 +44,14 @@ def stash(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return back
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as no column has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``stash`` wrote and that nothing reads any more."""
     for t in tables:
@@ -62,5 +70,5 @@ def _remove() -> None:
     for spark, path in list(_WRITTEN):
         try:
             _delete(spark, path)
-        except Exception:  # the session may have ended before
-            return
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            continue

@@ -5,20 +5,29 @@ A short item inside a long document has a tiny Jaccard similarity with the
 whole document, so a MinHash search over whole documents finds nothing. Items
 are therefore partitioned by their number of shingles (classes that grow by
 half), and each class looks through documents in overlapping windows sized for
-it (items of fewer shingles than a block, at every shingle): an item that is contained in the document in one place lies within one
-window, where at least three tenths of the union agree. Minima of 32 hash
-functions are taken once over blocks of eight shingles and combined into the
-windows of every class. A document and an item that share a minimum at one
+it; items of up to ``SHORT`` shingles look at every single shingle. Minima of 64
+hash functions are taken once over blocks of eight shingles and combined into
+the windows of every class. A document and an item that share a minimum at one
 function are a candidate; it is confirmed by the exact share of the item's
 distinct 5-word shingles among those of the whole document.
 
-The index of items is broadcast in blocks of at most ``block_items`` items
-(under 40 MB each whatever the benchmark's size); further blocks are further
-passes over the documents, so nothing unbounded is broadcast.
+The shingle that gives an item's minimum stands in a document that has three
+quarters of them with probability 3/4, and is the minimum of its window too with
+n / (n + window) >= 0.33, wherever the other shingles stand. So a document with
+``share`` of an item is missed with (1 - 0.75 * 0.33) ** 64, about 1e-8, and with
+0.25 ** 12, about 6e-8, by short items.
+
+Items are broadcast in blocks of about ``block_bytes`` of text (their index
+takes some eight times that); each further block is a further pass over the
+documents, and its broadcast is destroyed before the next. A longer single item
+is a block of its own.
 
 Defined results: words are runs without ASCII blanks, A-Z lower-cased; a text
 of fewer than five words is one shingle, a null or empty text has none and
-matches nothing; ids may repeat (each row counts) or be null.
+matches nothing; ids may repeat (each row counts, by its own text) or be null; a
+table without rows on either side gives none; only ids and texts are read, so
+further columns don't matter, and ``drop_contaminated`` passes them on. A text
+is held whole in memory, some 100 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -31,16 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import stash
 from ._text import batch, constants, distinct, mix, shingles, text_slices, words
 
-SHINGLE, FUNCTIONS, BLOCK, FEW = 5, 32, 8, 8
-BLOCK_ITEMS = 50_000
+SHINGLE, FUNCTIONS, BLOCK, FEW, SHORT = 5, 64, 8, 12, 40
+BLOCK_BYTES = 4 << 20
 
 
 def _classes(sizes: np.ndarray) -> np.ndarray:
     """Number of each item's size class: class c holds up to 8 * 1.5**c shingles,
-    class -1 those of fewer than a block."""
-    return np.where(sizes < BLOCK, -1, np.ceil(np.log(np.maximum(sizes, 8) / 8) / np.log(1.5) - 1e-9).astype(int))
+    class -1 those of up to ``SHORT``."""
+    return np.where(sizes <= SHORT, -1, np.ceil(np.log(np.maximum(sizes, 8) / 8) / np.log(1.5) - 1e-9).astype(int))
 
 
 def _window(c: int) -> tuple[int, int]:
@@ -123,7 +133,7 @@ class ItemIndex:
         left = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(len(at)) + 1
         out = []
         for c, (keys, who, bits) in self.by_class.items():
-            if c < 0:  # items this short are looked for at every shingle, with few functions
+            if c < 0:  # short items, with few functions
                 starts, owner = np.arange(len(h)), doc
                 tried = ((f, _values(h, f)) for f in range(FEW))
             else:
@@ -155,41 +165,56 @@ class ItemIndex:
                         yield base + int(d), int(i), n
 
 
-def find_contained(docs: DataFrame, items: DataFrame, share: tuple[int, int] = (3, 4), block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _indexes(items: DataFrame, block_bytes: int) -> Iterator[ItemIndex]:
+    """Items dealt by hash into blocks of about so many bytes, one at a time."""
+    items = items.select("item_id", "text").where(F.octet_length("text") > 0)
+    held = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = -(-held // block_bytes)
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        if rows:
+            yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())])
+
+
+def find_contained(docs: DataFrame, items: DataFrame, share: tuple[int, int] = (3, 4), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) of items of which at least ``share``
-    (numerator, denominator) of the distinct shingles are in the document."""
-    spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())])
-    found = []
-    for rows in _blocks(items.select("item_id", "text"), block_items):
-        index = spark.sparkContext.broadcast(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    (numerator, denominator; 3/4 or more) of the distinct shingles are in the document."""
+    spark, found, index = docs.sparkSession, [], None
+    for own in _indexes(items, block_bytes):
+        if index is not None:
+            found[-1] = stash(found[-1])
+            index.destroy()
+        index = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for b in batches:
                 hits = list(own.contained(b.column("text"), share))
                 ids = b.column("doc_id").take(pa.array([x[0] for x in hits], pa.int64())).cast(pa.int64())
-                yield batch(schema, ids, pa.array([own.ids[x[1]] for x in hits], pa.int64()), np.array([x[2] for x in hits], np.int64), np.array([own.size[x[1]] for x in hits], np.int64))
+                yield batch(_FOUND, ids, pa.array([own.ids[x[1]] for x in hits], pa.int64()), np.array([x[2] for x in hits], np.int64), np.array([own.size[x[1]] for x in hits], np.int64))
 
         found.append(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long"))
-    if not found:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
-    return reduce(DataFrame.unionAll, found)
-
-
-def _blocks(items: DataFrame, block_items: int) -> Iterator[list]:
-    rows: list = []
-    for r in items.toLocalIterator():
-        rows.append(r)
-        if len(rows) == block_items:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, share: tuple[int, int] = (3, 4)) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows with a null
-    doc_id are judged by no id and stay."""
-    bad = find_contained(docs, items, share).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, share: tuple[int, int] = (3, 4), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows of which the text contains an item."""
+    index = None
+    for own in _indexes(items, block_bytes):
+        if index is not None:
+            docs = stash(docs)
+            index.destroy()
+        index = docs.sparkSession.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = index.value
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[row for row, _, _ in own.contained(b.column("text"), share)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -6,19 +6,29 @@ the balls. Its graph starts from vectors that stand next to each other in the
 order of random hyperplane codes, and is refined through joins of neighbours of
 neighbours: every node compares its neighbours and reverse neighbours with one
 another, and a pair is passed on where it improves a list. A list whose last
-neighbour still lies in reach of the threshold is saturated and is enlarged. A
-stated set of nodes is searched exhaustively, in blocks, to audit recall; below
-``recall`` the lists grow and refinement goes on. At last the pairs of balls in
-reach are compared vector by vector in double precision.
-
-Defined results: null or zero vectors, vectors with null or non-finite
-components and vectors whose length isn't the table's most common one link with
-nothing; repeated rows of one vec_id count as one vector (the first in order of
-its components) and each gives a row; a null vec_id gives a row without links.
+neighbour still lies in reach of the threshold is saturated and is enlarged, up
+to ``MOST`` places; nodes that are saturated beyond that are searched
+exhaustively at the end, in blocks. A stated set of nodes (those of smallest
+hash) is searched exhaustively as well, to audit recall. While recall is below
+``recall``, all lists grow and further code tables join the graph; where it is
+below ``least_recall`` at the end, an error is raised, so links are never lost
+in silence. At last the pairs of balls in reach are compared in double
+precision, block of vectors against block of vectors.
+
+Vectors of different lengths link with nothing of another length; each length is
+a search of its own.
+
+Defined results: null or zero vectors and vectors with null or non-finite
+components link with nothing; repeated rows of one vec_id count as one vector
+(the shortest, then the first in order of its components) and each gives a row;
+ties in a list go to the smaller id; a null vec_id gives a row without links; an
+empty table gives an empty one; only vec_id and embedding are read, so further
+columns don't matter.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import connected
-from ._store import stash
+from ._store import release, stash
 from ._text import batch
 
-LIST, TABLES, NEXT, BLOCK = 8, 8, 4, 256
+LIST, MOST, TABLES, NEXT, BLOCK, QUERIES = 8, 256, 8, 4, 256, 1024
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
 
 
@@ -40,24 +50,22 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _units(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("unit", pa.binary())])
-        for b in batches:
-            ids, units = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i is None or v is None or len(v) != dim or any(x is None for x in v):
-                    continue
-                x = np.array(v, np.float64)
-                top = np.abs(x).max(initial=0)
-                if not np.isfinite(x).all() or not top:
-                    continue
-                x = x / top  # no overflow or underflow in the norm
-                ids.append(i)
-                units.append((x / np.sqrt(x @ x)).tobytes())
-            yield batch(schema, pa.array(ids, pa.int64()), pa.array(units, pa.binary()))
-
-    return run
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary())])
+    for b in batches:
+        ids, dims, units = [], [], []
+        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if i is None or not v or any(x is None for x in v):
+                continue
+            x = np.array(v, np.float64)
+            top = np.abs(x).max()
+            if not np.isfinite(x).all() or not top:
+                continue
+            x = x / top  # no overflow or underflow in the norm
+            ids.append(i)
+            dims.append(len(x))
+            units.append((x / np.sqrt(x @ x)).tobytes())
+        yield batch(schema, pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.binary()))
 
 
 def _coded(vectors: DataFrame, seed: int, bits: int, dim: int) -> DataFrame:
@@ -155,91 +163,143 @@ def _search(nodes: DataFrame, queries: list, floor: str) -> DataFrame:
     return nodes.mapInArrow(run, "u long, v long, sim double")
 
 
+def _exhaustive(nodes: DataFrame, wanted: DataFrame, floor: str) -> DataFrame:
+    """``_search`` for any number of nodes, a bounded block of them at a time."""
+    out, block = None, []
+    for row in itertools.chain(wanted.toLocalIterator(), [None]):
+        if row is not None:
+            block.append(row)
+        if block and (row is None or len(block) == QUERIES):
+            found = stash(_search(nodes, block, floor))
+            out, block = found if out is None else out.unionAll(found), []
+    return nodes.sparkSession.createDataFrame([], "u long, v long, sim double") if out is None else out
+
+
 def _counts(threshold: float):
-    """Links of each vector of one ball into a block of another ball."""
+    """Links of each vector of a block of one ball into a block of another."""
+
+    def unpacked(block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = block.field(0).to_numpy()
+        return ids, _rows(block.field(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-        for b in batches:
-            n = []
-            for unit, block in zip(b.column("unit").to_pylist(), b.column("block").to_pylist(), strict=True):
-                x = np.frombuffer(unit, np.float64)
-                n.append(int((np.frombuffer(block, np.float64).reshape(-1, len(x)) @ x >= threshold).sum()))
-            yield batch(schema, b.column("id"), b.column("a"), b.column("b"), np.array(n, np.int64))
+        for batch_ in batches:
+            for a, b, left, right in zip(batch_.column("a").to_pylist(), batch_.column("b").to_pylist(), batch_.column("left"), batch_.column("right"), strict=True):
+                (ids, x), (_, y) = unpacked(left.values), unpacked(right.values)
+                n = (x @ y.T >= threshold).sum(1)
+                some = np.flatnonzero(n)
+                if len(some):
+                    yield batch(schema, ids[some], np.full(len(some), a), np.full(len(some), b), n[some].astype(np.int64))
 
     return run
 
 
-def embedding_links(vectors: DataFrame, threshold: float = 0.9, lists: int = LIST, rounds: int = 12, least_rounds: int = 4, recall: float = 0.97, audit: int = 1024) -> tuple[DataFrame, dict]:
-    """((id, n_links, component) of each usable vector, audit figures) of a
-    table (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "embedding")
-    length = vectors.where("vec_id is not null and embedding is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = length["dim"] if length else 0
-    usable = vectors.mapInArrow(_units(dim), "id long, unit binary")
-    angle = float(np.arccos(threshold))
-    balls = _balls(stash(usable.groupBy("id").agg(F.min("unit").alias("unit"))), angle / 2 - 1e-9, 3, dim)
-    sizes = balls.groupBy(F.col("ball").alias("id")).agg(F.max("angle").alias("radius"), F.count("*").alias("size"))
-    nodes = stash(balls.where("id = ball").select("id", "unit").join(sizes, "id"))
+def _graph(nodes: DataFrame, dim: int, angle: float, lists: int, rounds: int, least_rounds: int, recall: float, least_recall: float, audit: int) -> tuple[DataFrame, dict]:
+    """((a, b) of balls in reach of each other, audit figures)."""
+    spark = nodes.sparkSession
     total = nodes.count()
-    figures = {"vectors": balls.count(), "balls": total, "rounds": 0, "recall": 1.0}
+    figures = {"balls": total, "rounds": 0, "audited": 0, "recall": 1.0, "saturated": 0}
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 256))
-    start = None
-    for t in range(TABLES):
-        line = _coded(nodes.select("id", "unit"), t, 32, dim).repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").drop("code")
-        found = line.mapInArrow(_neighbours_in_order, "u long, v long, sim double")
-        start = found if start is None else start.unionAll(found)
-    room = nodes.select(F.col("id").alias("u"), F.lit(lists).alias("room"))
-    graph = stash(_best(start, room))
-    reach = lambda r1, r2: F.cos(F.least(F.lit(np.pi), angle + F.col(r1) + F.col(r2)))
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(audit).collect()
-    truth = stash(_search(nodes, asked, repr(angle))) if asked else None
+
+    def coded_pairs(seeds: range) -> DataFrame:
+        start = None
+        for t in seeds:
+            line = _coded(nodes.select("id", "unit"), t, 32, dim).repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").drop("code")
+            found = line.mapInArrow(_neighbours_in_order, "u long, v long, sim double")
+            start = found if start is None else start.unionAll(found)
+        return start
+
+    in_reach = lambda sim, r1, r2: F.col(sim) >= F.cos(F.least(F.lit(np.pi), angle + F.col(r1) + F.col(r2))) - 1e-9
     radius = nodes.select(F.col("id").alias("u"), F.col("radius").alias("ru"))
     other = nodes.select(F.col("id").alias("v"), F.col("radius").alias("rv"))
-    for turn in range(1, rounds + 1):
-        # saturated lists, whose last place is still in reach, grow; so do all while recall is low
+    graph = stash(_best(coded_pairs(range(TABLES)), nodes.select(F.col("id").alias("u"), F.lit(lists).alias("room"))))
+    truth = stash(_search(nodes, nodes.orderBy(F.xxhash64("id"), "id").limit(audit).collect(), repr(angle))) if total else None
+    due = truth.count() if total else 0
+
+    def lasts(graph: DataFrame) -> DataFrame:
+        """Each list's last place, and whether it is saturated."""
         last = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.max("place").alias("held"), F.max("room").alias("room")).join(radius, "u")
         full = F.col("held") >= F.col("room")
-        last = last.withColumn("grown", F.when(full & (F.col("worst") >= F.cos(F.least(F.lit(np.pi), angle + 2 * F.col("ru")))), F.col("room") * 2).otherwise(F.col("room")))
-        last = stash(last.select("u", F.when(full & (F.col("grown") == F.col("room")), F.col("worst")).otherwise(-2.0).alias("worst"), F.col("grown").alias("room")))
-        back = Window.partitionBy("w").orderBy(F.xxhash64("x", F.lit(turn)))
+        # no ball's radius exceeds the half of the angle
+        return last.select("u", "worst", "room", full.alias("full"), (full & (F.col("worst") >= F.cos(F.least(F.lit(np.pi), 1.5 * angle + F.col("ru"))))).alias("saturated"))
+
+    for turn in range(1, rounds + 1):
+        poor = figures["recall"] < recall and turn > least_rounds
+        grown = F.when(F.col("saturated") | F.lit(poor), F.least(F.col("room") * 2, F.greatest("room", F.lit(MOST)))).otherwise(F.col("room"))
+        last = stash(lasts(graph).withColumn("grown", grown).select("u", F.when(F.col("full") & (F.col("grown") == F.col("room")), F.col("worst")).otherwise(-2.0).alias("worst"), F.col("grown").alias("room")))
+        back = Window.partitionBy("w").orderBy(F.xxhash64("x", F.lit(turn)), "x")
         reverse = graph.select(F.col("v").alias("w"), F.col("u").alias("x")).withColumn("place", F.row_number().over(back))
         near = graph.select(F.col("u").alias("w"), F.col("v").alias("x")).unionAll(reverse.where(f"place <= {lists}").select("w", "x")).distinct()
         own = nodes.select(F.col("id").alias("x"), "unit").join(last.select(F.col("u").alias("x"), "worst"), "x")
         grouped = near.join(own, "x").groupBy("w").agg(F.collect_list(F.struct("x", "unit", "worst")).alias("near")).select("near")
         better = grouped.mapInArrow(_local_join, "u long, v long, sim double")
+        if poor:
+            better = better.unionAll(coded_pairs(range(TABLES * turn, TABLES * (turn + 1))))
         after = stash(_best(graph.select("u", "v", "sim").unionAll(better), last.select("u", "room")))
         changed = after.join(graph, ["u", "v"], "left_anti").count()
-        graph, figures["rounds"] = after, turn
-        due = truth.count() if truth is not None else 0
+        release(graph, last)
+        graph = after
         got = truth.join(graph.select("u", "v").unionAll(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), ["u", "v"]).count() if due else 0
-        figures |= {"audited": due, "recall": got / due if due else 1.0}
+        more = lasts(graph).where(f"saturated and room < {MOST}").count()
+        figures |= {"rounds": turn, "audited": due, "recall": got / due if due else 1.0}
         settled = changed <= 0.002 * total * lists or turn >= least_rounds
-        if not changed or (settled and figures["recall"] >= recall):
+        if figures["recall"] >= recall and not more and settled:
             break
-    close = graph.select("u", "v", "sim").join(radius, "u").join(other, "v").where(F.col("sim") >= reach("ru", "rv") - 1e-9)
-    close = stash(close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    if figures["recall"] < least_recall:
+        raise RuntimeError(f"recall of the neighbour graph stayed too low: {figures}")
+    rest = lasts(graph).where("saturated").select(F.col("u").alias("id"))
+    figures["saturated"] = rest.count()
+    pairs = graph.select("u", "v", "sim")
+    if figures["saturated"]:
+        pairs = pairs.unionAll(_exhaustive(nodes, nodes.join(rest, "id", "left_semi"), repr(angle)))
+    close = pairs.join(radius, "u").join(other, "v").where(in_reach("sim", "ru", "rv"))
+    return stash(close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()), figures
+
+
+def _links(units: DataFrame, dim: int, threshold: float, **options) -> tuple[DataFrame, dict]:
+    """((id, n_links, component), audit figures) of unit vectors of one length."""
+    angle = float(np.arccos(threshold))
+    balls = _balls(units, angle / 2 - 1e-9, 3, dim)
+    sizes = stash(balls.groupBy(F.col("ball").alias("id")).agg(F.max("angle").alias("radius"), F.count("*").alias("size"), F.min("id").alias("least")))
+    nodes = stash(balls.where("id = ball").select("id", "unit").join(sizes, "id"))
+    close, figures = _graph(nodes, dim, angle, **options)
+    of = sizes.select(F.col("id").alias("ball"), "size", "least")
+    members = stash(balls.select("id", "ball", "unit").join(of, "ball"))
     ways = close.unionAll(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    place = F.row_number().over(Window.partitionBy("ball", F.xxhash64("id") % 64).orderBy("id"))
-    needed = balls.join(ways.select(F.col("a").alias("ball")).distinct(), "ball", "left_semi")
-    blocks = needed.withColumn("block", F.struct(F.xxhash64("id") % 64, F.floor((place - 1) / BLOCK))).groupBy("ball", "block").agg(F.collect_list("unit").alias("units"))
-    blocks = blocks.select(F.col("ball").alias("b"), F.expr("aggregate(units, cast('' as binary), (x, y) -> concat(x, y))").alias("block"))
-    rows = ways.join(needed.select(F.col("ball").alias("a"), "id", "unit"), "a").join(blocks, "b").select("id", "a", "b", "unit", "block")
-    counted = stash(rows.mapInArrow(_counts(threshold), "id long, a long, b long, n long").where("n > 0"))
-    inner = balls.join(sizes.select(F.col("id").alias("ball"), "size"), "ball").select("id", "ball", (F.col("size") - 1).alias("inside"))
-    across = counted.groupBy("id").agg(F.sum("n").alias("across"))
-    least = balls.groupBy("ball").agg(F.min("id").alias("least"))
-    pairs = counted.where("a < b").select("a", "b").distinct().join(least.select(F.col("ball").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("ball").alias("b"), F.col("least").alias("lb")), "b")
+    needed = members.join(stash(ways.select(F.col("a").alias("ball")).distinct()), "ball", "left_semi")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    blocks = stash(needed.groupBy("ball", block.alias("block")).agg(F.collect_list(F.struct("id", "unit")).alias("vectors")))
+    left, right = blocks.select(F.col("ball").alias("a"), F.col("vectors").alias("left")), blocks.select(F.col("ball").alias("b"), F.col("vectors").alias("right"))
+    counted = stash(ways.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_counts(threshold), "id long, a long, b long, n long"))
+    across = stash(counted.groupBy("id").agg(F.sum("n").alias("across")))
+    name = sizes.select("id", "least")
+    pairs = counted.where("a < b").select("a", "b").distinct().join(name.select(F.col("id").alias("a"), F.col("least").alias("la")), "a").join(name.select(F.col("id").alias("b"), F.col("least").alias("lb")), "b")
     component = connected(pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    named = least.join(component.withColumnRenamed("node", "least"), "least", "left").select("ball", F.coalesce("component", "least").alias("component"))
-    out = inner.join(across, "id", "left").join(named, "ball")
-    return stash(out.select("id", (F.col("inside") + F.coalesce("across", F.lit(0))).cast("long").alias("n_links"), "component")), figures
+    out = members.select("id", "least", (F.col("size") - 1).alias("inside")).join(across, "id", "left").join(component.select(F.col("node").alias("least"), "component"), "least", "left")
+    found = stash(out.select("id", (F.col("inside") + F.coalesce("across", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "least").alias("component")))
+    release(blocks, counted, members, across)
+    return found, figures
+
+
+def embedding_links(vectors: DataFrame, threshold: float = 0.9, lists: int = LIST, rounds: int = 16, least_rounds: int = 4, recall: float = 0.97, least_recall: float = 0.9, audit: int = QUERIES) -> tuple[DataFrame, dict]:
+    """((id, n_links, component) of each usable vector, audit figures by length)
+    of a table (vec_id, embedding)."""
+    units = vectors.select("vec_id", "embedding").mapInArrow(_units, "id long, dim int, unit binary")
+    usable = stash(units.groupBy("id").agg(F.min(F.struct("dim", "unit")).alias("x")).select("id", "x.*"))
+    options = {"lists": lists, "rounds": rounds, "least_rounds": least_rounds, "recall": recall, "least_recall": least_recall, "audit": audit}
+    out, figures = usable.where("false").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")), {}
+    for dim in sorted(r["dim"] for r in usable.groupBy("dim").count().where("count > 1").collect()):
+        links, figures[dim] = _links(usable.where(f"dim = {dim}").select("id", "unit"), dim, threshold, **options)
+        out = out.unionAll(links)
+    return out, figures
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, **options) -> DataFrame:
-    """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    links, _ = embedding_links(vectors, threshold, **options)
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept, and
+    recall, the audited recall of the search (of the worst length)."""
+    links, figures = embedding_links(vectors, threshold, **options)
     out = vectors.select("vec_id").join(links.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    recall = min((x["recall"] for x in figures.values()), default=1.0)
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(float(recall)).alias("recall"))

@@ -2,20 +2,25 @@
 
 A passage that quotes a license shrinks when it is compressed with that
 license's wording as dictionary. Every text is read whole, as a row of words,
-so neither line ends, blank lines nor comment marks matter. A template that has
-too many words which a text lacks can't be quoted there; each other template is
-sought at every word: standing in one piece, or with words changed, left out or
-put in. Passages of several templates that share their words compete: the one
-that explains most words wins, then the one in one piece, then the one that
-saves most bytes when zstandard compresses the passage once plain and once with
-the template as raw dictionary. All winners are returned.
+so neither line ends, blank lines nor comment marks matter. Candidate blocks of
+a template are the stretches that hold enough of its words, in one piece or with
+words changed, left out or put in; a template that has too many words which the
+whole text lacks has none. Each candidate block is compressed with zstandard
+once plain and once with each of its templates as raw dictionary. The bytes
+saved, less those of wording that the block lacks, rank all candidates of a
+text, and from the best on each is confirmed by its exact wording differences if
+more than half of its words belong to no better one. All winners are returned,
+with the words that are missing, inserted or replaced.
 
 A template of up to 20 words must be there whole, with at most ``SLACK`` words
 put in; a longer one may lack a tenth of its words, in their order.
 
 Defined results: a null or empty text has no notice; ``line`` is the line on
 which a notice starts and ``block`` the lines it stands on; repeated notices
-each count; a tie goes to the first name.
+each count; a tie goes to the first name; repeated rows and rows with a null
+doc_id each give their notices; an empty table gives none; only doc_id and text
+are read, so further columns don't matter. A text is held whole in memory, as a
+list of its words.
 """
 
 from __future__ import annotations
@@ -78,8 +83,8 @@ TEMPLATES = {
 }
 SHORT, SLACK, LACKING = 20, 20, 0.1
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-_RESULT = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("license", pa.string()), ("exact", pa.bool_()), ("missing", pa.int32()), ("saved", pa.int32()), ("block", pa.string())])
-_RESULT_SQL = "doc_id long, line int, license string, exact boolean, missing int, saved int, block string"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("license", pa.string()), ("exact", pa.bool_()), ("missing", pa.int32()), ("saved", pa.int32()), ("block", pa.string()), ("differences", pa.list_(pa.struct([("kind", pa.string()), ("template", pa.string()), ("found", pa.string())])))])
+_RESULT_SQL = "doc_id long, line int, license string, exact boolean, missing int, saved int, block string, differences array<struct<kind:string,template:string,found:string>>"
 
 
 def _words(text: str) -> list[str]:
@@ -101,12 +106,38 @@ def _common(masks: dict[str, int], n: int, words: list[str]) -> list[int]:
     return out
 
 
+def differences(template: list[str], found: list[str]) -> list[dict[str, str]]:
+    """Words missing, inserted and replaced on the way from a template to what
+    was found, along a longest common subsequence."""
+    n, m = len(template), len(found)
+    left = [[0] * (m + 1) for _ in range(n + 1)]  # common words of what follows
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            left[i][j] = left[i + 1][j + 1] + 1 if template[i] == found[j] else max(left[i + 1][j], left[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n or j < m:
+        a, b = i, j
+        while i < n and j < m and template[i] == found[j]:
+            i, j = i + 1, j + 1
+        if i > a:
+            continue
+        while (i < n or j < m) and not (i < n and j < m and template[i] == found[j]):
+            if j == m or (i < n and left[i + 1][j] >= left[i][j + 1]):
+                i += 1
+            else:
+                j += 1
+        kind = "replaced" if i > a and j > b else "missing" if i > a else "inserted"
+        out.append({"kind": kind, "template": " ".join(template[a:i]), "found": " ".join(found[b:j])})
+    return out
+
+
 class Template:
     """One wording, and where it stands in a row of words."""
 
     def __init__(self, name: str, text: str):
         self.name, self.words = name, _words(text)
         self.n = len(self.words)
+        self.bytes_a_word = len(text.encode()) / max(1, self.n)
         self.needs = Counter(self.words)
         self.allowed = 0 if self.n <= SHORT else int(LACKING * self.n)
         self.length = self.n + max(SLACK, self.n // 5)
@@ -214,24 +245,24 @@ class Templates:
         self.all = [Template(name, text) for name, text in sorted(texts.items())]
         self.own = {name: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in texts.items()}
 
-    def notices(self, text: str) -> list[tuple[int, str, bool, int, int, str]]:
-        """(line, template, exact, missing words, bytes saved, block) of each notice of a text."""
+    def notices(self, text: str) -> list[tuple]:
+        """(line, template, exact, missing words, bytes saved, block, differences) of each notice of a text."""
         low = text.lower()
         words = _WORD.findall(low)
         has = set(words)
         likely = [t for t in self.all if t.possible(has)]
         if not likely:
             return []
-        found = [(t, *p) for t in likely for p in t.passages(words)]
-        if not found:
+        blocks = [(t, *p) for t in likely for p in t.passages(words)]
+        if not blocks:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
         rivals = []
-        for t, s, e, missing in found:
+        for t, s, e, missing in blocks:
             raw = low[spans[s][0] : spans[e - 1][1]].encode("utf-8", "replace")
             saved = len(self.plain.compress(raw)) - len(self.own[t.name].compress(raw))
             exact = missing == 0 and words[s:e] == t.words
-            rivals.append((-(t.n - 3 * missing), not exact, -saved, t.name, s, e, missing, t))
+            rivals.append((missing * t.bytes_a_word - saved, not exact, -saved, t.name, s, e, missing, t))
         rivals.sort(key=lambda r: r[:6])
         claimed, out = bytearray(len(words)), []
         for _, inexact, saved, name, s, e, missing, t in rivals:
@@ -250,17 +281,17 @@ class Templates:
                     need[words[i]] -= 1
                     claimed[i], last = 1, max(last, i)
             e = last + 1
-            out.append((s, e, name, not inexact, missing, -saved))
+            out.append((s, e, name, not inexact, missing, -saved, [] if not inexact else differences(t.words, words[s:e])))
         lines, rows = text.split("\n"), []
         ends = [i for i, c in enumerate(low) if c == "\n"]
-        for s, e, name, exact, missing, saved in sorted(out):
+        for s, e, name, exact, missing, saved, differs in sorted(out, key=lambda r: r[:6]):
             first, last = bisect_left(ends, spans[s][0]), bisect_left(ends, spans[e - 1][0])
-            rows.append((first, name, exact, missing, saved, "\n".join(lines[first : last + 1])))
+            rows.append((first, name, exact, missing, saved, "\n".join(lines[first : last + 1]), differs))
         return rows
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, line, license, exact, missing, saved, block) of each confirmed
+    """(doc_id, line, license, exact, missing, saved, block, differences) of each confirmed
     notice; ``exact`` when the template's words stand there in one piece."""
     if len(templates) > 10_000:
         raise ValueError("every task holds all templates")
@@ -272,6 +303,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 rows += [(doc_id, *hit) for hit in own.notices(text.as_py() or "")]
-            yield batch(_RESULT, *([r[i] for r in rows] for i in range(7)))
+            yield batch(_RESULT, *([r[i] for r in rows] for i in range(8)))
 
     return docs.select("doc_id", "text").mapInArrow(run, _RESULT_SQL)

@@ -8,7 +8,9 @@ number, content), and looks up, for its own length and up to t less, the
 substrings that can be such a segment (the length-aware windows of the
 published segment-join method). Lines that meet are compared by sixteen letter
 counts, which t edits can change by no more than 2 t in all, then by banded
-edit distance; Spark's ``levenshtein`` with a threshold stops outside the band.
+bit-parallel edit distance: for each number of edits up to t, the bits of one
+number tell which of the 2 t + 1 diagonals of the band can be reached, and a
+character moves all of them at once.
 
 A line is removed if an equal line, or one within ``max_edits`` edits, stands
 earlier, by (doc_id, line number). Lengths are counted without outer blanks:
@@ -16,7 +18,9 @@ equal lines are folded from ``exact_chars`` characters, lines that differ are
 compared from ``min_chars``, since two edits make other words of a short line.
 Lines under both, and blank lines, are never removed. Defined results: a null or
 empty text has no such line; documents with a null doc_id are left alone; rows
-of one doc_id count as one document, so equal rows of it lose the same lines.
+of one doc_id count as one document, so equal rows of it lose the same lines; an
+empty table gives an empty one; further columns pass through, whatever their
+names; a line may be of any length.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import release, stash
+from ._store import free_name, release, stash
 
 MAX_EDITS, MIN_CHARS, EXACT_CHARS = 2, 30, 1
 _LETTERS = "eantirsohdlucmpg"
@@ -94,6 +98,49 @@ def _apart(a: Column, b: Column) -> Column:
     return sum((circle(k) for k in range(1, len(_LETTERS))), circle(0))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _characters(line: Column) -> Column:
+    """A line's characters, four bytes each."""
+    wide = F.encode(line, "UTF-32")
+    return _let(wide, lambda w: F.transform(F.sequence(F.lit(0), (F.octet_length(w) / 4).cast("int") - 1), lambda i: F.substr(w, i * 4 + 1, F.lit(4))))
+
+
+def within_edits(a: Column, b: Column, t: int) -> Column:
+    """Whether two lines, not empty, differ by at most ``t`` edits. Bit d of
+    number e is set if the first j + d - t characters of one line can be made
+    from the first j of the other with e edits."""
+    mask = (1 << (2 * t + 1)) - 1
+
+    def step(x: Column, y: Column):
+        def move(reached: Column, j: Column) -> Column:
+            same, out = F.lit(0), []
+            for d in range(2 * t + 1):
+                same = same.bitwiseOR(F.when(F.get(x, j + (d - t)) == F.get(y, j), F.lit(1 << d)).otherwise(0))
+            for e in range(t + 1):
+                now = reached[f"e{e}"].bitwiseAND(same)
+                if e:  # a character replaced, put in or left out
+                    fewer = reached[f"e{e - 1}"]
+                    now = now.bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(mask))
+                out.append(now)
+            return F.struct(*(v.alias(f"e{e}") for e, v in enumerate(out)))
+
+        return move
+
+    start = F.struct(*(F.lit(((1 << (e + 1)) - 1) << t).alias(f"e{e}") for e in range(t + 1)))
+
+    def reached(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        end = F.size(x) - F.size(y) + t
+        last = F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), start, step(x, y), lambda r: r[f"e{t}"])
+        return (end >= 0) & (end <= 2 * t) & (F.call_function("shiftright", last, end).bitwiseAND(F.lit(1)) == 1)
+
+    return _let(F.struct(_characters(a).alias("x"), _characters(b).alias("y")), reached)
+
+
 def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` of which the id may be among ``ids``: a bitmap of 2**24 hashed
     ids, two megabytes whatever their number, is broadcast, so that only texts
@@ -119,7 +166,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
     asked = _among(distinct.select("id", "rank", "line"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left = asked.select(F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("line").alias("line_a"))
     right = asked.select(F.col("id").alias("b"), F.col("rank").alias("rank_b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", max_edits) >= 0)
+    both = pairs.join(left, "a").join(right, "b").where(within_edits(F.col("line_a"), F.col("line_b"), max_edits))
     later = both.select(F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
     fate = stash(distinct.select("id", "k1", "k2", "rank").join(later.withColumn("near", F.lit(True)), "id", "left").drop("id"))
     release(distinct, pairs)
@@ -136,9 +183,10 @@ def removed_by_document(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars:
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``docs`` with redundant lines gone from the text. A document that had
     text and loses all but blanks is dropped; all others stay."""
-    removed = removed_by_document(docs, max_edits, min_chars, exact_chars).withColumnRenamed("removed", "_removed_lines")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_removed_lines", i)), "\n")
+    name = free_name(docs.columns, "_removed_lines")
+    removed = removed_by_document(docs, max_edits, min_chars, exact_chars).withColumnRenamed("removed", name)
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(name, i)), "\n")
     out = docs.join(removed, "doc_id", "left")
-    text = F.when(F.col("_removed_lines").isNull(), F.col("text")).otherwise(kept)
-    out = out.withColumn("text", text).where(F.col("_removed_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(kept)
+    out = out.withColumn("text", text).where(F.col(name).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(docs.columns)

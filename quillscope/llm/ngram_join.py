@@ -35,8 +35,9 @@ joins that make pairs have that bound in their condition. Counts of members in
 Every link counts only after its exact intersection.
 
 Defined results: a null or empty text has no shingles, size 0 and its own
-doc_id as component; fewer than five words are one shingle; a null doc_id gives
-a null component unless it is linked; repeated rows each give a row; an empty
+doc_id as component; fewer than five words are one shingle; a row with a null
+doc_id has the component of rows with an equal set, a set that only such rows
+have links with nothing and has a null component; repeated rows each give a row; an empty
 table gives an empty one; only doc_id and text are read, so further columns
 don't matter. A text is held whole in memory, some 100 bytes for each of its words.
 """

@@ -6,9 +6,12 @@ root is a conjunctive rule; a lasso logistic regression weighs the rules and
 drops most; what is left is compiled into one Spark column expression.
 
 Defined results: a null or empty text has all statistics 0; rows with a null
-doc_id or label are not learnt from, and of rows of one doc_id that disagree
-label 1 wins; without training rows of both classes the score is their rate
-(1/2 without rows).
+doc_id or label are not learnt from, documents that repeat a doc_id are learnt
+from once, and where labels of one doc_id disagree label 1 wins; without
+training rows of both classes the score is their rate (1/2 without rows); an
+empty table gives an empty table; a column that has the score's name is replaced
+by the score, all others pass through. A text is held whole in memory, some 100
+bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -194,4 +197,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
 def score_quality(docs: DataFrame, model: RuleModel, score: str = "quality_score") -> DataFrame:
     """``docs`` with a column ``score``, a probability from 0 to 1."""
-    return text_statistics(docs, "_stat_").withColumn(score, model.column("_stat_")).select(*docs.columns, score)
+    docs, prefix = docs.drop(score), "_stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return text_statistics(docs, prefix).withColumn(score, model.column(prefix)).select(*docs.columns, score)

@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import shared_dir, stash
-
+from ._store import release, shared_dir, stash
 from .decontaminate import find_contained
 from .embedding_dedup import near_duplicate_vectors
 from .license_scan import scan_licenses
@@ -18,7 +17,7 @@ from .ngram_join import ngram_components
 from .quality_rules import fit_quality, score_quality
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
-from .token_counts import TokenRollup, count_tokens, signed
+from .token_counts import TokenRollup, count_tokens, count_words, revised, signed
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -45,18 +44,47 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+def _rolled_up(spark: SparkSession, docs: DataFrame, labels: DataFrame, other: DataFrame) -> DataFrame:
+    """Totals after inserts under two tokenizer versions, the deletion of all
+    documents that a label calls toxic, and revised counts of all documents
+    without their digits; with retries before and after compaction."""
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    words, redacted = count_words(docs), count_words(docs, text=F.regexp_replace("text", "[0-9]", ""))
+    rollup.commit("load", signed(words, 1))
+    rollup.commit("load", signed(words, 1))  # a retry counts nothing twice
+    rollup.commit("second version", signed(other, 1))
+    rollup.compact()
+    rollup.commit("load", signed(words, 1))  # final by now
+    rollup.commit("redaction", revised(words, redacted))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    rollup.commit("takedown", signed(redacted.unionAll(other).join(toxic, "doc_id", "left_semi"), -1))
+    rollup.compact()
+    totals = stash(rollup.totals())
+    rollup.drop()
+    return totals
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of words and of tokens of a public tokenizer."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
     counts = stash(count_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, "byte_bpe_50k"))
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    rollup.commit("load", signed(counts, 1))
-    rollup.commit("load", signed(counts, 1))  # a retry counts nothing twice
-    return rollup.totals()
+    totals = _rolled_up(spark, docs, table(spark, sf_dir, "labels"), counts)
+    release(counts)
+    return totals
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same course of batches with two versions that SQL can count: words
+    and bytes."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    other = docs.select("doc_id", "source", "lang", F.lit("bytes").alias("tokenizer"), size.alias("tokens"))
+    return _rolled_up(spark, docs, table(spark, sf_dir, "labels"), other)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +94,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("differences", F.to_json("differences"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +109,13 @@ def _lines_removed(docs: DataFrame, exact_chars: int) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of 30 characters or more, as its SQL has it."""
-    return _lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS)
+    """Equal lines of every length, and nearly equal ones of 30 characters or more."""
+    return _lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), EXACT_CHARS)
 
 
-def op9_line_dedup_every_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal lines of every length besides."""
-    return _lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), EXACT_CHARS)
+def long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 30 characters or more alone."""
+    return _lines_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,15 +128,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_token_counts": op5_token_counts,
+    "token_rollup_words": token_rollup_words,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scan": op7_license_scan,
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
-    "op9_line_dedup_every_length": op9_line_dedup_every_length,
+    "long_line_dedup": long_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS j FROM x JOIN f USING (s) WHERE doc_id > least),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM d),
+r AS (SELECT k.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY k.j) AS t FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.j = k.j WHERE g.j IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(r.kept, 0))::BIGINT AS n_removed, sha256(coalesce(r.t, '')) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+""",
+    "op4_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c::BIGINT AS component_id, m.c = vec_id AS kept
+FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id
+""",
+    "token_rollup_words": r"""
+WITH k AS (SELECT * FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+c AS (SELECT source, lang, 'words' AS tokenizer, coalesce(len(regexp_extract_all(regexp_replace(text, '[0-9]', '', 'g'), '[^\x20\x09-\x0D]+')), 0) AS tokens FROM k
+      UNION ALL SELECT source, lang, 'bytes', coalesce(octet_length(encode(text)), 0) FROM k)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens FROM c GROUP BY source, lang, tokenizer
+""",
     "op2_ngram_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -156,7 +212,7 @@ SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, any_value(
 FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING 4 * count(*) >= 3 * any_value(n.n_item)
 """,
-    "op9_line_dedup": r"""
+    "long_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
@@ -169,7 +225,7 @@ SELECT c.doc_id, coalesce(len(string_split(c.text, chr(10))), 0)::BIGINT AS n_li
        coalesce(string_agg(r.pos::VARCHAR, ',' ORDER BY r.pos), '') AS removed_lines
 FROM documents c LEFT JOIN r ON c.doc_id = r.doc_id GROUP BY c.doc_id, c.text
 """,
-    "op9_line_dedup_every_length": r"""
+    "op9_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),

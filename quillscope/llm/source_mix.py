@@ -2,14 +2,17 @@
 
 Tokens are summed by source and hash bucket, the bucket in which a source's
 budget ends is found with a running sum, and only that bucket is split by the
-next bits of the hash, level by level, down to single hash values. A document
+next bits of the hash, level by level, until it holds one hash value. A document
 is then taken by comparing its hash with its source's threshold: no sort over
-documents, and thresholds of growing budgets are nested.
-
-Defined results: a null text has size 0; null sources form one source, last in
-order; a null doc_id hashes as the empty string; repeated rows are taken or
-left together; an empty table gives an empty result. Columns of the input
-other than those named are not read, so clashing names do no harm.
+documents, and thresholds of growing budgets are nested. Sources are ranked in
+ranges, and their common level is found by a few sums, so there may be many.
+
+Defined results: a null text has size 0, and a document of size 0 is taken no
+oftener than all of its source are; null sources form one source, last in order;
+a null doc_id hashes as the empty string; repeated rows and documents of one
+doc_id are taken or left together; an empty table gives an empty result; texts
+of any length are counted in one pass. Other columns pass through, but for one
+that has the name of the column of copies, which is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import stash
+from ._store import free_name, release, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVELS = 10, 6
@@ -34,21 +37,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
     With sources in order, the weights repeat; targets share the sum of all
     sizes by weight, none above ``cap`` times its source's size. In order of
-    size per weight, the capped sources are a prefix: the level after k capped
-    ones is what remains over the weights that remain, and the first level that
-    its own source doesn't exceed holds for all that follow.
+    size per weight, the capped sources are a prefix: a level of the sum over the
+    weights caps those below it, which raises the level, until no more are.
     """
-    rank = Window.orderBy("skey")
-    before = Window.orderBy("room", "skey").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int"))
-    out = sizes.withColumn("weight", weight.cast("long")).withColumn("room", cap * F.col("source_size") / F.col("weight"))
-    out = out.withColumns({"all_size": F.sum("source_size").over(every), "all_weight": F.sum("weight").over(every), "used": F.coalesce(F.sum("source_size").over(before), F.lit(0)), "gone": F.coalesce(F.sum("weight").over(before), F.lit(0))})
-    level = (F.col("all_size") - cap * F.col("used")) / (F.col("all_weight") - F.col("gone"))
-    out = out.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("room"))
-    first = F.min_by("level", F.when(F.col("fits"), F.struct("room", "skey"))).over(every)
-    out = out.withColumn("share", first * F.col("weight"))
-    return out.select("skey", "source_size", "weight", F.when(F.col("share").isNull() | (F.col("share") > cap * F.col("source_size")), cap * F.col("source_size")).otherwise(F.col("share")).alias("target"))
+    ranged = stash(sizes.repartitionByRange("skey").withColumn("part", F.spark_partition_id()))
+    ahead = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    ahead = ahead.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("ahead"))  # a row per partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("skey")) + F.col("ahead")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((place - 1) % len(weights) + 1).cast("int")).cast("long")
+    ranked = stash(ranged.join(ahead, "part").select("skey", "source_size", weight.alias("weight")))
+    release(ranged)
+    limit = cap * F.col("source_size")
+    every = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level, used, gone = 0.0, 0, 0
+    while every["weight"] and every["weight"] > gone:
+        level = (every["size"] - cap * used) / (every["weight"] - gone)
+        over = ranked.where(limit / F.col("weight") < F.lit(level)).agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+        if (over["weight"] or 0) == gone:
+            break
+        used, gone = over["size"], over["weight"]
+    share = F.lit(level) * F.col("weight")
+    return ranked.select("skey", "source_size", "weight", F.when(share > limit, limit).otherwise(share).alias("target"))
 
 
 def _source_key() -> Column:
@@ -65,44 +74,53 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     """One row per source: skey, source_size, target, whole (copies of every
     document) and below (hashes under it get one copy more)."""
     part = lambda level: F.shiftright("h", BITS * (LEVELS - 1 - level)).bitwiseAND((1 << BITS) - 1)
-    histogram = stash(sized.groupBy("skey", part(0).alias("bucket")).agg(F.sum("size").alias("tokens")), 1)
+    counted = lambda rows, level: rows.groupBy("skey", part(level).alias("bucket")).agg(F.sum("size").alias("tokens"), F.min("h").alias("low"), F.max("h").alias("high"))
+    histogram = stash(counted(sized, 0))
     targets = source_targets(histogram.groupBy("skey").agg(F.sum("tokens").alias("source_size")), weights, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    # below: every hash under it is taken; base: the tokens of those
-    edge = stash(goals.withColumns({"below": F.lit(0).cast("long"), "base": F.lit(0).cast("long")}), 1)
+    # below: every hash under it is taken; base: the tokens of those; split: whether the bucket that starts there is to be split
+    edge = stash(goals.withColumns({"below": F.lit(0).cast("long"), "base": F.lit(0).cast("long"), "split": F.lit(True)}))
     running = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for level in range(LEVELS):
         width = BITS * (LEVELS - 1 - level)
         if level:
-            near = sized.join(edge.select("skey", "below"), "skey").where(F.shiftright("h", width + BITS) == F.shiftright("below", width + BITS))
-            histogram = near.groupBy("skey", part(level).alias("bucket")).agg(F.sum("size").alias("tokens"))
+            todo = edge.where("split").select("skey", "below")
+            if todo.isEmpty():
+                break
+            histogram = counted(sized.join(todo, "skey").where(F.shiftright("h", width + BITS) == F.shiftright("below", width + BITS)), level)
         summed = histogram.withColumn("upto", F.sum("tokens").over(running)).join(edge.select("skey", "rest", "base"), "skey")
-        # at the last level a bucket is one hash: it is taken if that brings the sum nearer
-        done = F.col("base") + F.col("upto") - (F.col("tokens") / 2 if not width else F.lit(0)) <= F.col("rest")
-        taken = summed.withColumn("done", done).groupBy("skey").agg(F.coalesce(F.min(F.when(~F.col("done"), F.col("bucket"))), F.lit(1 << BITS)).alias("bucket"), F.max(F.when(F.col("done"), F.col("upto"))).alias("upto"))
-        step = (F.coalesce(F.col("bucket"), F.lit(0)) * (1 << width)).cast("long")
-        edge = stash(edge.join(taken, "skey", "left").select(*goals.columns, (F.col("below") + step).alias("below"), (F.col("base") + F.coalesce(F.col("upto"), F.lit(0))).alias("base")), 1)
+        # a bucket of one hash is taken if that brings the sum nearer
+        one = F.col("low") == F.col("high")
+        done = F.col("base") + F.col("upto") - F.when(one, F.col("tokens") / 2).otherwise(F.lit(0)) <= F.col("rest")
+        open_ = F.struct("bucket", (~one).alias("more"))
+        taken = summed.withColumn("done", done).groupBy("skey").agg(F.min(F.when(~F.col("done"), open_)).alias("open"), F.max(F.when(F.col("done"), F.col("upto"))).alias("upto"))
+        seen = F.col("open").isNotNull() | F.col("upto").isNotNull()
+        step = F.when(seen, F.coalesce(F.col("open.bucket"), F.lit(1 << BITS)) * (1 << width)).otherwise(0).cast("long")
+        old, edge = edge, stash(edge.join(taken, "skey", "left").select(*goals.columns, (F.col("below") + step).alias("below"), (F.col("base") + F.coalesce(F.col("upto"), F.lit(0))).alias("base"), F.coalesce("open.more", F.lit(False)).alias("split")))
+        release(old)
     return edge.select("skey", "source_size", "target", "whole", "below")
 
 
-def _copies(h: Column) -> Column:
-    return F.col("whole") + (h < F.col("below")).cast("long")
+def _copies(some: Column, h: Column, whole: Column, below: Column) -> Column:
+    """Copies of a document; ``some``: it has words."""
+    return whole + (some & (h < below)).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
     sized = sizes(docs)
     out = sized.join(thresholds(sized, weights, cap), "skey")
-    copies = _copies(F.col("h"))
+    copies = _copies(F.col("size") > 0, F.col("h"), F.col("whole"), F.col("below"))
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, copies: str = "copies") -> DataFrame:
     """The rows of ``docs`` that the mix takes, with how often it takes them.
     The thresholds, a row per source, meet the texts where they are read."""
-    edge = thresholds(sizes(docs), weights, cap).select(F.col("skey").alias("_mix_source"), "whole", "below")
-    edge = edge.select("_mix_source", F.struct("whole", "below").alias("_mix_edge"))
-    out = docs.withColumn("_mix_source", _source_key()).join(edge, "_mix_source")
-    n = F.col("_mix_edge.whole") + (hash60(F.col("doc_id")) < F.col("_mix_edge.below")).cast("long")
-    return out.select(*docs.columns, n.alias(copies)).where(F.col(copies) > 0)
+    docs = docs.drop(copies)
+    source, edge, n = (free_name(docs.columns, x) for x in ("_mix_source", "_mix_edge", copies))
+    edges = thresholds(sizes(docs), weights, cap).select(F.col("skey").alias(source), F.struct("whole", "below").alias(edge))
+    some = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    out = docs.withColumn(source, _source_key()).join(edges, source)
+    return out.withColumn(n, _copies(some, hash60(F.col("doc_id")), F.col(edge).whole, F.col(edge).below)).where(F.col(n) > 0).select(*docs.columns, n)

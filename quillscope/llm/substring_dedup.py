@@ -5,23 +5,30 @@ corpus, only those that start at anchors are sorted. An anchor is the run of
 ``gram`` words of least hash within a window of ``length`` words, so two equal
 windows have the same anchor at the same place, and about one word in twenty is
 one. Suffixes are partitioned by their first ``gram`` words; prefixes that only
-one document has are dropped before any text moves. Each task takes whole
-prefix groups up to a memory budget, sorts their suffixes by word and derives
-the common prefixes of neighbours, which is the group's suffix tree: under a
-node of depth d lie the suffixes that share d words. A window that starts a
-words before its anchor is repeated where leaves under a node of depth
-``length`` - a share the a words before it as well, and each of its leaves is
-compared with the smallest doc_id there. Groups of more than ``group_rows``
-suffixes are split by the longest prefix instead, the whole window, and need no
-tree: the smallest doc_id of each is an aggregate.
+one document has are dropped before any text moves. A group of more than
+``group_rows`` suffixes is split by more words: its windows are dealt into ranges
+of 16 by the number of words before the anchor, then of 4 and at last of 1, and
+the words that all windows of a range have in common, 34 at least, then 46, then
+all 50, are the range's prefix. Only groups that are still too large go on to
+the next length.
+
+Each task takes whole prefix groups up to a memory budget, sorts their suffixes
+by word and derives the common prefixes of neighbours, which is the group's
+suffix tree: under a node of depth d lie the suffixes that share d words. A
+window that starts a words before its anchor is repeated where leaves under a
+node of depth ``length`` - a share the a words before it as well, and each of its
+leaves is compared with the smallest doc_id there. A group whose prefix is the
+whole window is one such node: its smallest doc_id is an aggregate.
 
 Documents of equal word sequences are folded first. Every removal is judged on
-the input. Word hashes have 64 bits; longest prefixes and folding use 128.
+the input. Word hashes have 64 bits; whole windows and folding use 128.
 
 Defined results: a null or empty text has no words and keeps the empty text;
 documents of fewer than ``length`` words lose nothing; a document loses nothing
 to itself or to rows of the same doc_id; with a null doc_id nothing is removed
-and nothing is lost to it.
+and nothing is lost to it; an empty table gives an empty one; only doc_id and
+text are read, so further columns don't matter. A text is held whole in memory,
+some 200 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -40,22 +47,29 @@ from ._text import Words, batch, constants, mix, text_slices, words
 LENGTH, GRAM = 50, 8
 # a suffix takes some 400 bytes, and as much again for each of three sorted copies
 GROUP_ROWS = 20_000
+WIDTHS = (16, 4, 1)
 TREE_BYTES = 24 << 20
 
 
-def _sums(h: np.ndarray, span: int, seed: int) -> np.ndarray:
-    """Hash of each run of ``span`` words (runs may cross texts)."""
+def _upto(h: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of word hashes up to each word, and what undoes the weight
+    of a first word: two lookups give the hash of any run of words."""
     with np.errstate(over="ignore"):
-        # powers of an odd number: prefix sums give every run in two lookups
-        base = constants(1, seed)[0]
+        base = constants(1, seed)[0]  # odd, so its powers have inverses
         power = np.full(len(h) + 1, base, np.uint64)
         power[0] = 1
         power = np.multiply.accumulate(power)
         inverse = np.full(len(h) + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
         inverse[0] = 1
         inverse = np.multiply.accumulate(inverse)
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(seed)) * power[:-1], dtype=np.uint64)])
-        n = max(0, len(h) - span + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(seed)) * power[:-1], dtype=np.uint64)]), inverse
+
+
+def _sums(h: np.ndarray, span: int, seed: int) -> np.ndarray:
+    """Hash of each run of ``span`` words (runs may cross texts)."""
+    upto, inverse = _upto(h, seed)
+    n = max(0, len(h) - span + 1)
+    with np.errstate(over="ignore"):
         return mix((upto[span : span + n] - upto[:n]) * inverse[:n])
 
 
@@ -123,37 +137,67 @@ def _scan(length: int, gram: int):
     return run
 
 
-_SUFFIX = pa.schema([("gram", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("first", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("text", pa.string())])
-_SUFFIX_SQL = "gram long, h1 long, h2 long, doc_id long, d1 long, first int, off int, n int, text string"
+_CUT_SQL = "doc_id long, d1 long, gram long, more long, at int, first int, last int"
+_CUT = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("gram", pa.int64()), ("more", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+
+
+def _suspects(column: pa.Array, w: Words, digest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, gram, anchor, first, last) of a slice's suspects, in words of the
+    slice; rows that share a doc_id keep those of their own text."""
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
+    flat = column.flatten()
+    d1, gram, at, first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+    own = d1 == digest[row]
+    row, zero = row[own], w.first[row[own]]
+    return row, gram[own], at[own] + zero, first[own] + zero, last[own] + zero
+
+
+def _cut(length: int, gram: int, width: int):
+    """Suspects dealt into ranges of ``width`` numbers of words before the
+    anchor; a range's key hashes the words that all its windows have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for base, data, offsets in text_slices(b.column("text")):
+                w = words(data, offsets)
+                digest, _ = _digests(w)
+                row, key, at, first, last = _suspects(b.column("suspects").slice(base, len(offsets) - 1), w, digest)
+                low = (at - last) // width
+                n = (at - first) // width - low + 1
+                which = np.repeat(np.arange(len(row)), n)
+                before = (low[which] + np.arange(len(which)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)) * width
+                row, key, at, first, last = (x[which] for x in (row, key, at, first, last))
+                s, e = at - before, at + length - np.minimum(before + width - 1, length - gram)
+                keys = []
+                with np.errstate(over="ignore"):
+                    for seed in (19, 23):
+                        upto, inverse = _upto(w.hashes, seed)
+                        keys.append(mix(mix((upto[e] - upto[s]) * inverse[s]) + mix(key.view(np.uint64) + before.astype(np.uint64))).view(np.int64))
+                zero = w.first[row]
+                ids = b.column("doc_id").slice(base, len(offsets) - 1).cast(pa.int64()).take(pa.array(row))
+                lo, hi = np.maximum(first, at - before - width + 1), np.minimum(last, at - before)
+                yield batch(_CUT, ids, digest[row], *keys, *((x - zero).astype(np.int32) for x in (at, lo, hi)))
+
+    return run
+
+
+_SUFFIX = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("first", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("text", pa.string())])
+_SUFFIX_SQL = "gram long, doc_id long, d1 long, first int, off int, n int, text string"
 
 
 def _suffixes(length: int):
-    """Texts of the suffixes to sort, and whole windows of large groups."""
+    """Texts of the suffixes to sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, data, offsets in text_slices(b.column("text")):
                 w = words(data, offsets)
                 digest, _ = _digests(w)
-                h1, h2 = _sums(w.hashes, length, 19), _sums(w.hashes, length, 23)
+                row, key, at, first, last = _suspects(b.column("suspects").slice(base, len(offsets) - 1), w, digest)
                 raw = data.tobytes()
-                rows: list[tuple] = []
-                for r in range(len(offsets) - 1):
-                    doc_id, zero = b.column("doc_id")[base + r].as_py(), int(w.first[r])
-                    for x in b.column("suspects")[base + r].as_py():
-                        if x["d1"] != digest[r]:
-                            continue
-                        s, e = zero + x["first"], zero + x["last"]
-                        if x["hot"]:
-                            rows += [(None, int(h1[i]), int(h2[i]), doc_id, x["d1"], i - zero, None, 1, None) for i in range(s, e + 1)]
-                        else:
-                            text = raw[w.starts[s] : w.ends[e + length - 1]].decode()
-                            rows.append((x["gram"], None, None, doc_id, x["d1"], x["first"], x["at"] - x["first"], x["last"] - x["first"] + 1, text))
-                if rows:
-                    h = np.array([(r[1] or 0, r[2] or 0) for r in rows], np.uint64).view(np.int64)
-                    cols = list(zip(*rows, strict=True))
-                    none = np.array([c is None for c in cols[1]])
-                    yield batch(_SUFFIX, cols[0], pa.array(h[:, 0], mask=none), pa.array(h[:, 1], mask=none), *cols[3:])
+                text = [raw[s:e].decode() for s, e in zip(w.starts[first], w.ends[last + length - 1], strict=True)]
+                ids = b.column("doc_id").slice(base, len(offsets) - 1).cast(pa.int64()).take(pa.array(row))
+                yield batch(_SUFFIX, key, ids, digest[row], *(x.astype(np.int32) for x in (first - w.first[row], at - first, last - first + 1)), text)
 
     return run
 
@@ -241,23 +285,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     scan = stash(docs.mapInArrow(_scan(length, gram), f"doc_id long, n_words long, d1 long, d2 long, anchors {_ANCHOR_SQL}"))
     folded = scan.where(F.col("n_words") >= length).groupBy("n_words", "d1", "d2").agg(F.min("doc_id").alias("original"))
+    folded = stash(folded)
     named = scan.join(folded, ["n_words", "d1", "d2"])
     copies = named.where("doc_id > original").select("doc_id", "d1", F.lit(0).alias("first"), (F.col("n_words") - length).cast("int").alias("last"))
     copies = stash(copies)
-    anchors = stash(named.where("doc_id = original").select("doc_id", "d1", F.explode("anchors").alias("x")).select("doc_id", "d1", "x.*"))
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram", (F.col("rows") > group_rows).alias("hot"))
-    suspects = anchors.join(grams, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("d1", "gram", "at", "first", "last", "hot")).alias("suspects"))
-    suffixes = stash(docs.join(suspects, "doc_id").mapInArrow(_suffixes(length), _SUFFIX_SQL))
-    release(scan, anchors)
-    cut = suffixes.where("gram is not null")
+    fits = stash(named.where("doc_id = original").select("doc_id", "d1", F.explode("anchors").alias("x")).select("doc_id", "d1", "x.*"))
+    release(scan, folded)
+
+    def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Keys that several documents have, written so that a join with rows
+        of a frequent key can be split."""
+        counts = rows.groupBy(keys).agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        return stash(counts.where("low < high").select(*keys, "low", (F.col("rows") > group_rows).alias("large")))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "gram", "at", "first", "last")).alias("suspects"))
+        return docs.join(listed, "doc_id")
+
+    columns = ["doc_id", "d1", "gram", "at", "first", "last"]
+    grams = shared(fits, ["gram"])
+    marked = fits.join(grams, "gram")
+    suspects, rest, deep = marked.where("not large").select(columns), marked.where("large").select(columns), None
+    for width in WIDTHS:
+        if grams.where("large").isEmpty():
+            break
+        cut = stash(with_texts(rest).mapInArrow(_cut(length, gram, width), _CUT_SQL))
+        if width == 1:  # each group is a node of full depth
+            least = shared(cut, ["gram", "more"])
+            deep = stash(cut.join(least, ["gram", "more"]).where("doc_id > low").select("doc_id", "d1", "first", "last"))
+            break
+        grams = shared(cut, ["gram"])
+        marked = cut.join(grams, "gram")
+        suspects, rest = suspects.unionAll(marked.where("not large").select(columns)), marked.where("large").select(columns)
+    suffixes = stash(with_texts(suspects).mapInArrow(_suffixes(length), _SUFFIX_SQL))
+    release(fits)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    trees = cut.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_trees(length), _SPAN_SQL)
-    windows = suffixes.where("gram is null").select("h1", "h2", "doc_id", "d1", "first")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    deep = windows.join(least, ["h1", "h2"]).where("doc_id > low").select("doc_id", "d1", "first", F.col("first").alias("last"))
-    trees, deep = stash(trees), stash(deep)
+    trees = stash(suffixes.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_trees(length), _SPAN_SQL))
     release(suffixes)
-    return copies.unionAll(trees).unionAll(deep)
+    found = copies.unionAll(trees)
+    return found if deep is None else found.unionAll(deep)
 
 
 def _apply(length: int, columns: list[str]):

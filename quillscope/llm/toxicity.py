@@ -73,11 +73,14 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     if len(data) <= 2 * SLICE:
         yield data, offsets
         return
-    overlap = 4 * max(SIZES)
+    overlap = 4 * max(SIZES) + 4
     for a in range(0, len(data), SLICE):
         piece = data[a : a + SLICE + overlap]
-        head = int(np.argmax((piece[:4] & 0xC0) != 0x80))
-        yield piece[head:], np.array([0, len(piece) - head])
+        first = np.flatnonzero((piece & 0xC0) != 0x80)  # where characters start
+        if a + len(piece) < len(data) and len(first):
+            piece = piece[: first[-1]]  # the last may be cut
+        piece = piece[first[0] if len(first) else 0 :]
+        yield piece, np.array([0, len(piece)])
 
 
 def _present(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -47,3 +47,13 @@ def test_neighbours_are_told_apart(spark):
         got.setdefault(r.doc_id, []).append((r.license, r.exact, r.missing))
     assert [got[2 * k] for k in range(len(due))] == [[x] for x in due]
     assert all(x[0][:2] == (due[k // 2][0], False) and len(x) == 1 for k, x in got.items() if k % 2)
+
+
+def test_differences(spark):
+    words = TEMPLATES["mit-full"].split()
+    changed = [*words[:5], "costless", *words[6:20], "foo", *words[20:30], *words[31:]]
+    r = scan_licenses(make(spark, [[1, " ".join(changed), "s"]])).first()
+    got = [(d.kind, d.template, d.found) for d in r.differences]
+    assert r.license == "mit-full" and not r.exact and r.missing == 2
+    assert got == [("replaced", "of", "costless"), ("inserted", "", "foo"), ("missing", words[30].strip('(",").').lower(), "")]
+    assert all(r.differences == [] for r in scan_licenses(make(spark, [[1, TEMPLATES["isc"], "s"], [None, TEMPLATES["isc"], None]])).collect())

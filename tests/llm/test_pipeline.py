@@ -82,3 +82,28 @@ def test_pipeline(spark, tmp_path):
 
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.text, r.n_chars, r.copies) for r in got} == {i: (texts[i], len(texts[i]), n) for i, n in copies.items()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _toxicity string, copies string, _removed_lines string"
+
+
+def write(spark, folder, docs):
+    spark.createDataFrame([(i, t, "en", s, 0, "a", "b", "c") for i, t, s in docs], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").where(f"{bool(docs)}").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "an item of nine words that nobody else has")], "item_id long, text string").where(f"{bool(docs)}").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing names, and empty tables."""
+    item = "an item of nine words that nobody else has"
+    docs = [(1, "some words of the first document", "s"), (1, "some words of the first document", "s"), (None, "a text without number", None), (None, item, None), (2, None, "s"), (3, "", "s"), (4, "before " + item, "s"), (5, "some words of the first document", "s")]
+    write(spark, tmp_path / "a", docs)
+    out = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    assert out.columns == [c for c in SCHEMA.replace(" string", "").replace(" long", "").split(", ") if c != "copies"] + ["copies"]
+    rows = out.collect()
+    texts = sorted((r.doc_id or 0, r.text or "") for r in rows)
+    assert (0, "a text without number") in texts and all(item not in t for _, t in texts)
+    assert [i for i, _ in texts].count(1) <= 2 and 5 not in [i for i, _ in texts]
+    assert all(r._toxicity == "a" and r._removed_lines == "c" and 1 <= r.copies <= 3 for r in rows)
+    write(spark, tmp_path / "b", [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
