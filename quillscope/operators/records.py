@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .extraction import cell_count
 
 
 def _yes(x: Column) -> Column:
@@ -45,24 +46,9 @@ def title_first(shapes: Column) -> Column:
     return _yes(F.get(content, F.lit(0))["is_title"])
 
 
-def column_number(letters: Column) -> Column:
-    """AA is 27."""
-    codes = F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: F.ascii(c) - 64)
-    return F.aggregate(codes, F.lit(0), lambda n, c: n * 26 + c)
-
-
-def cells_of(ref: Column) -> Column:
-    """How many cells a reference like A1:D20 spans; 0 if it is none."""
-    r = F.upper(F.trim(F.coalesce(ref, F.lit(""))))
-    part = lambda k: F.regexp_extract(r, "^([A-Z]+)(\\d+)(?::([A-Z]+)(\\d+))?$", k)
-    columns = F.abs(column_number(part(3)) - column_number(part(1))) + 1
-    rows = F.abs(part(4).try_cast("long") - part(2).try_cast("long")) + 1
-    return F.when(part(1) == "", 0).when(part(3) == "", 1).otherwise(columns * rows)
-
-
 def used_cells(ref: Column, held: Column) -> Column:
     """The larger of what a sheet declares and what it holds."""
-    return F.greatest(cells_of(ref), F.coalesce(held, F.lit(0)))
+    return F.greatest(cell_count(F.coalesce(ref, F.lit(""))), F.coalesce(held, F.lit(0)))
 
 
 def link_texts(links: DataFrame, cells: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, numbers, text, urls
-from ..operators import checklist, extraction, fleet, format_scoring, lifecycle, reports, scoring, web_scoring
+from ..operators import extraction, fleet, format_scoring, lifecycle, reports, scoring, web_scoring
 from ..sources import web
 from . import adapters as A
 from .adapters import table
@@ -343,11 +343,6 @@ def pdf_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "status", F.size("failures").alias("n_failures"))
 
 
-@query()
-def pdf_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checklist.checklist_summary(A.pdf_records(spark, sf_dir))
-
-
 @query("""SELECT conv_id, turn, CASE WHEN trim(x) = '' THEN 'unnamed_file' ELSE trim(x) END AS stored FROM (
  SELECT conv_id, turn, regexp_replace(substr(regexp_extract(rtrim(regexp_replace(text, '\\s', ' ', 'g'), '/'), '([^/]*)$', 1), 1, 255), '[^a-zA-Z0-9._ -]', '_', 'g') AS x FROM conversations WHERE text IS NOT NULL)""")
 def stored_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:

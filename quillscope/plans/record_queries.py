@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, text, urls
-from ..operators import fleet, format_scoring, plan, records, reports, scoring, web_scoring
+from ..operators import checklist, extraction, fleet, format_scoring, plan, records, reports, scoring, web_scoring
 from . import adapters as A
+from ..sources import files
 from .adapters import table
 from .queries import query
 
@@ -61,7 +62,7 @@ _REF = "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'B' || p_size WHEN 2 THE
   greatest(CASE WHEN x.a = '' THEN 0 WHEN x.c = '' THEN 1 ELSE (abs(c2 - c1) + 1) * (abs(try_cast(x.d AS BIGINT) - try_cast(x.b AS BIGINT)) + 1) END, p_size)::BIGINT AS used FROM n""")
 def sheet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("ref", F.expr(_REF))
-    return p.select("p_partkey", records.cells_of(c("ref")).cast("long").alias("declared"), records.used_cells(c("ref"), c("p_size")).cast("long").alias("used"))
+    return p.select("p_partkey", extraction.cell_count(F.coalesce("ref", F.lit(""))).cast("long").alias("declared"), records.used_cells(c("ref"), c("p_size")).cast("long").alias("used"))
 
 
 _CELLS = "SELECT DISTINCT l_orderkey AS doc_id, 'C' || l_linenumber AS ref, first_value(CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE ' v' || l_partkey END) OVER w AS text, first_value(CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 3 END) OVER w AS style FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey)"
@@ -320,3 +321,97 @@ def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def third_table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of 25 rows of the table of publications, worst grade first."""
     return reports.table_page(A.publications(spark, sf_dir), "grade", 2, 25, descending=True).select("doc_id", "grade")
+
+
+_RUNS = "user_id AS shape, event_id AS ord, CASE WHEN event_id % 4 > 0 THEN 'r' || event_id % 2 END AS link, 't' || event_id % 10 AS text"
+
+
+@query(f"""WITH e AS (SELECT {_RUNS} FROM events), m AS (SELECT *, sum(CASE WHEN prev IS NOT DISTINCT FROM link AND n > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY shape ORDER BY ord) AS run FROM (SELECT *, lag(link) OVER w AS prev, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY shape ORDER BY ord)))
+ SELECT shape, link, string_agg(text, '' ORDER BY ord) AS text, min(ord) AS first FROM m WHERE link IS NOT NULL GROUP BY shape, run, link""")
+def merged_link_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.merged_runs(table(spark, sf_dir, "events").selectExpr(*(x.strip() for x in _RUNS.split(", "))), "shape", "ord", "link", "text")
+
+
+_BOX = "l_orderkey AS doc_id, l_linenumber AS page, l_partkey AS link_id, CAST(l_suppkey % 50 * 10 AS DOUBLE) AS x0, CAST(l_suppkey % 50 * 10 + l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 7 * 10 AS DOUBLE) AS y0, CAST(l_suppkey % 7 * 10 + 12 AS DOUBLE) AS y1"
+_ANCHOR = "l_orderkey AS doc_id, l_linenumber AS page, l_suppkey AS pos, 's' || l_suppkey AS str, CAST(l_partkey % 500 AS DOUBLE) AS x, CAST(l_partkey % 70 AS DOUBLE) AS y"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT {_BOX} FROM lineitem), a AS (SELECT DISTINCT {_ANCHOR} FROM lineitem)
+ SELECT b.doc_id, b.page, link_id, coalesce(string_agg(str, ' ' ORDER BY pos, str) FILTER (x BETWEEN x0 - 5 AND x1 + 5 AND y BETWEEN y0 - 5 AND y1 + 5), '') AS text FROM b LEFT JOIN a ON a.doc_id = b.doc_id AND a.page = b.page GROUP BY b.doc_id, b.page, link_id""")
+def link_box_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return extraction.link_texts(li.selectExpr(*_BOX.split(", ")).distinct(), li.selectExpr(*_ANCHOR.split(", ")).distinct())
+
+
+@query("""SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS annotation FROM lineitem WHERE l_linenumber <> 3 AND (l_orderkey, l_partkey) NOT IN (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_suppkey % 2 = 0)""")
+def unclaimed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    notes = li.select(c("l_orderkey").alias("doc_id"), c("l_partkey").alias("annotation"), (c("l_linenumber") == 3).alias("hidden"))
+    return extraction.unclaimed(notes, li.where("l_suppkey % 2 = 0").select(c("l_orderkey").alias("doc_id"), c("l_partkey").alias("annotation"))).select("doc_id", "annotation").distinct()
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, unnest(range(1, (p_partkey % 30)::INT + 1)) AS i FROM part), v AS (SELECT k, i, (k * i) % 9 AS n FROM r WHERE (k * i) % 9 > 0),
+ w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, i) AS place FROM v),
+ t AS (SELECT k, count(*) AS rules, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (place <= 3), 0)::BIGINT AS three, string_agg('c' || i || ':' || n, ',' ORDER BY place) FILTER (place <= 20) AS top FROM w GROUP BY k)
+ SELECT p_partkey, p_partkey % 2 = 0 AS passed, coalesce(rules, 0)::INT AS distinct_rules, CASE WHEN p_partkey % 3 = 0 THEN 100 ELSE coalesce(total, 0) END::BIGINT AS total_failures, coalesce(top, '') AS failures,
+ CASE WHEN p_partkey % 3 = 0 THEN coalesce(three, 0) / 100.0::DOUBLE WHEN total > 0 THEN three / total::DOUBLE END AS top3_share FROM part LEFT JOIN t ON t.k = p_partkey""")
+def validator_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("p_partkey")
+    rules = F.transform(F.filter(F.sequence(F.lit(1), F.lit(30)), lambda i: i <= k % 30), lambda i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("clause"), (k * i % 9).cast("long").alias("count")))
+    report = F.struct((k % 2 == 0).alias("compliant"), F.when(k % 3 == 0, F.lit(100).cast("long")).alias("failedChecks"), rules.alias("rules"))
+    p = table(spark, sf_dir, "part").select("p_partkey", report.alias("r"))
+    v = extraction.validator_verdict(c("r"))
+    v["failures"] = F.array_join(F.transform(v["failures"], lambda x: F.concat(x["clause"], F.lit(":"), x["count"].cast("string"))), ",")
+    return p.select("p_partkey", *(x.alias(n) for n, x in v.items()))
+
+
+@query(f"""WITH {A.categories_sql()} SELECT doc_id, id, CASE id WHEN 'text_extractability' THEN '1.1.1,1.3.1' WHEN 'title_language' THEN '2.4.2,3.1.1' WHEN 'heading_structure' THEN '1.3.1,2.4.6' WHEN 'alt_text' THEN '1.1.1' WHEN 'bookmarks' THEN '2.4.5' WHEN 'table_markup' THEN '1.3.1' WHEN 'link_quality' THEN '2.4.4' END AS criteria FROM cat""")
+def criteria_of_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.with_criteria(A.category_results(spark, sf_dir)).select("doc_id", "id", F.array_join("criteria", ",").alias("criteria"))
+
+
+@query("""SELECT '"' || replace(p_name || ', "' || p_partkey || '"', '"', '""') || '",' || CASE WHEN p_partkey % 3 = 0 THEN chr(39) || '=1+1' WHEN p_partkey % 3 = 1 THEN '' ELSE chr(39) || '@x' END || ',' || p_size AS line FROM part""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(', "'), c("p_partkey").cast("string"), F.lit('"')).alias("a"), F.when(c("p_partkey") % 3 == 0, "=1+1").when(c("p_partkey") % 3 == 2, "@x").alias("b"), "p_size")
+    return reports.export_csv(p, ["a", "b", "p_size"])
+
+
+@query(f"""WITH {A.categories_sql()} SELECT doc_id, id FROM cat WHERE (score IS NOT NULL AND score + doc_id % 9 * 20 - 60 NOT BETWEEN 0 AND 100) OR (score IS NOT NULL AND doc_id % 4 = 0)""")
+def broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cats = A.category_results(spark, sf_dir).withColumns({"score": (c("score") + c("doc_id") % 9 * 20 - 60).cast("int"), "not_assessed": c("doc_id") % 4 == 0})
+    return reports.profile_invariants(cats).select("doc_id", "id")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name || CASE p_partkey % 6 WHEN 0 THEN '.PDF' WHEN 1 THEN '.tsv' WHEN 2 THEN '.Doc' WHEN 3 THEN '.x.xlsx' WHEN 4 THEN '.zip' ELSE '' END AS f, (p_partkey * 7919 % 100003) * (p_partkey % 5 * 900 + 1) AS n FROM part)
+ SELECT k AS p_partkey, k % 6 IN (0, 3) AS supported, CASE k % 6 WHEN 1 THEN 'csv' WHEN 2 THEN 'doc' END AS unsupported, CASE WHEN length(repeat(f, 6)) > 80 THEN substr(repeat(f, 6), 1, 79) || '…' ELSE repeat(f, 6) END AS short, '&lt;a href=&quot;' || k || '&quot;&gt;&amp;&#39;' AS escaped,
+ CASE k % 3 WHEN 0 THEN '1.' || k WHEN 1 THEN '2.0.' || k END AS version, upper(lpad(printf('%x', (k % 256)::INT), 6, '0')) AS rgb,
+ CASE WHEN n >= 1073741824 THEN printf('%.1f', floor(n / 1073741824.0::DOUBLE * 10 + 0.5) / 10) || ' GB' WHEN n >= 1048576 THEN printf('%.1f', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) || ' MB' WHEN n >= 1024 THEN printf('%.1f', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' ELSE n || ' B' END AS size,
+ k % 4 IN (0, 1) AS safe FROM p""")
+def names_and_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("p_partkey")
+    pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", pick(".PDF", ".tsv", ".Doc", ".x.xlsx", ".zip", "")).alias("f"), (k * 7919 % 100003 * (k % 5 * 900 + 1)).alias("n"))
+    version = F.when(k % 3 == 0, F.concat(F.lit("tool 1."), k.cast("string"), F.lit(" beta"))).when(k % 3 == 1, F.concat(F.lit("v2.0."), k.cast("string"))).otherwise("none")
+    return p.select(
+        "p_partkey", files.supported(c("f")).alias("supported"), files.unsupported_format(c("f")).alias("unsupported"), text.shorten(F.repeat("f", F.lit(6))).alias("short"), text.html_escape(F.concat(F.lit('<a href="'), k.cast("string"), F.lit("\">&'"))).alias("escaped"),
+        text.first_version(version).alias("version"), color.argb_hex(F.concat(F.lit("ff"), F.lpad(F.lower(F.hex(k % 256)), 6, "0"))).alias("rgb"), text.file_size(c("n")).alias("size"), urls.safe_http(F.concat(pick("https://a.b/", "HTTP://c/", "javascript:", "/"), k.cast("string"))).alias("safe"),
+    )
+
+
+_OF = "CASE WHEN {n} = 0 THEN 'passed' WHEN {bad} THEN 'failed' ELSE 'passed' END"
+_BAD = lambda n, m: f"len(list_filter(range(1, k % {n} + 1), lambda i: (k + i) % {m} = 0)) > 0"
+_NC = lambda n: f"CASE WHEN k % {n} = 0 THEN 'passed' ELSE 'not_computed' END"
+_RULES = [
+    ("CASE WHEN k % 11 = 0 THEN 'failed' ELSE 'passed' END", "FALSE"), ("CASE WHEN txt OR tree THEN 'passed' ELSE 'failed' END", "FALSE"), ("CASE WHEN tree THEN 'passed' ELSE 'failed' END", "tree AND k % 4 = 0"), ("'manual'", "FALSE"),
+    ("CASE WHEN lang THEN 'passed' ELSE 'failed' END", "FALSE"), ("CASE WHEN k % 4 = 2 THEN 'passed' ELSE 'failed' END", "FALSE"), ("CASE WHEN pages < 21 OR outlines > 0 THEN 'passed' ELSE 'failed' END", "pages < 21"), ("'manual'", "FALSE"), ("'failed'", "FALSE"),
+    (f"CASE WHEN k % 4 = 0 THEN 'passed' WHEN NOT tree OR {_BAD(4, 4)} THEN 'failed' ELSE 'passed' END", "k % 4 = 0"), ("'failed'", "FALSE"), ("'passed'", "TRUE"), *[("'passed'", "TRUE")] * 4, ("CASE WHEN k % 4 < 3 THEN 'passed' ELSE 'failed' END", "k % 4 = 0"),
+    (_NC(3), "k % 3 = 0"), (_OF.format(n="k % 3", bad="labelled < k % 3"), "k % 3 = 0"), (_OF.format(n="k % 4", bad="alts < figs"), "k % 4 = 0"), (_NC(4), "k % 4 = 0"), (_NC(4), "k % 4 = 0"), (_NC(4), "k % 4 = 0"), ("'not_computed'", "FALSE"),
+    (_OF.format(n="k % 3", bad=_BAD(3, 6)), "k % 3 = 0"), (_NC(3), "k % 3 = 0"), (_OF.format(n="k % 3", bad=_BAD(3, 4)), "k % 3 = 0"), (_OF.format(n="k % 3", bad=_BAD(3, 8)), "k % 3 = 0"), ("'skipped'", "FALSE"),
+    (_NC(2), "k % 2 = 0"), (_OF.format(n="k % 2", bad="k % 5 = 0"), "k % 2 = 0"), (_OF.format(n="k % 5", bad="jump"), "k % 5 = 0"),
+]
+
+
+@query(f"""WITH {A.PDF_RECORDS}, s AS (SELECT doc_id, [{", ".join(a for a, _ in _RULES)}] AS st, [{", ".join(b for _, b in _RULES)}] AS va FROM q)
+ SELECT doc_id, {", ".join(f"len(list_filter(st, lambda x: x = '{n}'))::BIGINT AS {n}" for n in ("passed", "failed", "manual", "skipped", "not_computed"))}, len(list_filter(range(1, 33), lambda i: st[i] = 'passed' AND va[i]))::BIGINT AS vacuous_passes, len(st)::BIGINT AS total FROM s""")
+def pdf_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checklist.checklist_summary(A.pdf_records(spark, sf_dir))
