@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MOST_ENTRIES, MOST_TOTAL, MOST_PART = 10_000, 512 << 20, 30 << 20
 _HEADING = re.compile(r"(?i)^heading\s*([1-6])$")
@@ -169,3 +170,44 @@ def office_records(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, f"path string, kind string, error string, record {_SQL}")
+
+
+_NO_CONTRAST = "CAST(NULL AS struct<checked:int,unresolved:int,failing:array<struct<ratio:double>>>)"
+
+
+def _common(records: DataFrame, kind: str) -> tuple[DataFrame, dict[str, Column]]:
+    rows = records.where(F.col("kind") == kind)
+    r = F.col("record")
+    images = F.transform(r["images"], lambda i: F.struct(i["alt"].alias("altText"), i["decorative"].alias("decorative")))
+    links = F.transform(r["links"], lambda t: F.struct(t.alias("text"), F.lit(True).alias("resolved")))
+    return rows, {"title": r["title"], "language": r["language"], "images": images, "links": links, "contrast": F.expr(_NO_CONTRAST), "realItems": r["real"], "manualItems": r["manual"]}
+
+
+def docx_analysis(records: DataFrame) -> DataFrame:
+    """Records of ``office_records`` as ``schemas.DOCX`` rows, keyed by path: a
+    file that couldn't be read isn't ok; what the reader doesn't look for (headings
+    that only look so, layout tables, contrast) is left open."""
+    rows, common = _common(records, "docx")
+    r = F.col("record")
+    tables = F.transform(r["tables"], lambda t: F.struct(t["header"].alias("hasHeaderRow"), t["rows"].alias("rowCount"), t["columns"].alias("colCount"), F.lit(False).alias("nested"), F.lit(False).alias("layout")))
+    ok = F.col("error").isNull()
+    own = {"documentOk": ok, "stylesOk": ok, "coreOk": ok, "headings": r["headings"], "fakeHeadings": F.lit(0), "tables": tables}
+    return rows.select(F.col("path").alias("doc_id"), *(v.alias(k) for k, v in (common | own).items()))
+
+
+def pptx_analysis(records: DataFrame) -> DataFrame:
+    """The same as ``schemas.PPTX``; a slide's title is taken to be read first."""
+    rows, common = _common(records, "pptx")
+    r = F.col("record")
+    slides = F.transform(r["names"], lambda n: F.struct(F.nullif(n, F.lit("")).alias("title"), F.lit(False).alias("hidden"), F.lit(True).alias("titleFirst")))
+    tables = F.transform(r["tables"], lambda t: F.struct(t["header"].alias("hasHeaderRow"), t["rows"].alias("rowCount"), t["columns"].alias("colCount")))
+    return rows.select(F.col("path").alias("doc_id"), *(v.alias(k) for k, v in (common | {"slides": slides, "tables": tables, "hasMedia": F.lit(False)}).items()))
+
+
+def xlsx_analysis(records: DataFrame) -> DataFrame:
+    """The same as ``schemas.XLSX``; cells aren't counted, so a sheet has none."""
+    rows, common = _common(records, "xlsx")
+    r = F.col("record")
+    sheets = F.transform(r["names"], lambda n: F.struct(n.alias("name"), F.lit(False).alias("hidden"), F.lit(0).alias("cells"), F.lit(False).alias("hasTable"), F.lit(False).alias("hasPivot")))
+    tables = F.transform(r["tables"], lambda t: F.struct(t["header"].alias("hasHeaderRow"), t["columns"].alias("columnCount")))
+    return rows.select(F.col("path").alias("doc_id"), *(v.alias(k) for k, v in (common | {"sheets": sheets, "tables": tables, "valuedCells": F.lit(None).cast("int")}).items()))

@@ -38,6 +38,36 @@ def test_office_records(spark):
     assert got["e.xlsx"].kind == "xlsx" and got["e.xlsx"].record.names == ["Sheet1"]
 
 
+def test_from_bytes_to_grades(spark):
+    """Packages of each format, accessible and hostile ones, scored and judged."""
+    from quillscope.operators import format_scoring as fs
+    from quillscope.operators import scoring
+
+    A = 'xmlns:a="a" xmlns:p="p"'
+    core = '<c:coreProperties xmlns:c="c" xmlns:dc="d"><dc:title>A title</dc:title><dc:language>en-US</dc:language></c:coreProperties>'
+    para = lambda style, text: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+    image = lambda alt: f'<w:drawing><w:docPr id="1"{alt}/></w:drawing>'
+    good = para("Heading1", "One") + para("Heading2", "Two") + image(' descr="a map"') + "<w:tbl><w:tr><w:trPr><w:tblHeader/></w:trPr><w:tc/><w:tc/></w:tr><w:tr><w:tc/><w:tc/></w:tr></w:tbl><w:p><w:hyperlink><w:r><w:t>Annual report</w:t></w:r></w:hyperlink></w:p>"
+    bad = para("Heading3", "One") + para("Normal", "- typed") + image("") + "<w:tbl><w:tr><w:tc/><w:tc/></w:tr><w:tr><w:tc/><w:tc/></w:tr></w:tbl><w:p><w:hyperlink><w:r><w:t>here</w:t></w:r></w:hyperlink></w:p>"
+    doc = lambda body, more: package({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>"} | more)
+    slide = lambda title, alt: f'<p:sld {A}><p:sp><p:nvPr><p:ph type="title"/></p:nvPr><a:t>{title}</a:t></p:sp><p:pic><p:cNvPr id="1"{alt}/></p:pic></p:sld>'
+    deck = lambda slides, more: package({"ppt/presentation.xml": "<p:x xmlns:p='p'/>"} | {f"ppt/slides/slide{i + 1}.xml": x for i, x in enumerate(slides)} | more)
+    book = lambda name, more: package({"xl/workbook.xml": f'<workbook><sheets><sheet name="{name}"/></sheets></workbook>'} | more)
+    table = lambda head: {"xl/tables/table1.xml": f'<table headerRowCount="{head}"><tableColumn/><tableColumn/></table>'}
+    meta = {"docProps/core.xml": core}
+    files_ = [("a.docx", doc(good, meta)), ("b.docx", doc(bad, {})), ("a.pptx", deck([slide("One", ' descr="a"'), slide("Two", ' descr="b"')], meta)), ("b.pptx", deck([slide("", ' descr=""'), slide("", ' descr=""')], {})), ("a.xlsx", book("Budget", meta | table(1))), ("b.xlsx", book("Sheet1", table(0)))]
+    records = office.office_records(spark.createDataFrame(files_, "path string, content binary"))
+    got, verdicts = {}, {}
+    for analysis, categories, gate in ((office.docx_analysis, fs.docx_categories, fs.docx_conformance), (office.pptx_analysis, fs.pptx_categories, fs.pptx_conformance), (office.xlsx_analysis, fs.xlsx_categories, fs.xlsx_conformance)):
+        rows = analysis(records)
+        got |= {r.doc_id: (r.overall_score, r.grade) for r in scoring.report(scoring.nest(categories(rows))).collect()}
+        verdicts |= {r.doc_id: (r.status, sorted(f.criterion for f in r.failures)) for r in gate(rows).collect()}
+    assert all(score >= 90 for name, (score, _) in got.items() if name[0] == "a"), got
+    assert all(got[f"b.{k}"][0] <= 79 for k in ("docx", "pptx", "xlsx")) and got["b.docx"][1] == "F", got
+    assert {k: v[0] for k, v in verdicts.items()} == {n: "fail" if n[0] == "b" else "no-automated-failures" for n in got}
+    assert verdicts["b.docx"][1] == ["1.1.1", "1.3.1", "2.4.2", "3.1.1"]
+
+
 def test_formats_by_content(spark):
     ole = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 600
     rows = [(1, b"{\\rtf1"), (2, ole + "WordDocument".encode("utf-16-le")), (3, ole + "Book".encode("utf-16-le")), (4, ole), (5, b"%PDF-1.7"), (6, None)]
