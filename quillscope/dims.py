@@ -79,3 +79,10 @@ UNDERSTANDING_BASE, QUICKREF = "https://www.w3.org/WAI/WCAG22/Understanding/", "
 # Colors of grades and severities on dark and on light grounds.
 SEVERITY_COLORS = {"Pass": ("#22c55e", "#15803d"), "No issues found": ("#22c55e", "#15803d"), "Minor": ("#3b82f6", "#1d4ed8"), "Moderate": ("#eab308", "#946005"), "Critical": ("#ef4444", "#b91c1c")}
 GRADE_COLORS = {"A": ("#22c55e", "#15803d"), "B": ("#14b8a6", "#0f766e"), "C": ("#eab308", "#946005"), "D": ("#f97316", "#c2410c"), "F": ("#ef4444", "#b91c1c")}
+# Media types of the formats.
+MEDIA_TYPES = {
+    "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+}

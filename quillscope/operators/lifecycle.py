@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import severity_of, severity_rank
+
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The last row of each key. ``max_by`` aggregates before the shuffle, so a
@@ -94,3 +96,19 @@ def islands(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     new = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & F.lag(order).over(w).isNotNull(), 0).otherwise(1)
     marked = rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w))
     return marked.groupBy(group, "island", value).agg(F.min(order).alias("first"), F.count("*").alias("length"))
+
+
+def outcome_order(outcomes: DataFrame) -> DataFrame:
+    """Outcomes of each document in two lists: categories still flagged, worst
+    first, and those that got better, by how much."""
+    flagged = F.col("after") < 100
+    better = F.col("disposition").isin("fixed", "improved")
+    rows = F.collect_list(F.when(flagged, F.struct((-severity_rank(severity_of(F.col("after")))).alias("r"), F.col("id").alias("id"))))
+    gains = F.collect_list(F.when(better, F.struct((F.col("before") - F.col("after")).alias("d"), F.col("id").alias("id"))))
+    ids = lambda x: F.transform(F.array_sort(x), lambda y: y["id"])
+    return outcomes.groupBy("doc_id").agg(ids(rows).alias("flagged"), ids(gains).alias("improved"))
+
+
+def recent_states(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Jobs of the last hours by status."""
+    return jobs.where(F.col("created_at") > now - F.expr(f"interval {hours} hours")).groupBy("status").agg(F.count("*").alias("n"))

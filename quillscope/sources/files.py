@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..dims import EXTENSIONS
+from ..dims import EXTENSIONS, MEDIA_TYPES
 from ..functions.text import strip
 
 
@@ -36,6 +36,15 @@ def supported(name: Column) -> Column:
     return F.coalesce(F.lower(name).rlike(r"\.(" + "|".join(EXTENSIONS) + ")$"), F.lit(False))
 
 
+def accepted(name: Column, media_type: Column, enabled: tuple[str, ...] = EXTENSIONS) -> Column:
+    """Whether an upload passes the first test: the media type or the extension
+    of a format that is enabled."""
+    out = F.lit(False)
+    for fmt in enabled:
+        out = out | F.coalesce(F.lower(media_type) == MEDIA_TYPES[fmt], F.lit(False)) | F.coalesce(F.lower(name).endswith("." + fmt), F.lit(False))
+    return out
+
+
 def unsupported_format(name: Column) -> Column:
     """doc, xls, ppt, rtf or csv by the last extension; null otherwise."""
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -60,13 +69,21 @@ def inventory(lines: DataFrame, category: str | None = None, most: int | None =
     return out
 
 
-def publication_file(spark: SparkSession, path: str) -> DataFrame:
-    """Publications of a JSON file: a list, or one under ``publications`` or
-    ``data.publications``."""
-    item = "array<struct<id:string,title:string,slug:string,fileURL:string,publicationDate:string,pubType:string,summary:string,tags:array<string>>>"
-    text = spark.read.text(path, wholetext=True)
+_PUBLICATIONS = "array<struct<id:string,title:string,slug:string,fileURL:string,publicationDate:string,pubType:string,summary:string,tags:array<string>>>"
+
+
+def publication_file(spark: SparkSession, path: str, page_size: int | None = None) -> DataFrame:
+    """Publications of JSON files: a list, or one under ``publications`` or
+    ``data.publications``. A folder holds the pages of a paged source by name; with
+    ``page_size`` the first page that is shorter is the last. Of rows with one id
+    the last stays; only files that can be audited count."""
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("page"))
     j = lambda schema: F.from_json("value", schema)
-    found = F.coalesce(F.when(F.ltrim(strip(F.col("value"))).startswith("["), j(item)), j(f"publications {item}")["publications"], j(f"data struct<publications:{item}>")["data"]["publications"])
-    rows = text.select(F.posexplode(found).alias("pos", "p")).select("pos", "p.*").where(supported(F.col("fileURL")))
-    # of rows with one id the last value stays
-    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "pos").alias("r")).select("id", "r.*").drop("pos")
+    found = F.coalesce(F.when(F.ltrim(strip(F.col("value"))).startswith("["), j(_PUBLICATIONS)), j(f"publications {_PUBLICATIONS}")["publications"], j(f"data struct<publications:{_PUBLICATIONS}>")["data"]["publications"])
+    pages = text.select("page", found.alias("found"))
+    if page_size is not None:
+        short = pages.where(F.coalesce(F.size("found"), F.lit(0)) < page_size).agg(F.min("page").alias("last"))  # one row
+        pages = pages.join(F.broadcast(short)).where(F.col("last").isNull() | (F.col("page") <= F.col("last"))).drop("last")
+    rows = pages.select("page", F.posexplode("found").alias("pos", "p")).select("page", "pos", "p.*").where(supported(F.col("fileURL")))
+    kept = [c for c in rows.columns if c not in ("id", "page", "pos")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*kept), F.struct("page", "pos")).alias("r")).select("id", "r.*")
