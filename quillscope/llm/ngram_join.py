@@ -395,7 +395,7 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
         return found
 
     def by_pivot(runs: DataFrame, pivot: DataFrame) -> DataFrame:
-        rows = runs.join(pivot, "sig").where("node <> pivot")
+        rows = runs.join(stash(pivot), "sig").where("node <> pivot")  # written, so that a join with a long run can be split
         pairs = rows.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("times"))
         return pairs.where(F.col("times") >= OFTEN).select("a", "b")
 
@@ -403,7 +403,7 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
         """Runs, with components, that still hold several components."""
         named = runs.join(connected(links), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         open_ = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-        return stash(named.join(open_, "sig"))
+        return stash(named.join(stash(open_), "sig"))
 
     first = stash(by_pivot(runs, runs.groupBy("sig").agg(F.min("node").alias("pivot"))))
     links = verified(first)
@@ -417,7 +417,7 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     rest = unsettled(links)
     release(runs)
     # what is left, exactly: members of different components of a run
-    lengths = rest.groupBy("sig").agg(F.count("*").alias("length"))
+    lengths = stash(rest.groupBy("sig").agg(F.count("*").alias("length")))
     own = F.shiftright("sig", 16).bitwiseAND(1) == F.col("odd")
     held = rest.join(lengths, "sig").join(size, "node").select("sig", "node", "component", "size", own.alias("own"), F.when(own, F.col("need0")).otherwise(F.col("need1")).alias("need"), (F.col("length") > SHORT).alias("long"), *BITS)
     kept = held = stash(held)
