@@ -254,10 +254,10 @@ def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.csv_field(F.col("text")).alias("field"))
 
 
-@query("""SELECT doc_id, count(*) FILTER (regexp_matches(line, '^\\s*([•‣◦⁃∙*-]|\\d+[.)])\\s+')) AS bullets, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
+@query("""SELECT doc_id, count(*) FILTER (regexp_matches(line, '^\\s*([•‣◦⁃∙*-]|\\d+[.)])\\s+')) AS bullets, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY doc_id""")
 def typed_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(F.filter(lines, text.manual_bullet)).cast("long").alias("bullets"), F.size(lines).cast("long").alias("n_lines"))
 
 
@@ -344,17 +344,17 @@ def pdf_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, CASE WHEN trim(x) = '' THEN 'unnamed_file' ELSE trim(x) END AS stored FROM (
- SELECT conv_id, turn, regexp_replace(substr(regexp_extract(rtrim(regexp_replace(text, '\\s', ' ', 'g'), '/'), '([^/]*)$', 1), 1, 255), '[^a-zA-Z0-9._ -]', '_', 'g') AS x FROM conversations WHERE text IS NOT NULL)""")
+ SELECT conv_id, turn, regexp_replace(substr(regexp_extract(rtrim(regexp_replace(coalesce(text, ''), '\\s', ' ', 'g'), '/'), '([^/]*)$', 1), 1, 255), '[^a-zA-Z0-9._ -]', '_', 'g') AS x FROM conversations)""")
 def stored_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").where("text is not null")
-    return t.select("conv_id", "turn", text.stored_filename(F.col("text")).alias("stored"))
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", text.stored_filename(F.coalesce("text", F.lit(""))).alias("stored"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_STRIP.format("coalesce(text, '')")}, '([.!?]["''”’)\\]]*)[\\s\\x0B]+([A-Z0-9“"‘(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS x FROM documents)
+ SELECT doc_id, array_to_string(x[1:2], ' ') AS summary, len(x) > 2 AS truncated FROM s""")
 def opening_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").where("text is not null")
-    s = text.sentences(F.col("text"))
-    return t.select("doc_id", F.array_join(F.slice(s, 1, 2), " ").alias("summary"), (F.size(s) > 2).alias("truncated"))
+    s = text.sentences(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(s, 1, 2), " ").alias("summary"), (F.size(s) > 2).alias("truncated"))
 
 
 @query("""SELECT event_id, CASE WHEN user_id * 997 // 86400 > 0 THEN (user_id * 997 // 86400) || 'd ' || (user_id * 997 % 86400 // 3600) || 'h ' || (user_id * 997 % 3600 // 60) || 'm ' || (user_id * 997 % 60) || 's'
@@ -407,6 +407,9 @@ def report_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", reports.situation(k == 0, status, F.col("grade"), F.col("categories")).alias("situation"))
 
 
-@query()
+@query(f"""{_REPORT}, j AS (SELECT doc_id, string_agg('{{"id":"' || id || '"' || coalesce(',"score":' || score, '') || coalesce(',"grade":"' || grade || '"', '') || coalesce(',"severity":"' || severity || '"', '') || ',"status":"'
+  || CASE WHEN score IS NULL THEN 'not-applicable' WHEN score >= 90 THEN 'pass' WHEN score >= 70 THEN 'minor' WHEN score >= 40 THEN 'moderate' ELSE 'fail' END || '"}}', ',' ORDER BY ord) AS cats,
+  coalesce(string_agg('"' || id || '"', ',' ORDER BY score, ord) FILTER (score < 90), '') AS steps FROM cat GROUP BY doc_id)
+ SELECT doc_id, '{{"score":{{"overall":' || overall_score || ',"grade":"' || grade || '"}},"categories":[' || cats || '],"prioritizedSteps":[' || steps || ']}}' AS json FROM report JOIN j USING (doc_id)""")
 def json_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.export_json(scoring.report(scoring.nest(A.category_results(spark, sf_dir))))
