@@ -302,18 +302,30 @@ def neighbour_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.islands(turns, "conv_id", "turn", "role").drop("island")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS request_id, ts AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ w AS (SELECT key, n, request_id, moment, [moment] AS held, TRUE AS admitted FROM r WHERE n = 1
+  UNION ALL SELECT key, n, request_id, moment, CASE WHEN len(k) < 3 THEN list_append(k, moment) ELSE k END, len(k) < 3 FROM (SELECT r.key, r.n, r.request_id, r.moment, list_filter(w.held, lambda x: x > r.moment - INTERVAL 1 DAY) AS k FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1))
+ SELECT key, request_id, moment AS at, admitted FROM w""")
 def admission_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.col("ts").alias("at"))
     return lifecycle.admissions(e, limit=3, seconds=86_400)
 
 
-@query()
+_LCS_ROW = "list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda acc, j: list_append(acc, CASE WHEN b[j[1]] = x[1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], acc[j[1]]) END), [0::BIGINT])"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey AS doc_id, (l_suppkey % 3)::INT AS page, list(l_linenumber::BIGINT ORDER BY l_partkey, l_linenumber) AS s, list(l_linenumber::BIGINT ORDER BY l_shipdate, l_linenumber) AS t FROM lineitem GROUP BY 1, 2),
+ c AS (SELECT doc_id, page, list_filter(s, lambda x: list_contains(t, x)) AS a, list_filter(t, lambda x: list_contains(s, x)) AS b, len(list_distinct(list_filter(s, lambda x: list_contains(t, x)))) AS n FROM p),
+ l AS (SELECT doc_id, page, n, list_reduce(list_transform(a, lambda x: [x]), lambda prev, x: {_LCS_ROW}, list_transform(range(0, len(b) + 1), lambda i: 0::BIGINT))[-1] / greatest(len(a), len(b))::DOUBLE AS sim FROM c WHERE n >= 2),
+ d AS (SELECT doc_id, list(sim * n ORDER BY page) AS parts, sum(n)::DOUBLE AS total, count(*) AS pages, list(page ORDER BY page) FILTER (sim < 0.8) AS drift FROM l GROUP BY doc_id),
+ e AS (SELECT *, list_reduce(parts, lambda x, y: x + y) / total AS f FROM d)
+ SELECT doc_id, CASE WHEN f >= 0.97 THEN 100 WHEN f >= 0.9 THEN 90 WHEN f >= 0.8 THEN 85 WHEN f >= 0.5 THEN 65 ELSE 30 END AS score, floor(f * 100 + 0.5)::INT AS similarity_pct, pages::INT AS pages_analyzed, coalesce(len(drift), 0)::INT AS pages_with_drift, coalesce(array_to_string(drift, ','), '') AS drift_pages FROM e""")
 def reading_order_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 3).cast("int").alias("page"), F.col("l_linenumber").cast("int").alias("mcid"), "l_shipdate", "l_partkey")
     orders = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, "mcid"))), lambda x: x["mcid"])
     pages = li.groupBy("doc_id", "page").agg(orders("l_partkey").alias("struct_order"), orders("l_shipdate").alias("stream_order"))
-    return scoring.reading_order(pages.withColumn("figures", F.array().cast("array<int>")))
+    out = scoring.reading_order(pages.withColumn("figures", F.array().cast("array<int>")))
+    return out.withColumn("drift_pages", F.array_join(F.col("drift_pages").cast("array<string>"), ","))
 
 
 _PDF_SCORES = """SELECT doc_id, 'text_extractability' AS id, CASE WHEN k % 11 = 0 THEN 0 WHEN txt AND tree THEN 100 WHEN txt THEN 50 WHEN tree THEN 25 ELSE 0 END AS score, FALSE AS not_assessed FROM q
