@@ -47,35 +47,34 @@ def _rank() -> Column:
     return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """1-based start and length of segment i (from 0) of a line of ``length``."""
-    base, rest = F.floor(length / parts), length % parts
-    start = 1 + i * base + F.greatest(F.lit(0), i - (parts - rest))
-    return start.cast("int"), (base + (F.lit(i) >= parts - rest).cast("int")).cast("int")
+def _with_segments(lines: DataFrame, t: int) -> DataFrame:
+    """``lines`` with the 1-based start and length of each of t + 1 segments, of
+    lines of their length and of up to t less: columns by (less, segment), so
+    that integers are worked out once for all keys."""
+    parts, columns = t + 1, {}
+    for less in range(t + 1):
+        base, even = F.expr(f"CAST((n - {less}) div {parts} AS INT)"), F.expr(f"CAST({parts} - (n - {less}) % {parts} AS INT)")
+        for i in range(parts):
+            columns[f"start{less}_{i}"] = 1 + i * base + F.greatest(F.lit(0), i - even)
+            columns[f"size{less}_{i}"] = base + (F.lit(i) >= even).cast("int")
+    return lines.withColumns(columns)
 
 
-def _part(start: Column, size: Column) -> Column:
-    """Characters of a line kept as four bytes each, so that a cut is an offset."""
-    return F.substr("wide", start * 4 - 3, size * 4)
+def _key(less: int, i: int, shift: int) -> Column:
+    """Of characters kept as four bytes each, so that a cut is an offset."""
+    start, size = F.col(f"start{less}_{i}"), F.col(f"size{less}_{i}")
+    return F.xxhash64(F.col("n") - less, F.lit(i), F.substr("wide", (start + shift) * 4 - 3, size * 4))
 
 
 def _filed(t: int) -> Column:
-    n, keys = F.col("n"), []
-    for i in range(t + 1):
-        keys.append(F.xxhash64(n, F.lit(i), _part(*_segment(n, i, t + 1))))
-    return F.array(*keys)
+    return F.array(*(_key(0, i, 0) for i in range(t + 1)))
 
 
 def _sought(t: int) -> Column:
-    own, keys = F.col("n"), []
-    for less in range(t + 1):
-        n = own - less
-        for i in range(t + 1):
-            start, size = _segment(n, i, t + 1)
-            for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                inside = (start + shift >= 1) & (start + shift + size <= own + 1)
-                keys.append(F.when(inside, F.xxhash64(n, F.lit(i), _part(start + shift, size))))
-    return F.array_compact(F.array(*keys))
+    """Substrings that can be a segment of a line of the same or a smaller
+    length. All lie inside a line of 2 t + 1 characters or more: a segment can
+    shift by its number to the left, and by those behind it to the right."""
+    return F.array(*(_key(less, i, shift) for less in range(t + 1) for i in range(t + 1) for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1)))
 
 
 def _letters() -> Column:
@@ -155,10 +154,12 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """(doc_id, pos) of each line that an earlier line makes redundant."""
+    if min_chars < 2 * max_edits + 1:
+        raise ValueError("lines that are compared by edits must have 2 * max_edits + 1 characters")
     lines = _lines(docs, max(1, min(min_chars, exact_chars)))
-    folded = lines.groupBy("k1", "k2").agg(F.min(_rank()).alias("rank"), F.first("line").alias("line"))
+    folded = lines.groupBy("k1", "k2", "line").agg(F.min(_rank()).alias("rank"))
     distinct = stash(folded.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "rank", F.length("line").alias("n"), _letters().alias("letters"), "line"))
-    wide = distinct.where(F.col("n") >= min_chars).select("id", "n", "letters", F.encode("line", "UTF-32").alias("wide"))
+    wide = _with_segments(distinct.where(F.col("n") >= min_chars).select("id", "n", "letters", F.encode("line", "UTF-32").alias("wide")), max_edits)
     filed = wide.select("id", "letters", F.explode(_filed(max_edits)).alias("key"))
     sought = wide.select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.explode(_sought(max_edits)).alias("key"))
     near = (F.col("id") != F.col("id2")) & (_apart(F.col("letters"), F.col("letters2")) <= 2 * max_edits)
