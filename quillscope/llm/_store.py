@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -44,6 +45,19 @@ def stash(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return back
 
 
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` of which the id may be among ``ids``: a bitmap of 2**24 hashed
+    ids, two megabytes whatever their number, is broadcast, so that only texts
+    that are asked for are shuffled. What it lets through too much, joins drop."""
+    spot = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 24)) + 1
+    mine, name = spot(ids.columns[0]), free_name(rows.columns, "_bucket")
+    bits = ids.groupBy(F.bitmap_bucket_number(mine).alias(name)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mine)).alias(name + "_bits"))
+    at = F.bitmap_bit_position(spot(key))
+    byte = F.conv(F.hex(F.substr(name + "_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn(name, F.bitmap_bucket_number(spot(key))).join(F.broadcast(bits), name)
+    return marked.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with as many underscores behind it as no column has."""
     low = {c.lower() for c in taken}

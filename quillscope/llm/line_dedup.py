@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import free_name, release, stash
+from ._store import among, free_name, release, stash
 
 MAX_EDITS, MIN_CHARS, EXACT_CHARS = 2, 30, 1
 _LETTERS = "eantirsohdlucmpg"
@@ -140,18 +140,6 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
     return _let(F.struct(_characters(a).alias("x"), _characters(b).alias("y")), reached)
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` of which the id may be among ``ids``: a bitmap of 2**24 hashed
-    ids, two megabytes whatever their number, is broadcast, so that only texts
-    that are asked for are shuffled. What it lets through too much, joins drop."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) + 1
-    bits = ids.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
-    at = F.bitmap_bit_position(spot)
-    byte = F.conv(F.hex(F.substr("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = rows.withColumn("bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "bucket")
-    return marked.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
-
-
 def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """(doc_id, pos) of each line that an earlier line makes redundant."""
     if min_chars < 2 * max_edits + 1:
@@ -164,7 +152,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
     sought = wide.select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.explode(_sought(max_edits)).alias("key"))
     near = (F.col("id") != F.col("id2")) & (_apart(F.col("letters"), F.col("letters2")) <= 2 * max_edits)
     pairs = stash(filed.join(sought.hint("merge"), "key").where(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    asked = _among(distinct.select("id", "rank", "line"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    asked = among(distinct.select("id", "rank", "line"), "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left = asked.select(F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("line").alias("line_a"))
     right = asked.select(F.col("id").alias("b"), F.col("rank").alias("rank_b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b").where(within_edits(F.col("line_a"), F.col("line_b"), max_edits))

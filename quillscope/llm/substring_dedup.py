@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import release, stash
+from ._store import among, release, stash
 from ._text import Words, batch, constants, mix, text_slices, words
 
 LENGTH, GRAM = 50, 8
@@ -137,8 +137,8 @@ def _scan(length: int, gram: int):
     return run
 
 
-_CUT_SQL = "doc_id long, d1 long, gram long, more long, at int, first int, last int"
-_CUT = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("gram", pa.int64()), ("more", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+_CUT_SQL = "doc_id long, d1 long, width int, up long, gram long, more long, at int, first int, last int"
+_CUT = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("width", pa.int32()), ("up", pa.int64()), ("gram", pa.int64()), ("more", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 
 
 def _suspects(column: pa.Array, w: Words, digest: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,31 +152,37 @@ def _suspects(column: pa.Array, w: Words, digest: np.ndarray) -> tuple[np.ndarra
     return row, gram[own], at[own] + zero, first[own] + zero, last[own] + zero
 
 
-def _cut(length: int, gram: int, width: int):
-    """Suspects dealt into ranges of ``width`` numbers of words before the
-    anchor; a range's key hashes the words that all its windows have."""
+def _cut(length: int, gram: int):
+    """Suspects dealt into ranges of each of ``WIDTHS`` numbers of words before
+    the anchor; a range's key hashes the words that all its windows have, ``up``
+    is the key of the wider range around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, data, offsets in text_slices(b.column("text")):
                 w = words(data, offsets)
                 digest, _ = _digests(w)
-                row, key, at, first, last = _suspects(b.column("suspects").slice(base, len(offsets) - 1), w, digest)
-                low = (at - last) // width
-                n = (at - first) // width - low + 1
-                which = np.repeat(np.arange(len(row)), n)
-                before = (low[which] + np.arange(len(which)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)) * width
-                row, key, at, first, last = (x[which] for x in (row, key, at, first, last))
-                s, e = at - before, at + length - np.minimum(before + width - 1, length - gram)
-                keys = []
-                with np.errstate(over="ignore"):
-                    for seed in (19, 23):
-                        upto, inverse = _upto(w.hashes, seed)
-                        keys.append(mix(mix((upto[e] - upto[s]) * inverse[s]) + mix(key.view(np.uint64) + before.astype(np.uint64))).view(np.int64))
-                zero = w.first[row]
-                ids = b.column("doc_id").slice(base, len(offsets) - 1).cast(pa.int64()).take(pa.array(row))
-                lo, hi = np.maximum(first, at - before - width + 1), np.minimum(last, at - before)
-                yield batch(_CUT, ids, digest[row], *keys, *((x - zero).astype(np.int32) for x in (at, lo, hi)))
+                suspects = _suspects(b.column("suspects").slice(base, len(offsets) - 1), w, digest)
+                sums = [_upto(w.hashes, seed) for seed in (19, 23)]
+                ids = b.column("doc_id").slice(base, len(offsets) - 1).cast(pa.int64())
+
+                def key(anchor, at, before, width, which):  # noqa: B023
+                    s, e = at - before, at + length - np.minimum(before + width - 1, length - gram)
+                    upto, inverse = sums[which]
+                    with np.errstate(over="ignore"):
+                        return mix(mix((upto[e] - upto[s]) * inverse[s]) + mix(anchor.view(np.uint64) + (before * 64 + width).astype(np.uint64))).view(np.int64)
+
+                for width, wider in zip(WIDTHS, (None, *WIDTHS[:-1]), strict=True):
+                    row, anchor, at, first, last = suspects
+                    low = (at - last) // width
+                    n = (at - first) // width - low + 1
+                    which = np.repeat(np.arange(len(row)), n)
+                    before = (low[which] + np.arange(len(which)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)) * width
+                    row, anchor, at, first, last = (x[which] for x in suspects)
+                    up = anchor if wider is None else key(anchor, at, before // wider * wider, wider, 0)
+                    more = key(anchor, at, before, width, 1) if width == 1 else np.zeros(len(row), np.int64)
+                    zero, lo, hi = w.first[row], np.maximum(first, at - before - width + 1), np.minimum(last, at - before)
+                    yield batch(_CUT, ids.take(pa.array(row)), digest[row], np.full(len(row), width, np.int32), up, key(anchor, at, before, width, 0), more, *((x - zero).astype(np.int32) for x in (at, lo, hi)))
 
     return run
 
@@ -298,26 +304,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
         counts = rows.groupBy(keys).agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         return stash(counts.where("low < high").select(*keys, "low", (F.col("rows") > group_rows).alias("large")))
 
-    def with_texts(rows: DataFrame) -> DataFrame:
+    def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
         listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "gram", "at", "first", "last")).alias("suspects"))
-        return docs.join(listed, "doc_id")
+        return texts.join(listed, "doc_id")
 
     columns = ["doc_id", "d1", "gram", "at", "first", "last"]
     grams = shared(fits, ["gram"])
     marked = fits.join(grams, "gram")
-    suspects, rest, deep = marked.where("not large").select(columns), marked.where("large").select(columns), None
-    for width in WIDTHS:
-        if grams.where("large").isEmpty():
-            break
-        cut = stash(with_texts(rest).mapInArrow(_cut(length, gram, width), _CUT_SQL))
-        if width == 1:  # each group is a node of full depth
-            least = shared(cut, ["gram", "more"])
-            deep = stash(cut.join(least, ["gram", "more"]).where("doc_id > low").select("doc_id", "d1", "first", "last"))
-            break
-        grams = shared(cut, ["gram"])
-        marked = cut.join(grams, "gram")
-        suspects, rest = suspects.unionAll(marked.where("not large").select(columns)), marked.where("large").select(columns)
-    suffixes = stash(with_texts(suspects).mapInArrow(_suffixes(length), _SUFFIX_SQL))
+    suspects, deep = marked.where("not large").select(columns), None
+    if not grams.where("large").isEmpty():
+        rest = stash(marked.where("large").select(columns))
+        # only texts of these move: the others are left out where they are read
+        cut = stash(with_texts(rest, among(docs, "doc_id", rest.select("doc_id"))).mapInArrow(_cut(length, gram), _CUT_SQL))
+        for width in WIDTHS:
+            ranges = cut.where(F.col("width") == width).join(grams.where("large").select(F.col("gram").alias("up")), "up", "left_semi")
+            if width == 1:  # each group is a node of full depth
+                deep = stash(ranges.join(shared(ranges, ["gram", "more"]), ["gram", "more"]).where("doc_id > low").select("doc_id", "d1", "first", "last"))
+                break
+            grams = shared(ranges, ["gram"])
+            suspects = suspects.unionAll(ranges.join(grams, "gram").where("not large").select(columns))
+    suffixes = stash(with_texts(suspects, docs).mapInArrow(_suffixes(length), _SUFFIX_SQL))
     release(fits)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trees = stash(suffixes.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_trees(length), _SPAN_SQL))
