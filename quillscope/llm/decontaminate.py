@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import stash
-from ._text import batch, constants, distinct, mix, shingles, text_slices, words
+from ._text import batch, constants, distinct, shingles, text_slices, words
 
 SHINGLE, FUNCTIONS, BLOCK, FEW, SHORT = 5, 64, 8, 12, 40
 BLOCK_BYTES = 4 << 20

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._text import batch, distinct, mix, text_slices, words
+from ._text import distinct, mix, text_slices, words
 from .toxicity import sigmoid, training_rows
 
 MAX_ROWS = 16_000
