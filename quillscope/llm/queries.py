@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .license_scan import scan_licenses
 from .line_dedup import EXACT_CHARS, MIN_CHARS, removed_by_document
 from .ngram_join import ngram_components
+from .periodic_runs import find_runs
 from .quality_rules import fit_quality, score_quality
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
@@ -122,6 +124,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _repeated_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that op12 is to take of a document: those of a tenth of the
+    documents repeat a stretch of their own."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(table(spark, sf_dir, "documents"), 12, _repeated_words)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))))
+    out = found.withColumn("best", longest).withColumn("lines", F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"), F.expr("(-1000 * best.n) div best.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -135,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "long_line_dedup": long_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -237,5 +264,27 @@ r AS (SELECT e.doc_id, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.l
 SELECT c.doc_id, coalesce(len(string_split(c.text, chr(10))), 0)::BIGINT AS n_lines, count(r.pos)::BIGINT AS n_removed,
        coalesce(string_agg(r.pos::VARCHAR, ',' ORDER BY r.pos), '') AS removed_lines
 FROM documents c LEFT JOIN r ON c.doc_id = r.doc_id GROUP BY c.doc_id, c.text
+""",
+    "op12_periodic_runs": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+         CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(
+           [4294967295::BIGINT] || flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')]),
+           lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))) END AS h
+  FROM documents),
+g AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+t AS (SELECT row, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+e AS (SELECT x.row, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.row = y.row AND x.word = y.word AND x.i < y.i),
+s AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS stretch FROM e),
+r AS (SELECT row, min(i) AS start, count(*) + q AS length, q FROM s GROUP BY row, q, stretch HAVING count(*) >= q AND count(*) + q >= 12),
+u AS (SELECT row, start, length, min(q) AS period FROM r GROUP BY row, start, length),
+b AS (SELECT row, count(*) AS n_runs, max(struct_pack(n := length, s := -start, p := -period)) AS best,
+        string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM u GROUP BY row),
+k AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM t
+      WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.row = t.row AND t.i >= u.start + u.period AND t.i < u.start + u.length) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best.s)::BIGINT AS start, best.n::BIGINT AS length, (-best.p)::BIGINT AS period,
+       (1000 * best.n // -best.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.row = d.row LEFT JOIN k ON k.row = d.row
 """,
 }
