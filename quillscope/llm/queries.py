@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ._store import release, shared_dir, stash
 from .decontaminate import find_contained
 from .embedding_dedup import near_duplicate_vectors
+from .hard_negatives import mine_hard_negatives
 from .license_scan import scan_licenses
 from .line_dedup import EXACT_CHARS, MIN_CHARS, removed_by_document
+from .maxscore import top_k
 from .ngram_join import ngram_components
 from .periodic_runs import find_runs
 from .quality_rules import fit_quality, score_quality
@@ -124,6 +126,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def _repeated_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words that op12 is to take of a document: those of a tenth of the
     documents repeat a stretch of their own."""
@@ -161,7 +172,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "long_line_dedup": long_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_maxscore": op13_maxscore,
 }
 
 ORACLES: dict[str, str] = {
@@ -286,5 +299,32 @@ k AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM t
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best.s)::BIGINT AS start, best.n::BIGINT AS length, (-best.p)::BIGINT AS period,
        (1000 * best.n // -best.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b ON b.row = d.row LEFT JOIN k ON k.row = d.row
+""",
+    "op11_hard_negatives": r"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.row, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score, b.row AS other_row
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row AND len(a.e) = len(b.e)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.row, p.other_row ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.row = p.row AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
+    "op13_maxscore": r"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.row, a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.row <> b.row AND len(a.e) = len(b.e))
+SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 20
 """,
 }
