@@ -13,12 +13,14 @@ number tell which of the 2 t + 1 diagonals of the band can be reached, and a
 character moves all of them at once.
 
 A line is removed if an equal line, or one within ``max_edits`` edits, stands
-earlier, by (doc_id, line number). Lengths are counted without outer blanks:
+earlier, by (doc_id, line number); lines at one place of rows that share a doc_id
+are none of them earlier than the others. Lengths are counted without outer blanks:
 equal lines are folded from ``exact_chars`` characters, lines that differ are
 compared from ``min_chars``, since two edits make other words of a short line.
 Lines under both, and blank lines, are never removed. Defined results: a null or
-empty text has no such line; documents with a null doc_id are left alone; rows
-of one doc_id count as one document, so equal rows of it lose the same lines; an
+empty text has no such line; documents with a null doc_id are left alone; equal
+rows of one doc_id lose the same lines, and rows of one doc_id with other texts
+each lose their own, as the mark of the text tells them apart; an
 empty table gives an empty one; further columns pass through, whatever their
 names; a line may be of any length.
 """
@@ -35,9 +37,9 @@ _LETTERS = "eantirsohdlucmpg"
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, line, k1, k2) of the lines that count."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    lines = lines.select("doc_id", "pos", F.btrim("raw", F.lit(" \t\r\f\x0b")).alias("line")).where(F.length("line") >= min_chars)
+    """(doc_id, mark, pos, line, k1, k2) of the lines that count."""
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    lines = lines.select("doc_id", "mark", "pos", F.btrim("raw", F.lit(" \t\r\f\x0b")).alias("line")).where(F.length("line") >= min_chars)
     # 128 bits stand for a line
     return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
 
@@ -141,7 +143,8 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
 
 
 def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
-    """(doc_id, pos) of each line that an earlier line makes redundant."""
+    """(doc_id, mark, pos) of each line that an earlier line makes redundant; the
+    mark is the hash of its row's text."""
     if min_chars < 2 * max_edits + 1:
         raise ValueError("lines that are compared by edits must have 2 * max_edits + 1 characters")
     lines = _lines(docs, max(1, min(min_chars, exact_chars)))
@@ -156,26 +159,27 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
     left = asked.select(F.col("id").alias("a"), F.col("rank").alias("rank_a"), F.col("line").alias("line_a"))
     right = asked.select(F.col("id").alias("b"), F.col("rank").alias("rank_b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b").where(within_edits(F.col("line_a"), F.col("line_b"), max_edits))
-    later = both.select(F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    later = both.where("rank_a <> rank_b").select(F.when(F.col("rank_a") < F.col("rank_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
     fate = stash(distinct.select("id", "k1", "k2", "rank").join(later.withColumn("near", F.lit(True)), "id", "left").drop("id"))
     release(distinct, pairs)
-    found = lines.select("doc_id", "pos", "k1", "k2").join(fate, ["k1", "k2"])
-    return found.where(F.col("near").isNotNull() | (_rank() > F.col("rank"))).select("doc_id", "pos")
+    found = lines.select("doc_id", "mark", "pos", "k1", "k2").join(fate, ["k1", "k2"])
+    return found.where(F.col("near").isNotNull() | (_rank() > F.col("rank"))).select("doc_id", "mark", "pos")
 
 
 def removed_by_document(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
-    """(doc_id, removed): the sorted line numbers that each document loses."""
+    """(doc_id, mark, removed): the sorted line numbers that each text loses."""
     found = duplicate_lines(docs, max_edits, min_chars, exact_chars)
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    return found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``docs`` with redundant lines gone from the text. A document that had
     text and loses all but blanks is dropped; all others stay."""
     name = free_name(docs.columns, "_removed_lines")
-    removed = removed_by_document(docs, max_edits, min_chars, exact_chars).withColumnRenamed("removed", name)
+    of, mark = (free_name([*docs.columns, name], c) for c in ("_line_owner", "_line_mark"))
+    removed = removed_by_document(docs, max_edits, min_chars, exact_chars).select(F.col("doc_id").alias(of), F.col("mark").alias(mark), F.col("removed").alias(name))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(name, i)), "\n")
-    out = docs.join(removed, "doc_id", "left")
+    out = docs.join(removed, (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(mark)), "left")
     text = F.when(F.col(name).isNull(), F.col("text")).otherwise(kept)
     out = out.withColumn("text", text).where(F.col(name).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(docs.columns)

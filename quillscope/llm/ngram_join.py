@@ -37,7 +37,8 @@ Every link counts only after its exact intersection.
 Defined results: a null or empty text has no shingles, size 0 and its own
 doc_id as component; fewer than five words are one shingle; a row with a null
 doc_id has the component of rows with an equal set, a set that only such rows
-have links with nothing and has a null component; repeated rows each give a row; an empty
+have links with nothing and has a null component; repeated rows each give a row, and rows
+of one doc_id with other texts are documents of their own; an empty
 table gives an empty one; only doc_id and text are read, so further columns
 don't matter. A text is held whole in memory, some 100 bytes for each of its words.
 """
@@ -346,9 +347,10 @@ def _similar(share: tuple[int, int]):
 
 
 def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, classes): documents have doc_id, n_shingles, s1, s2;
-    classes of equal sets have n_shingles, s1, s2, rep (smallest doc_id) and
-    component (smallest doc_id that links lead to). ``share`` of at least 3/4."""
+    """(documents, classes): documents have doc_id, mark (of the text), n_shingles,
+    s1, s2; classes of equal sets have n_shingles, s1, s2, rep (smallest doc_id),
+    component (smallest doc_id that links lead to) and kept_mark (of its text).
+    ``share`` of at least 3/4."""
     if share[0] * 4 < share[1] * 3:
         raise ValueError("signatures are laid out for similarities of 3/4 or more")
     spark = docs.sparkSession
@@ -432,11 +434,16 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     third = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     links = links.unionAll(verified(third.join(tried, ["a", "b"], "left_anti")))
     release(sets, rest, kept, first, second)
-    names = size.select("node", "rep")
-    by_rep = links.join(names.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
-    found = connected(by_rep.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return described, stash(joined.select("n_shingles", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component")))
+    found = connected(links)
+    named = stash(classes.join(found.withColumnRenamed("node", "s1").withColumnRenamed("component", "group"), "s1", "left"))
+    # what stands for a group: its smallest doc_id, and of other texts under that
+    # id the one of least mark
+    first = stash(named.where("group is not null").groupBy("group").agg(F.min(F.struct("rep", "mark")).alias("kept")))
+    own = F.when(F.col("rep").isNotNull(), F.struct("rep", "mark"))
+    joined = named.join(first, "group", "left").withColumn("kept", F.coalesce("kept", own))
+    out = stash(joined.select("n_shingles", "s1", "s2", "rep", F.col("kept.rep").alias("component"), F.col("kept.mark").alias("kept_mark")))
+    release(named, first)
+    return described, out
 
 
 def ngram_components(docs: DataFrame, share: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -447,6 +454,11 @@ def ngram_components(docs: DataFrame, share: tuple[int, int] = (3, 4)) -> DataFr
 
 
 def keep_one_of_each(docs: DataFrame, share: tuple[int, int] = (3, 4)) -> DataFrame:
-    """``docs`` with one document of each component: its smallest doc_id."""
-    gone = ngram_components(docs, share).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one document of each component: the one of smallest doc_id.
+    Rows of one doc_id with other texts are documents of their own; of several
+    such rows in one component one text stays. Equal rows stay or go together."""
+    described, classes = link_ngrams(docs, share)
+    rows = described.where("doc_id is not null").join(classes.where("component is not null"), ["n_shingles", "s1", "s2"])
+    gone = rows.where("doc_id <> component or mark <> kept_mark").select("doc_id", F.col("mark").alias("_mark_")).distinct()
+    same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["_mark_"])
+    return docs.join(gone, same, "left_anti")

@@ -106,8 +106,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines_removed(docs: DataFrame, exact_chars: int) -> DataFrame:
-    lines = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    out = lines.join(removed_by_document(docs, exact_chars=exact_chars), "doc_id", "left")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    out = lines.join(removed_by_document(docs, exact_chars=exact_chars), ["doc_id", "mark"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
 
@@ -253,30 +253,32 @@ FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.
 GROUP BY d.id, b.id HAVING 4 * count(*) >= 3 * any_value(n.n_item)
 """,
     "long_line_dedup": r"""
-WITH l AS (
-  SELECT doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+WITH c AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+l AS (
+  SELECT row, doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT row, doc_id, string_split(text, chr(10)) AS x FROM c WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
 e AS (SELECT * FROM l WHERE length(line) >= 30),
 u AS (SELECT line, min(doc_id * 2147483648::HUGEINT + pos) AS rank, length(line) AS n FROM e GROUP BY line),
 d AS (SELECT DISTINCT b.line FROM u a JOIN u b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.rank < b.rank WHERE levenshtein(a.line, b.line) <= 2),
-r AS (SELECT e.doc_id, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.line = e.line
+r AS (SELECT e.row, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.line = e.line
       WHERE d.line IS NOT NULL OR e.doc_id * 2147483648::HUGEINT + e.pos > u.rank)
 SELECT c.doc_id, coalesce(len(string_split(c.text, chr(10))), 0)::BIGINT AS n_lines, count(r.pos)::BIGINT AS n_removed,
        coalesce(string_agg(r.pos::VARCHAR, ',' ORDER BY r.pos), '') AS removed_lines
-FROM documents c LEFT JOIN r ON c.doc_id = r.doc_id GROUP BY c.doc_id, c.text
+FROM c LEFT JOIN r ON c.row = r.row GROUP BY c.row, c.doc_id, c.text
 """,
     "op9_line_dedup": r"""
-WITH l AS (
-  SELECT doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+WITH c AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+l AS (
+  SELECT row, doc_id, generate_subscripts(x, 1)::INT - 1 AS pos, trim(unnest(x), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT row, doc_id, string_split(text, chr(10)) AS x FROM c WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
 e AS (SELECT * FROM l WHERE length(line) >= 1),
 u AS (SELECT line, min(doc_id * 2147483648::HUGEINT + pos) AS rank, length(line) AS n FROM e GROUP BY line),
 d AS (SELECT DISTINCT b.line FROM u a JOIN u b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.rank < b.rank WHERE a.n >= 30 AND b.n >= 30 AND levenshtein(a.line, b.line) <= 2),
-r AS (SELECT e.doc_id, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.line = e.line
+r AS (SELECT e.row, e.pos FROM e JOIN u ON e.line = u.line LEFT JOIN d ON d.line = e.line
       WHERE d.line IS NOT NULL OR e.doc_id * 2147483648::HUGEINT + e.pos > u.rank)
 SELECT c.doc_id, coalesce(len(string_split(c.text, chr(10))), 0)::BIGINT AS n_lines, count(r.pos)::BIGINT AS n_removed,
        coalesce(string_agg(r.pos::VARCHAR, ',' ORDER BY r.pos), '') AS removed_lines
-FROM documents c LEFT JOIN r ON c.doc_id = r.doc_id GROUP BY c.doc_id, c.text
+FROM c LEFT JOIN r ON c.row = r.row GROUP BY c.row, c.doc_id, c.text
 """,
     "op12_periodic_runs": r"""
 WITH d AS (
