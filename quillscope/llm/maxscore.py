@@ -9,6 +9,8 @@ isn't traversed; the layers that must be, those that lower the bound most for
 their length, are essential. Rows that stand in no essential layer can't compete.
 The others are probed for the remaining components, those of the widest bounds
 first, and leave as soon as what is left can't lift them to the threshold.
+Neighbouring queries read their lists and probe together: a row is dropped when
+it can't compete for any of them.
 
 Shards whose bound is below the thresholds of a chunk of queries aren't visited.
 The others are visited in rounds, the most promising first; each round's results
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 from . import _vector_blocks as vb
 from ._store import release, stash
 
-#: Layers of a posting list, and components that are probed at once.
-LAYERS, PROBED = 16, 16
+#: Layers of a posting list, components that are probed at once, and neighbouring
+#: queries whose lists are read together.
+LAYERS, PROBED, TOGETHER = 8, 16, 32
 
 
 def _postings(t: pa.Table, x: np.ndarray, sort: np.ndarray) -> bytes:
@@ -86,31 +89,36 @@ def _max_score(k: int) -> Callable:
         values, asked = x.astype(wide), queries.astype(wide)
         layers, due = _split(queries.astype(np.float64), heads, tails, threshold)
         out = [np.zeros((3, 0), np.int64)]
-        for w in np.flatnonzero(due):
-            q = asked[w]
-            essential = np.flatnonzero(layers[w])
-            lists = [postings[j, n - cuts[layers[w, j]] :] if q[j] >= 0 else postings[j, : cuts[layers[w, j]]] for j in essential]
+        for first in range(0, len(asked), TOGETHER):
+            w = first + np.flatnonzero(due[first : first + TOGETHER])
+            if not len(w):
+                continue
+            q, up = asked[w], asked[w] >= 0
+            # essential layers of these queries, from either end of each list
             marked = np.zeros(n, bool)
-            if lists:
-                marked[np.concatenate(lists)] = True
+            above, below = np.where(up, layers[w], 0).max(0), np.where(up, 0, layers[w]).max(0)
+            for j in np.flatnonzero(above):
+                marked[postings[j, n - cuts[above[j]] :]] = True
+            for j in np.flatnonzero(below):
+                marked[postings[j, : cuts[below[j]]]] = True
             at = np.flatnonzero(marked)
             # probe the widest components first
-            top = np.where(q >= 0, q * heads[:, 0], q * tails[:, 0])
-            spread = top - np.where(q >= 0, q * tails[:, 0], q * heads[:, 0])
-            order = np.argsort(-spread, kind="stable")
-            rest = float(top.sum())
-            score = np.zeros(len(at), wide)
+            top = np.where(up, q * heads[:, 0], q * tails[:, 0]).astype(np.float64)
+            spread = top - np.where(up, q * tails[:, 0], q * heads[:, 0])
+            order = np.argsort(-spread.sum(0), kind="stable")
+            rest = top.sum(1)
+            score = np.zeros((len(at), len(w)), wide)
             for a in range(0, dim, PROBED):
                 some = order[a : a + PROBED]
-                score = score + values[at[:, None], some] @ q[some]
-                rest -= float(top[some].sum())
-                alive = score + rest + 1e-9 * abs(rest) + 1 >= threshold[w]
+                score += values[at[:, None], some] @ q[:, some].T
+                rest = rest - top[:, some].sum(1)
+                alive = (score + (rest + 1e-9 * np.abs(rest) + 1 - threshold[w]) >= 0).any(1)
                 at, score = at[alive], score[alive]
-            limit = float(wins[w, 2])
-            if len(score) > k + 1:
-                limit = max(limit, np.partition(score, len(score) - k - 1)[len(score) - k - 1])
-            alive = score >= limit
-            out.append(np.stack([np.full(alive.sum(), w), at[alive], score[alive].astype(np.int64)]))
+            limit = wins[w, 2].astype(wide)
+            if len(at) > k + 1:
+                limit = np.maximum(limit, np.partition(score, len(at) - k - 1, axis=0)[len(at) - k - 1])
+            i, j = np.nonzero(score >= limit)
+            out.append(np.stack([w[j], at[i], score[i, j].astype(np.int64)]))
         w, at, score = np.concatenate(out, axis=1)
         # one more than k: the query's own row may be among them
         return vb.first_of_each(w, at, score, ids, k + 1)
