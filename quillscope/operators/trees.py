@@ -81,7 +81,7 @@ def _linked(nodes: DataFrame) -> DataFrame:
 
 
 def _toured(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node, root, depth, place, last) of nodes with a child, sibling and
+    """(doc_id, node, parent, root, depth, place, last) of nodes with a child, sibling and
     parent; all but the first two are null for nodes that no root reaches."""
     tour = follow(_linked(nodes), ["doc_id"], ["entered", "left"])
     node = F.floor(F.col("node") / 2)
@@ -93,12 +93,13 @@ def _toured(nodes: DataFrame) -> DataFrame:
     out = ahead.join(whole, ["doc_id", "root"], "left")
     place = F.col("_all") - F.col("_after")
     here = F.col("root").isNotNull()
-    return out.select("doc_id", "node", "root", *(F.when(here, x).alias(n) for n, x in {"depth": F.col("_left") - F.col("_after") - 1, "place": place, "last": place + F.col("_after") - F.col("_below")}.items()))
+    out = out.join(nodes.select("doc_id", "node", "parent"), ["doc_id", "node"])
+    return out.select("doc_id", "node", "parent", "root", *(F.when(here, x).alias(n) for n, x in {"depth": F.col("_left") - F.col("_after") - 1, "place": place, "last": place + F.col("_after") - F.col("_below")}.items()))
 
 
 def tree_places(listed: DataFrame) -> DataFrame:
-    """Trees in document order: (doc_id, node, root, depth, place, last) of rows
-    (doc_id, node, parent, place), where place orders the children of a parent.
+    """Trees in document order: (doc_id, node, parent, root, depth, place, last) of
+    rows (doc_id, node, parent, place), where place orders the children of a parent.
     Places count from 0 in each tree; ``last`` is that of the last node below.
 
     A node that several parents list belongs to the first of them, by their number
@@ -305,3 +306,60 @@ def covered(places: DataFrame, covers: Column) -> DataFrame:
     ends = there.select("doc_id", "root", (F.col("place") + 1).alias("place"), F.when(covers, F.col("last")).alias("_last"))
     far = running(ends, ["doc_id", "root"], "place", {"_far": (F.col("_last"), "max")}).drop("_last")
     return there.join(far, keys, "left").withColumn("covered", F.coalesce(F.col("_far") >= F.col("place"), F.lit(False))).select(*places.columns, "covered")
+
+
+def _some(x: Column) -> Column:
+    return F.coalesce(x, F.lit(False)).cast("int")
+
+
+def table_facts(places: DataFrame, elements: DataFrame) -> DataFrame:
+    """What each table of a structure tree is made of: (doc_id, node) with the
+    fields of ``schemas.TABLE`` but one, and its cell counts. ``elements`` has
+    doc_id, node, tag (a standard one), scope, headers (whether a cell has them),
+    col_span, row_span. Cells, captions and inner tables count wherever they stand
+    below a table; rows are its children, or those of its sections."""
+    tree = places.join(elements, ["doc_id", "node"])
+    cell = lambda tag, more=None: (F.col("tag") == tag).cast("int") * (1 if more is None else _some(F.col(more)))
+    sums = subtree_sums(tree, {"heads": cell("TH"), "scoped": cell("TH", "scope"), "data": cell("TD"), "associated": cell("TD", "headers"), "captions": cell("Caption"), "tables": cell("Table")})
+    tables = sums.where("tag = 'Table'").select("doc_id", "node", "heads", "scoped", "data", "associated", "captions", "tables")
+    tags = tree.select("doc_id", F.col("node").alias("parent"), F.col("tag").alias("_of"), F.col("parent").alias("_above"))
+    under = tree.where("tag in ('TR', 'TH', 'TD')").join(tags, ["doc_id", "parent"]).join(tags.select("doc_id", F.col("parent").alias("_above"), F.col("_of").alias("_of_above")), ["doc_id", "_above"], "left")
+    section = F.col("_of").isin("THead", "TBody", "TFoot") & (F.col("_of_above") == "Table")
+    rows = under.where("tag = 'TR'").withColumn("table", F.when(F.col("_of") == "Table", F.col("parent")).when(section, F.col("_above"))).where("table is not null")
+    # sections are children of the table, so rows stand in document order
+    rows = cut(rows.select("doc_id", "table", "node", F.row_number().over(Window.partitionBy("doc_id", "table").orderBy("place")).alias("row")))
+    cells = under.where("tag <> 'TR' and _of = 'TR'").select("doc_id", F.col("parent").alias("node"), F.greatest(F.lit(1), F.coalesce("col_span", F.lit(1))).alias("cols"), F.greatest(F.lit(1), F.coalesce("row_span", F.lit(1))).alias("long"))
+    spans = cells.join(rows, ["doc_id", "node"])
+    # a cell is in as many rows as it spans: it comes in one and is gone after the last
+    change = spans.select("doc_id", "table", "row", "cols").unionAll(spans.select("doc_id", "table", (F.col("row") + F.col("long")).alias("row"), -F.col("cols"))).unionAll(rows.select("doc_id", "table", "row", F.lit(0)))
+    last = rows.groupBy("doc_id", "table").agg(F.max("row").cast("int").alias("rows"))
+    change = change.groupBy("doc_id", "table", "row").agg(F.sum("cols").alias("cols")).join(last, ["doc_id", "table"]).where("row <= rows")
+    widths = running(change, ["doc_id", "table"], "row", {"width": (F.col("cols"), "sum")})
+    counted = widths.groupBy("doc_id", F.col("table").alias("node")).agg(F.max("rows").alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("row", "width"))), lambda x: x["width"].cast("int")).alias("columnCounts"), (F.min("width") == F.max("width")).alias("same"))
+    out = tables.join(counted, ["doc_id", "node"], "left")
+    return out.select(
+        "doc_id", "node", (F.col("heads") > 0).alias("hasHeaders"), F.col("heads").cast("int").alias("headerCount"), F.col("data").cast("int").alias("dataCellCount"),
+        ((F.col("heads") > 0) & (F.col("heads") == F.col("scoped"))).alias("hasScope"), (F.col("heads") - F.col("scoped")).cast("int").alias("scopeMissingCount"),
+        F.col("rows").isNotNull().alias("hasRowStructure"), F.coalesce("rows", F.lit(0)).alias("rowCount"), (F.col("tables") > 1).alias("hasNestedTable"), (F.col("captions") > 0).alias("hasCaption"),
+        F.col("same").alias("hasConsistentColumns"), F.coalesce("columnCounts", F.array().cast("array<int>")).alias("columnCounts"), (F.col("associated") > 0).alias("hasHeaderAssociation"),
+    )
+
+
+def list_facts(places: DataFrame, elements: DataFrame, most: int = 15) -> DataFrame:
+    """What each list of a structure tree is made of: doc_id, node, itemCount,
+    hasLabels, hasBodies, isWellFormed (every item has a body), nestingDepth (of
+    the deepest list below it, up to ``most`` levels). ``elements`` has doc_id,
+    node, tag; items count wherever they stand below a list."""
+    tree = cut(places.join(elements.select("doc_id", "node", "tag"), ["doc_id", "node"]))
+    parts = tree.groupBy("doc_id", F.col("parent").alias("node")).agg(F.max((F.col("tag") == "Lbl").cast("int")).alias("_label"), F.max((F.col("tag") == "LBody").cast("int")).alias("_body"))
+    items = tree.join(parts, ["doc_id", "node"], "left")
+    item = lambda more: F.when(F.col("tag") == "LI", F.coalesce(more, F.lit(0))).otherwise(0)
+    sums = subtree_sums(items, {"items": item(F.lit(1)), "labels": item(F.col("_label")), "bodies": item(F.col("_body"))}).where("tag = 'L'")
+    lists = tree.where("tag = 'L' and root is not null").select("doc_id", F.col("node").alias("start"), "node")
+    above = within_steps(lists, tree.where("parent is not null").select("doc_id", F.col("node").alias("source"), F.col("parent").alias("target")), most)
+    nested = above.where("steps > 0").groupBy("doc_id", "node").agg(F.max("steps").alias("nested"))
+    out = sums.join(nested, ["doc_id", "node"], "left")
+    return out.select(
+        "doc_id", "node", F.col("items").cast("int").alias("itemCount"), (F.col("labels") > 0).alias("hasLabels"), (F.col("bodies") > 0).alias("hasBodies"),
+        ((F.col("items") > 0) & (F.col("items") == F.col("bodies"))).alias("isWellFormed"), F.coalesce("nested", F.lit(0)).alias("nestingDepth"),
+    )
