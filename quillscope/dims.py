@@ -2,6 +2,7 @@
 
 GRADES = (("A", 90), ("B", 80), ("C", 70), ("D", 60), ("F", 0))
 SEVERITIES = (("No issues found", 100), ("Minor", 70), ("Moderate", 40), ("Critical", 0))
+CLEAN, ISSUES = "No issues found", ("Critical", "Moderate", "Minor")
 #: worst first: highest score that a finding of this severity leaves
 SEVERITY_CEILING = {"Critical": 69, "Moderate": 79, "Minor": 89}
 CATEGORY_WEIGHTS = {
@@ -34,6 +35,10 @@ CRITERIA = {
 VAGUE_LINKS = ("click here", "click", "here", "read more", "more", "learn more", "see more", "this", "this link", "link", "link here", "go", "go here", "continue", "details", "see details", "more info", "more information", "info", "download", "view", "open", "visit", "click this link")
 ERA_START = "2019-01-01"
 IMPACT_WEIGHTS = {"critical": 10, "serious": 5, "moderate": 2, "minor": 1}
+#: categories that a person is asked to confirm when they pass, and those that
+#: need a look when they weren't assessed
+CONFIRMED = ("text_extractability", "title_language", "heading_structure", "alt_text", "reading_order", "link_quality", "table_markup", "bookmarks", "form_accessibility", "color_contrast")
+CAUTIONED = ("alt_text",)
 EXTENSIONS = ("pdf", "docx", "pptx", "xlsx")
 
 # Patterns that decide whether a title is a file's or a tool's name.

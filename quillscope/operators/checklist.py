@@ -41,7 +41,7 @@ def rules() -> list[tuple[str, Column, Column]]:
         ("logical_reading_order", manual, no),
         ("primary_language", passed(yes(c("hasLang"))), no),
         ("title", passed(filled(c("title")) & yes(c("displayDocTitle"))), no),
-        ("bookmarks", passed(~large | yes(c("outlineCount") > 0)), ~large),
+        ("bookmarks", passed(~large | yes(c("hasOutlines"))), ~large),
         ("color_contrast", manual, no),
         ("tagged_content", passed(marked), marked & text_tags),
         ("tagged_annotations", annotations, links == 0),

@@ -198,12 +198,13 @@ def docx_categories(records: DataFrame) -> DataFrame:
 
 def pptx_categories(records: DataFrame) -> DataFrame:
     shown = F.filter("slides", lambda s: ~yes(s["hidden"]))
-    titled = F.filter(shown, lambda s: filled(s["title"]))
+    titled = F.filter(shown, lambda s: yes(s["title"] != ""))
     n, named = count(shown), count(titled)
-    titles = F.transform(titled, lambda s: F.lower(strip(s["title"])))
+    # titles count as they are: another case is another title
+    titles = F.transform(titled, lambda s: s["title"])
     twice = count(F.filter(F.array_distinct(titles), lambda t: F.size(F.filter(titles, lambda u: u == t)) > 1))
     base = F.when(named < n, F.greatest(F.lit(40), F.least(F.lit(85), share(named, n)))).otherwise(100)
-    slide = F.when(n > 0, F.greatest(F.lit(0), base - F.least(F.lit(30), 10 * twice)))
+    slide = F.when(count("slides") > 0, F.greatest(F.lit(0), base - F.least(F.lit(30), 10 * twice)))
     order = F.when(named > 0, F.greatest(F.lit(0), 100 - 15 * count(titled, lambda s: ~s["titleFirst"])))
     table_ = lambda t: F.when(~yes(t["hasHeaderRow"]) & (t["rowCount"] >= 2) & (t["colCount"] >= 2), 30).otherwise(100)
     return explode(records, [
@@ -220,7 +221,9 @@ def xlsx_categories(records: DataFrame) -> DataFrame:
     headless = count("tables", lambda t: ~yes(t["hasHeaderRow"]))
     dataful = count(shown, lambda s: (s["cells"] >= 12) & ~yes(s["hasTable"]) & ~yes(s["hasPivot"]))
     base = F.greatest(F.lit(0), 100 - 30 * headless)
-    table_ = F.when((count("tables") > 0) | (dataful > 0), F.when((count("tables") == 0) & (dataful > 0), F.least(base, F.lit(60))).otherwise(base))
+    # any sheet of some size makes tables a question, a pivot or hidden one as well
+    sizable = count("sheets", lambda s: s["cells"] >= 12) > 0
+    table_ = F.when((count("tables") > 0) | sizable, F.when((count("tables") == 0) & (dataful > 0), F.least(base, F.lit(60))).otherwise(base))
     resolved = F.filter("links", lambda x: x["resolved"])
     return explode(records, [
         category(1, "text_extractability", 0.05, F.when(yes(c("valuedCells") > 0), 100), True), category(2, "title_language", 0.12, F.when(filled(c("title")), 100).otherwise(50)),

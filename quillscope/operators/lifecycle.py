@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dims import CLEAN, ISSUES
 from ..functions.numbers import severity_of, severity_rank
 
 
@@ -46,19 +47,25 @@ def retained(log: DataFrame, now: Column, days: int = 365) -> DataFrame:
 
 
 def outcome(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What became of each category: (doc_id, id, before, after, disposition)."""
-    b = before.select("doc_id", "id", F.col("score").alias("before"), F.lit(True).alias("was"))
-    a = after.select("doc_id", "id", F.col("score").alias("after"), F.lit(True).alias("now_is"))
-    out = b.join(a, ["doc_id", "id"], "full_outer")
-    d = (
-        F.when(F.col("was").isNull(), "new")
-        .when(F.col("after").isNull() | F.col("before").isNull(), "unchanged")
-        .when((F.col("after") == 100) & (F.col("before") < 100), "fixed")
-        .when(F.col("after") > F.col("before"), "improved")
-        .when(F.col("after") < F.col("before"), "declined")
-        .otherwise("unchanged")
-    )
-    return out.select("doc_id", "id", "before", "after", d.alias("disposition"))
+    """What became of each category that was or is flagged: (doc_id, id, ord, before,
+    after, delta, severity, disposition). Severity decides, not the score: a
+    category is flagged as long as its severity names an issue. One that was
+    flagged and isn't listed any more stays flagged, with its old severity and no
+    ord; one that is clean on both sides has nothing to report. Severity is taken
+    from the rows, or from the score where they have none."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        severity = F.col("severity") if "severity" in rows.columns else severity_of(F.col("score"))
+        return rows.select("doc_id", "id", F.struct("ord", "score", severity.alias("severity"), F.coalesce(severity.isin(*ISSUES), F.lit(False)).alias("flagged")).alias(name))
+
+    out = side(before, "b").join(side(after, "a"), ["doc_id", "id"], "full_outer")
+    delta = F.col("a.score") - F.col("b.score")
+    there = F.col("a").isNotNull()
+    moved = F.when(F.col("b.score").isNull(), "new").when(delta > 0, "improved").when(delta < 0, "declined").otherwise("unchanged")
+    disposition = F.when(there & F.col("a.flagged"), moved).when(F.col("b.flagged"), F.when(there, "fixed").otherwise("unchanged"))
+    severity = F.when(there, F.coalesce("a.severity", F.lit(CLEAN))).otherwise(F.col("b.severity"))
+    rows = out.select("doc_id", "id", F.col("a.ord").alias("ord"), F.col("b.score").alias("before"), F.col("a.score").alias("after"), delta.alias("delta"), severity.alias("severity"), disposition.alias("disposition"), F.col("b.ord").alias("_old"))
+    return rows.where(F.col("disposition").isNotNull())
 
 
 def job_states(events: DataFrame) -> DataFrame:
@@ -99,14 +106,13 @@ def islands(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
 
 
 def outcome_order(outcomes: DataFrame) -> DataFrame:
-    """Outcomes of each document in two lists: categories still flagged, worst
-    first, and those that got better, by how much."""
-    flagged = F.col("after") < 100
-    better = F.col("disposition").isin("fixed", "improved")
-    rows = F.collect_list(F.when(flagged, F.struct((-severity_rank(severity_of(F.col("after")))).alias("r"), F.col("id").alias("id"))))
-    gains = F.collect_list(F.when(better, F.struct((F.col("before") - F.col("after")).alias("d"), F.col("id").alias("id"))))
-    ids = lambda x: F.transform(F.array_sort(x), lambda y: y["id"])
-    return outcomes.groupBy("doc_id").agg(ids(rows).alias("flagged"), ids(gains).alias("improved"))
+    """Outcomes of each document in two lists of ids: what is still flagged, worst
+    severity first, in the order of the categories within one, those that aren't
+    listed any more behind them; and what was fixed, in the order of categories."""
+    fixed = F.col("disposition") == "fixed"
+    key = F.struct((-severity_rank(F.col("severity"))).alias("r"), F.col("ord").isNull().alias("gone"), F.coalesce("ord", "_old").alias("ord"), F.col("id").alias("id"))
+    ids = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, key))), lambda y: y["id"])
+    return outcomes.groupBy("doc_id").agg(ids(~fixed).alias("still_flagged"), ids(fixed).alias("fixed"))
 
 
 def recent_states(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:

@@ -94,8 +94,9 @@ def outermost(tables: DataFrame, nested: DataFrame) -> DataFrame:
 def form_fields(widgets: DataFrame, most: int = 5) -> DataFrame:
     """(doc_id, field, label): fields once each, hidden ones left out, with the
     label of the nearest ancestor, up to five steps, that has one. Widgets are
-    (doc_id, ref, parent, label, hidden, is_field)."""
-    tree = widgets.select("doc_id", F.col("ref").alias("parent"), F.col("label").alias("above"), F.col("parent").alias("next"))
+    (doc_id, ref, parent, label, hidden, is_field); one that is listed twice is one."""
+    once = widgets.groupBy("doc_id", "ref").agg(F.min(F.struct("parent", "label")).alias("w"))
+    tree = once.select("doc_id", F.col("ref").alias("parent"), F.col("w.label").alias("above"), F.col("w.parent").alias("next"))
     out = widgets.where(_yes(F.col("is_field")) & ~_yes(F.col("hidden"))).dropDuplicates(["doc_id", "ref"]).select("doc_id", F.col("ref").alias("field"), F.nullif("label", F.lit("")).alias("label"), "parent")
     for _ in range(most):
         joined = out.join(tree, ["doc_id", "parent"], "left")

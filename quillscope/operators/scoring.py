@@ -51,16 +51,34 @@ def report(nested: DataFrame, scanned: Column | None = None) -> DataFrame:
     return out.withColumns({"grade": grade_of(F.col("overall_score")), "is_capped": F.col("overall_score") < F.col("raw_score")}).drop("worst")
 
 
+_STORED = {"overallScore": "double", "grade": "string", "isScanned": "boolean", "categories": "array<struct<ord:int,id:string,weight:double,score:double,not_assessed:boolean,grade:string,severity:string>>"}
+
+
+def regraded(r: Column) -> Column:
+    """(overall_score, grade, changed) of a stored report's struct. The score comes
+    from the categories where their weights can be used, else it is the stored one;
+    then the cap holds, so that the worst category bounds either. A scanned
+    document has 0. Without categories or a score nothing changes, and the grade
+    is taken from the score only where that changed."""
+    cats = F.transform(r["categories"], lambda c: c.withField("score", c["score"].cast("int")))
+    counted = F.filter(cats, lambda c: c["score"].isNotNull() | ~F.coalesce(c["not_assessed"], F.lit(False)))
+    weights = F.transform(counted, lambda c: c["weight"])
+    usable = F.forall(weights, lambda w: w.isNotNull() & (w >= 0)) & (F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.coalesce(w, F.lit(0.0))) > 0)
+    raw = F.when(usable, weighted_score(cats)).otherwise(r["overallScore"].cast("int"))
+    anew = F.when(F.coalesce(r["isScanned"], F.lit(False)), 0).otherwise(capped(raw, worst_rank(cats)))
+    score = F.when(r["categories"].isNull() | r["overallScore"].isNull(), r["overallScore"].cast("int")).otherwise(anew)
+    changed = F.coalesce(score != r["overallScore"], F.lit(False))
+    return F.struct(score.cast("int").alias("overall_score"), F.when(changed, grade_of(score)).otherwise(r["grade"]).alias("grade"), changed.alias("changed"))
+
+
 def regrade(stored: DataFrame) -> DataFrame:
-    """Stored reports (doc_id, report_json) scored anew from their categories;
-    one without usable weights keeps its stored score."""
-    schema = "overallScore int, grade string, isScanned boolean, categories array<struct<ord:int,id:string,weight:double,score:int,not_assessed:boolean,grade:string,severity:string>>"
-    out = stored.withColumn("r", F.from_json("report_json", schema))
-    cats = F.col("r.categories")
-    usable = cats.isNotNull() & (F.size(cats) > 0) & F.forall(cats, lambda c: c["weight"].isNotNull() & (c["weight"] >= 0))
-    anew = F.when(F.coalesce(F.col("r.isScanned"), F.lit(False)), 0).otherwise(capped(weighted_score(cats), worst_rank(cats)))
-    out = out.withColumn("overall_score", F.when(usable, anew).otherwise(F.col("r.overallScore")))
-    return out.select("doc_id", "overall_score", grade_of(F.col("overall_score")).alias("grade"), (F.col("overall_score") != F.col("r.overallScore")).alias("changed"))
+    """Stored reports (doc_id, report_json) scored anew under today's rules, and
+    each of their score profiles on its own categories: doc_id, overall_score,
+    grade, changed, profiles (name -> the same three)."""
+    fields, profile = ", ".join(f"{n} {t}" for n, t in _STORED.items()), ",".join(f"{n}:{t}" for n, t in _STORED.items())
+    out = stored.withColumn("r", F.from_json("report_json", f"{fields}, scoreProfiles map<string,struct<{profile}>>"))
+    own = regraded(F.col("r"))
+    return out.select("doc_id", own.alias("x"), F.transform_values("r.scoreProfiles", lambda _, p: regraded(p)).alias("profiles")).select("doc_id", "x.*", "profiles")
 
 
 def tally(categories: Column) -> dict[str, Column]:

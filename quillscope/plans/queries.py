@@ -82,26 +82,42 @@ def prioritized_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "c.id", "c.score", (F.col("p") + 1).cast("int").alias("step"))
 
 
-@query(f"""{_REPORT} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 55 ELSE overall_score END AS overall_score, CASE WHEN doc_id % 7 = 0 THEN 'F' ELSE grade END AS grade,
- doc_id % 7 <> 0 AND doc_id % 3 = 0 AND overall_score <> raw_score AS changed FROM report""")
+_ISSUE = "({0}.severity IS NOT NULL AND {0}.severity IN ('Critical', 'Moderate', 'Minor'))"
+OUTCOMES = f"""outcomes AS (SELECT * FROM (
+  SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.id, a.id) AS id, a.ord, b.ord AS old, b.score AS before, a.score AS after, a.score - b.score AS delta,
+   CASE WHEN a.id IS NOT NULL THEN coalesce(a.severity, 'No issues found') ELSE b.severity END AS severity,
+   CASE WHEN {_ISSUE.format("a")} THEN CASE WHEN b.score IS NULL THEN 'new' WHEN a.score > b.score THEN 'improved' WHEN a.score < b.score THEN 'declined' ELSE 'unchanged' END
+    WHEN {_ISSUE.format("b")} THEN CASE WHEN a.id IS NULL THEN 'unchanged' ELSE 'fixed' END END AS disposition
+  FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.id = b.id) WHERE disposition IS NOT NULL)"""
+_LADDER = "CASE WHEN {0} >= 90 THEN 'A' WHEN {0} >= 80 THEN 'B' WHEN {0} >= 70 THEN 'C' WHEN {0} >= 60 THEN 'D' ELSE 'F' END"
+
+
+@query(f"""{_REPORT}, k AS (SELECT doc_id, min(CASE severity WHEN 'Critical' THEN 69 WHEN 'Moderate' THEN 79 WHEN 'Minor' THEN 89 ELSE 100 END) AS ceiling FROM cat GROUP BY doc_id),
+ u AS (SELECT doc_id, count(*) FILTER (score IS NOT NULL OR NOT not_assessed) AS counted FROM cat GROUP BY doc_id),
+ s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 95 WHEN doc_id % 3 = 0 THEN raw_score ELSE overall_score END AS stored, CASE WHEN doc_id % 5 = 0 THEN '?' ELSE grade END AS stored_grade, raw_score, ceiling,
+   doc_id % 7 = 0 OR counted = 0 AS broken FROM report JOIN k USING (doc_id) JOIN u USING (doc_id)),
+ n AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE least(ceiling, CASE WHEN broken THEN stored ELSE raw_score END) END AS score, least(ceiling, CASE WHEN broken THEN 97 ELSE raw_score END) AS strict FROM s)
+ SELECT doc_id, score::INT AS overall_score, CASE WHEN score <> stored THEN {_LADDER.format("score")} ELSE stored_grade END AS grade, score <> stored AS changed,
+  'strict:' || strict::INT || ':' || CASE WHEN strict <> 97 THEN {_LADDER.format("strict")} ELSE 'kept' END AS profiles FROM n""")
 def stored_reports_regraded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the stored reports a third keeps the score it had before the cap, and a
-    seventh has weights that can't be used."""
+    """Of the stored reports a third keeps the score it had before the cap, a
+    seventh has weights that can't be used, an eleventh was scanned; all have a
+    profile that was stored with 97."""
     r = scoring.report(scoring.nest(A.category_results(spark, sf_dir)))
     broken, old = F.col("doc_id") % 7 == 0, F.col("doc_id") % 3 == 0
-    score = F.when(broken, 55).when(old, F.col("raw_score")).otherwise(F.col("overall_score"))
+    score = F.when(broken, 95).when(old, F.col("raw_score")).otherwise(F.col("overall_score"))
     cats = F.transform("categories", lambda c: c.withField("weight", F.when(broken, -1.0).otherwise(c["weight"])))
-    stored = r.select("doc_id", F.to_json(F.struct(score.alias("overallScore"), "grade", F.lit(False).alias("isScanned"), cats.alias("categories"))).alias("report_json"))
-    return scoring.regrade(stored)
+    profile = F.struct(F.lit(97).alias("overallScore"), F.lit("kept").alias("grade"), cats.alias("categories"))
+    grade = F.when(F.col("doc_id") % 5 == 0, "?").otherwise(F.col("grade"))
+    whole = F.struct(score.alias("overallScore"), grade.alias("grade"), (F.col("doc_id") % 11 == 0).alias("isScanned"), cats.alias("categories"), F.struct(profile.alias("strict")).alias("scoreProfiles"))
+    out = scoring.regrade(r.select("doc_id", F.to_json(whole).alias("report_json")))
+    shown = F.transform(F.map_entries("profiles"), lambda e: F.concat_ws(":", e["key"], e["value"]["overall_score"].cast("string"), e["value"]["grade"]))
+    return out.withColumn("profiles", F.array_join(shown, ","))
 
 
-@query(f"""WITH {A.categories_sql("l_linestatus = 'O'", "b")}, {A.categories_sql("l_linestatus = 'F'", "a")}
- SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.id, a.id) AS id, b.score AS before, a.score AS after,
- CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.score IS NULL OR b.score IS NULL THEN 'unchanged' WHEN a.score = 100 AND b.score < 100 THEN 'fixed'
-  WHEN a.score > b.score THEN 'improved' WHEN a.score < b.score THEN 'declined' ELSE 'unchanged' END AS disposition
- FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.id = b.id""")
+@query(f"""WITH {A.categories_sql("l_linestatus = 'O'", "b")}, {A.categories_sql("l_linestatus = 'F'", "a")}, {OUTCOMES} SELECT doc_id, id, before, after, delta, severity, disposition FROM outcomes""")
 def remediation_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.outcome(A.category_results(spark, sf_dir, "O"), A.category_results(spark, sf_dir, "F"))
+    return lifecycle.outcome(A.category_results(spark, sf_dir, "O"), A.category_results(spark, sf_dir, "F")).drop("ord", "_old")
 
 
 _DOCS = "event_type IN ('analyze', 'audit-url', 'bulk-from-inventory')"
@@ -404,7 +420,7 @@ def dominant_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.dominant(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
-@query(f"""WITH {A.categories_sql()} SELECT doc_id, id, CASE WHEN score = 100 THEN 'check' ELSE 'caution' END AS manual FROM cat WHERE score = 100 OR (score IS NULL AND not_assessed)""")
+@query(f"""WITH {A.categories_sql()} SELECT doc_id, id, CASE WHEN score = 100 THEN 'check' ELSE 'caution' END AS manual FROM cat WHERE score = 100 OR (score IS NULL AND not_assessed AND id = 'alt_text')""")
 def manual_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.manual_checks(A.category_results(spark, sf_dir)).select("doc_id", "id", "manual")
 

@@ -11,7 +11,7 @@ from ..operators.format_scoring import DEFAULT_SHEET
 from ..sources import files
 from . import adapters as A
 from .adapters import table
-from .queries import _REPORT, query
+from .queries import _REPORT, OUTCOMES, query
 
 c = F.col
 
@@ -37,12 +37,12 @@ def flat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {A.categories_sql("l_linestatus = 'O'", "b")}, {A.categories_sql("l_linestatus = 'F'", "a")},
- o AS (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.id, a.id) AS id, b.score AS before, a.score AS after, a.severity AS s FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.id = b.id)
- SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY CASE s WHEN 'Critical' THEN 0 WHEN 'Moderate' THEN 1 ELSE 2 END, id) FILTER (after < 100), '') AS flagged,
- coalesce(string_agg(id, ',' ORDER BY before - after, id) FILTER (after > before), '') AS improved FROM o GROUP BY doc_id""")
+ {OUTCOMES}, r AS (SELECT *, CASE severity WHEN 'Critical' THEN 0 WHEN 'Moderate' THEN 1 ELSE 2 END AS rank FROM outcomes)
+ SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY rank, ord IS NULL, coalesce(ord, old)) FILTER (disposition <> 'fixed'), '') AS still_flagged,
+  coalesce(string_agg(id, ',' ORDER BY ord) FILTER (disposition = 'fixed'), '') AS fixed FROM r GROUP BY doc_id""")
 def outcome_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lifecycle.outcome_order(lifecycle.outcome(A.category_results(spark, sf_dir, "O"), A.category_results(spark, sf_dir, "F")))
-    return out.select("doc_id", F.array_join("flagged", ",").alias("flagged"), F.array_join("improved", ",").alias("improved"))
+    return out.select("doc_id", F.array_join("still_flagged", ",").alias("still_flagged"), F.array_join("fixed", ",").alias("fixed"))
 
 
 @query(f"WITH {A.JOBS} SELECT status, count(*) AS n FROM jobs, jobs_clock WHERE created_at > now - INTERVAL 24 HOURS GROUP BY status")

@@ -75,8 +75,9 @@ _PUBLICATIONS = "array<struct<id:string,title:string,slug:string,fileURL:string,
 def publication_file(spark: SparkSession, path: str, page_size: int | None = None) -> DataFrame:
     """Publications of JSON files: a list, or one under ``publications`` or
     ``data.publications``. A folder holds the pages of a paged source by name; with
-    ``page_size`` the first page that is shorter is the last. Of rows with one id
-    the last stays; only files that can be audited count."""
+    ``page_size`` the first page that is shorter is the last, and of rows with one id
+    the last stays; a plain file keeps its rows. Then only files that can be audited
+    count."""
     text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("page"))
     j = lambda schema: F.from_json("value", schema)
     found = F.coalesce(F.when(F.ltrim(strip(F.col("value"))).startswith("["), j(_PUBLICATIONS)), j(f"publications {_PUBLICATIONS}")["publications"], j(f"data struct<publications:{_PUBLICATIONS}>")["data"]["publications"])
@@ -84,6 +85,8 @@ def publication_file(spark: SparkSession, path: str, page_size: int | None = Non
     if page_size is not None:
         short = pages.where(F.coalesce(F.size("found"), F.lit(0)) < page_size).agg(F.min("page").alias("last"))  # one row
         pages = pages.join(F.broadcast(short)).where(F.col("last").isNull() | (F.col("page") <= F.col("last"))).drop("last")
-    rows = pages.select("page", F.posexplode("found").alias("pos", "p")).select("page", "pos", "p.*").where(supported(F.col("fileURL")))
+    rows = pages.select("page", F.posexplode("found").alias("pos", "p")).select("page", "pos", "p.*")
+    if page_size is None:
+        return rows.where(supported(F.col("fileURL"))).select("id", *(c for c in rows.columns if c not in ("id", "page", "pos")))
     kept = [c for c in rows.columns if c not in ("id", "page", "pos")]
-    return rows.groupBy("id").agg(F.max_by(F.struct(*kept), F.struct("page", "pos")).alias("r")).select("id", "r.*")
+    return rows.groupBy("id").agg(F.max_by(F.struct(*kept), F.struct("page", "pos")).alias("r")).select("id", "r.*").where(supported(F.col("fileURL")))

@@ -67,8 +67,8 @@ def test_pdf_conformance(spark):
 
 OFFICE = {
     "docx": (DOCX, S.docx_categories, [({}, "heading_structure", 100), ({"headings": [2, 4], "fakeHeadings": 1}, "heading_structure", 55), ({"headings": [], "fakeHeadings": 2}, "heading_structure", 30), ({"headings": []}, "heading_structure", None), ({"images": [dict(altText="a", decorative=False)] * 9 + [dict(altText=None, decorative=False)]}, "alt_text", 85), ({"tables": [dict(hasHeaderRow=False, rowCount=2, colCount=2, nested=False, layout=False), dict(hasHeaderRow=True, rowCount=2, colCount=2, nested=True, layout=False)]}, "table_markup", 45), ({"contrast": dict(checked=10, unresolved=0, failing=[dict(ratio=2.0)])}, "color_contrast", 85), ({"contrast": dict(checked=0, unresolved=1, failing=[])}, "color_contrast", "?"), ({"realItems": 1, "manualItems": 3}, "list_structure", 25)]),
-    "pptx": (PPTX, S.pptx_categories, [({}, "slide_titles", 100), ({"slides": [dict(title="A", hidden=False, titleFirst=True), dict(title="a ", hidden=False, titleFirst=False)]}, "slide_titles", 90), ({"slides": [dict(title="A", hidden=False, titleFirst=False), dict(title=None, hidden=False, titleFirst=False)]}, "slide_titles", 50), ({"slides": [dict(title="A", hidden=False, titleFirst=False)]}, "reading_order", 85)]),
-    "xlsx": (XLSX, S.xlsx_categories, [({}, "sheet_names", 100), ({"sheets": [dict(name="Sheet1", hidden=False, cells=20, hasTable=False, hasPivot=False)]}, "sheet_names", 40), ({"sheets": [dict(name="X", hidden=False, cells=20, hasTable=False, hasPivot=False)]}, "table_markup", 60), ({"valuedCells": 0}, "text_extractability", "?"), ({"links": [dict(text="here", resolved=False)]}, "link_quality", "?")]),
+    "pptx": (PPTX, S.pptx_categories, [({}, "slide_titles", 100), ({"slides": [dict(title="A", hidden=False, titleFirst=True), dict(title="a", hidden=False, titleFirst=False)]}, "slide_titles", 100), ({"slides": [dict(title="A", hidden=False, titleFirst=True)] * 2}, "slide_titles", 90), ({"slides": [dict(title="A", hidden=True, titleFirst=True)]}, "slide_titles", 100), ({"slides": []}, "slide_titles", None), ({"slides": [dict(title="A", hidden=False, titleFirst=False), dict(title=None, hidden=False, titleFirst=False)]}, "slide_titles", 50), ({"slides": [dict(title="A", hidden=False, titleFirst=False)]}, "reading_order", 85)]),
+    "xlsx": (XLSX, S.xlsx_categories, [({}, "sheet_names", 100), ({"sheets": [dict(name="Sheet1", hidden=False, cells=20, hasTable=False, hasPivot=False)]}, "sheet_names", 40), ({"sheets": [dict(name="X", hidden=False, cells=20, hasTable=False, hasPivot=False)]}, "table_markup", 60), ({"valuedCells": 0}, "text_extractability", "?"), ({"tables": [], "sheets": [dict(name="X", hidden=False, cells=40, hasTable=False, hasPivot=True)]}, "table_markup", 100), ({"tables": [], "sheets": [dict(name="X", hidden=True, cells=40, hasTable=False, hasPivot=False)]}, "table_markup", 100), ({"tables": [], "sheets": [dict(name="X", hidden=False, cells=11, hasTable=False, hasPivot=False)]}, "table_markup", None), ({"links": [dict(text="here", resolved=False)]}, "link_quality", "?")]),
 }
 
 
