@@ -6,10 +6,12 @@ the balls. Its graph starts from vectors that stand next to each other in the
 order of random hyperplane codes, and is refined through joins of neighbours of
 neighbours: every node compares its neighbours and reverse neighbours with one
 another, and a pair is passed on where it improves a list. A list whose last
-neighbour still lies in reach of the threshold is saturated and is enlarged, up
-to ``MOST`` places; nodes that are saturated beyond that are searched
-exhaustively at the end, in blocks. A stated set of nodes (those of smallest
-hash) is searched exhaustively as well, to audit recall. While recall is below
+neighbour still lies in reach of the threshold (its angle, the node's radius and
+that of the widest ball) is saturated and is enlarged, up to ``MOST`` places; nodes
+that are saturated beyond that are searched exhaustively at the end, blocks of them
+against blocks of all. A sample of nodes by hash is searched exhaustively as well,
+to audit recall: it grows until it holds ``AUDIT_LINKS`` links; without any, recall
+is unmeasured. While recall is below
 ``recall``, all lists grow and further code tables join the graph; where it is
 below ``least_recall`` at the end, an error is raised, so links are never lost
 in silence. At last the pairs of balls in reach are compared in double
@@ -28,7 +30,6 @@ columns don't matter.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,9 @@ from ._store import release, stash
 from ._text import batch
 
 LIST, MOST, TABLES, NEXT, BLOCK, QUERIES = 8, 256, 8, 4, 256, 1024
+#: Links that an audit wants to see, and how many times ``QUERIES`` nodes it searches
+#: for them at most.
+AUDIT_LINKS, AUDIT_TIMES = 1000, 16
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
 
 
@@ -68,14 +72,23 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.binary()))
 
 
-def _coded(vectors: DataFrame, seed: int, bits: int, dim: int) -> DataFrame:
-    """``vectors`` (id, unit, ...) with the code of ``bits`` random hyperplanes."""
+def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
+    """Mean of some 1,000 vectors: codes look at what is left beside a direction
+    that all vectors share."""
+    n = vectors.count()
+    some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // QUERIES))) == 0).limit(2 * QUERIES).select("unit").collect()
+    return np.mean([np.frombuffer(r["unit"], np.float64) for r in some], axis=0) if some else np.zeros(dim)
+
+
+def _coded(vectors: DataFrame, seed: int, bits: int, dim: int, centre: np.ndarray) -> DataFrame:
+    """``vectors`` (id, unit, ...) with the code of ``bits`` random hyperplanes
+    through the centre."""
     planes = np.random.default_rng(seed).standard_normal((dim, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                code = ((_rows(b.column("unit")) @ planes > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
+                code = (((_rows(b.column("unit")) - centre) @ planes > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code)], names=[*b.schema.names, "code"])
 
     return vectors.mapInArrow(run, vectors.schema.simpleString()[7:-1] + ",code:bigint")
@@ -89,12 +102,12 @@ def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(schema, b.column("id"), b.column("unit"), b.column("pivot"), np.arccos(np.clip(dot, -1, 1)))
 
 
-def _balls(vectors: DataFrame, reach: float, rounds: int, dim: int) -> DataFrame:
+def _balls(vectors: DataFrame, reach: float, rounds: int, dim: int, centre: np.ndarray) -> DataFrame:
     """(id, unit, ball, angle): each vector in the ball of a pivot within
     ``reach``; a vector that no round takes in is a ball of its own."""
     free, done = vectors, None
     for r in range(rounds):
-        coded = stash(_coded(free, 1000 + r, 16, dim))
+        coded = stash(_coded(free, 1000 + r, 16, dim, centre))
         pivots = coded.join(coded.groupBy("code").agg(F.min("id").alias("id")), ["code", "id"]).select("code", F.col("id").alias("pivot"), F.col("unit").alias("pivot_unit"))
         angled = coded.join(pivots, "code").select("id", "unit", "pivot", "pivot_unit").mapInArrow(_angles, "id long, unit binary, pivot long, angle double")
         angled = stash(angled)
@@ -145,34 +158,43 @@ def _best(pairs: DataFrame, room: DataFrame) -> DataFrame:
     return ranked.join(room, "u").where("place <= room").select("u", "v", "sim", "place", "room")
 
 
-def _search(nodes: DataFrame, queries: list, floor: str) -> DataFrame:
-    """Exhaustive search of a bounded list of queries through all nodes."""
-    ids = np.array([q["id"] for q in queries], np.int64)
-    x = np.array([np.frombuffer(q["unit"], np.float64) for q in queries])
-    radius = np.array([q["radius"] for q in queries])
+def _exhaustive(nodes: DataFrame, wanted: DataFrame, floor: str) -> DataFrame:
+    """All pairs (u, v, sim) of a node u of ``wanted`` and another node v whose
+    balls are in reach of each other: blocks of the one against blocks of the
+    other, each pair of blocks a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            own, sim = b.column("id").to_numpy(), _rows(b.column("unit")) @ x.T
-            limit = np.cos(np.minimum(np.pi, float(floor) + b.column("radius").to_numpy()[:, None] + radius[None, :]))
-            i, j = np.nonzero((sim >= limit) & (own[:, None] != ids[None, :]))
-            yield batch(_PAIR, ids[j], own[i], sim[i, j])
-
-    return nodes.mapInArrow(run, "u long, v long, sim double")
-
-
-def _exhaustive(nodes: DataFrame, wanted: DataFrame, floor: str) -> DataFrame:
-    """``_search`` for any number of nodes, a bounded block of them at a time."""
-    out, block = None, []
-    for row in itertools.chain(wanted.toLocalIterator(), [None]):
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == QUERIES):
-            found = stash(_search(nodes, block, floor))
-            out, block = found if out is None else out.unionAll(found), []
-    return nodes.sparkSession.createDataFrame([], "u long, v long, sim double") if out is None else out
+            for left, right in zip(b.column("left"), b.column("right"), strict=True):
+                (ids, x, r), (others, y, s) = ((v.values.field(0).to_numpy(), _rows(v.values.field(1)), v.values.field(2).to_numpy()) for v in (left, right))
+                sim = x @ y.T
+                limit = np.cos(np.minimum(np.pi, float(floor) + r[:, None] + s[None, :])) - 1e-9
+                i, j = np.nonzero((sim >= limit) & (ids[:, None] != others[None, :]))
+                if len(i):
+                    yield batch(_PAIR, ids[i], others[j], sim[i, j])
+
+    def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
+        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias(name + "_block")).agg(F.collect_list(F.struct("id", "unit", "radius")).alias(name))
+
+    parts = [max(1, -(-rows.count() // QUERIES)) for rows in (wanted, nodes)]
+    left = packed(wanted.select("id", "unit", "radius"), parts[0], "left").withColumn("right_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))))
+    both = left.join(packed(nodes.select("id", "unit", "radius"), parts[1], "right"), "right_block")
+    return both.select("left", "right").mapInArrow(run, "u long, v long, sim double")
+
+
+def _audit(nodes: DataFrame, total: int, floor: str, audit: int) -> tuple[DataFrame, int]:
+    """(links of some nodes, found exhaustively; how many): the sample grows until
+    it holds enough links to tell, all nodes are in it, or it is as large as an
+    audit may be."""
+    size = audit
+    while True:
+        some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // size))) == 0)
+        truth = stash(_exhaustive(nodes, some, floor).select("u", "v"))
+        due = truth.count()
+        if due >= AUDIT_LINKS or size >= total or size >= AUDIT_TIMES * audit:
+            return truth, due
+        release(truth)
+        size *= 4
 
 
 def _counts(threshold: float):
@@ -195,17 +217,17 @@ def _counts(threshold: float):
     return run
 
 
-def _graph(nodes: DataFrame, dim: int, angle: float, lists: int, rounds: int, least_rounds: int, recall: float, least_recall: float, audit: int) -> tuple[DataFrame, dict]:
+def _graph(nodes: DataFrame, dim: int, centre: np.ndarray, angle: float, lists: int, rounds: int, least_rounds: int, recall: float, least_recall: float, audit: int) -> tuple[DataFrame, dict]:
     """((a, b) of balls in reach of each other, audit figures)."""
     spark = nodes.sparkSession
     total = nodes.count()
-    figures = {"balls": total, "rounds": 0, "audited": 0, "recall": 1.0, "saturated": 0}
+    figures = {"balls": total, "rounds": 0, "audited": 0, "recall": None, "saturated": 0}
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 256))
 
     def coded_pairs(seeds: range) -> DataFrame:
         start = None
         for t in seeds:
-            line = _coded(nodes.select("id", "unit"), t, 32, dim).repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").drop("code")
+            line = _coded(nodes.select("id", "unit"), t, 32, dim, centre).repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").drop("code")
             found = line.mapInArrow(_neighbours_in_order, "u long, v long, sim double")
             start = found if start is None else start.unionAll(found)
         return start
@@ -214,18 +236,18 @@ def _graph(nodes: DataFrame, dim: int, angle: float, lists: int, rounds: int, le
     radius = nodes.select(F.col("id").alias("u"), F.col("radius").alias("ru"))
     other = nodes.select(F.col("id").alias("v"), F.col("radius").alias("rv"))
     graph = stash(_best(coded_pairs(range(TABLES)), nodes.select(F.col("id").alias("u"), F.lit(lists).alias("room"))))
-    truth = stash(_search(nodes, nodes.orderBy(F.xxhash64("id"), "id").limit(audit).collect(), repr(angle))) if total else None
-    due = truth.count() if total else 0
+    truth, due = _audit(nodes, total, repr(angle), audit) if total else (None, 0)
+    widest = nodes.agg(F.max("radius")).first()[0] or 0.0
 
     def lasts(graph: DataFrame) -> DataFrame:
         """Each list's last place, and whether it is saturated."""
         last = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.max("place").alias("held"), F.max("room").alias("room")).join(radius, "u")
         full = F.col("held") >= F.col("room")
-        # no ball's radius exceeds the half of the angle
-        return last.select("u", "worst", "room", full.alias("full"), (full & (F.col("worst") >= F.cos(F.least(F.lit(np.pi), 1.5 * angle + F.col("ru"))))).alias("saturated"))
+        # beyond its last entry there may be a ball as wide as the widest
+        return last.select("u", "worst", "room", full.alias("full"), (full & (F.col("worst") >= F.cos(F.least(F.lit(np.pi), angle + widest + F.col("ru"))) - 1e-9)).alias("saturated"))
 
     for turn in range(1, rounds + 1):
-        poor = figures["recall"] < recall and turn > least_rounds
+        poor = figures["recall"] is not None and figures["recall"] < recall and turn > least_rounds
         grown = F.when(F.col("saturated") | F.lit(poor), F.least(F.col("room") * 2, F.greatest("room", F.lit(MOST)))).otherwise(F.col("room"))
         last = stash(lasts(graph).withColumn("grown", grown).select("u", F.when(F.col("full") & (F.col("grown") == F.col("room")), F.col("worst")).otherwise(-2.0).alias("worst"), F.col("grown").alias("room")))
         back = Window.partitionBy("w").orderBy(F.xxhash64("x", F.lit(turn)), "x")
@@ -242,11 +264,11 @@ def _graph(nodes: DataFrame, dim: int, angle: float, lists: int, rounds: int, le
         graph = after
         got = truth.join(graph.select("u", "v").unionAll(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), ["u", "v"]).count() if due else 0
         more = lasts(graph).where(f"saturated and room < {MOST}").count()
-        figures |= {"rounds": turn, "audited": due, "recall": got / due if due else 1.0}
+        figures |= {"rounds": turn, "audited": due, "recall": got / due if due else None}
         settled = changed <= 0.002 * total * lists or turn >= least_rounds
-        if figures["recall"] >= recall and not more and settled:
+        if (not due or figures["recall"] >= recall) and not more and settled:
             break
-    if figures["recall"] < least_recall:
+    if due and figures["recall"] < least_recall:
         raise RuntimeError(f"recall of the neighbour graph stayed too low: {figures}")
     rest = lasts(graph).where("saturated").select(F.col("u").alias("id"))
     figures["saturated"] = rest.count()
@@ -260,10 +282,11 @@ def _graph(nodes: DataFrame, dim: int, angle: float, lists: int, rounds: int, le
 def _links(units: DataFrame, dim: int, threshold: float, **options) -> tuple[DataFrame, dict]:
     """((id, n_links, component), audit figures) of unit vectors of one length."""
     angle = float(np.arccos(threshold))
-    balls = _balls(units, angle / 2 - 1e-9, 3, dim)
+    centre = _centre(units, dim)
+    balls = _balls(units, angle / 2 - 1e-9, 3, dim, centre)
     sizes = stash(balls.groupBy(F.col("ball").alias("id")).agg(F.max("angle").alias("radius"), F.count("*").alias("size"), F.min("id").alias("least")))
     nodes = stash(balls.where("id = ball").select("id", "unit").join(sizes, "id"))
-    close, figures = _graph(nodes, dim, angle, **options)
+    close, figures = _graph(nodes, dim, centre, angle, **options)
     of = sizes.select(F.col("id").alias("ball"), "size", "least")
     members = stash(balls.select("id", "ball", "unit").join(of, "ball"))
     ways = close.unionAll(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -297,9 +320,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, lists: int = LIS
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, **options) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept, and
-    recall, the audited recall of the search (of the worst length)."""
+    recall, the audited recall of the search (of the worst length); null where the
+    audit met no link, which is no measure."""
     links, figures = embedding_links(vectors, threshold, **options)
     out = vectors.select("vec_id").join(links.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    recall = min((x["recall"] for x in figures.values()), default=1.0)
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(float(recall)).alias("recall"))
+    recall = min((x["recall"] for x in figures.values() if x["recall"] is not None), default=None)
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))

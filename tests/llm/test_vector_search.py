@@ -84,3 +84,30 @@ def test_large_components_raise(spark):
     rows = spark.createDataFrame([(0, [1e30], 0), (20, [1.0], 0)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(Exception, match="32 bits"):
         maxscore.top_k(rows, rows.vec_id == 0).collect()
+
+
+def test_links_among_vectors_with_a_common_direction(spark):
+    """Pairs at 0.90 to 0.92 among vectors of mean cosine 0.7, as text embeddings
+    are: found without a search of everything against everything."""
+    from quillscope.llm.embedding_dedup import embedding_links
+
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(3000, 48))
+    x = x / np.linalg.norm(x, axis=1)[:, None] * 0.6 + np.eye(48)[0]
+    for i in range(0, 120, 2):  # pairs at a stated cosine
+        a = x[i] / np.linalg.norm(x[i])
+        b = draw.normal(size=48)
+        b -= (b @ a) * a
+        cosine = draw.uniform(0.901, 0.92)
+        x[i + 1] = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert 0.6 < (unit[200:700] @ unit[1000:1500].T).mean() < 0.8 and true.sum() >= 120
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links, figures = embedding_links(table)
+    found = {r.id: r.n_links for r in links.collect()}
+    assert all(found[i] <= true[i] for i in range(3000))
+    assert sum(found.values()) >= 0.97 * true.sum()
+    assert figures[48]["recall"] is None or figures[48]["recall"] >= 0.97
+    _, none = embedding_links(spark.createDataFrame([(i, np.eye(40)[i % 40].tolist()) for i in range(40)], table.schema))
+    assert none[40]["recall"] is None
