@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..dims import ERA_START, EXTENSIONS
 from ..functions.numbers import half_up
 
+REFUSED_FORMATS = ("doc", "xls", "ppt", "rtf", "csv", "other")
+FORMAT_KEYS, GRADE_KEYS = (*EXTENSIONS, "unknown_extension"), ("A", "B", "C", "D", "F", "ungraded")
 DOCUMENT_EVENTS = ("analyze", "audit-url", "bulk-from-inventory")
 
 
@@ -42,6 +44,34 @@ def counts_by(log: DataFrame, bucket: Column, name: str, now: Column) -> DataFra
     return docs.groupBy(bucket.alias(name)).agg(F.count("*").alias("n_all"), F.count_if(month).alias("n_month"))
 
 
+def zero_filled(counts: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """``counts`` with a row for each of ``keys``, in which other names have no place
+    and missing ones count 0."""
+    spark = counts.sparkSession
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias(name))
+    numbers = [c for c in counts.columns if c != name]
+    return every.join(counts, name, "left").select(name, *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers))
+
+
+def refused_format(filename: Column) -> Column:
+    """What kind of file a refused upload was offered as."""
+    name = F.lower(F.coalesce(filename, F.lit("")))
+    out = F.when(name.endswith(".csv") | name.endswith(".tsv"), "csv")
+    for ext in ("doc", "xls", "ppt", "rtf"):
+        out = out.when(name.endswith("." + ext), ext)
+    return out.otherwise("other")
+
+
+def refused_uploads(log: DataFrame, now: Column) -> DataFrame:
+    """Refused uploads by kind over all time, a day and thirty days, every kind with
+    a row, and their total."""
+    spans = {"n_all": F.lit(True), "n_day": F.col("created_at") > now - F.expr("interval 24 hours"), "n_month": F.col("created_at") > now - F.expr("interval 30 days")}
+    refused = log.where(F.col("event_type") == "rejected-upload").withColumn("format", refused_format(F.col("filename")))
+    each = refused.groupBy("format").agg(*(F.count_if(test).alias(n) for n, test in spans.items()))
+    filled = zero_filled(each, "format", REFUSED_FORMATS)
+    return filled.unionByName(filled.groupBy().agg(F.lit("total").alias("format"), *(F.sum(n).alias(n) for n in spans)))
+
+
 def grade_distribution(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     grades = [F.count_if(F.col("grade") == g).alias(g) for g in "ABCDF"]
     return rows.groupBy(*(by or [])).agg(F.count("*").alias("total"), *grades)

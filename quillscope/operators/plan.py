@@ -63,8 +63,11 @@ def card(findings: Column) -> Column:
     return F.struct(main.alias("main"), signals.alias("signals"), F.size(F.filter(before, lambda f: f.startswith("  "))).alias("signal_count"), fix.alias("fix"))
 
 
-def readiness(categories: Column) -> Column:
-    """Whether a mended file can be published; without categories nothing is known."""
+def readiness(categories: Column, strict: Column | None = None) -> Column:
+    """Whether a mended file can be published; without categories nothing is known.
+    The strict profile's categories come first where it has any list, even an
+    empty one."""
+    categories = categories if strict is None else F.coalesce(strict, categories)
     n = lambda s: F.size(F.filter(categories, lambda c: c["severity"] == s))
     return F.when(categories.isNull() | (F.size(categories) <= 0), "not_rechecked").otherwise(verdict(n("Critical"), n("Moderate")))
 

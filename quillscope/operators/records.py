@@ -121,11 +121,12 @@ def accessibility_allowed(encrypted: Column, capability: Column) -> Column:
 
 def slim_issue(issue: Column, nodes: int = 25) -> Column:
     """An issue of a page audit as it is stored: at least one node counts, the
-    first 25 are kept."""
+    first 25 are kept; tags that aren't texts are left out."""
     held = F.coalesce(issue["nodes"], F.array().cast("array<struct<target:array<string>>>"))
     kept = F.transform(F.slice(held, 1, nodes), lambda n: F.struct(F.coalesce(n["target"], F.array().cast("array<string>")).alias("target")))
     text = lambda c: F.coalesce(issue[c], F.lit(""))
-    return F.struct(text("id").alias("id"), issue["impact"].alias("impact"), text("description").alias("description"), F.greatest(F.lit(1), F.size(held)).alias("nodeCount"), kept.alias("nodes"))
+    tags = F.array_compact(F.coalesce(issue["tags"], F.array().cast("array<string>")))
+    return F.struct(text("id").alias("id"), issue["impact"].alias("impact"), text("description").alias("description"), text("helpUrl").alias("helpUrl"), tags.alias("tags"), F.greatest(F.lit(1), F.size(held)).alias("nodeCount"), kept.alias("nodes"))
 
 
 def language_tally(spans: Column, lang: Column) -> Column:

@@ -94,6 +94,16 @@ def tally(categories: Column) -> dict[str, Column]:
     }
 
 
+def severity_counts(severities: Column) -> Column:
+    """(critical, moderate, minor, pass, total) of an array of severities. Only these
+    four names count; a null array has none."""
+    names = ("Critical", "Moderate", "Minor", "Pass")
+    held = F.array_compact(F.coalesce(severities, F.array().cast("array<string>")))
+    n = {name: F.size(F.array_remove(held, name)) for name in names}
+    n = {name: F.size(held) - left for name, left in n.items()}
+    return F.struct(*(n[name].alias(name.lower()) for name in names), sum(n.values(), F.lit(0)).alias("total"))
+
+
 def verdict(critical: Column, moderate: Column) -> Column:
     return F.when(critical > 0, "not_ready").when(moderate > 0, "fix_first").otherwise("ready")
 

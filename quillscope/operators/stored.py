@@ -90,8 +90,9 @@ def purge_counts(rows: DataFrame, table: str, now: Column, days: int | None = No
 
 def folded_jobs(changes: DataFrame) -> DataFrame:
     """State of each job from change rows (job_id, kind, at, event_id, text,
-    number), as updates in order would leave it: kinds step, status, scores,
-    finalize, fail and expire. Each column keeps what its last setter gave it, so
+    number, input, valid, until), as updates in order would leave it: kinds step,
+    status, scores (input score, output score, whether the output is valid),
+    finalize (with the time its output expires), fail and expire. Each column keeps what its last setter gave it, so
     one aggregate, combined before the shuffle, replaces the sequence."""
     kind, order = F.col("kind"), F.struct("at", "event_id")
 
@@ -105,10 +106,13 @@ def folded_jobs(changes: DataFrame) -> DataFrame:
         F.coalesce(last(status, "status", "finalize", "fail", "expire"), F.lit("pending")).alias("status"),
         last(F.when(kind == "step", F.col("text")), "step", "finalize", "fail").alias("step"),
         F.coalesce(last(progress, "step", "status", "finalize"), F.lit(0)).alias("progress_pct"),
+        last(F.col("input"), "scores").alias("input_score"),
         last(F.col("number"), "scores").alias("output_score"),
+        last(F.col("valid"), "scores").alias("output_valid"),
         last(F.col("text"), "fail").alias("failure_reason"),
         last(F.when(kind == "finalize", F.col("text")), "finalize", "expire").alias("output_path"),
         F.max(F.when(kind.isin("finalize", "fail"), F.col("at"))).alias("completed_at"),
+        last(F.col("until"), "finalize").alias("expires_at"),
     )
 
 

@@ -132,17 +132,43 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.window_counts(log.join(F.broadcast(A.clock(log))), F.col("now"))
 
 
-@query(f"""WITH {A.AUDIT_LOG} SELECT CASE WHEN lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.docx' THEN 'docx' WHEN lower(filename) LIKE '%.pptx' THEN 'pptx' WHEN lower(filename) LIKE '%.xlsx' THEN 'xlsx' ELSE 'unknown_extension' END AS format,
- count(*) AS n_all, count(*) FILTER (created_at > now - INTERVAL 30 DAYS) AS n_month FROM audit_log, clock WHERE {_DOCS} GROUP BY 1""")
+def _filled(keys: tuple[str, ...], name: str, counts: str) -> str:
+    """SQL of counts with a row for every key."""
+    every = ", ".join(f"('{k}')" for k in keys)
+    return f"n AS ({counts}) SELECT k.{name}, coalesce(n_all, 0) AS n_all, coalesce(n_month, 0) AS n_month FROM (VALUES {every}) k({name}) LEFT JOIN n ON n.{name} = k.{name}"
+
+
+@query(f"""WITH {A.AUDIT_LOG}, {_filled(fleet.FORMAT_KEYS, "format", f"""SELECT CASE WHEN lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.docx' THEN 'docx' WHEN lower(filename) LIKE '%.pptx' THEN 'pptx' WHEN lower(filename) LIKE '%.xlsx' THEN 'xlsx' ELSE 'unknown_extension' END AS format,
+ count(*) AS n_all, count(*) FILTER (created_at > now - INTERVAL 30 DAYS) AS n_month FROM audit_log, clock WHERE {_DOCS} GROUP BY 1""")}""")
 def status_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = A.audit_log(spark, sf_dir)
-    return fleet.counts_by(log.join(F.broadcast(A.clock(log))), fleet.format_of(F.col("filename")), "format", F.col("now"))
+    counts = fleet.counts_by(log.join(F.broadcast(A.clock(log))), fleet.format_of(F.col("filename")), "format", F.col("now"))
+    return fleet.zero_filled(counts, "format", fleet.FORMAT_KEYS)
 
 
-@query(f"""WITH {A.AUDIT_LOG} SELECT coalesce(upper(grade), 'ungraded') AS grade_bucket, count(*) AS n_all, count(*) FILTER (created_at > now - INTERVAL 30 DAYS) AS n_month FROM audit_log, clock WHERE {_DOCS} GROUP BY 1""")
+@query(f"""WITH {A.AUDIT_LOG}, {_filled(fleet.GRADE_KEYS, "grade_bucket", f"SELECT coalesce(upper(grade), 'ungraded') AS grade_bucket, count(*) AS n_all, count(*) FILTER (created_at > now - INTERVAL 30 DAYS) AS n_month FROM audit_log, clock WHERE {_DOCS} GROUP BY 1")}""")
 def status_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = A.audit_log(spark, sf_dir)
-    return fleet.counts_by(log.join(F.broadcast(A.clock(log))), fleet.grade_bucket(F.col("grade")), "grade_bucket", F.col("now"))
+    counts = fleet.counts_by(log.join(F.broadcast(A.clock(log))), fleet.grade_bucket(F.col("grade")), "grade_bucket", F.col("now"))
+    return fleet.zero_filled(counts, "grade_bucket", fleet.GRADE_KEYS)
+
+
+@query(f"""WITH {A.AUDIT_LOG}, f AS (SELECT *, CASE WHEN lower(filename) LIKE '%.doc' THEN 'doc' WHEN lower(filename) LIKE '%.xls' THEN 'xls' WHEN lower(filename) LIKE '%.ppt' THEN 'ppt' WHEN lower(filename) LIKE '%.rtf' THEN 'rtf' WHEN lower(filename) LIKE '%.csv' OR lower(filename) LIKE '%.tsv' THEN 'csv' ELSE 'other' END AS format FROM audit_log, clock WHERE event_type = 'rejected-upload'),
+ n AS (SELECT format, count(*) AS n_all, count(*) FILTER (created_at > now - INTERVAL 24 HOURS) AS n_day, count(*) FILTER (created_at > now - INTERVAL 30 DAYS) AS n_month FROM f GROUP BY format),
+ k AS (SELECT k.format, coalesce(n_all, 0)::BIGINT AS n_all, coalesce(n_day, 0)::BIGINT AS n_day, coalesce(n_month, 0)::BIGINT AS n_month FROM (VALUES ('doc'), ('xls'), ('ppt'), ('rtf'), ('csv'), ('other')) k(format) LEFT JOIN n ON n.format = k.format)
+ SELECT * FROM k UNION ALL SELECT 'total', sum(n_all)::BIGINT, sum(n_day)::BIGINT, sum(n_month)::BIGINT FROM k""")
+def refused_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = A.audit_log(spark, sf_dir)
+    return fleet.refused_uploads(log.join(F.broadcast(A.clock(log))), F.col("now"))  # the clock is one row
+
+
+@query(f"""WITH {A.categories_sql()}, s AS (SELECT doc_id, CASE WHEN severity = 'No issues found' AND ord % 2 = 0 THEN 'Pass' ELSE severity END AS severity FROM cat)
+ SELECT doc_id, (count(*) FILTER (severity = 'Critical'))::INTEGER AS critical, (count(*) FILTER (severity = 'Moderate'))::INTEGER AS moderate, (count(*) FILTER (severity = 'Minor'))::INTEGER AS minor, (count(*) FILTER (severity = 'Pass'))::INTEGER AS pass,
+  (count(*) FILTER (severity IN ('Critical', 'Moderate', 'Minor', 'Pass')))::INTEGER AS total FROM s GROUP BY doc_id""")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severities by name; a name that isn't known counts nowhere."""
+    named = F.transform("categories", lambda c: F.when((c["severity"] == "No issues found") & (c["ord"] % 2 == 0), "Pass").otherwise(c["severity"]))
+    return scoring.nest(A.category_results(spark, sf_dir)).select("doc_id", scoring.severity_counts(named).alias("n")).select("doc_id", "n.*")
 
 
 @query(f"""WITH {A.AUDIT_LOG} SELECT CASE WHEN regexp_extract(lower(filename), '\\.([a-z]+)$', 1) IN ('doc', 'xls', 'ppt', 'rtf', 'csv') THEN regexp_extract(lower(filename), '\\.([a-z]+)$', 1) WHEN lower(filename) LIKE '%.tsv' THEN 'csv' ELSE 'other' END AS format, count(*) AS n

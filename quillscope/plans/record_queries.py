@@ -270,6 +270,15 @@ def publish_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(nested, "doc_id", "left").select("doc_id", plan.readiness(c("categories")).alias("readiness"))
 
 
+@query(f"""WITH {A.categories_sql()}, t AS (SELECT doc_id, count(*) FILTER (severity = 'Critical' AND (doc_id % 3 > 0 OR ord <= 2)) AS bad, count(*) FILTER (severity = 'Moderate' AND (doc_id % 3 > 0 OR ord <= 2)) AS mid, count(*) FILTER (doc_id % 3 > 0 OR ord <= 2) AS n FROM cat GROUP BY doc_id)
+ SELECT doc_id, CASE WHEN n = 0 OR doc_id % 3 = 1 THEN 'not_rechecked' WHEN bad > 0 THEN 'not_ready' WHEN mid > 0 THEN 'fix_first' ELSE 'ready' END AS readiness FROM t""")
+def readiness_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third has a strict profile of two categories, a third one without any."""
+    d = scoring.nest(A.category_results(spark, sf_dir))
+    strict = F.when(c("doc_id") % 3 == 0, F.filter("categories", lambda x: x["ord"] <= 2)).when(c("doc_id") % 3 == 1, F.filter("categories", lambda x: F.lit(False)))
+    return d.select("doc_id", plan.readiness(c("categories"), strict).alias("readiness"))
+
+
 @query(f"""WITH {A.categories_sql()} SELECT doc_id, id, CASE WHEN ord <= 3 THEN CASE WHEN doc_id % 2 = 0 THEN 95 END ELSE score END AS score,
  CASE WHEN ord > 3 THEN grade WHEN doc_id % 2 = 0 THEN 'A' END AS grade, CASE WHEN ord > 3 THEN severity WHEN doc_id % 2 = 0 THEN 'Minor' END AS severity FROM cat""")
 def profile_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,8 +296,8 @@ def metadata_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.inline(rows))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT k AS p_partkey, CASE WHEN k % 3 = 0 THEN 'https://a.b' ELSE '' END AS safe_urls, CASE WHEN k % 2 = 0 THEN 'https://x.y' ELSE '' END AS failure_url, (1 + k % 40)::INT AS issue_nodes, least(25, k % 41)::INT AS kept_nodes FROM p WHERE k % 41 > 0
- UNION ALL SELECT k, CASE WHEN k % 3 = 0 THEN 'https://a.b' ELSE '' END, CASE WHEN k % 2 = 0 THEN 'https://x.y' ELSE '' END, (1 + k % 40)::INT, 0 FROM p WHERE k % 41 = 0""")
+@query("""WITH p AS (SELECT p_partkey AS k, (p_partkey % 41)::INT AS n FROM part) SELECT k AS p_partkey, CASE WHEN k % 3 = 0 THEN 'https://a.b' ELSE '' END AS safe_urls, CASE WHEN k % 2 = 0 THEN 'https://x.y' ELSE '' END AS failure_url, (1 + k % 40)::INT AS issue_nodes, least(25, n) AS kept_nodes,
+ CASE WHEN n % 2 = 0 THEN 'https://help/' || n ELSE '' END AS help_url, CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'wcag2a,cat.x' ELSE 'wcag2a' END AS tags FROM p""")
 def sanitized_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored reports without links that could run anything, and slim issues."""
     k = c("p_partkey")
@@ -296,9 +305,9 @@ def sanitized_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     helps = F.array(link(F.when(k % 3 == 0, "https://a.b").otherwise("javascript:1")), link(F.lit("data:x")))
     fails = F.array(F.struct(F.lit("1.1.1").alias("criterion"), F.when(k % 2 == 0, "https://x.y").otherwise("javascript:2").alias("url")))
     nodes = lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.array(i.cast("string")).alias("target")))).otherwise(F.array().cast("array<struct<target:array<string>>>"))
-    issue = lambda n: records.slim_issue(F.struct(F.lit("i").alias("id"), F.lit(None).cast("string").alias("impact"), F.lit("d").alias("description"), nodes(n).alias("nodes")))
+    issue = lambda n: records.slim_issue(F.struct(F.lit("i").alias("id"), F.lit(None).cast("string").alias("impact"), F.lit("d").alias("description"), F.when(n % 2 == 0, F.concat(F.lit("https://help/"), n.cast("string"))).alias("helpUrl"), F.when(n % 3 > 0, F.array(F.lit("wcag2a"), F.when(n % 3 == 1, "cat.x"))).alias("tags"), nodes(n).alias("nodes")))
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.array_join(F.transform(plan.safe_links(helps), lambda x: x["url"]), ",").alias("safe_urls"), F.get(plan.safe_findings(fails), F.lit(0))["url"].alias("failure_url"), issue((1 + k % 40).cast("int"))["nodeCount"].alias("issue_nodes"), F.size(issue((k % 41).cast("int"))["nodes"]).alias("kept_nodes"))
+    return p.select("p_partkey", F.array_join(F.transform(plan.safe_links(helps), lambda x: x["url"]), ",").alias("safe_urls"), F.get(plan.safe_findings(fails), F.lit(0))["url"].alias("failure_url"), issue((1 + k % 40).cast("int"))["nodeCount"].alias("issue_nodes"), F.size(issue((k % 41).cast("int"))["nodes"]).alias("kept_nodes"), issue((k % 41).cast("int"))["helpUrl"].alias("help_url"), F.array_join(issue((k % 41).cast("int"))["tags"], ",").alias("tags"))
 
 
 @query(f"""WITH {A.categories_sql()}, {A.REPORT}, r AS (SELECT report.*, 'Doc <' || doc_id || '>' AS title FROM report),

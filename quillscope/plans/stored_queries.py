@@ -63,13 +63,13 @@ def _last(value: str, kinds: str) -> str:
     return f"arg_max(struct_pack(v := {value}), struct_pack(ts := moment, i := event_id)) FILTER (kind IN ({kinds}))"
 
 
-@query(f"""WITH c AS (SELECT user_id AS job_id, event_id, ts AS moment, {_CHANGE} AS kind, {_CHANGE_TEXT} AS txt, CAST(event_id % 101 AS INT) AS number FROM events),
+@query(f"""WITH c AS (SELECT user_id AS job_id, event_id, ts AS moment, {_CHANGE} AS kind, {_CHANGE_TEXT} AS txt, CAST(event_id % 101 AS INT) AS number, CAST(event_id % 97 AS INT) AS input, CASE event_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS valid, ts + INTERVAL 30 MINUTES AS until FROM events),
  g AS (SELECT job_id, {_last("CASE kind WHEN 'status' THEN txt WHEN 'finalize' THEN 'complete' WHEN 'fail' THEN 'failed' ELSE 'expired' END", "'status', 'finalize', 'fail', 'expire'")} AS s,
   {_last("CASE WHEN kind = 'step' THEN txt END", "'step', 'finalize', 'fail'")} AS st, {_last("CASE WHEN kind = 'finalize' THEN 100 ELSE number END", "'step', 'status', 'finalize'")} AS p,
-  {_last("number", "'scores'")} AS o, {_last("txt", "'fail'")} AS f, {_last("CASE WHEN kind = 'finalize' THEN txt END", "'finalize', 'expire'")} AS path, max(moment) FILTER (kind IN ('finalize', 'fail')) AS completed_at FROM c GROUP BY job_id)
- SELECT job_id, coalesce(s.v, 'pending') AS status, st.v AS step, coalesce(p.v, 0) AS progress_pct, o.v AS output_score, f.v AS failure_reason, path.v AS output_path, completed_at FROM g""")
+  {_last("number", "'scores'")} AS o, {_last("input", "'scores'")} AS n, {_last("valid", "'scores'")} AS v, {_last("until", "'finalize'")} AS e, {_last("txt", "'fail'")} AS f, {_last("CASE WHEN kind = 'finalize' THEN txt END", "'finalize', 'expire'")} AS path, max(moment) FILTER (kind IN ('finalize', 'fail')) AS completed_at FROM c GROUP BY job_id)
+ SELECT job_id, coalesce(s.v, 'pending') AS status, st.v AS step, coalesce(p.v, 0) AS progress_pct, o.v AS output_score, f.v AS failure_reason, path.v AS output_path, completed_at, n.v AS input_score, v.v AS output_valid, e.v AS expires_at FROM g""")
 def job_states_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored.folded_jobs(table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id", "ts AS at", f"{_CHANGE} AS kind", f"{_CHANGE_TEXT} AS text", "CAST(event_id % 101 AS INT) AS number"))
+    return stored.folded_jobs(table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id", "ts AS at", f"{_CHANGE} AS kind", f"{_CHANGE_TEXT} AS text", "CAST(event_id % 101 AS INT) AS number", "CAST(event_id % 97 AS INT) AS input", "CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS valid", "ts + interval 30 minutes AS until"))
 
 
 _REPORTS = f"""{A.AUDIT_LOG}, rep AS (SELECT id, content_hash, created_at, created_at + to_days(CAST(id % 25 AS INT)) AS expires_at FROM audit_log WHERE event_type = 'audit-url')"""
