@@ -8,8 +8,10 @@ committing a batch again replaces it, counts nothing twice, and takes nothing
 away while it is being written. Totals are the sum over committed batches.
 Compaction folds the batches of one listing into a base, together with the list
 of batches that it holds, which stays a table; folders that an earlier
-compaction has folded in are deleted, so listings stay as short as the time
-between compactions. One writer at a time; readers may run beside it.
+compaction has folded in are deleted with all their attempts, so listings stay as
+short as the time between compactions. One writer at a time; readers may run
+beside it, since what a reader has planned to read stays until the compaction
+after the next.
 
 Defined results: a null text has 0 tokens; null sources and languages are
 groups of their own; groups whose documents and tokens are back at 0 vanish;
@@ -123,8 +125,6 @@ class TokenRollup:
         before = self._names("deltas", name, complete=False)
         delta = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         delta.write.parquet(f"{self.path}/deltas/{name}/{int(before[-1]) + 1 if before else 1:09d}")
-        for attempt in before:
-            self._delete("deltas", name, attempt)
 
     def _sum(self, base: str | None, batches: dict[str, str]) -> DataFrame:
         paths = [f"{self.path}/deltas/{n}/{a}" for n, a in batches.items()]
@@ -145,7 +145,7 @@ class TokenRollup:
         of batches is written last, and a base without that list is never read."""
         base = self._base()
         batches = self._open(base)
-        for done in set(self._names("deltas", complete=False)) - set(batches):
+        for done in set(self._names("deltas", complete=False)) - set(batches):  # folded in before
             if self._held(base, [done]):
                 self._delete("deltas", done)
         version = f"{int(base or 0) + 1:09d}"

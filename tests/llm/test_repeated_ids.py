@@ -48,3 +48,24 @@ def test_documents_of_rows_that_share_an_id(spark):
     assert [r for r in kept if r[0] != 8] == sorted([(1, base), (1, base), (2, other), (7, "alone"), (9, ""), (9, ""), (0, base)])
     found = sorted((r.doc_id, r.component_id) for r in ngram_components(make(spark, rows)).collect() if r.doc_id is not None)
     assert found == sorted([(1, 1), (1, 1), (2, 1), (2, 2), (5, 2), (7, 1), (7, 1), (7, 7), (8, 8), (8, 8), (9, 9), (9, 9)])
+
+
+def test_totals_planned_before_a_retry(spark, tmp_path):
+    """A reader that has planned its files finds them beside retries and one
+    compaction."""
+    from quillscope.llm.token_counts import TokenRollup, count_words, signed
+
+    docs = spark.createDataFrame([(1, "one two", "s", "en"), (2, None, "s", "en")], "doc_id long, text string, source string, lang string")
+    rollup = TokenRollup(spark, f"file://{tmp_path}/rollup")
+    rollup.commit("a", signed(count_words(docs), 1))
+    first = rollup.totals()
+    rollup.commit("a", signed(count_words(docs.where("doc_id = 1")), 1))
+    second = rollup.totals()
+    rollup.commit("b", signed(count_words(docs), 1))
+    rollup.compact()
+    rows = lambda df: [(r.docs, r.tokens) for r in df.collect()]
+    assert rows(first) == [(2, 2)] and rows(second) == [(1, 2)] and rows(rollup.totals()) == [(3, 4)]
+    rollup.commit("c", signed(count_words(docs), -1))
+    before = rollup.totals()
+    rollup.compact()
+    assert rows(before) == rows(rollup.totals()) == [(1, 2)]
