@@ -205,7 +205,8 @@ def pptx_categories(records: DataFrame) -> DataFrame:
     twice = count(F.filter(F.array_distinct(titles), lambda t: F.size(F.filter(titles, lambda u: u == t)) > 1))
     base = F.when(named < n, F.greatest(F.lit(40), F.least(F.lit(85), share(named, n)))).otherwise(100)
     slide = F.when(count("slides") > 0, F.greatest(F.lit(0), base - F.least(F.lit(30), 10 * twice)))
-    order = F.when(named > 0, F.greatest(F.lit(0), 100 - 15 * count(titled, lambda s: ~s["titleFirst"])))
+    # a slide whose first shape isn't known can't be judged
+    order = F.when((named > 0) & (count(titled, lambda s: s["titleFirst"].isNull()) == 0), F.greatest(F.lit(0), 100 - 15 * count(titled, lambda s: ~s["titleFirst"])))
     table_ = lambda t: F.when(~yes(t["hasHeaderRow"]) & (t["rowCount"] >= 2) & (t["colCount"] >= 2), 30).otherwise(100)
     return explode(records, [
         category(1, "text_extractability", 0.05, F.lit(100)), category(2, "title_language", 0.14, title_language()), category(3, "slide_titles", 0.18, slide), category(4, "alt_text", 0.18, images_score()),
@@ -223,11 +224,12 @@ def xlsx_categories(records: DataFrame) -> DataFrame:
     base = F.greatest(F.lit(0), 100 - 30 * headless)
     # any sheet of some size makes tables a question, a pivot or hidden one as well
     sizable = count("sheets", lambda s: s["cells"] >= 12) > 0
+    uncounted = (count("tables") == 0) & (count("sheets", lambda s: s["cells"].isNull()) > 0)
     table_ = F.when((count("tables") > 0) | sizable, F.when((count("tables") == 0) & (dataful > 0), F.least(base, F.lit(60))).otherwise(base))
     resolved = F.filter("links", lambda x: x["resolved"])
     return explode(records, [
         category(1, "text_extractability", 0.05, F.when(yes(c("valuedCells") > 0), 100), True), category(2, "title_language", 0.12, F.when(filled(c("title")), 100).otherwise(50)),
-        category(3, "sheet_names", 0.18, names), category(4, "table_markup", 0.25, table_), category(5, "alt_text", 0.18, images_score()),
+        category(3, "sheet_names", 0.18, names), category(4, "table_markup", 0.25, table_, uncounted), category(5, "alt_text", 0.18, images_score()),
         category(6, "color_contrast", 0.12, contrast_score(), contrast_unknown()), category(7, "link_quality", 0.1, links_score(resolved), count("links") > 0), category(8, "form_accessibility", 0, _null(), True),
     ])
 

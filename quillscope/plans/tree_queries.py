@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import trees
+from ..operators import objects, trees
 from ..written import cut
 from .adapters import table
 from .queries import query
@@ -202,3 +202,73 @@ def list_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     elements = cut(spark.sql(f"WITH lines AS ({_ORDER_LINES}) {_LISTS}"))
     return trees.list_facts(_places(elements), elements.drop("parent"))
+
+
+# Content of the broad tree: every third element holds marked content, some elements
+# name the page they are on, and some of those pages aren't there.
+_CONTENT = f"""SELECT doc_id, node, parent, p_size, CASE WHEN node % 4 = 1 THEN 'Figure' ELSE 'P' END AS tag, node % 5 = 0 OR parent IS NULL AS has_page,
+  CASE WHEN (node % 5 = 0 OR parent IS NULL) AND node % 35 <> 0 THEN CAST(node % 6 AS INT) END AS page, CASE WHEN node % 3 = 0 THEN CAST(p_size AS INT) END AS mark FROM ({_BROAD})"""
+
+
+@query(f"""WITH RECURSIVE n AS ({_CONTENT}), {_PATHS},
+ r AS (SELECT doc_id, node, node AS at FROM n WHERE mark IS NOT NULL UNION ALL SELECT r.doc_id, r.node, n.parent FROM r JOIN n ON n.node = r.at WHERE NOT n.has_page),
+ e AS (SELECT r.doc_id, r.node, n.page FROM r JOIN n ON n.node = r.at WHERE n.has_page)
+ SELECT e.doc_id, e.page, string_agg(n.mark::VARCHAR, ',' ORDER BY p.root, p.place) AS marks, coalesce(string_agg(n.mark::VARCHAR, ',' ORDER BY p.root, p.place) FILTER (f.tag = 'Figure'), '') AS figure_marks
+ FROM e JOIN n ON n.node = e.node JOIN p ON p.node = e.node LEFT JOIN n f ON f.node = n.parent WHERE e.page IS NOT NULL GROUP BY e.doc_id, e.page""")
+def content_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked content of each page in the order of the structure tree."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    rows = spark.sql(_spark_sql(_CONTENT))
+    places = _places(rows)
+    # trees of a document stand one after the other
+    placed = places.withColumn("place", F.struct("root", "place"))
+    found = objects.content_by_page(placed, rows.select("doc_id", "node", "tag", "has_page", "page", "mark"))
+    return found.withColumns({name: F.array_join(c(name).cast("array<string>"), ",") for name in ("marks", "figure_marks")})
+
+
+_OBJECTS = """SELECT user_id AS doc_id, event_id AS object, kind, key, value FROM (SELECT user_id, event_id, CASE event_id % 8 WHEN 0 THEN 'Catalog' WHEN 1 THEN 'Catalog' WHEN 2 THEN 'AcroForm' WHEN 3 THEN 'ViewerPreferences' WHEN 4 THEN 'MarkInfo' WHEN 5 THEN 'StructTreeRoot' ELSE 'Page' END AS kind,
+  CASE event_id % 8 WHEN 0 THEN CASE event_id // 8 % 5 WHEN 0 THEN 'Lang' WHEN 1 THEN 'Outlines' WHEN 2 THEN 'AcroForm' WHEN 3 THEN 'MarkInfo' ELSE 'Pages' END WHEN 1 THEN CASE event_id // 8 % 9 WHEN 0 THEN 'NeedsRendering' WHEN 1 THEN 'StructTreeRoot' ELSE 'Metadata' END
+   WHEN 2 THEN CASE event_id // 8 % 11 WHEN 0 THEN 'XFA' ELSE 'Fields' END WHEN 3 THEN CASE event_id // 8 % 3 WHEN 0 THEN 'DisplayDocTitle' ELSE 'Other' END WHEN 4 THEN CASE event_id // 8 % 4 WHEN 0 THEN 'Marked' WHEN 1 THEN 'Suspects' ELSE 'UserProperties' END
+   WHEN 5 THEN CASE event_id // 8 % 13 WHEN 0 THEN 'Type' ELSE 'K' END WHEN 6 THEN 'Type' ELSE 'Tabs' END AS key,
+  CASE event_id // 8 % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'u:fr' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'S' END AS value FROM events)"""
+
+
+def _any(kind: str, key: str, more: str = "value IS NOT NULL") -> str:
+    return f"coalesce(bool_or(kind = '{kind}' AND key = '{key}' AND {more}), FALSE)"
+
+
+@query(f"""WITH o AS ({_OBJECTS}) SELECT doc_id, {_any("Catalog", "StructTreeRoot")} OR {_any("StructTreeRoot", "Type")} AS hasStructTree, {_any("Catalog", "Lang")} AS hasLang,
+  max(regexp_replace(value, '^u:', '')) FILTER (kind = 'Catalog' AND key = 'Lang') AS lang, {_any("Catalog", "Outlines")} AS hasOutlines, {_any("Catalog", "AcroForm")} AS hasAcroForm, {_any("AcroForm", "XFA")} AS hasXfa,
+  bool_or(value = 'true') FILTER (kind = 'ViewerPreferences' AND key = 'DisplayDocTitle' AND value IN ('true', 'false')) AS displayDocTitle, {_any("Catalog", "NeedsRendering", "value = 'true'")} AS needsRendering,
+  {_any("Catalog", "MarkInfo")} AS hasMarkInfo, {_any("MarkInfo", "Marked", "value = 'true'")} AS isMarkedContent, {_any("MarkInfo", "Suspects", "value = 'true'")} AS suspectsFlag,
+  (count(*) FILTER (kind = 'Page' AND key = 'Type'))::INTEGER AS totalPageCount, (count(*) FILTER (kind = 'Page' AND key = 'Tabs' AND value <> ''))::INTEGER AS tabOrderPages FROM o GROUP BY doc_id""")
+def catalog_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of a document's catalog, and its pages."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return objects.catalog_facts(spark.sql(_spark_sql(_OBJECTS)))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, 'ppt/slides/slide' || l_partkey % 40 || '.xml' AS part, l_partkey % 40 AS n FROM lineitem),
+ r AS (SELECT l_orderkey AS doc_id, min(l_linenumber * 1000 + l_suppkey % 1000) AS ord, 'ppt/slides/slide' || l_suppkey % 40 || '.xml' AS part FROM lineitem GROUP BY ALL)
+ SELECT s.doc_id, s.part, row_number() OVER (PARTITION BY s.doc_id ORDER BY r.ord IS NULL, r.ord, s.n, s.part)::INTEGER AS place FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND r.part = s.part""")
+def slides_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides by the presentation's relationships, others by their number."""
+    li = table(spark, sf_dir, "lineitem")
+    slides = li.selectExpr("l_orderkey AS doc_id", "concat('ppt/slides/slide', l_partkey % 40, '.xml') AS part").distinct()
+    rel = "concat('rId', l_linenumber * 1000 + l_suppkey % 1000)"
+    listed = li.selectExpr("l_orderkey AS doc_id", "l_linenumber * 1000 + l_suppkey % 1000 AS ord", f"{rel} AS rel").distinct()
+    links = li.selectExpr("l_orderkey AS doc_id", f"{rel} AS rel", "concat(CASE l_linenumber % 3 WHEN 0 THEN './' WHEN 1 THEN '/' ELSE '' END, 'slides/slide', l_suppkey % 40, '.xml') AS target").distinct()
+    return objects.slide_order(slides, listed, links)
+
+
+@query(f"""WITH RECURSIVE n AS ({_BROAD}), {_PATHS},
+ o AS (SELECT doc_id, root * 100000 + place AS place, 'H' || (1 + node % 6) AS level FROM p WHERE doc_id % 2 = 0 AND node % 5 = 0),
+ l AS (SELECT doc_id, node AS place, 'H' || (1 + node % 6) AS level FROM n WHERE node % 5 = 0)
+ SELECT * FROM o UNION ALL SELECT * FROM l WHERE doc_id NOT IN (SELECT doc_id FROM o)""")
+def headings_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings in document order, or as objects list them where no tree has any."""
+    rows = _broad(spark, sf_dir)
+    level = F.concat(F.lit("H"), (1 + c("node") % 6).cast("string")).alias("level")
+    heads = rows.where("node % 5 = 0")
+    placed = _places(rows).where("doc_id % 2 = 0 AND node % 5 = 0").select("doc_id", (c("root") * 100000 + c("place")).alias("place"), level)
+    return objects.headings_of(placed, heads.select("doc_id", c("node").alias("place"), level))

@@ -105,18 +105,44 @@ def read_docx(p: Package) -> dict:
     for t in (x for x in root.iter() if _name(x) == "tbl"):
         rows = [x for x in t if _name(x) == "tr"]
         head = _find(rows[0], "tblHeader") if rows else None
-        tables.append({"header": head is not None and (_attr(head, "val") or "true") not in ("0", "false", "off"), "rows": len(rows), "columns": max((sum(_name(c) == "tc" for c in r) for r in rows), default=0)})
+        nested = sum(_name(x) == "tbl" for x in t.iter()) > 1
+        tables.append({"header": head is not None and (_attr(head, "val") or "true") not in ("0", "false", "off"), "nested": nested, "rows": len(rows), "columns": max((sum(_name(c) == "tc" for c in r) for r in rows), default=0)})
     links = [_text(x) for x in root.iter() if _name(x) == "hyperlink"]
     title, core_language = p.core()
     return {"title": title, "language": language or core_language, "headings": headings, "images": _images(root), "tables": tables, "links": links, "real": real, "manual": manual, "names": []}
 
 
+def _slides(p: Package) -> list[str]:
+    """Slide parts in the order of the presentation, as its relationships name
+    them; by their numbers where it lists none."""
+    links, book = p.part("ppt/_rels/presentation.xml.rels"), p.part(_MAIN["pptx"])
+    targets = {} if links is None else {x.get("Id"): "ppt/" + re.sub(r"^(/ppt/|\.?/)", "", x.get("Target") or "") for x in links}
+    named = [next((v for k, v in x.attrib.items() if k.startswith("{") and k.endswith("}id")), None) for x in book.iter() if _name(x) == "sldId"]
+    found = [targets[i] for i in named if targets.get(i) in p.sizes]
+    numbered = (n for n in p.sizes if re.fullmatch(r"ppt/slides/slide\d+\.xml", n))
+    return found or sorted(numbered, key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
+
+
+def _title_first(root) -> bool | None:
+    """Whether the first shape with content is the title; unknown without any."""
+    tree = _find(root, "spTree")
+    for shape in root if tree is None else tree:
+        kind, mark = _name(shape), _find(shape, "decorative")
+        if kind == "sp" and _text(shape).strip():
+            ph = _find(shape, "ph")
+            return ph is not None and _attr(ph, "type") in ("title", "ctrTitle")
+        if kind == "graphicFrame" or (kind == "pic" and not (mark is not None and _attr(mark, "val") in ("1", "true"))):
+            return False
+    return None
+
+
 def read_pptx(p: Package) -> dict:
     title, language = p.core()
     out = {"title": title, "language": language, "headings": [], "images": [], "tables": [], "links": [], "real": 0, "manual": 0, "names": []}
-    slides = sorted((n for n in p.sizes if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
-    for n in slides:
+    out |= {"slides": [], "media": any(re.fullmatch(r"(?i)ppt/media/.*\.(mp4|m4v|mov|avi|wmv|mpg|mp3|m4a|wav|wma)", n) for n in p.sizes)}
+    for n in _slides(p):
         root, heading = p.part(n), None
+        out["slides"].append({"hidden": _attr(root, "show") in ("0", "false"), "titleFirst": _title_first(root)})
         for shape in (x for x in root.iter() if _name(x) == "sp"):
             ph = _find(shape, "ph")
             if ph is not None and _attr(ph, "type") in ("title", "ctrTitle"):
@@ -139,7 +165,7 @@ def read_xlsx(p: Package) -> dict:
     tables = []
     for n in sorted(x for x in p.sizes if re.fullmatch(r"xl/tables/table\d+\.xml", x)):
         root = p.part(n)
-        tables.append({"header": _attr(root, "headerRowCount") != "0", "rows": 2, "columns": sum(_name(x) == "tableColumn" for x in root.iter())})
+        tables.append({"header": _attr(root, "headerRowCount") != "0", "rows": None, "columns": sum(_name(x) == "tableColumn" for x in root.iter())})
     images = [i for n in sorted(p.sizes) if re.fullmatch(r"xl/drawings/drawing\d+\.xml", n) for i in _images(p.part(n))]
     return {"title": title, "language": language, "headings": [], "images": images, "tables": tables, "links": [], "real": 0, "manual": 0, "names": names}
 
@@ -147,9 +173,10 @@ def read_xlsx(p: Package) -> dict:
 _READ = {"docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}
 _TYPE = pa.struct([
     ("title", pa.string()), ("language", pa.string()), ("headings", pa.list_(pa.int32())), ("images", pa.list_(pa.struct([("alt", pa.string()), ("decorative", pa.bool_())]))),
-    ("tables", pa.list_(pa.struct([("header", pa.bool_()), ("rows", pa.int32()), ("columns", pa.int32())]))), ("links", pa.list_(pa.string())), ("real", pa.int32()), ("manual", pa.int32()), ("names", pa.list_(pa.string())),
+    ("tables", pa.list_(pa.struct([("header", pa.bool_()), ("rows", pa.int32()), ("columns", pa.int32()), ("nested", pa.bool_())]))), ("links", pa.list_(pa.string())), ("real", pa.int32()), ("manual", pa.int32()), ("names", pa.list_(pa.string())),
+    ("slides", pa.list_(pa.struct([("hidden", pa.bool_()), ("titleFirst", pa.bool_())]))), ("media", pa.bool_()),
 ])
-_SQL = "struct<title:string,language:string,headings:array<int>,images:array<struct<alt:string,decorative:boolean>>,tables:array<struct<header:boolean,rows:int,columns:int>>,links:array<string>,real:int,manual:int,names:array<string>>"
+_SQL = "struct<title:string,language:string,headings:array<int>,images:array<struct<alt:string,decorative:boolean>>,tables:array<struct<header:boolean,rows:int,columns:int,nested:boolean>>,links:array<string>,real:int,manual:int,names:array<string>,slides:array<struct<hidden:boolean,titleFirst:boolean>>,media:boolean>"
 
 
 def office_records(files: DataFrame) -> DataFrame:
@@ -175,6 +202,11 @@ def office_records(files: DataFrame) -> DataFrame:
 _NO_CONTRAST = "CAST(NULL AS struct<checked:int,unresolved:int,failing:array<struct<ratio:double>>>)"
 
 
+def _unknown(kind: str) -> Column:
+    """A fact that the reader doesn't look for."""
+    return F.lit(None).cast(kind)
+
+
 def _common(records: DataFrame, kind: str) -> tuple[DataFrame, dict[str, Column]]:
     rows = records.where(F.col("kind") == kind)
     r = F.col("record")
@@ -186,28 +218,29 @@ def _common(records: DataFrame, kind: str) -> tuple[DataFrame, dict[str, Column]
 def docx_analysis(records: DataFrame) -> DataFrame:
     """Records of ``office_records`` as ``schemas.DOCX`` rows, keyed by path: a
     file that couldn't be read isn't ok; what the reader doesn't look for (headings
-    that only look so, layout tables, contrast) is left open."""
+    that only look so, layout tables, contrast) is null."""
     rows, common = _common(records, "docx")
     r = F.col("record")
-    tables = F.transform(r["tables"], lambda t: F.struct(t["header"].alias("hasHeaderRow"), t["rows"].alias("rowCount"), t["columns"].alias("colCount"), F.lit(False).alias("nested"), F.lit(False).alias("layout")))
+    tables = F.transform(r["tables"], lambda t: F.struct(t["header"].alias("hasHeaderRow"), t["rows"].alias("rowCount"), t["columns"].alias("colCount"), t["nested"].alias("nested"), _unknown("boolean").alias("layout")))
     ok = F.col("error").isNull()
-    own = {"documentOk": ok, "stylesOk": ok, "coreOk": ok, "headings": r["headings"], "fakeHeadings": F.lit(0), "tables": tables}
+    own = {"documentOk": ok, "stylesOk": ok, "coreOk": ok, "headings": r["headings"], "fakeHeadings": _unknown("int"), "tables": tables}
     return rows.select(F.col("path").alias("doc_id"), *(v.alias(k) for k, v in (common | own).items()))
 
 
 def pptx_analysis(records: DataFrame) -> DataFrame:
-    """The same as ``schemas.PPTX``; a slide's title is taken to be read first."""
+    """The same as ``schemas.PPTX``."""
     rows, common = _common(records, "pptx")
     r = F.col("record")
-    slides = F.transform(r["names"], lambda n: F.struct(F.nullif(n, F.lit("")).alias("title"), F.lit(False).alias("hidden"), F.lit(True).alias("titleFirst")))
+    slides = F.zip_with(r["names"], r["slides"], lambda n, s: F.struct(F.nullif(n, F.lit("")).alias("title"), s["hidden"].alias("hidden"), s["titleFirst"].alias("titleFirst")))
     tables = F.transform(r["tables"], lambda t: F.struct(t["header"].alias("hasHeaderRow"), t["rows"].alias("rowCount"), t["columns"].alias("colCount")))
-    return rows.select(F.col("path").alias("doc_id"), *(v.alias(k) for k, v in (common | {"slides": slides, "tables": tables, "hasMedia": F.lit(False)}).items()))
+    return rows.select(F.col("path").alias("doc_id"), *(v.alias(k) for k, v in (common | {"slides": slides, "tables": tables, "hasMedia": r["media"]}).items()))
 
 
 def xlsx_analysis(records: DataFrame) -> DataFrame:
-    """The same as ``schemas.XLSX``; cells aren't counted, so a sheet has none."""
+    """The same as ``schemas.XLSX``; cells, tables and pivots of a sheet aren't
+    looked for, so they stay unknown."""
     rows, common = _common(records, "xlsx")
     r = F.col("record")
-    sheets = F.transform(r["names"], lambda n: F.struct(n.alias("name"), F.lit(False).alias("hidden"), F.lit(0).alias("cells"), F.lit(False).alias("hasTable"), F.lit(False).alias("hasPivot")))
+    sheets = F.transform(r["names"], lambda n: F.struct(n.alias("name"), F.lit(False).alias("hidden"), _unknown("int").alias("cells"), _unknown("boolean").alias("hasTable"), _unknown("boolean").alias("hasPivot")))
     tables = F.transform(r["tables"], lambda t: F.struct(t["header"].alias("hasHeaderRow"), t["columns"].alias("columnCount")))
     return rows.select(F.col("path").alias("doc_id"), *(v.alias(k) for k, v in (common | {"sheets": sheets, "tables": tables, "valuedCells": F.lit(None).cast("int")}).items()))

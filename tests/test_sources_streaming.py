@@ -97,3 +97,25 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert drive(stream.first_by_content(source(), "at", "1 hour"), "firsts").count() == 5
     counts = drive(stream.window_counts(source(), "at", "1 minute", "1 minute", "key"), "counts")
     assert 0 < counts.agg(F.sum("n")).first()[0] <= 60
+
+
+def test_slides_in_the_order_of_the_presentation(spark):
+    """Order and visibility as the package says, facts that weren't looked for null."""
+    from quillscope.operators import format_scoring as fs
+
+    title = '<sp><nvSpPr><nvPr><ph type="title"/></nvPr></nvSpPr><txBody><t>{}</t></txBody></sp>'
+    text = "<sp><txBody><t>words</t></txBody></sp>"
+    slide = lambda body, more="": f"<sld{more}><cSld><spTree><nvGrpSpPr/>{body}</spTree></cSld></sld>"
+    links = '<Relationships><Relationship Id="r1" Target="slides/slide2.xml"/><Relationship Id="r2" Target="/ppt/slides/slide1.xml"/><Relationship Id="r3" Target="slides/slide3.xml"/></Relationships>'
+    book = '<presentation xmlns:r="urn:r"><sldIdLst><sldId id="256" r:id="r1"/><sldId id="257" r:id="r2"/><sldId id="258" r:id="r3"/></sldIdLst></presentation>'
+    deck = {"ppt/presentation.xml": book, "ppt/_rels/presentation.xml.rels": links, "ppt/media/a.mp4": "x", "ppt/slides/slide1.xml": slide(text + title.format("First file")), "ppt/slides/slide2.xml": slide(title.format("Second file") + text), "ppt/slides/slide3.xml": slide("", ' show="0"')}
+    nested = "<document><body><tbl><tr><tc><tbl><tr><tc/></tr></tbl></tc></tr></tbl></body></document>"
+    files_ = [("a.pptx", package(deck)), ("b.docx", package({"word/document.xml": nested})), ("c.xlsx", package({"xl/workbook.xml": '<workbook><sheets><sheet name="A"/></sheets></workbook>'}))]
+    records = office.office_records(spark.createDataFrame(files_, "path string, content binary"))
+    slides = office.pptx_analysis(records).first()
+    assert [(x.title, x.hidden, x.titleFirst) for x in slides.slides] == [("Second file", False, True), ("First file", False, False), (None, True, None)] and slides.hasMedia
+    words = office.docx_analysis(records).first()
+    assert [(t.nested, t.layout) for t in words.tables] == [(True, None), (False, None)] and words.fakeHeadings is None
+    sheets = office.xlsx_analysis(records)
+    assert [(x.cells, x.hasTable) for x in sheets.first().sheets] == [(None, None)]
+    assert {r.id: (r.score, r.not_assessed) for r in fs.xlsx_categories(sheets).collect()}["table_markup"] == (None, True)
