@@ -32,6 +32,17 @@ CRITERIA = {
     "slide_titles": ("1.3.1", "2.4.6"),
     "sheet_names": ("2.4.6",),
 }
+# Success criteria as reports show them, and which of them, under
+# which principle, are shown with a category.
+CRITERION_NAMES = {
+    "1.1.1": ("Non-text Content", "A"), "1.3.1": ("Info and Relationships", "A"), "1.3.2": ("Meaningful Sequence", "A"), "1.4.3": ("Contrast (Minimum)", "AA"), "1.4.5": ("Images of Text", "AA"),
+    "2.4.2": ("Page Titled", "A"), "2.4.4": ("Link Purpose (In Context)", "A"), "2.4.5": ("Multiple Ways", "AA"), "2.4.6": ("Headings and Labels", "AA"), "3.1.1": ("Language of Page", "A"), "4.1.2": ("Name, Role, Value", "A"),
+}
+SHOWN_CRITERIA = {
+    "text_extractability": (("1.3.1", "1.4.5"), "Perceivable"), "title_language": (("2.4.2", "3.1.1"), "Operable / Understandable"), "heading_structure": (("1.3.1", "2.4.6"), "Perceivable / Operable"),
+    "alt_text": (("1.1.1",), "Perceivable"), "pdf_ua_compliance": (("1.3.1",), "Robust / Perceivable"), "bookmarks": (("2.4.5",), "Operable"), "table_markup": (("1.3.1",), "Perceivable"), "color_contrast": (("1.4.3",), "Perceivable"),
+    "link_quality": (("2.4.4",), "Operable"), "form_accessibility": (("1.3.1", "4.1.2"), "Perceivable / Robust"), "reading_order": (("1.3.2",), "Perceivable"),
+}
 VAGUE_LINKS = ("click here", "click", "here", "read more", "more", "learn more", "see more", "this", "this link", "link", "link here", "go", "go here", "continue", "details", "see details", "more info", "more information", "info", "download", "view", "open", "visit", "click this link")
 ERA_START = "2019-01-01"
 IMPACT_WEIGHTS = {"critical": 10, "serious": 5, "moderate": 2, "minor": 1}

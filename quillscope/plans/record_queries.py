@@ -374,6 +374,16 @@ def validator_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", *(x.alias(n) for n, x in v.items()))
 
 
+@query(f"""WITH {A.categories_sql()}, m(id, shown, principle) AS (VALUES ('text_extractability', '1.3.1 Info and Relationships (Level A), 1.4.5 Images of Text (Level AA)', 'Perceivable'), ('title_language', '2.4.2 Page Titled (Level A), 3.1.1 Language of Page (Level A)', 'Operable / Understandable'),
+ ('heading_structure', '1.3.1 Info and Relationships (Level A), 2.4.6 Headings and Labels (Level AA)', 'Perceivable / Operable'), ('alt_text', '1.1.1 Non-text Content (Level A)', 'Perceivable'), ('bookmarks', '2.4.5 Multiple Ways (Level AA)', 'Operable'),
+ ('table_markup', '1.3.1 Info and Relationships (Level A)', 'Perceivable'), ('link_quality', '2.4.4 Link Purpose (In Context) (Level A)', 'Operable'))
+ SELECT doc_id, CASE WHEN ord = 5 THEN 'other' ELSE cat.id END AS id, CASE WHEN ord = 5 THEN '' ELSE shown END AS shown, CASE WHEN ord <> 5 THEN principle END AS principle FROM cat JOIN m ON m.id = cat.id""")
+def criteria_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Criteria and principle of each category; one in seven isn't known."""
+    cats = A.category_results(spark, sf_dir).withColumn("id", F.when(c("ord") == 5, "other").otherwise(c("id")))
+    return reports.shown_criteria(cats).select("doc_id", "id", F.array_join("shown", ", ").alias("shown"), "principle")
+
+
 @query(f"""WITH {A.categories_sql()} SELECT doc_id, id, CASE id WHEN 'text_extractability' THEN '1.1.1,1.3.1' WHEN 'title_language' THEN '2.4.2,3.1.1' WHEN 'heading_structure' THEN '1.3.1,2.4.6' WHEN 'alt_text' THEN '1.1.1' WHEN 'bookmarks' THEN '2.4.5' WHEN 'table_markup' THEN '1.3.1' WHEN 'link_quality' THEN '2.4.4' END AS criteria FROM cat""")
 def criteria_of_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_criteria(A.category_results(spark, sf_dir)).select("doc_id", "id", F.array_join("criteria", ",").alias("criteria"))
