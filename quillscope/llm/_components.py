@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from ._store import release, stash
 
 
-def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Links of a written part; later steps never have more links than the first.
+LINKS = 200_000
+
+
+def _least(edges: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """Each (u, v) with the least neighbour of u. An aggregate that is combined
     before the shuffle and a join with the written result, which Spark can split
     at a hub, rather than a window, which would take its links to one task."""
-    low = stash(edges.groupBy("u").agg(F.min("v").alias("m")))
+    low = stash(edges.groupBy("u").agg(F.min("v").alias("m")), parts)
     return edges.join(low, "u"), low
 
 
@@ -28,15 +32,16 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (columns a, b: longs); the
     component is its smallest node. Nodes without links don't appear."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    parts = 1 + edges.count() // LINKS
     while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        joined, low = _least(both)
+        joined, low = _least(both, 2 * parts)
         large = joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small-star: u > v holds, so every neighbour here is the smaller one
-        large = stash(large)
+        large = stash(large, parts)
         release(low)
-        small, low = _least(large)
+        small, low = _least(large, parts)
         down = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, edges = edges, stash(down.unionAll(small.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, stash(down.unionAll(small.select("u", F.col("m").alias("v"))).distinct(), parts)
         release(old, large, low)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
