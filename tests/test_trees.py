@@ -4,6 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from quillscope import written
 from quillscope.operators import trees
 
 
@@ -135,3 +138,31 @@ def test_within_steps_and_live_fonts(spark):
     rows = spark.createDataFrame([(1, *v) for v in values + deep], "doc_id long, source string, key string, target string")
     objects = spark.createDataFrame([(1, "page"), (1, "orphan"), (1, "n0")], "doc_id long, node string")
     assert {r.descriptor: r.names for r in trees.live_fonts(objects, rows).collect()} == {"d1": ["Arial"], "d2": ["Cid", "Two"], "d4": []}
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_paths_over_stretches(spark, monkeypatch, near):
+    # paths that leave stretches of 8 rows again and again; a circle over several
+    monkeypatch.setattr(trees, "CHUNK", 8)
+    draw = random.Random(3)
+    rows = [(d, k, (k + draw.randrange(1, 4) if near else draw.choice([k + 37, k + 101])) if k % 50 else None, k % 5) for d in (1, 2) for k in range(300)]
+    rows += [(3, k, (k + 1) % 40, 1) for k in range(40)] + [(3, 100, 7, 1), (3, 101, 500, 1), (None, 1, 2, 1), (None, 2, None, 1)]
+    found = trees.follow(spark.createDataFrame(rows, "doc_id long, node int, to long, w int"), ["doc_id"], ["w"])
+    to, w = {(d, n): (d, t) for d, n, t, _ in rows}, {(d, n): x for d, n, _, x in rows}
+    for r in found.collect():
+        at, total, seen = (r.doc_id, r.node), 0, 0
+        while r.doc_id and to[at] in to and seen < 400:
+            at, seen = to[at], seen + 1
+            total += w[at]
+        assert (r.end, r.w if r.end is not None else None) == ((at[1], total) if seen < 400 else (None, None))
+
+
+def test_lists_leave_one_table(spark):
+    # lists in lists, one 15 levels below the first, one 16
+    rows = [(1, k, k - 1 if k else None, "L" if k in (0, 3, 15, 16) else ("LI" if k % 2 else "Span")) for k in range(17)] + [(1, 100, 1, "LBody"), (1, 200, 201, "L"), (1, 201, 200, "L")]
+    listed = spark.createDataFrame(rows, "doc_id long, node long, parent long, tag string")
+    places = trees.tree_places(listed.withColumn("place", F.col("node")))
+    held = len(written._WRITTEN)
+    found = trees.list_facts(places, listed)
+    assert {r.node: (r.itemCount, r.nestingDepth, r.hasBodies, r.isWellFormed) for r in found.collect()} == {0: (6, 15, True, False), 3: (5, 13, False, False), 15: (0, 1, False, False), 16: (0, 0, False, False)}
+    assert len(written._WRITTEN) == held + 1
