@@ -166,3 +166,14 @@ def test_lists_leave_one_table(spark):
     found = trees.list_facts(places, listed)
     assert {r.node: (r.itemCount, r.nestingDepth, r.hasBodies, r.isWellFormed) for r in found.collect()} == {0: (6, 15, True, False), 3: (5, 13, False, False), 15: (0, 1, False, False), 16: (0, 0, False, False)}
     assert len(written._WRITTEN) == held + 1
+
+
+def test_tables_leave_one_table(spark):
+    # a row in a section, one outside any table, a cell outside any row
+    rows = [(1, 0, None, "Table"), (1, 1, 0, "TBody"), (1, 2, 1, "TR"), (1, 3, 2, "TH"), (1, 4, 2, "TD"), (1, 5, 0, "TR"), (1, 6, 5, "TD"), (1, 7, 0, "TD"), (1, 8, None, "TR"), (1, 9, 8, "TD")]
+    listed = spark.createDataFrame(rows, "doc_id long, node long, parent long, tag string").selectExpr("*", "false AS scope", "false AS headers", "1 AS col_span", "1 AS row_span")
+    places = trees.tree_places(listed.withColumn("place", F.col("node")))
+    held = len(written._WRITTEN)
+    found = trees.table_facts(places, listed.drop("parent")).collect()
+    assert [(r.node, r.headerCount, r.dataCellCount, r.rowCount, r.columnCounts) for r in found] == [(0, 1, 3, 2, [2, 1])]
+    assert len(written._WRITTEN) == held + 1
