@@ -73,3 +73,27 @@ def test_cleaned_reports(spark):
         strip_links(expected)
         strip_urls(expected)
         assert json.loads(found[i][0]) == expected, (report, found[i])
+
+
+def test_reports_of_any_depth(spark, monkeypatch):
+    # both ways give the same, and only reports that are deep take the second
+    from quillscope.operators import cleaning
+
+    calls, by_levels = [], cleaning._by_levels
+    monkeypatch.setattr(cleaning, "_by_levels", lambda root: calls.append(root.count()) or by_levels(root))
+    link = '{"helpLinks":[{"url":"javascript:"},{"url":"http://a"}],"conformance":{"failures":[{"z":1,"a":"%s"}]}}'
+    reports = {1: link % "x", 2: "[" * 9 + link % "y" + "]" * 9, 3: '{"a":' * 5 + "[]" + "}" * 5, 4: "no report", 5: '{"n":null,"e":{},"u":"\\u0001"}'}
+    found = {r.doc_id: r.report_json for r in cleaned_reports(spark.createDataFrame(list(reports.items()), "doc_id long, report_json string")).collect()}
+    clean = '{"conformance":{"failures":[{"a":"%s","z":1,"url":""}]},"helpLinks":[{"url":"http://a"}]}'
+    assert found == {1: clean % "x", 2: "[" * 9 + clean % "y" + "]" * 9, 3: reports[3], 4: None, 5: '{"e":{},"n":null,"u":"\\u0001"}'}
+    assert calls == [1]
+
+
+def test_one_file_is_dealt(spark):
+    # a report or an output is slow work: one small file must not be one task
+    from quillscope.operators import validator
+
+    one = spark.createDataFrame([(1, '{"jobs":[{"validationResult":[{"passed":true,"failedRules":[{"clause":null,"ruleId":"r","count":"2"},{"clause":"c","testNumber":3,"failedChecks":4},7]}]}]}', False)], "doc_id long, output string, exit_failed boolean").coalesce(1)
+    found = validator.verdicts(one)
+    assert "hashpartitioning(doc_id" in found._jdf.queryExecution().toString()
+    assert [(f.rule, f.clause, f["count"]) for f in found.first().failures] == [("c-3", "c", 4), ("r", "", 1), ("unknown", "", 1)]
