@@ -21,20 +21,34 @@ def _of(value: Column, kinds: str, cast: str) -> Column:
     return F.when(F.schema_of_variant(value).rlike(f"^({kinds})"), F.try_variant_get(value, "$", cast))
 
 
+def _text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _number(value: Column) -> Column:
+    return _of(value, "BIGINT|INT|DECIMAL|DOUBLE|SMALLINT|TINYINT", "bigint")
+
+
 def text_at(value: Column, path: str) -> Column:
-    return _of(at(value, path), "STRING", "string")
+    return _text(at(value, path))
 
 
 def number_at(value: Column, path: str) -> Column:
-    return _of(at(value, path), "BIGINT|INT|DECIMAL|DOUBLE|SMALLINT|TINYINT", "bigint")
+    return _number(at(value, path))
+
+
+#: what is read of a rule, in one step
+_RULE = "struct<clause:variant,testNumber:variant,specification:variant,ruleId:variant,id:variant,failedChecks:variant,count:variant,description:variant,message:variant>"
 
 
 def _rule(r: Column) -> Column:
-    clause = F.coalesce(text_at(r, "$.clause"), F.lit(""))
-    number = F.try_variant_get(at(r, "$.testNumber"), "$", "string")
-    rule = F.coalesce(F.when((clause != "") & number.isNotNull(), F.concat(clause, F.lit("-"), number)), text_at(r, "$.specification"), text_at(r, "$.ruleId"), text_at(r, "$.id"), F.lit("unknown"))
-    count = F.coalesce(number_at(r, "$.failedChecks"), number_at(r, "$.count"), F.lit(1).cast("long"))
-    return F.struct(rule.alias("rule"), clause.alias("clause"), F.coalesce(text_at(r, "$.description"), text_at(r, "$.message"), F.lit("")).alias("description"), count.alias("count"))
+    number = F.try_variant_get(r["testNumber"], "$", "string")
+    clause = F.coalesce(_text(r["clause"]), F.lit(""))
+    count = F.coalesce(_number(r["failedChecks"]), _number(r["count"]), F.lit(1).cast("long"))
+    # an array of one binds the clause
+    rule = lambda c: F.coalesce(F.when((c != "") & number.isNotNull(), F.concat(c, F.lit("-"), number)), _text(r["specification"]), _text(r["ruleId"]), _text(r["id"]), F.lit("unknown"))
+    whole = lambda c: F.struct(rule(c).alias("rule"), c.alias("clause"), F.coalesce(_text(r["description"]), _text(r["message"]), F.lit("")).alias("description"), count.alias("count"))
+    return F.transform(F.array(clause), whole)[0]
 
 
 def verdicts(outputs: DataFrame) -> DataFrame:
@@ -45,7 +59,8 @@ def verdicts(outputs: DataFrame) -> DataFrame:
     validator that exits with an error never passes; error says no_output,
     unparseable or no_result where there is no verdict."""
     failed = F.coalesce("exit_failed", F.lit(False))
-    out = outputs.withColumn("_v", F.try_parse_json(F.nullif("output", F.lit(""))))
+    # an output takes far longer than its bytes would tell, so few files are dealt anew
+    out = outputs.repartition("doc_id", "output").withColumn("_v", F.try_parse_json(F.nullif("output", F.lit(""))))
     v = F.col("_v")
     report = F.coalesce(at(v, "$.report"), v)
     found = at(F.coalesce(at(report, "$.jobs"), at(v, "$.jobs")), "$[0].validationResult")
@@ -55,7 +70,7 @@ def verdicts(outputs: DataFrame) -> DataFrame:
     true = lambda path: F.coalesce(_of(at(r, path), "BOOLEAN", "boolean"), F.lit(False))
     listed = F.coalesce(at(r, "$.details.ruleSummaries"), at(r, "$.ruleSummaries"), at(r, "$.failedRules"))
     rules = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
-    out = out.withColumn("_bad", F.filter(F.transform(rules, _rule), lambda x: x["count"] > 0))
+    out = out.withColumn("_bad", F.filter(F.transform(F.transform(rules, lambda r: F.try_variant_get(r, "$", _RULE)), _rule), lambda x: x["count"] > 0))
     ranked = F.array_sort(F.transform("_bad", lambda x, i: F.struct((-x["count"]).alias("less"), i.alias("i"), x.alias("x"))))
     total = F.coalesce(number_at(r, "$.details.failedChecks"), F.aggregate("_bad", F.lit(0).cast("long"), lambda s, x: s + x["count"]))
     error = F.when(failed & (F.coalesce("output", F.lit("")) == ""), "no_output").when(v.isNull(), "unparseable").when(r.isNull(), "no_result")
