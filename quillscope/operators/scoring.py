@@ -4,7 +4,7 @@ doubles come out the same wherever the job runs."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,13 +27,21 @@ def nest(categories: DataFrame) -> DataFrame:
     return with_severity(categories).groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("categories"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` worked out once however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
 def weighted_score(categories: Column) -> Column:
     """Weighted mean of an array of categories. A category without score counts
     100 where it doesn't apply and is left out where it wasn't assessed."""
-    counted = F.filter(categories, lambda c: c["score"].isNotNull() | ~F.coalesce(c["not_assessed"], F.lit(False)))
-    total = F.aggregate(counted, F.lit(0.0), lambda acc, c: acc + c["weight"])
-    share = F.aggregate(counted, F.struct(F.lit(0.0).alias("s"), total.alias("w")), lambda acc, c: F.struct((acc["s"] + F.coalesce(c["score"], F.lit(100)) * (c["weight"] / acc["w"])).alias("s"), acc["w"].alias("w")), lambda acc: acc["s"])
-    return F.when(total == 0, 0).otherwise(half_up(share))
+
+    def of(counted: Column) -> Column:
+        share = lambda total: F.aggregate(counted, F.lit(0.0), lambda acc, c: acc + F.coalesce(c["score"], F.lit(100)) * (c["weight"] / total))
+        total = F.aggregate(counted, F.lit(0.0), lambda acc, c: acc + c["weight"])
+        return _once(total, lambda w: F.when(w == 0, 0).otherwise(_once(share(w), half_up)))
+
+    return _once(F.filter(categories, lambda c: c["score"].isNotNull() | ~F.coalesce(c["not_assessed"], F.lit(False))), of)
 
 
 def worst_rank(categories: Column) -> Column:
@@ -60,15 +68,20 @@ def regraded(r: Column) -> Column:
     then the cap holds, so that the worst category bounds either. A scanned
     document has 0. Without categories or a score nothing changes, and the grade
     is taken from the score only where that changed."""
-    cats = F.transform(r["categories"], lambda c: c.withField("score", c["score"].cast("int")))
-    counted = F.filter(cats, lambda c: c["score"].isNotNull() | ~F.coalesce(c["not_assessed"], F.lit(False)))
-    weights = F.transform(counted, lambda c: c["weight"])
-    usable = F.forall(weights, lambda w: w.isNotNull() & (w >= 0)) & (F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.coalesce(w, F.lit(0.0))) > 0)
-    raw = F.when(usable, weighted_score(cats)).otherwise(r["overallScore"].cast("int"))
-    anew = F.when(F.coalesce(r["isScanned"], F.lit(False)), 0).otherwise(capped(raw, worst_rank(cats)))
-    score = F.when(r["categories"].isNull() | r["overallScore"].isNull(), r["overallScore"].cast("int")).otherwise(anew)
-    changed = F.coalesce(score != r["overallScore"], F.lit(False))
-    return F.struct(score.cast("int").alias("overall_score"), F.when(changed, grade_of(score)).otherwise(r["grade"]).alias("grade"), changed.alias("changed"))
+
+    def known(cats: Column) -> Column:
+        counted = F.filter(cats, lambda c: c["score"].isNotNull() | ~F.coalesce(c["not_assessed"], F.lit(False)))
+        usable = lambda weights: F.forall(weights, lambda w: w.isNotNull() & (w >= 0)) & (F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.coalesce(w, F.lit(0.0))) > 0)
+        raw = F.when(_once(F.transform(counted, lambda c: c["weight"]), usable), weighted_score(cats)).otherwise(r["overallScore"].cast("int"))
+        bound = _once(F.struct(raw.alias("raw"), worst_rank(cats).alias("worst")), lambda x: capped(x["raw"], x["worst"]))
+        return F.when(F.coalesce(r["isScanned"], F.lit(False)), 0).otherwise(bound)
+
+    def graded(score: Column) -> Column:
+        changed = F.coalesce(score != r["overallScore"], F.lit(False))
+        return F.struct(score.cast("int").alias("overall_score"), F.when(changed, grade_of(score)).otherwise(r["grade"]).alias("grade"), changed.alias("changed"))
+
+    anew = _once(F.transform(r["categories"], lambda c: c.withField("score", c["score"].cast("int"))), known)
+    return _once(F.when(r["categories"].isNull() | r["overallScore"].isNull(), r["overallScore"].cast("int")).otherwise(anew), graded)
 
 
 def regrade(stored: DataFrame) -> DataFrame:
@@ -77,8 +90,7 @@ def regrade(stored: DataFrame) -> DataFrame:
     grade, changed, profiles (name -> the same three)."""
     fields, profile = ", ".join(f"{n} {t}" for n, t in _STORED.items()), ",".join(f"{n}:{t}" for n, t in _STORED.items())
     out = stored.withColumn("r", F.from_json("report_json", f"{fields}, scoreProfiles map<string,struct<{profile}>>"))
-    own = regraded(F.col("r"))
-    return out.select("doc_id", own.alias("x"), F.transform_values("r.scoreProfiles", lambda _, p: regraded(p)).alias("profiles")).select("doc_id", "x.*", "profiles")
+    return out.select("doc_id", regraded(F.col("r")).alias("x"), F.transform_values("r.scoreProfiles", lambda _, p: regraded(p)).alias("profiles")).select("doc_id", "x.*", "profiles")
 
 
 def tally(categories: Column) -> dict[str, Column]:

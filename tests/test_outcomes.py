@@ -3,6 +3,8 @@
 import json
 
 
+from pyspark.sql import functions as F
+
 from quillscope.operators import lifecycle, records, reports, scoring
 
 ROWS = "doc_id long, id string, ord int, score int, severity string"
@@ -76,3 +78,9 @@ def test_publications_from_pages_and_files(spark, tmp_path):
     assert sorted(r.id for r in read(spark, str(tmp_path / "a"), page_size=2).collect()) == ["2"]
     (tmp_path / "b.json").write_text(json.dumps([row("1", "x.pdf"), row("1", "z.pptx"), row("3", "x.txt")]))
     assert sorted(r.fileURL for r in read(spark, str(tmp_path / "b.json")).collect()) == ["x.pdf", "z.pptx"]
+
+
+def test_scores_are_worked_out_once(spark):
+    # a score is named several times; each name must not bring its whole expression
+    assert str(scoring.regraded(F.col("r"))).count("overallScore") < 20
+    assert str(scoring.weighted_score(F.col("c"))).count("not_assessed") == 1
