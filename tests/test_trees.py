@@ -177,3 +177,14 @@ def test_tables_leave_one_table(spark):
     found = trees.table_facts(places, listed.drop("parent")).collect()
     assert [(r.node, r.headerCount, r.dataCellCount, r.rowCount, r.columnCounts) for r in found] == [(0, 1, 3, 2, [2, 1])]
     assert len(written._WRITTEN) == held + 1
+
+
+def test_fonts_are_searched_from_all_objects_at_once(spark, monkeypatch):
+    held, within = [], trees.within_steps
+    monkeypatch.setattr(trees, "within_steps", lambda *a: held.append(within(*a)) or held[-1])
+    values = [("a", "inside", "c"), ("b", "inside", "c"), ("c", "Font", "d"), ("d", "entry", "f"), ("f", "FontDescriptor", "x")]
+    rows = spark.createDataFrame([(1, *v) for v in values], "doc_id long, source string, key string, target string")
+    objects = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, node string")
+    assert [(r.descriptor, r.names) for r in trees.live_fonts(objects, rows).collect()] == [("x", [])]
+    # c is opened once, not once for each object that leads there
+    assert sorted((r.node, r.steps) for r in held[0].collect()) == [("a", 0), ("b", 0), ("c", 1)]
