@@ -20,15 +20,18 @@ three sets in 100,000. Those few are joined among each other by the least
 quarter of their shingles, which similar sets can't avoid sharing, so no link
 rests on chance. (A pair with one set of positive number meets by signatures.)
 
-Equal sets are folded first. Sets that share a signature form runs. A run isn't
+Equal sets are folded first. Sets that share a signature form runs. A set with
+fewer signatures in runs than it must share takes part in none, and signatures of
+the same sets are one row, with their number as its weight. A run isn't
 expanded into pairs: pairs of a member and the run's pivot that occur several
 times are verified, links give components, and only runs that still hold
 several components go on, again with the member of most links as pivot. What
-remains is settled exactly. Members of different components meet in runs of at
-most ``SHORT`` sets. Longer runs come from passages that many documents share;
-there only those sets meet that could have all their common signatures in such
-runs: fewer signatures in long runs than a set must share rule a miss out. The
-same count drops pairs that share too few signatures. Which of 512 hash ranges
+remains is settled exactly: members of different components meet in a run, but
+each set only in as many of its signatures, those of short runs first, that the
+others are fewer than it must share with a similar set. Two similar sets have the
+first signature they share among these. Long runs, which come from passages that
+many documents share, are last in that order and so are left to sets that have
+little else. Which of 512 hash ranges
 hold an odd number of members bounds the difference of two sets from below; the
 joins that make pairs have that bound in their condition. Counts of members in
 256 hash ranges drop more, before whole sets are moved.
@@ -49,14 +52,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import connected
 from ._store import release, stash
 from ._text import batch, constants, distinct, mix, shingles, text_slices, words
 
-SHINGLE, SMALL, SHORT, OFTEN, HOT = 5, 120, 64, 3, 32
+SHINGLE, SMALL, OFTEN, HOT = 5, 120, 3, 32
+#: Runs of up to so many sets rank alike, by signature.
+SHORT = 2
 WORDS = 8
 BITS = [f"bits{i}" for i in range(WORDS)]
 _EDGES = np.array([1.0])
@@ -346,6 +351,51 @@ def _similar(share: tuple[int, int]):
     return run
 
 
+def _parity() -> Column:
+    return F.shiftright("sig", 16).bitwiseAND(1)
+
+
+def _need() -> Column:
+    """What a set must share among signatures of a parity: of its own band or the next."""
+    return F.when(F.col("parity") == F.col("odd"), F.col("need0")).otherwise(F.col("need1"))
+
+
+def weighted_runs(runs: DataFrame, size: DataFrame) -> DataFrame:
+    """(sig, node, weight) of runs (sig, node): sets that have fewer signatures in
+    runs than they must share with a similar set are left out, and of signatures
+    that the same sets have one stands for all; weight is their number."""
+    runs = runs.withColumn("parity", _parity())
+    needs = size.select("node", "odd", "need0", "need1")
+    able = stash(runs.groupBy("node", "parity").agg(F.count("*").alias("times")).join(needs, "node").where(F.col("times") >= _need()).select("node", "parity"))
+    rows = stash(runs.join(able, ["node", "parity"]).select("sig", "node"))
+    # equal sets of nodes: number, ends and two sums of 36 bits, which can't overflow
+    short = lambda *x: F.sum(F.shiftrightunsigned(F.xxhash64("node", *x), 28))
+    alike = [F.count("*").alias("length"), F.min("node").alias("low"), F.max("node").alias("high"), short().alias("sum1"), short(F.lit(1)).alias("sum2")]
+    sets = rows.groupBy("sig").agg(*alike).where("low < high")
+    one = sets.groupBy(_parity().alias("parity"), "length", "low", "high", "sum1", "sum2").agg(F.min("sig").alias("sig"), F.count("*").alias("weight"))
+    kept = stash(one.select("sig", "weight"))
+    out = stash(rows.join(kept, "sig").select("sig", "node", "weight"))
+    release(able, rows, kept)
+    return out
+
+
+def least_common(rest: DataFrame, size: DataFrame) -> DataFrame:
+    """Of the runs (sig, node, weight, component) of each set, and each band it
+    signs in, those of fewest members up to where what is left weighs less than it
+    must share with a similar set: two similar sets have the first one they share
+    among them. Returns sig, node, component, size."""
+    lengths = stash(rest.groupBy("sig").agg(F.count("*").alias("length")))
+    rows = rest.join(lengths, "sig").join(size.select("node", "size", "odd", "need0", "need1"), "node")
+    rows = rows.withColumn("parity", _parity()).withColumn("need", _need())
+    every = Window.partitionBy("node", "parity")
+    first = every.orderBy(F.greatest("length", F.lit(SHORT)), "sig").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("weight").over(first), F.lit(0))
+    ranked = rows.withColumns({"before": before, "total": F.sum("weight").over(every)})
+    out = stash(ranked.where(F.col("before") <= F.col("total") - F.col("need")).select("sig", "node", "component", "size"))
+    release(lengths)
+    return out
+
+
 def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, classes): documents have doc_id, mark (of the text), n_shingles,
     s1, s2; classes of equal sets have n_shingles, s1, s2, rep (smallest doc_id),
@@ -378,6 +428,8 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
         again = docs.join(unsure, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
         found, runs = runs, stash(runs.unionAll(again.mapInArrow(_prefixes, "sig long, node long")))
         release(found)
+    found, runs = runs, weighted_runs(runs, size)
+    release(found)
 
     wanted = runs.select("node").distinct().join(size, "node").select("node", F.col("rep").alias("doc_id"), "mark")
     # texts are made unique where the join has them, and only then become sets
@@ -398,12 +450,12 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
 
     def by_pivot(runs: DataFrame, pivot: DataFrame) -> DataFrame:
         rows = runs.join(stash(pivot), "sig").where("node <> pivot")  # written, so that a join with a long run can be split
-        pairs = rows.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("times"))
+        pairs = rows.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.sum("weight").alias("times"))
         return pairs.where(F.col("times") >= OFTEN).select("a", "b")
 
     def unsettled(links: DataFrame) -> DataFrame:
         """Runs, with components, that still hold several components."""
-        named = runs.join(connected(links), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        named = runs.join(connected(links), "node", "left").select("sig", "node", "weight", F.coalesce("component", "node").alias("component"))
         open_ = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
         return stash(named.join(stash(open_), "sig"))
 
@@ -411,7 +463,7 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     links = verified(first)
     rest = unsettled(links)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = rest.join(degree, "node", "left").select("sig", "node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
+    ranked = rest.join(degree, "node", "left").select("sig", "node", "weight", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
     hub = ranked.groupBy("sig").agg(F.max("degree").alias("degree")).join(ranked, ["sig", "degree"]).groupBy("sig").agg(F.max("node").alias("pivot"))
     second = stash(by_pivot(rest, hub).join(first, ["a", "b"], "left_anti"))
     tried, links = first.unionAll(second), stash(links.unionAll(verified(second)))
@@ -419,21 +471,12 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     rest = unsettled(links)
     release(runs)
     # what is left, exactly: members of different components of a run
-    lengths = stash(rest.groupBy("sig").agg(F.count("*").alias("length")))
-    own = F.shiftright("sig", 16).bitwiseAND(1) == F.col("odd")
-    held = rest.join(lengths, "sig").join(size, "node").select("sig", "node", "component", "size", own.alias("own"), F.when(own, F.col("need0")).otherwise(F.col("need1")).alias("need"), (F.col("length") > SHORT).alias("long"), *BITS)
-    kept = held = stash(held)
-    crowded = held.groupBy("node", "own").agg(F.sum(F.col("long").cast("int")).alias("crowd"))
-    held = held.join(crowded, ["node", "own"]).where(~F.col("long") | (F.col("crowd") >= F.col("need")))
-    # parts on which it must agree, beyond those that long runs may hide
-    held = held.select("sig", "node", "component", "size", "need", "crowd", (F.col("crowd") >= F.col("need")).alias("risk"), *BITS)
-    other = held.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("need").alias("need2"), F.col("crowd").alias("crowd2"), F.col("risk").alias("risk2"), *(F.col(c).alias(c + "2") for c in BITS))
-    due = F.when(F.col("risk") & F.col("risk2"), F.greatest("need", "need2")).otherwise(F.greatest(F.col("need") - F.col("crowd"), F.col("need2") - F.col("crowd2")))
+    held = stash(least_common(rest, size).join(size.select("node", *BITS), "node"))
+    other = held.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), *(F.col(c).alias(c + "2") for c in BITS))
     met = held.join(other, "sig").where((F.col("component") < F.col("component2")) & may_link("size", "size2", "2"))
-    met = met.groupBy("node", "node2", F.shiftright("sig", 16).bitwiseAND(1)).agg(F.count("*").alias("times"), F.max(due).alias("due")).where("times >= due")
     third = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     links = links.unionAll(verified(third.join(tried, ["a", "b"], "left_anti")))
-    release(sets, rest, kept, first, second)
+    release(sets, rest, held, first, second)
     found = connected(links)
     named = stash(classes.join(found.withColumnRenamed("node", "s1").withColumnRenamed("component", "group"), "s1", "left"))
     # what stands for a group: its smallest doc_id, and of other texts under that
