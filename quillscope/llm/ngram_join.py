@@ -26,15 +26,16 @@ the same sets are one row, with their number as its weight. A run isn't
 expanded into pairs: pairs of a member and the run's pivot that occur several
 times are verified, links give components, and only runs that still hold
 several components go on, again with the member of most links as pivot. What
-remains is settled exactly: members of different components meet in a run, but
-each set only in as many of its signatures, those of short runs first, that the
-others are fewer than it must share with a similar set. Two similar sets have the
-first signature they share among these. Long runs, which come from passages that
-many documents share, are last in that order and so are left to sets that have
-little else. Which of 512 hash ranges
-hold an odd number of members bounds the difference of two sets from below; the
-joins that make pairs have that bound in their condition. Counts of members in
-256 hash ranges drop more, before whole sets are moved.
+remains is settled exactly: different components meet in a run, each set only in
+as many of its signatures, those of short runs first, that the others are fewer
+than it must share with a similar set. Two similar sets have the first signature
+they share among these. Long runs, which come from passages that many documents
+share, are last in that order and so are left to sets that have little else. A
+component has one row in a run, however many of its sets stand there, and the sets
+of two components that met are compared once, however many runs they share. Which
+of 512 hash ranges hold an odd number of members bounds the difference of two sets
+from below; the joins that make pairs have that bound in their condition. Counts of
+members in 256 hash ranges drop more, before whole sets are moved.
 Every link counts only after its exact intersection.
 
 Defined results: a null or empty text has no shingles, size 0 and its own
@@ -56,7 +57,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import connected
-from ._store import release, stash
+from ._store import among, release, stash
 from ._text import batch, constants, distinct, mix, shingles, text_slices, words
 
 SHINGLE, SMALL, OFTEN, HOT = 5, 120, 3, 32
@@ -366,8 +367,10 @@ def weighted_runs(runs: DataFrame, size: DataFrame) -> DataFrame:
     that the same sets have one stands for all; weight is their number."""
     runs = runs.withColumn("parity", _parity())
     needs = size.select("node", "odd", "need0", "need1")
-    able = stash(runs.groupBy("node", "parity").agg(F.count("*").alias("times")).join(needs, "node").where(F.col("times") >= _need()).select("node", "parity"))
-    rows = stash(runs.join(able, ["node", "parity"]).select("sig", "node"))
+    who = F.xxhash64("node", "parity").alias("who")
+    able = stash(runs.groupBy("node", "parity").agg(F.count("*").alias("times")).join(needs, "node").where(F.col("times") >= _need()).select(who))
+    # runs stay where they are: a set that a bitmap lets through too much is left out later
+    rows = stash(among(runs.select("sig", "node", who), "who", able).select("sig", "node"))
     # equal sets of nodes: number, ends and two sums of 36 bits, which can't overflow
     short = lambda *x: F.sum(F.shiftrightunsigned(F.xxhash64("node", *x), 28))
     alike = [F.count("*").alias("length"), F.min("node").alias("low"), F.max("node").alias("high"), short().alias("sum1"), short(F.lit(1)).alias("sum2")]
@@ -396,6 +399,44 @@ def least_common(rest: DataFrame, size: DataFrame) -> DataFrame:
     return out
 
 
+def _differ(suffix: str) -> Column:
+    """In how many hash ranges one of two sets has an odd number of members."""
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + suffix))) for c in BITS), F.lit(0))
+
+
+def _near(share: tuple[int, int], sizes: tuple, differ: Column) -> Column:
+    """Whether sets of such least and greatest sizes, of which so many members at
+    least aren't shared, can be similar; as part of a join's condition it drops
+    pairs before they are made."""
+    low, high, low2, high2 = (F.col(x) for x in sizes)
+    return (high * share[1] >= low2 * share[0]) & (high2 * share[1] >= low * share[0]) & (differ * (share[0] + share[1]) <= (high + high2) * (share[1] - share[0]))
+
+
+def meeting(kept: DataFrame, size: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b), each once, of sets of different components that meet in runs
+    ``kept`` (sig, node, component, size) and can be similar. Components meet
+    first, a row for each in a run however many of its sets stand there; one set
+    stands for a component, and what differs is at least what differs from it, less
+    how far (away) the component's sets are from it. Sets of components that met
+    are then compared with each other."""
+    renamed = lambda rows, *same: rows.select(*(F.col(c) if c in same else F.col(c).alias(c + "2") for c in rows.columns))
+    members = stash(kept.select("node", "component", "size").distinct().join(size.select("node", *BITS), "node"))
+    centre = members.groupBy("component").agg(F.min(F.struct("node", *BITS)).alias("of"), F.min("size").alias("low"), F.max("size").alias("high"))
+    centre = stash(centre.select("component", "low", "high", *(F.col(f"of.{c}").alias(c) for c in BITS)))
+    away = members.join(renamed(centre.select("component", *BITS), "component"), "component").groupBy("component").agg(F.max(_differ("2")).alias("away"))
+    balls = stash(centre.join(away, "component"))
+    runs = stash(kept.select("sig", "component").distinct().join(balls, "component"))
+    near = _near(share, ("low", "high", "low2", "high2"), _differ("2") - F.col("away") - F.col("away2"))
+    met = stash(runs.join(renamed(runs, "sig"), "sig").where((F.col("component") < F.col("component2")) & near).select("component", "component2").distinct())
+    # the ball comes first: of a component's sets only those in its reach become rows
+    ends = met.join(renamed(balls), "component2").join(members, "component")
+    ends = ends.where(_near(share, ("size", "size", "low2", "high2"), _differ("2") - F.col("away2"))).select("component2", "node", "size", *BITS)
+    pairs = ends.join(renamed(members), "component2").where(_near(share, ("size", "size", "size2", "size2"), _differ("2")))
+    out = stash(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")))
+    release(members, centre, balls, runs, met)
+    return out
+
+
 def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, classes): documents have doc_id, mark (of the text), n_shingles,
     s1, s2; classes of equal sets have n_shingles, s1, s2, rep (smallest doc_id),
@@ -416,14 +457,8 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     runs = stash(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "hot").mapInArrow(_gather, "sig long, node long"))
     size = classes.select(F.col("s1").alias("node"), F.col("n_shingles").alias("size"), "rep", "mark", *traits)
 
-    def may_link(left: str, right: str, suffix: str) -> Column:
-        """Sizes, and bits of odd counts, that similar sets can have; as part of
-        a join's condition it drops pairs before they are made."""
-        near = F.least(left, right) * share[1] >= F.greatest(left, right) * share[0]
-        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + suffix))) for c in BITS), F.lit(0))
-        return near & (bits * (share[0] + share[1]) <= (F.col(left) + F.col(right)) * (share[1] - share[0]))
-
-    unsure = size.where("least(need0, need1) < 1").select("node", F.col("rep").alias("doc_id"), "mark")
+    # few, and written, so that texts needn't be dealt to meet them
+    unsure = stash(size.where("least(need0, need1) < 1").select("node", F.col("rep").alias("doc_id"), "mark"))
     if not unsure.isEmpty():
         again = docs.join(unsure, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
         found, runs = runs, stash(runs.unionAll(again.mapInArrow(_prefixes, "sig long, node long")))
@@ -431,15 +466,15 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
     found, runs = runs, weighted_runs(runs, size)
     release(found)
 
-    wanted = runs.select("node").distinct().join(size, "node").select("node", F.col("rep").alias("doc_id"), "mark")
+    wanted = stash(runs.select("node").distinct().join(size, "node").select("node", F.col("rep").alias("doc_id"), "mark"))
     # texts are made unique where the join has them, and only then become sets
-    texts = docs.where("doc_id is not null").join(wanted, ["doc_id", "mark"]).groupBy("doc_id", "mark", "node").agg(F.first("text").alias("text"))
+    texts = among(docs.where("doc_id is not null"), "doc_id", wanted.select("doc_id")).join(wanted, ["doc_id", "mark"]).groupBy("doc_id", "mark", "node").agg(F.first("text").alias("text"))
     sets = stash(texts.select("node", "text").mapInArrow(_members, "node long, members binary, ranges binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of which the exact similarity reaches the threshold."""
         end = lambda name, n, suffix: size.select(F.col("node").alias(name), F.col("size").alias(n), *(F.col(c).alias(c + suffix) for c in BITS))
-        sized = pairs.join(end("a", "na", ""), "a").join(end("b", "nb", "2"), "b").where(may_link("na", "nb", "2")).select("a", "b", "na", "nb")
+        sized = pairs.join(end("a", "na", ""), "a").join(end("b", "nb", "2"), "b").where(_near(share, ("na", "na", "nb", "nb"), _differ("2"))).select("a", "b", "na", "nb")
         side = lambda end, name, what: sets.select(F.col("node").alias(end), F.col(what).alias(name))
         counted = sized.join(side("a", "left", "ranges"), "a").join(side("b", "right", "ranges"), "b")
         close = stash(counted.select("a", "b", "na", "nb", "left", "right").mapInArrow(_plausible(share), "a long, b long"))
@@ -453,30 +488,28 @@ def link_ngrams(docs: DataFrame, share: tuple[int, int] = (3, 4), buckets: int |
         pairs = rows.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.sum("weight").alias("times"))
         return pairs.where(F.col("times") >= OFTEN).select("a", "b")
 
-    def unsettled(links: DataFrame) -> DataFrame:
-        """Runs, with components, that still hold several components."""
-        named = runs.join(connected(links), "node", "left").select("sig", "node", "weight", F.coalesce("component", "node").alias("component"))
+    def unsettled(runs: DataFrame, links: DataFrame) -> DataFrame:
+        """``runs``, with components, that still hold several components."""
+        named = runs.select("sig", "node", "weight").join(connected(links), "node", "left").select("sig", "node", "weight", F.coalesce("component", "node").alias("component"))
         open_ = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
         return stash(named.join(stash(open_), "sig"))
 
     first = stash(by_pivot(runs, runs.groupBy("sig").agg(F.min("node").alias("pivot"))))
     links = verified(first)
-    rest = unsettled(links)
+    rest = unsettled(runs, links)
+    release(runs)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
     ranked = rest.join(degree, "node", "left").select("sig", "node", "weight", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
     hub = ranked.groupBy("sig").agg(F.max("degree").alias("degree")).join(ranked, ["sig", "degree"]).groupBy("sig").agg(F.max("node").alias("pivot"))
     second = stash(by_pivot(rest, hub).join(first, ["a", "b"], "left_anti"))
     tried, links = first.unionAll(second), stash(links.unionAll(verified(second)))
-    release(rest)
-    rest = unsettled(links)
-    release(runs)
+    held, rest = rest, unsettled(rest, links)
+    release(held)
     # what is left, exactly: members of different components of a run
-    held = stash(least_common(rest, size).join(size.select("node", *BITS), "node"))
-    other = held.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), *(F.col(c).alias(c + "2") for c in BITS))
-    met = held.join(other, "sig").where((F.col("component") < F.col("component2")) & may_link("size", "size2", "2"))
-    third = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    held = least_common(rest, size)
+    third = meeting(held, size, share)
     links = links.unionAll(verified(third.join(tried, ["a", "b"], "left_anti")))
-    release(sets, rest, held, first, second)
+    release(sets, wanted, unsure, rest, held, first, second, third)
     found = connected(links)
     named = stash(classes.join(found.withColumnRenamed("node", "s1").withColumnRenamed("component", "group"), "s1", "left"))
     # what stands for a group: its smallest doc_id, and of other texts under that
