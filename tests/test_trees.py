@@ -157,6 +157,20 @@ def test_paths_over_stretches(spark, monkeypatch, near):
         assert (r.end, r.w if r.end is not None else None) == ((at[1], total) if seen < 400 else (None, None))
 
 
+def test_deep_trees_take_no_more_steps(spark, monkeypatch):
+    # a chain is followed inside stretches, so 32 times its depth needs no further joins
+    taken, write = [], trees.cut
+    monkeypatch.setattr(trees, "cut", lambda *a: taken.append(1) or write(*a))
+    steps = []
+    for n in (64, 2048):
+        taken.clear()
+        rows = spark.range(n).selectExpr("1L AS doc_id", "id AS node", "nullif(id, 0) - 1 AS parent", "id AS place")
+        found = trees.tree_places(rows).collect()
+        assert sorted((r.node, r.root, r.depth, r.place, r.last) for r in found) == [(k, 0, k, k, n - 1) for k in range(n)]
+        steps.append(len(taken))
+    assert steps[0] == steps[1]
+
+
 def test_lists_leave_one_table(spark):
     # lists in lists, one 15 levels below the first, one 16
     rows = [(1, k, k - 1 if k else None, "L" if k in (0, 3, 15, 16) else ("LI" if k % 2 else "Span")) for k in range(17)] + [(1, 100, 1, "LBody"), (1, 200, 201, "L"), (1, 201, 200, "L")]
