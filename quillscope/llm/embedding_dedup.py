@@ -17,6 +17,12 @@ below ``least_recall`` at the end, an error is raised, so links are never lost
 in silence. At last the pairs of balls in reach are compared in double
 precision, block of vectors against block of vectors.
 
+No table is broadcast for the size that Spark takes it to have: a file of copies is
+small where its rows aren't, and so is an estimate before rows are multiplied. An
+exhaustive search sends ``HELD`` bytes of the nodes it looks for to all others at a
+time. Neighbours meet in parts of ``PART`` bytes, and tables are dropped as soon as
+nothing reads them, so disks hold a few copies of the vectors.
+
 Vectors of different lengths link with nothing of another length; each length is
 a search of its own.
 
@@ -31,6 +37,7 @@ columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +46,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import connected
-from ._store import release, stash
+from ._store import release, stash, unsized
 from ._text import batch
 
 LIST, MOST, TABLES, NEXT, BLOCK, QUERIES = 8, 256, 8, 4, 256, 1024
 #: Links that an audit wants to see, and how many times ``QUERIES`` nodes it searches
 #: for them at most.
 AUDIT_LINKS, AUDIT_TIMES = 1000, 16
+#: Bytes of wanted nodes that an exhaustive search sends out at a time, and of
+#: neighbours that meet at a time.
+HELD, PART = 16 << 20, 4 << 30
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
 
 
@@ -105,7 +115,7 @@ def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _balls(vectors: DataFrame, reach: float, rounds: int, dim: int, centre: np.ndarray) -> DataFrame:
     """(id, unit, ball, angle): each vector in the ball of a pivot within
     ``reach``; a vector that no round takes in is a ball of its own."""
-    free, done = vectors, None
+    free, done = vectors, []
     for r in range(rounds):
         coded = stash(_coded(free, 1000 + r, 16, dim, centre))
         pivots = coded.join(coded.groupBy("code").agg(F.min("id").alias("id")), ["code", "id"]).select("code", F.col("id").alias("pivot"), F.col("unit").alias("pivot_unit"))
@@ -114,11 +124,13 @@ def _balls(vectors: DataFrame, reach: float, rounds: int, dim: int, centre: np.n
         taken = angled.where(f"id <> pivot and angle <= {reach!r}")
         owners = taken.select(F.col("pivot").alias("id")).distinct()
         own = angled.join(owners, "id", "left_semi").select("id", "unit", F.col("id").alias("ball"), F.lit(0.0).alias("angle"))
-        part = taken.select("id", "unit", F.col("pivot").alias("ball"), "angle").unionAll(own)
-        done = part if done is None else done.unionAll(part)
-        free = stash(angled.join(part.select("id"), "id", "left_anti").select("id", "unit"))
+        done.append(stash(taken.select("id", "unit", F.col("pivot").alias("ball"), "angle").unionAll(own)))
+        old, free = free, stash(angled.join(done[-1].select("id"), "id", "left_anti").select("id", "unit"))
+        release(coded, angled, *([old] if r else []))
     single = free.select("id", "unit", F.col("id").alias("ball"), F.lit(0.0).alias("angle"))
-    return stash(single if done is None else done.unionAll(single))
+    balls = stash(reduce(DataFrame.unionAll, done, single))
+    release(*done, *([free] if rounds else []))
+    return balls
 
 
 def _neighbours_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +147,14 @@ def _neighbours_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         last_ids, last = ids[-NEXT:], x[-NEXT:]
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, unit) with the units in single precision, in which lists are refined."""
+    schema = pa.schema([("x", pa.int64()), ("unit", pa.binary())])
+    for b in batches:
+        if b.num_rows:
+            yield batch(schema, b.column("id"), pa.array([x.tobytes() for x in _rows(b.column("unit")).astype(np.float32)], pa.binary()))
+
+
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a node's neighbours that improve the list of either side."""
     for b in batches:
@@ -142,8 +162,8 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for near in b.column("near"):
             near = near.as_py()
             ids = np.array([n["x"] for n in near])
-            x = np.frombuffer(b"".join(n["unit"] for n in near), np.float64).reshape(len(ids), -1)
-            sim = x @ x.T
+            x = np.frombuffer(b"".join(n["unit"] for n in near), np.float32).reshape(len(ids), -1)
+            sim = (x @ x.T).astype(np.float64)
             worst = np.array([n["worst"] for n in near])
             i, j = np.nonzero((sim > worst[:, None]) & (ids[:, None] != ids[None, :]))
             out.append((ids[i], ids[j], sim[i, j]))
@@ -158,28 +178,58 @@ def _best(pairs: DataFrame, room: DataFrame) -> DataFrame:
     return ranked.join(room, "u").where("place <= room").select("u", "v", "sim", "place", "room")
 
 
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """(ids, units, radii) of up to ``most`` of the rows that a task reads."""
+    schema = pa.schema([("ids", pa.binary()), ("units", pa.binary()), ("radii", pa.binary())])
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        ids, radii = (t.column(c).to_numpy().tobytes() for c in ("id", "radius"))
+        return batch(schema, *(pa.array([x], pa.binary()) for x in (ids, b"".join(t.column("unit").to_pylist()), radii)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                held.append(b.slice(at, most - count))
+                at, count = at + held[-1].num_rows, count + held[-1].num_rows
+                if count == most:
+                    yield packed(held)
+                    held, count = [], 0
+        if count:
+            yield packed(held)
+
+    return rows.select("id", "unit", "radius").mapInArrow(run, "ids binary, units binary, radii binary")
+
+
 def _exhaustive(nodes: DataFrame, wanted: DataFrame, floor: str) -> DataFrame:
     """All pairs (u, v, sim) of a node u of ``wanted`` and another node v whose
-    balls are in reach of each other: blocks of the one against blocks of the
-    other, each pair of blocks a row."""
+    balls are in reach of each other. Blocks of all nodes stay where they are read;
+    those that are wanted come to them, ``HELD`` bytes in a pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for left, right in zip(b.column("left"), b.column("right"), strict=True):
-                (ids, x, r), (others, y, s) = ((v.values.field(0).to_numpy(), _rows(v.values.field(1)), v.values.field(2).to_numpy()) for v in (left, right))
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                (ids, r), (others, s) = ((np.frombuffer(row[k], np.int64), np.frombuffer(row[k + 2], np.float64)) for k in (0, 3))
+                x, y = (np.frombuffer(row[k], np.float64).reshape(len(i), -1) for k, i in ((1, ids), (4, others)))
                 sim = x @ y.T
                 limit = np.cos(np.minimum(np.pi, float(floor) + r[:, None] + s[None, :])) - 1e-9
                 i, j = np.nonzero((sim >= limit) & (ids[:, None] != others[None, :]))
                 if len(i):
                     yield batch(_PAIR, ids[i], others[j], sim[i, j])
 
-    def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
-        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias(name + "_block")).agg(F.collect_list(F.struct("id", "unit", "radius")).alias(name))
-
-    parts = [max(1, -(-rows.count() // QUERIES)) for rows in (wanted, nodes)]
-    left = packed(wanted.select("id", "unit", "radius"), parts[0], "left").withColumn("right_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1] - 1).cast("long"))))
-    both = left.join(packed(nodes.select("id", "unit", "radius"), parts[1], "right"), "right_block")
-    return both.select("left", "right").mapInArrow(run, "u long, v long, sim double")
+    wanted = stash(wanted.select("id", "unit", "radius"))
+    size = wanted.agg(F.sum(F.length("unit") + 16)).first()[0] or 0
+    passes, found = max(1, -(-size // HELD)), []
+    for k in range(passes):
+        # hashed as no sample is, so passes are of one size
+        some = wanted.where(F.pmod(F.xxhash64("id", F.lit("pass")), F.lit(passes)) == k).coalesce(1)
+        left = _blocks(some, QUERIES).toDF("ids", "units", "radii")
+        right = _blocks(nodes, QUERIES).toDF("others", "other_units", "other_radii")
+        found.append(stash(right.crossJoin(F.broadcast(left)).select("ids", "units", "radii", "others", "other_units", "other_radii").mapInArrow(run, "u long, v long, sim double")))
+    release(wanted)
+    return reduce(DataFrame.unionAll, found)
 
 
 def _audit(nodes: DataFrame, total: int, floor: str, audit: int) -> tuple[DataFrame, int]:
@@ -189,11 +239,10 @@ def _audit(nodes: DataFrame, total: int, floor: str, audit: int) -> tuple[DataFr
     size = audit
     while True:
         some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // size))) == 0)
-        truth = stash(_exhaustive(nodes, some, floor).select("u", "v"))
+        truth = _exhaustive(nodes, some, floor).select("u", "v")
         due = truth.count()
         if due >= AUDIT_LINKS or size >= total or size >= AUDIT_TIMES * audit:
             return truth, due
-        release(truth)
         size *= 4
 
 
@@ -232,7 +281,9 @@ def _graph(nodes: DataFrame, dim: int, centre: np.ndarray, angle: float, lists:
             start = found if start is None else start.unionAll(found)
         return start
 
-    in_reach = lambda sim, r1, r2: F.col(sim) >= F.cos(F.least(F.lit(np.pi), angle + F.col(r1) + F.col(r2))) - 1e-9
+    # what single precision may lack in a sum of ``dim`` products is let through: links are counted in double
+    in_reach = lambda sim, r1, r2: F.col(sim) >= F.cos(F.least(F.lit(np.pi), angle + F.col(r1) + F.col(r2))) - 1e-9 - dim * 2.0**-23
+    single = stash(nodes.select("id", "unit").mapInArrow(_single, "x long, unit binary"))
     radius = nodes.select(F.col("id").alias("u"), F.col("radius").alias("ru"))
     other = nodes.select(F.col("id").alias("v"), F.col("radius").alias("rv"))
     graph = stash(_best(coded_pairs(range(TABLES)), nodes.select(F.col("id").alias("u"), F.lit(lists).alias("room"))))
@@ -252,16 +303,20 @@ def _graph(nodes: DataFrame, dim: int, centre: np.ndarray, angle: float, lists:
         last = stash(lasts(graph).withColumn("grown", grown).select("u", F.when(F.col("full") & (F.col("grown") == F.col("room")), F.col("worst")).otherwise(-2.0).alias("worst"), F.col("grown").alias("room")))
         back = Window.partitionBy("w").orderBy(F.xxhash64("x", F.lit(turn)), "x")
         reverse = graph.select(F.col("v").alias("w"), F.col("u").alias("x")).withColumn("place", F.row_number().over(back))
-        near = graph.select(F.col("u").alias("w"), F.col("v").alias("x")).unionAll(reverse.where(f"place <= {lists}").select("w", "x")).distinct()
-        own = nodes.select(F.col("id").alias("x"), "unit").join(last.select(F.col("u").alias("x"), "worst"), "x")
-        grouped = near.join(own, "x").groupBy("w").agg(F.collect_list(F.struct("x", "unit", "worst")).alias("near")).select("near")
-        better = grouped.mapInArrow(_local_join, "u long, v long, sim double")
-        if poor:
-            better = better.unionAll(coded_pairs(range(TABLES * turn, TABLES * (turn + 1))))
-        after = stash(_best(graph.select("u", "v", "sim").unionAll(better), last.select("u", "room")))
-        changed = after.join(graph, ["u", "v"], "left_anti").count()
-        release(graph, last)
-        graph = after
+        near = stash(graph.select(F.col("u").alias("w"), F.col("v").alias("x")).unionAll(reverse.where(f"place <= {lists}").select("w", "x")).distinct())
+        own = single.join(last.select(F.col("u").alias("x"), "worst"), "x")
+        before, parts_ = graph, max(1, -(-near.count() * (4 * dim + 32) // PART))
+        for k in range(parts_):
+            met = near if parts_ == 1 else near.where(F.pmod(F.xxhash64("w", F.lit("part")), F.lit(parts_)) == k)
+            better = met.join(own, "x").groupBy("w").agg(F.collect_list(F.struct("x", "unit", "worst")).alias("near")).select("near").mapInArrow(_local_join, "u long, v long, sim double")
+            if poor and not k:
+                better = better.unionAll(coded_pairs(range(TABLES * turn, TABLES * (turn + 1))))
+            after = stash(_best(graph.select("u", "v", "sim").unionAll(better), last.select("u", "room")))
+            if k:
+                release(graph)
+            graph = after
+        changed = graph.join(before, ["u", "v"], "left_anti").count()
+        release(before, last, near)
         got = truth.join(graph.select("u", "v").unionAll(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), ["u", "v"]).count() if due else 0
         more = lasts(graph).where(f"saturated and room < {MOST}").count()
         figures |= {"rounds": turn, "audited": due, "recall": got / due if due else None}
@@ -276,7 +331,9 @@ def _graph(nodes: DataFrame, dim: int, centre: np.ndarray, angle: float, lists:
     if figures["saturated"]:
         pairs = pairs.unionAll(_exhaustive(nodes, nodes.join(rest, "id", "left_semi"), repr(angle)))
     close = pairs.join(radius, "u").join(other, "v").where(in_reach("sim", "ru", "rv"))
-    return stash(close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()), figures
+    close = stash(close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    release(graph, single)
+    return close, figures
 
 
 def _links(units: DataFrame, dim: int, threshold: float, **options) -> tuple[DataFrame, dict]:
@@ -289,32 +346,35 @@ def _links(units: DataFrame, dim: int, threshold: float, **options) -> tuple[Dat
     close, figures = _graph(nodes, dim, centre, angle, **options)
     of = sizes.select(F.col("id").alias("ball"), "size", "least")
     members = stash(balls.select("id", "ball", "unit").join(of, "ball"))
+    release(balls, nodes)
     ways = close.unionAll(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
     needed = members.join(stash(ways.select(F.col("a").alias("ball")).distinct()), "ball", "left_semi")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
     blocks = stash(needed.groupBy("ball", block.alias("block")).agg(F.collect_list(F.struct("id", "unit")).alias("vectors")))
     left, right = blocks.select(F.col("ball").alias("a"), F.col("vectors").alias("left")), blocks.select(F.col("ball").alias("b"), F.col("vectors").alias("right"))
     counted = stash(ways.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_counts(threshold), "id long, a long, b long, n long"))
+    release(blocks)
     across = stash(counted.groupBy("id").agg(F.sum("n").alias("across")))
     name = sizes.select("id", "least")
     pairs = counted.where("a < b").select("a", "b").distinct().join(name.select(F.col("id").alias("a"), F.col("least").alias("la")), "a").join(name.select(F.col("id").alias("b"), F.col("least").alias("lb")), "b")
     component = connected(pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     out = members.select("id", "least", (F.col("size") - 1).alias("inside")).join(across, "id", "left").join(component.select(F.col("node").alias("least"), "component"), "least", "left")
     found = stash(out.select("id", (F.col("inside") + F.coalesce("across", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "least").alias("component")))
-    release(blocks, counted, members, across)
+    release(counted, members, across, close, sizes)
     return found, figures
 
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.9, lists: int = LIST, rounds: int = 16, least_rounds: int = 4, recall: float = 0.97, least_recall: float = 0.9, audit: int = QUERIES) -> tuple[DataFrame, dict]:
     """((id, n_links, component) of each usable vector, audit figures by length)
     of a table (vec_id, embedding)."""
-    units = vectors.select("vec_id", "embedding").mapInArrow(_units, "id long, dim int, unit binary")
-    usable = stash(units.groupBy("id").agg(F.min(F.struct("dim", "unit")).alias("x")).select("id", "x.*"))
-    options = {"lists": lists, "rounds": rounds, "least_rounds": least_rounds, "recall": recall, "least_recall": least_recall, "audit": audit}
-    out, figures = usable.where("false").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")), {}
-    for dim in sorted(r["dim"] for r in usable.groupBy("dim").count().where("count > 1").collect()):
-        links, figures[dim] = _links(usable.where(f"dim = {dim}").select("id", "unit"), dim, threshold, **options)
-        out = out.unionAll(links)
+    with unsized(vectors.sparkSession):
+        units = vectors.select("vec_id", "embedding").mapInArrow(_units, "id long, dim int, unit binary")
+        usable = stash(units.groupBy("id").agg(F.min(F.struct("dim", "unit")).alias("x")).select("id", "x.*"))
+        options = {"lists": lists, "rounds": rounds, "least_rounds": least_rounds, "recall": recall, "least_recall": least_recall, "audit": audit}
+        out, figures = usable.where("false").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")), {}
+        for dim in sorted(r["dim"] for r in usable.groupBy("dim").count().where("count > 1").collect()):
+            links, figures[dim] = _links(usable.where(f"dim = {dim}").select("id", "unit"), dim, threshold, **options)
+            out = out.unionAll(links)
     return out, figures
 
 
@@ -323,7 +383,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, **options
     recall, the audited recall of the search (of the worst length); null where the
     audit met no link, which is no measure."""
     links, figures = embedding_links(vectors, threshold, **options)
-    out = vectors.select("vec_id").join(links.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    out = vectors.select("vec_id").join(links.withColumnRenamed("id", "vec_id").hint("merge"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     recall = min((x["recall"] for x in figures.values() if x["recall"] is not None), default=None)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))

@@ -111,3 +111,28 @@ def test_links_among_vectors_with_a_common_direction(spark):
     assert figures[48]["recall"] is None or figures[48]["recall"] >= 0.97
     _, none = embedding_links(spark.createDataFrame([(i, np.eye(40)[i % 40].tolist()) for i in range(40)], table.schema))
     assert none[40]["recall"] is None
+
+
+def test_near_duplicates_send_bounded_blocks(spark, monkeypatch):
+    from quillscope.llm import embedding_dedup as ed
+
+    plans, write = [], ed.stash
+    monkeypatch.setattr(ed, "stash", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    # wanted nodes go out a few at a time, neighbours meet in several parts
+    monkeypatch.setattr(ed, "QUERIES", 32)
+    monkeypatch.setattr(ed, "HELD", 1 << 13, raising=False)
+    monkeypatch.setattr(ed, "PART", 1 << 17, raising=False)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(400, 16))
+    x[200:] = x[:200] + draw.normal(size=(200, 16)) * 0.2
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (y @ y.T >= 0.9) & ~np.eye(400, dtype=bool)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    links, figures = ed.embedding_links(table, audit=32)
+    assert {r.id: r.n_links for r in links.collect()} == dict(enumerate(near.sum(1)))
+    assert near.sum() > 200 and figures[16]["recall"] == 1.0
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    # nothing is sent for the size that it is taken to have
+    sent = [p for p in plans if "BroadcastExchange" in p]
+    assert len(sent) > 1 and not any("BroadcastHashJoin" in p or "explode" in p for p in sent)
