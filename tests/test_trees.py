@@ -202,3 +202,84 @@ def test_fonts_are_searched_from_all_objects_at_once(spark, monkeypatch):
     assert [(r.descriptor, r.names) for r in trees.live_fonts(objects, rows).collect()] == [("x", [])]
     # c is opened once, not once for each object that leads there
     assert sorted((r.node, r.steps) for r in held[0].collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def _facts(rows, kind):
+    """Tables or lists by a walk: node -> counts; elements list several parents, of which
+    the first that a root reaches counts."""
+    nodes = {n for n, *_ in rows}
+    parent, reached = {}, set()
+    tag = {n: t for n, _, t in rows}
+    while True:
+        more = {n: p for n, p, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)) [::-1] if n not in reached and (p is None or p not in nodes or p in reached)}
+        if not more:
+            break
+        parent |= more
+        reached |= set(more)
+    below = {}
+    for n in reached:
+        at = parent[n]
+        while at in reached:
+            below.setdefault(at, set()).add(n)
+            at = parent[at]
+    out = {}
+    for n in reached:
+        if tag[n] == kind == "Table":
+            held = [tag[k] for k in below.get(n, ())]
+            out[n] = (held.count("TH"), held.count("TD"), "Caption" in held, "Table" in held)
+        if tag[n] == kind == "L":
+            items = [k for k in below.get(n, ()) if tag[k] == "LI"]
+            kids = {i: {tag[k] for k in reached if parent[k] == i} for i in items}
+            deep, level = 0, {n: 0}
+            for k in sorted(below.get(n, ()), key=lambda k: _depth(k, parent, reached)):
+                level[k] = level[parent[k]] + 1
+            for k in below.get(n, ()):
+                if tag[k] == "L" and level[k] <= 15:
+                    deep = max(deep, level[k])
+            out[n] = (len(items), any("Lbl" in x for x in kids.values()), any("LBody" in x for x in kids.values()), bool(items) and all("LBody" in x for x in kids.values()), deep)
+    return out
+
+
+def _depth(k, parent, reached):
+    steps = 0
+    while parent[k] in reached:
+        k, steps = parent[k], steps + 1
+    return steps
+
+
+@pytest.mark.parametrize("chunk, few, levels, again", [(1 << 20, 1 << 17, 6, False), (5, 1 << 17, 1, False), (7, 3, 6, False), (6, 1 << 17, 6, True)])
+def test_facts_are_gathered_in_stretches(spark, monkeypatch, chunk, few, levels, again):
+    # elements near their parents and far from them, circles, parents that aren't listed
+    for name, value in (("CHUNK", chunk), ("FEW", few), ("LEVELS", levels)):
+        monkeypatch.setattr(trees, name, value, raising=False)
+    draw = random.Random(chunk + levels)
+    for kind, tags in (("Table", ["Table", "TR", "TBody", "TH", "TD", "Caption", "P"]), ("L", ["L", "LI", "LI", "Lbl", "LBody", "P"])):
+        rows = [(k, None if k < 3 else draw.choice([draw.randrange(k), max(0, k - draw.randrange(1, 4)), draw.randrange(160)] if k % 9 == 0 else [max(0, k - draw.randrange(1, 4))]), draw.choice(tags)) for k in range(150)]
+        rows += [(200, 201, kind), (201, 200, tags[1]), (202, 201, kind), (203, 202, tags[2])]
+        if again:
+            # a parent on a circle, and another one
+            rows = [r for r in rows if r[0] not in (140, 141)] + [(140, 201, kind), (140, 300, kind), (300, 2, tags[1]), (141, 140, tags[1])]
+        listed = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, node long, parent long, tag string").selectExpr("*", "node AS place", "tag = 'TH' AS scope", "false AS headers", "1 AS col_span", "1 AS row_span")
+        held = len(written._WRITTEN)
+        found = (trees.table_facts if kind == "Table" else trees.list_facts)(listed)
+        got = {r.node: (r.headerCount, r.dataCellCount, r.hasCaption, r.hasNestedTable) if kind == "Table" else (r.itemCount, r.hasLabels, r.hasBodies, r.isWellFormed, r.nestingDepth) for r in found.collect()}
+        assert got == _facts(rows, kind)
+        assert len(written._WRITTEN) == held + 1
+
+
+def test_widths_of_rows_in_sections_and_spans(spark):
+    rows = [(0, None, "Table"), (9, 0, "THead"), (3, 9, "TR"), (5, 0, "TR"), (12, 0, "TBody"), (1, 12, "TR"), (30, 12, "P"), (31, 30, "TR")]
+    cells = [(40, 3, "TH", 2, 9), (41, 3, "TH", None, 0), (42, 5, "TD", 3, 2), (43, 1, "TD", 1, 1), (44, 0, "TD", 5, 1), (45, 31, "TD", 7, 1), (46, 42, "TD", 4, 1)]
+    listed = spark.createDataFrame([(1, *r, None, None) for r in rows] + [(1, *r) for r in cells], "doc_id long, node long, parent long, tag string, col_span int, row_span int").selectExpr("*", "node AS place", "tag = 'TH' AS scope", "false AS headers")
+    found = trees.table_facts(listed).first()
+    # rows stand as 5, 3 (in 9), 1 (in 12); the cell of two rows reaches the second one, the one of nine the last
+    assert (found.rowCount, found.columnCounts, found.hasConsistentColumns, found.headerCount, found.dataCellCount) == (3, [3, 6, 3], False, 2, 5)
+
+
+def test_tables_are_not_put_in_document_order(spark, monkeypatch):
+    # tables that don't stand in others deeply need no tour of all elements
+    monkeypatch.setattr(trees, "_toured", lambda *a: pytest.fail("toured"))
+    import __spark_entry__
+
+    for name in ("table_structures", "list_structures"):
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
