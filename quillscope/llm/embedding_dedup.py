@@ -17,8 +17,9 @@ below ``least_recall`` at the end, an error is raised, so links are never lost
 in silence. At last the pairs of balls in reach are compared in double
 precision, block of vectors against block of vectors.
 
-No table is broadcast for the size that Spark takes it to have: a file of copies is
-small where its rows aren't, and so is an estimate before rows are multiplied. An
+No larger table is broadcast for the size that Spark takes it to have, and no vectors
+are: a file of copies is small where its rows aren't, and so is an estimate before
+rows are multiplied. An
 exhaustive search sends ``HELD`` bytes of the nodes it looks for to all others at a
 time. Neighbours meet in parts of ``PART`` bytes, and tables are dropped as soon as
 nothing reads them, so disks hold a few copies of the vectors.
@@ -352,7 +353,7 @@ def _links(units: DataFrame, dim: int, threshold: float, **options) -> tuple[Dat
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
     blocks = stash(needed.groupBy("ball", block.alias("block")).agg(F.collect_list(F.struct("id", "unit")).alias("vectors")))
     left, right = blocks.select(F.col("ball").alias("a"), F.col("vectors").alias("left")), blocks.select(F.col("ball").alias("b"), F.col("vectors").alias("right"))
-    counted = stash(ways.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_counts(threshold), "id long, a long, b long, n long"))
+    counted = stash(ways.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(_counts(threshold), "id long, a long, b long, n long"))
     release(blocks)
     across = stash(counted.groupBy("id").agg(F.sum("n").alias("across")))
     name = sizes.select("id", "least")
